@@ -231,10 +231,12 @@ def coder(spec: bytes, dtype: str) -> ChunkEncoder:
 
 
 def shard_table(docs: DataFrame, tokenizer: str, end_id: int = 1, shard_bytes: int = 8 << 20, width: int = 16) -> DataFrame:
-    """(shard int, n_tokens long, file binary): documents (doc_id, text) as shard files in doc_id order.
+    """(shard long, n_tokens long, file binary): documents (doc_id, text) as shard files in doc_id order.
 
-    Shards are doc_id ranges of about shard_bytes of text: the ranges' bounds are weighted quantiles of
-    doc_id, so a long text weighs more.  tokenizer: path of a tokenizers file, read on the driver.
+    Documents are dealt by ranges of doc_id (its quantiles) of about shard_bytes of text each; a range
+    that holds more, by long texts or many rows of one id, is cut into several files, so that no task
+    holds more than about twice shard_bytes and one text.  Shards number range << 20 | file.
+    tokenizer: path of a tokenizers file, read on the driver.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -242,7 +244,7 @@ def shard_table(docs: DataFrame, tokenizer: str, end_id: int = 1, shard_bytes: i
     total = docs.agg(F.sum(weight.cast("long"))).first()[0] or 0
     shards = max(1, -(-total // shard_bytes))
     marks = [i / shards for i in range(1, shards)]
-    bounds = docs.agg(F.percentile_approx("doc_id", F.array(*map(F.lit, marks)), F.lit(min(10_000_000, max(10_000, 20 * shards))), weight.cast("int"))).first()[0] if marks else []
+    bounds = docs.agg(F.percentile_approx("doc_id", marks, min(10_000_000, max(10_000, 20 * shards)))).first()[0] if marks else []
     bounds = spark.sparkContext.broadcast(np.unique(np.array(bounds or [], np.int64)))
     with open(tokenizer, "rb") as f:
         spec = spark.sparkContext.broadcast(f.read())
@@ -261,27 +263,29 @@ def shard_table(docs: DataFrame, tokenizer: str, end_id: int = 1, shard_bytes: i
                 yield pa.record_batch([pa.array(shard), keys, pa.array(tie, pa.int64()), pa.array([raw[step * a : step * z] for a, z in zip(at[:-1], at[1:], strict=True)], pa.binary())], ["shard", "doc_id", "tie", "ids"])
 
     def write(batches):
-        now, held = None, []
+        now, held, size, part = None, [], 0, 0
 
         def made():
             ids = [np.append(np.frombuffer(x, kind), np.dtype(kind).type(end_id)) for _, x in held]
             starts = np.concatenate([[0], np.cumsum([len(x) for x in ids])])
             file = pack(np.array([i for i, _ in held]), starts, np.concatenate(ids), width)
-            return pa.record_batch([pa.array([now], pa.int32()), pa.array([int(starts[-1])], pa.int64()), pa.array([file], pa.binary())], ["shard", "n_tokens", "file"])
+            return pa.record_batch([pa.array([now << 20 | part], pa.int64()), pa.array([int(starts[-1])], pa.int64()), pa.array([file], pa.binary())], ["shard", "n_tokens", "file"])
 
         for b in batches:
             for shard, key, ids in zip(*(b[c].to_pylist() for c in ("shard", "doc_id", "ids")), strict=True):
-                if held and shard != now:
+                if held and (shard != now or size > 2 * shard_bytes):
                     yield made()
-                    held = []
-                now = shard
+                    held, size, part = [], 0, part + 1
+                if shard != now:
+                    now, part = shard, 0
                 held.append((-(1 << 63) if key is None else key, ids))
+                size += 2 * len(ids) + 64
         if held:
             yield made()
 
     coded = docs.mapInArrow(encode, "shard int, doc_id long, tie long, ids binary")
     dealt = coded.repartition(shards, "shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "tie", "ids")
-    return dealt.mapInArrow(write, "shard int, n_tokens long, file binary")
+    return dealt.mapInArrow(write, "shard long, n_tokens long, file binary")
 
 
 def read_documents(files: DataFrame) -> DataFrame:
@@ -294,16 +298,16 @@ def read_documents(files: DataFrame) -> DataFrame:
                 ids, at = f.matrix().decode().astype("<u4"), f.starts()
                 crc = [zlib.crc32(ids[x:y]) for x, y in zip(at[:-1], at[1:], strict=True)]
                 keys = f.doc_ids()
-                yield pa.record_batch([pa.array(np.full(f.n_docs, shard, np.int32)), pa.array(keys, mask=keys == -(1 << 63)), pa.array(at[:-1]), pa.array(np.diff(at)), pa.array(crc, pa.int64())], ["shard", "doc_id", "at", "n_tokens", "ids_crc32"])
+                yield pa.record_batch([pa.array(np.full(f.n_docs, shard)), pa.array(keys, mask=keys == -(1 << 63)), pa.array(at[:-1]), pa.array(np.diff(at)), pa.array(crc, pa.int64())], ["shard", "doc_id", "at", "n_tokens", "ids_crc32"])
 
     from pyspark.sql import Window
 
-    sizes = files.select("shard", "n_tokens", F.floor(F.col("shard") / 4096).alias("block"))
+    sizes = files.select("shard", "n_tokens", F.shiftright("shard", 32).alias("block"))
     blocks = sizes.groupBy("block").agg(F.sum("n_tokens").alias("n"))
     blocks = blocks.select("block", (F.sum("n").over(Window.orderBy("block")) - F.col("n")).alias("before"))
     within = F.sum("n_tokens").over(Window.partitionBy("block").orderBy("shard")) - F.col("n_tokens")
     bases = sizes.withColumn("within", within).join(blocks, "block").select("shard", (F.col("within") + F.col("before")).alias("base"))
-    rows = files.mapInArrow(read, "shard int, doc_id long, at long, n_tokens long, ids_crc32 long")
+    rows = files.mapInArrow(read, "shard long, doc_id long, at long, n_tokens long, ids_crc32 long")
     return rows.join(bases, "shard").select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 
@@ -315,13 +319,13 @@ def export_files(files: DataFrame, folder: str) -> None:
 
         for b in batches:
             for shard, data in zip(b["shard"].to_pylist(), b["file"].to_pylist(), strict=True):
-                to = f"{folder}/shard-{shard:08d}.wvm"
+                to = f"{folder}/shard-{shard:015d}.wvm"
                 with open(f"{to}.{os.getpid()}", "wb") as f:
                     f.write(data)
                 os.replace(f"{to}.{os.getpid()}", to)
             yield b.select(["shard"])
 
-    files.mapInArrow(put, "shard int").count()
+    files.mapInArrow(put, "shard long").count()
 
 
 def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
