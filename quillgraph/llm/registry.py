@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from quillgraph.llm import wavelet
+from quillgraph.llm import bpe_tree, langid, media, wavelet
 
 
 def queries() -> dict:
-    return {"op1_token_files": wavelet.op1_token_files}
+    return {
+        "op1_token_files": wavelet.op1_token_files,
+        "op6_bpe_tree": bpe_tree.op6_bpe_tree,
+        "op7_language_id": langid.op7_language_id,
+        "op9_media": media.op9_media,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
