@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillgraph.llm import bpe_tree, langid, media, wavelet
+from quillgraph.llm import bpe_tree, langid, media, secrets, wavelet
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op6_bpe_tree": bpe_tree.op6_bpe_tree,
         "op7_language_id": langid.op7_language_id,
         "op9_media": media.op9_media,
+        "op10_secrets": secrets.op10_secrets,
     }
 
 
