@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillgraph.llm import bpe_tree, langid, media, secrets, wavelet
+from quillgraph.llm import bpe_tree, langid, media, pii, secrets, wavelet
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_token_files": wavelet.op1_token_files,
         "op6_bpe_tree": bpe_tree.op6_bpe_tree,
         "op7_language_id": langid.op7_language_id,
+        "op8_pii": pii.op8_pii,
         "op9_media": media.op9_media,
         "op10_secrets": secrets.op10_secrets,
     }
