@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from quillgraph.llm import bpe_tree, langid, media, pii, secrets, wavelet
+from quillgraph.llm import bpe_tree, langid, maxscore, media, pii, secrets, wavelet
 
 
 def queries() -> dict:
     return {
         "op1_token_files": wavelet.op1_token_files,
+        "op2_maxscore": maxscore.op2_maxscore,
         "op6_bpe_tree": bpe_tree.op6_bpe_tree,
         "op7_language_id": langid.op7_language_id,
         "op8_pii": pii.op8_pii,
@@ -17,4 +18,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_maxscore": maxscore.OP2_SQL}
