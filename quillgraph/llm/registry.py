@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from quillgraph.llm import bpe_tree, langid, maxscore, media, pii, secrets, wavelet
+from quillgraph.llm import bpe_tree, extendible, langid, maxscore, media, packing, pii, secrets, wavelet
 
 
 def queries() -> dict:
     return {
         "op1_token_files": wavelet.op1_token_files,
         "op2_maxscore": maxscore.op2_maxscore,
+        "op3_extendible_hashing": extendible.op3_extendible_hashing,
+        "op5_best_fit_packing": packing.op5_best_fit_packing,
         "op6_bpe_tree": bpe_tree.op6_bpe_tree,
         "op7_language_id": langid.op7_language_id,
         "op8_pii": pii.op8_pii,
@@ -18,4 +20,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_maxscore": maxscore.OP2_SQL}
+    return {"op2_maxscore": maxscore.OP2_SQL, "op3_extendible_hashing": extendible.OP3_SQL}
