@@ -13,6 +13,7 @@ text are not read, so clashing names do no harm.
 
 from __future__ import annotations
 
+import json
 import struct
 import zlib
 
@@ -37,7 +38,7 @@ class Plane:
         padded = np.zeros((len(bits) // BLOCK + 1) * BLOCK, bool)
         padded[: len(bits)] = bits
         packed = np.packbits(padded, bitorder="little")
-        ones = _POP[packed].reshape(-1, BLOCK // 8).sum(1, dtype=np.uint32)
+        ones = np.bitwise_count(packed.view(np.uint64)).reshape(-1, BLOCK // 64).sum(1, dtype=np.uint32)
         ranks = np.concatenate([[0], np.cumsum(ones)]).astype(np.uint32)
         return cls(len(bits) - int(ranks[-1]), packed, ranks)
 
@@ -75,7 +76,7 @@ class WaveletMatrix:
         for b in range(width - 1, -1, -1):
             bits = (now >> b & 1).astype(bool)
             planes.append(Plane.of(bits))
-            now = np.concatenate([now[~bits], now[bits]])
+            now = np.concatenate([np.compress(~bits, now), np.compress(bits, now)])
         return cls(len(ids), planes)
 
     def decode(self) -> np.ndarray:
@@ -85,8 +86,8 @@ class WaveletMatrix:
         for b, plane in enumerate(reversed(self.planes)):
             bits = plane.bits(self.n)
             up = np.empty(self.n, kind)
-            up[~bits] = now[: plane.zeros]
-            up[bits] = now[plane.zeros :] | kind(1 << b)
+            up[np.flatnonzero(~bits)] = now[: plane.zeros]
+            up[np.flatnonzero(bits)] = now[plane.zeros :] | kind(1 << b)
             now = up
         return now
 
@@ -182,6 +183,12 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_buffer(spec)
         self.tokenizer.encode_special_tokens = True
         self.dtype, self.keep, self.known = np.dtype(dtype), keep, {}
+        suffix = json.loads(spec)["model"].get("end_of_word_suffix")
+        self.ends = None
+        if suffix:  # then words of letters alone can be encoded as one text and told apart by their last tokens
+            vocabulary = self.tokenizer.get_vocab()
+            self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.ends[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
 
     @staticmethod
     def split(chunk: str) -> tuple[str, ...]:
@@ -202,6 +209,14 @@ class ChunkEncoder:
         fresh = list({x for p in parts for x in p if x not in known})
         if len(known) + len(fresh) > self.keep:
             known = dict(known) if fresh else known
+        whole = [x for x in fresh if x.isalpha() and x.lower().isalpha()] if self.ends is not None else []
+        if whole:
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(whole)], add_special_tokens=False)[0].ids, self.dtype)
+            cuts = (np.flatnonzero(self.ends[ids]) + 1) * self.dtype.itemsize
+            if len(cuts) == len(whole):
+                raw = ids.tobytes()
+                known.update(zip(whole, map(raw.__getitem__, map(slice, [0, *cuts[:-1].tolist()], cuts.tolist())), strict=True))
+                fresh = [x for x in fresh if x not in known]
         for at in range(0, len(fresh), 50_000):
             some = fresh[at : at + 50_000]
             for x, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
