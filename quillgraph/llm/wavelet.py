@@ -6,7 +6,7 @@ planes + 2 entries (u64 offset, u64 length), then those sections, each a zstd fr
 u64 count of zero bits, the bits (8 to a byte, low first, padded to 512) and the uint32 count of one bits
 before every 512.  Any plane can be read alone.
 
-A shard holds whole documents in ascending doc_id order (nulls first, equal ids by text); a text that is
+A shard holds whole documents in ascending doc_id order (nulls first, equal ids by their token ids); a text that is
 null or empty has the end id alone; an empty table has no shards.  Input columns other than doc_id and
 text are not read, so clashing names do no harm.
 """
@@ -19,6 +19,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -173,8 +174,8 @@ class ChunkEncoder:
 
     Holds for tokenizers that drop white space and treat what it separates independently, as the word
     BPE file does (its normaliser works by character or within a chunk, its splitter never crosses white
-    space); the tests compare with encoding the texts whole.  Up to `keep` chunks are remembered, others
-    are encoded anew in each batch.
+    space); the tests compare with encoding the texts whole.  Up to `keep` chunks are remembered in Arrow
+    arrays, others are encoded anew in each batch.
     """
 
     def __init__(self, spec: bytes, dtype: str = "<u2", keep: int = 1_000_000):
@@ -182,57 +183,106 @@ class ChunkEncoder:
 
         self.tokenizer = Tokenizer.from_buffer(spec)
         self.tokenizer.encode_special_tokens = True
-        self.dtype, self.keep, self.known = np.dtype(dtype), keep, {}
+        self.dtype, self.keep = np.dtype(dtype), keep
         suffix = json.loads(spec)["model"].get("end_of_word_suffix")
         self.ends = None
         if suffix:  # then words of letters alone can be encoded as one text and told apart by their last tokens
             vocabulary = self.tokenizer.get_vocab()
             self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
             self.ends[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
-
-    @staticmethod
-    def split(chunk: str) -> tuple[str, ...]:
-        """An ASCII chunk in lower case, a last full stop or comma after a letter on its own; others as they are."""
-        if not chunk.isascii():
-            return (chunk,)
-        chunk = chunk.lower()
-        return (chunk[:-1], chunk[-1]) if chunk[-1:] in (".", ",") and chunk[-2:-1].isalpha() else (chunk,)
+        self.names = pa.array([], pa.large_string())
+        self.pool, self.bounds = np.zeros(0, self.dtype), np.zeros(1, np.int64)
+        marks = [x.ids for x in self.tokenizer.encode_batch_fast([".", ","], add_special_tokens=False)]
+        self.marks = np.array([x[0] for x in marks], self.dtype) if all(len(x) == 1 for x in marks) else None
+
+    def chunks(self, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """ids of chunks, one after the other, and len+1 bounds."""
+        alone = np.fromiter((x.isalpha() and x.lower().isalpha() for x in names), bool, len(names))
+        pools, sizes = [np.zeros(0, self.dtype)], np.zeros(len(names), np.int64)
+        if self.ends is None:
+            alone[:] = False
+        where = np.flatnonzero(alone)
+        joined = []
+        for at in range(0, len(where), 20_000):
+            some = where[at : at + 20_000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join([names[i] for i in some])], add_special_tokens=False)[0].ids, self.dtype)
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) == len(some):
+                sizes[some] = np.diff(cuts, prepend=0)
+                joined.append(ids)
+            else:
+                alone[some] = False
+        single = np.flatnonzero(~alone)
+        for at in range(0, len(single), 20_000):
+            some = single[at : at + 20_000]
+            ids = [x.ids for x in self.tokenizer.encode_batch_fast([names[i] for i in some], add_special_tokens=False)]
+            sizes[some] = [len(x) for x in ids]
+            pools.append(np.array([y for x in ids for y in x], self.dtype))
+        order = np.argsort(np.concatenate([np.flatnonzero(alone), single]), kind="stable")
+        flat, own = np.concatenate([*joined, *pools]), np.concatenate([sizes[alone], sizes[single]])
+        begins = np.cumsum(own) - own
+        bounds = np.concatenate([[0], np.cumsum(sizes)])
+        return flat[_stretches(begins[order], sizes)], bounds
+
+    def look_up(self, keys: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A pool of ids, and where each key's ids begin in it and how many they are."""
+        found = pc.index_in(keys, value_set=self.names)
+        at = found.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        missing = np.flatnonzero(at < 0)
+        pool, bounds = self.pool, self.bounds
+        if len(missing):
+            fresh = keys.take(pa.array(missing))
+            ids, more = self.chunks(fresh.to_pylist())
+            at[missing] = len(bounds) - 1 + np.arange(len(missing))
+            pool, bounds = np.concatenate([pool, ids]), np.concatenate([bounds, bounds[-1] + more[1:]])
+            if len(self.names) + len(missing) <= self.keep:
+                self.names = pa.concat_arrays([self.names, fresh])
+                self.pool, self.bounds = pool, bounds
+        return pool, bounds[at], bounds[at + 1] - bounds[at]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """ids of all texts and len+1 offsets."""
-        import pyarrow.compute as pc
-
         lists = pc.ascii_split_whitespace(texts.cast(pa.large_string()).fill_null(""))
         words = pc.list_flatten(lists).dictionary_encode()
-        parts = [self.split(x) for x in words.dictionary.to_pylist()]
-        known = self.known
-        fresh = list({x for p in parts for x in p if x not in known})
-        if len(known) + len(fresh) > self.keep:
-            known = dict(known) if fresh else known
-        whole = [x for x in fresh if x.isalpha() and x.lower().isalpha()] if self.ends is not None else []
-        if whole:
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(whole)], add_special_tokens=False)[0].ids, self.dtype)
-            cuts = (np.flatnonzero(self.ends[ids]) + 1) * self.dtype.itemsize
-            if len(cuts) == len(whole):
-                raw = ids.tobytes()
-                known.update(zip(whole, map(raw.__getitem__, map(slice, [0, *cuts[:-1].tolist()], cuts.tolist())), strict=True))
-                fresh = [x for x in fresh if x not in known]
-        for at in range(0, len(fresh), 50_000):
-            some = fresh[at : at + 50_000]
-            for x, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                known[x] = np.array(e.ids, self.dtype).tobytes()
-        found = [known[p[0]] if len(p) == 1 else known[p[0]] + known[p[1]] for p in parts]
-        sizes = np.fromiter(map(len, found), np.int64, len(found)) // self.dtype.itemsize
-        pool = np.frombuffer(b"".join(found), self.dtype)
-        begins = np.cumsum(sizes) - sizes
+        names = words.dictionary
+        plain = pc.string_is_ascii(names)
+        names = pc.if_else(plain, pc.ascii_lower(pc.if_else(plain, names, "")), names)
+        # An ASCII chunk's last full stop or comma after a letter is a piece of its own.
+        mark = np.zeros(len(names), np.int8)
+        if self.marks is not None:
+            for k, x in enumerate(".,"):
+                hit = pc.and_(plain, pc.match_substring_regex(names, f"[a-z][{x}]$"))
+                mark[hit.to_numpy(zero_copy_only=False)] = k + 1
+            cut = pa.array(mark > 0)
+            names = pc.if_else(cut, pc.utf8_slice_codeunits(pc.if_else(cut, names, ""), 0, -1), names)
+        keys = names.dictionary_encode()
+        pool, begins, sizes = self.look_up(keys.dictionary)
+        key = keys.indices.to_numpy(zero_copy_only=False)
         codes = words.indices.to_numpy(zero_copy_only=False)
-        lengths = sizes[codes]
-        ends = np.cumsum(lengths)
-        ids = pool[np.arange(ends[-1] if len(ends) else 0) + np.repeat(begins[codes] - ends + lengths, lengths)]
+        del words
+        word_key, word_mark = key[codes], mark[codes]
+        lengths = sizes[word_key]
+        total = lengths + (word_mark > 0)
+        ends = np.cumsum(total)
+        marked = np.flatnonzero(word_mark)
+        ids = np.empty(ends[-1] if len(ends) else 0, self.dtype)
+        place = np.ones(len(ids), bool)
+        place[ends[marked] - 1] = False
+        ids[np.flatnonzero(place)] = pool[_stretches(begins[word_key], lengths)]
+        if len(marked):
+            ids[ends[marked] - 1] = self.marks[word_mark[marked] - 1]
         bounds = lists.offsets.to_numpy()
         return ids, np.concatenate([[0], ends])[bounds - bounds[0]]
 
 
+def _stretches(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """begin, begin + 1, ... of each stretch, one after the other; under 2**31."""
+    ends = np.cumsum(sizes)
+    out = np.repeat((begins - ends + sizes).astype(np.int32), sizes)
+    out += np.arange(len(out), dtype=np.int32)
+    return out
+
+
 _CODERS: dict[int, ChunkEncoder] = {}
 
 
@@ -269,13 +319,12 @@ def shard_table(docs: DataFrame, tokenizer: str, end_id: int = 1, shard_bytes: i
     def encode(batches):
         encoder = coder(spec.value, kind)
         for whole in batches:
-            for b in pieces(whole, "text", 16 << 20):
+            for b in pieces(whole, "text", 10 << 20):
                 ids, at = encoder.encode(b["text"])
                 raw, step = ids.tobytes(), ids.itemsize
                 keys = b["doc_id"]
                 shard = np.searchsorted(bounds.value, keys.fill_null(-(1 << 63)).to_numpy(), "right").astype(np.int32)
-                tie = [zlib.crc32(x.encode()) if x else 0 for x in b["text"].to_pylist()]
-                yield pa.record_batch([pa.array(shard), keys, pa.array(tie, pa.int64()), pa.array([raw[step * a : step * z] for a, z in zip(at[:-1], at[1:], strict=True)], pa.binary())], ["shard", "doc_id", "tie", "ids"])
+                yield pa.record_batch([pa.array(shard), keys, pa.array([raw[step * a : step * z] for a, z in zip(at[:-1], at[1:], strict=True)], pa.binary())], ["shard", "doc_id", "ids"])
 
     def write(batches):
         now, held, size, part = None, [], 0, 0
@@ -298,8 +347,8 @@ def shard_table(docs: DataFrame, tokenizer: str, end_id: int = 1, shard_bytes: i
         if held:
             yield made()
 
-    coded = docs.mapInArrow(encode, "shard int, doc_id long, tie long, ids binary")
-    dealt = coded.repartition(shards, "shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "tie", "ids")
+    coded = docs.mapInArrow(encode, "shard int, doc_id long, ids binary")
+    dealt = coded.repartition(shards, "shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "ids")
     return dealt.mapInArrow(write, "shard long, n_tokens long, file binary")
 
 
