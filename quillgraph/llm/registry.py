@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillgraph.llm import bpe_tree, extendible, langid, maxscore, media, packing, pii, secrets, wavelet
+from quillgraph.llm import bpe_tree, extendible, jaccard, langid, maxscore, media, packing, pii, secrets, wavelet
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_token_files": wavelet.op1_token_files,
         "op2_maxscore": maxscore.op2_maxscore,
         "op3_extendible_hashing": extendible.op3_extendible_hashing,
+        "op4_ngram_jaccard": jaccard.op4_ngram_jaccard,
         "op5_best_fit_packing": packing.op5_best_fit_packing,
         "op6_bpe_tree": bpe_tree.op6_bpe_tree,
         "op7_language_id": langid.op7_language_id,
@@ -20,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_maxscore": maxscore.OP2_SQL, "op3_extendible_hashing": extendible.OP3_SQL}
+    return {"op2_maxscore": maxscore.OP2_SQL, "op3_extendible_hashing": extendible.OP3_SQL, "op4_ngram_jaccard": jaccard.OP4_SQL}
