@@ -456,3 +456,16 @@ r(doc_id, far) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, g
 SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, c.component_id
 FROM s JOIN (SELECT doc_id, min(far) AS component_id FROM r GROUP BY doc_id) c USING (doc_id)
 """
+
+
+def keep_one_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """docs with one document of each component: the one with the smallest doc_id; docs' own columns.
+
+    Rows that repeat a doc_id and its text are one document; one row of them stays.
+    """
+    groups = components(docs, k, num, den)
+    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
+    rows = docs.withColumn("_doc", F.col("doc_id").cast("long"))
+    rows = rows.join(kept, rows["_doc"].eqNullSafe(kept["_kept"]), "left_semi")
+    same = Window.partitionBy("_doc", F.md5(F.col("text").cast("string"))).orderBy(F.lit(0))
+    return rows.withColumn("_place", F.row_number().over(same)).where("_place = 1").select(*[F.col(f"`{c}`") for c in docs.columns])

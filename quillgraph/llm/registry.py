@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from quillgraph.llm import bpe_tree, extendible, jaccard, langid, maxscore, media, packing, pii, secrets, wavelet
 
 
@@ -17,6 +18,7 @@ def queries() -> dict:
         "op8_pii": pii.op8_pii,
         "op9_media": media.op9_media,
         "op10_secrets": secrets.op10_secrets,
+        "pipeline": corpus_pipeline.run,
     }
 
 
