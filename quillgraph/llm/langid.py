@@ -73,7 +73,7 @@ class KneserNey:
         fitted = [self._fit(words_of[x]) for x in self.languages]
         self.symbols = 1 + len({c for counts in words_of.values() for w in counts for c in w})
         self.tables = []
-        for n in range(order):
+        for n in range(order if fitted else 0):
             out = []
             for part, default in ((0, 0.0), (2, 1.0)):
                 keys = np.unique(np.concatenate([f[n][part] for f in fitted]))

@@ -1,0 +1,453 @@
+"""Each operator against a plain version, with nulls, empty and long texts, ties, repeated rows, extra columns and empty tables."""
+
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from quillgraph.llm import bpe_tree, extendible, jaccard, langid, maxscore, media, packing, pii, secrets, wavelet
+
+tokenizers = pytest.importorskip("public_tokenizers")
+ALPHABET = ["a", "b", " ", "  ", "\n", "'s", "'", "1", "é", "　", "!", "字", "word ", "x. ", "The, ", "ABC", "😀"]
+
+
+def texts(n, seed=1, longest=40):
+    rng = random.Random(seed)
+    return [None, "", " ", "x" * 3000] + ["".join(rng.choice(ALPHABET) for _ in range(rng.randint(0, longest))) for _ in range(n)]
+
+
+def docs(spark, rows, partitions=3):
+    """documents with columns whose names clash with those that operators use."""
+    data = [(i, t, "en", f"s{(i or 0) % 3}", len(t or ""), "x", 7) for i, t in rows]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, node string, n long"
+    return spark.createDataFrame(data, schema).repartition(partitions)
+
+
+def numbered(values):
+    return list(enumerate(values))
+
+
+# wavelet matrix ------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("n", [0, 1, 511, 512, 513, 3000])
+def test_wavelet_matrix(n):
+    ids = np.random.default_rng(n).integers(0, 90, n).astype(np.uint16)
+    file = wavelet.ShardFile(wavelet.pack(np.array([4]), np.array([0, n]), ids, 16))
+    matrix = file.matrix()
+    assert (matrix.decode() == ids).all() and file.doc_ids().tolist() == [4]
+    if n:
+        assert (matrix.access(np.arange(n)) == ids).all()
+    for token in (0, 1, 89, 90, 65536, -1):
+        where = np.flatnonzero(ids == token)
+        assert matrix.count(token) == len(where)
+        assert [matrix.select(token, j) for j in range(len(where))] == where.tolist()
+        with pytest.raises(IndexError):
+            matrix.select(token, len(where))
+
+
+def test_token_files(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    path = tokenizers.path("word_bpe_49k.json")
+    whole = Tokenizer.from_file(path)
+    whole.encode_special_tokens = True
+    rows = numbered([*texts(150), "İstanbul H̱ello. KELVINK <|endoftext|> a.b, c.,"])
+    rows += [(3, "again."), (3, "again.")]
+    files = wavelet.shard_table(docs(spark, rows), path, shard_bytes=2000).cache()
+    assert files.count() > 3
+    got = sorted(map(tuple, wavelet.read_documents(files).collect()), key=lambda r: (r[1], r[0]))
+    ids = {}
+    for i, t in rows:
+        ids.setdefault(i, []).append(whole.encode(t or "", add_special_tokens=False).ids + [1])
+    at = 0
+    for doc_id, start, n, crc in got:
+        assert start == at
+        mine = [x for x in ids[doc_id] if len(x) == n and zlib.crc32(np.array(x, "<u4").tobytes()) == crc]
+        assert mine
+        ids[doc_id].remove(mine[0])
+        at += n
+    assert not any(ids.values())
+    wavelet.export_files(files, str(tmp_path))
+    assert len(list(tmp_path.glob("*.wvm"))) == files.count()
+    assert wavelet.read_documents(wavelet.shard_table(docs(spark, [(1, "x")]).where("false"), path)).count() == 0
+
+
+# MaxScore ------------------------------------------------------------------------------------------------
+
+
+def test_maxscore(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in rng.integers(-3, 4, 8) / 1024], 1) for i in range(500)]
+    rows += [(7, rows[7][1], 1), (900, None, 1), (901, [1.0, None], 1), (902, [float("nan")] * 8, 1), (903, [float("inf")] * 8, 1), (None, rows[0][1], 1), (904, [], 1), (1000, [3e38] * 8, 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, rank int").repartition(3)
+    table = maxscore.quantise(df, "vec_id", "embedding", 1024)
+    got = sorted(map(tuple, maxscore.top_k(table, table.where("id % 100 = 0"), 5).collect()))
+    fine = [(i, [max(-(1 << 27), min(1 << 27, int(np.floor(1024 * x)))) for x in v]) for i, v, _ in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    want = []
+    for q, v in fine:
+        if q % 100 == 0:
+            scores = sorted((-sum(a * b for a, b in zip(v, w, strict=False)), i) for i, w in fine if i != q)[:5]
+            want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scores)]
+    assert got == sorted(want)
+    assert maxscore.top_k(table.where("false"), table, 5).count() == 0
+
+
+def test_maxscore_shards_prune_exactly():
+    rng = np.random.default_rng(0)
+    vectors = rng.integers(-50, 50, (400, 16))
+    vectors[:, 8:] //= 25
+    shard = maxscore.Shard(np.arange(400), vectors)
+    for q in rng.integers(-50, 50, (20, 16)):
+        scores = vectors @ q
+        order = np.lexsort((np.arange(400), -scores))[:7]
+        for floor in (None, int(scores[order[-1]])):
+            ids, got = shard.top(-1, q, 7, floor)
+            assert ids.tolist() == order.tolist() and got.tolist() == scores[order].tolist()
+
+
+# extendible hashing --------------------------------------------------------------------------------------
+
+
+def test_extendible_hashing(spark):
+    rows = numbered(texts(300, longest=20)) + [(5, "same")] * 40 + [(None, "z" * 500)]
+    df = docs(spark, rows)
+    limit = 400
+    coded = df.select(F.col("doc_id").alias("id"), extendible.hash_bits(F.col("doc_id"), F.col("text")).alias("bits"), (F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 16).alias("bytes"))
+    got = extendible.assign(coded, limit).collect()
+    assert len(got) == len(rows)
+    word = lambda x: int(hashlib.md5(str("" if x is None else x).encode()).hexdigest()[:8], 16)
+    own = [((word(i) >> 1) << 32 | word(t), len((t or "").encode()) + 16, i) for i, t in rows]
+    by_shard = {}
+    for r in got:
+        by_shard.setdefault(r["shard"], []).append(r)
+    for shard, members in by_shard.items():
+        assert sum(r["bytes"] for r in members) == members[0]["shard_bytes"] and len(members) == members[0]["shard_rows"], shard
+        assert members[0]["shard_bytes"] <= limit or len(members) == 1 and members[0]["oversize"]
+    for bits, _, i in own:
+        for depth in range(64):
+            size = sum(b for x, b, _ in own if x >> (63 - depth) == bits >> (63 - depth))
+            if size <= limit:
+                assert f"{depth}:{bits >> (63 - depth)}" in {r["shard"] for r in got if r["id"] == i}
+                break
+    assert extendible.assign(coded.where("false"), limit).count() == 0
+
+
+# n-gram Jaccard join -------------------------------------------------------------------------------------
+
+
+def plain_components(rows, k, num, den):
+    def shingles(t):
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} if w else set()
+
+    sets = [shingles(t) for _, t in rows]
+    at = list(range(len(rows)))
+    for _ in range(len(rows)):
+        before = list(at)
+        for i, a in enumerate(sets):
+            for j in range(i):
+                same = len(a & sets[j])
+                if a and sets[j] and at[i] != at[j] and same * den >= num * (len(a) + len(sets[j]) - same):
+                    at = [min(at[i], at[j]) if x in (at[i], at[j]) else x for x in at]
+        if before == at:
+            break
+    least = {}
+    for (i, _), c in zip(rows, at, strict=True):
+        if i is not None:
+            least[c] = min(least.get(c, i), i)
+    return sorted(((i, len(s), least.get(c)) for (i, _), s, c in zip(rows, sets, at, strict=True)), key=repr)
+
+
+@pytest.mark.parametrize(("k", "num", "den"), [(3, 90, 100), (5, 80, 100), (1, 50, 100)])
+def test_jaccard_components(spark, k, num, den):
+    rng = random.Random(k)
+    words = [f"w{i}" for i in range(60)]
+    rows = [None, "", " \n", "one", "ONE", "one two", "one\x1ftwo"]
+    passage = [rng.choice(words) for _ in range(20)]
+    for _ in range(12):
+        base = [rng.choice(words) for _ in range(rng.randint(2, 60))] + passage * rng.randint(0, 1)
+        for _ in range(rng.randint(1, 6)):
+            copy = list(base)
+            for _ in range(rng.randint(0, 3)):
+                copy[rng.randrange(len(copy))] = rng.choice(words)
+            rows.append(" ".join(copy))
+    rows = numbered(rows) + [(9, rows[9]), (9, rows[20]), (None, rows[9]), (None, "alone " * 4)]
+    got = jaccard.components(docs(spark, rows), k, num, den).collect()
+    assert sorted(map(tuple, got), key=repr) == plain_components(rows, k, num, den)
+
+
+def test_jaccard_large_lists_and_empty(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK", 7)
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(40)]
+    rows = []
+    for i in range(60):
+        copy = list(base)
+        for _ in range(i % 5):
+            copy[rng.randrange(40)] = f"v{rng.randrange(30)}"
+        rows.append((i, " ".join(copy)))
+    got = jaccard.components(docs(spark, rows), 3, 90, 100).collect()
+    assert sorted(map(tuple, got), key=repr) == plain_components(rows, 3, 90, 100)
+    assert jaccard.components(docs(spark, rows).where("false"), 3, 90, 100).count() == 0
+
+
+# packing -------------------------------------------------------------------------------------------------
+
+
+def plain_best_fit(items, capacity):
+    bins, out = [], []
+    for n, source, cluster in items:
+        fits = [(b["left"], k) for k, b in enumerate(bins) if b["left"] >= n and (source is None or source not in b["s"]) and (cluster is None or cluster not in b["c"])]
+        k = min(fits)[1] if fits else len(bins)
+        if not fits:
+            bins.append({"left": capacity, "s": set(), "c": set()})
+        out.append((k, capacity - bins[k]["left"]))
+        bins[k]["left"] -= n
+        bins[k]["s"].add(source)
+        bins[k]["c"].add(cluster)
+    return out
+
+
+def test_packing(spark):
+    rng = random.Random(2)
+    items = sorted(((rng.randint(0, 50), rng.choice([None, "a", "b", "c"]), rng.choice([None, *range(30)])) for _ in range(400)), key=lambda x: -x[0])
+    assert packing.best_fit(items, 50) == plain_best_fit(items, 50)
+    rows = numbered(["w " * rng.randint(0, 90) for _ in range(200)] + [None, "", "w " * 100, "w " * 250]) + [(3, "w w"), (3, "w w"), (None, "w")]
+    got = packing.pack(packing.lengths(docs(spark, rows)), 50, 64).collect()
+    total, bins = {}, {}
+    for r in got:
+        total[r["doc_id"]] = total.get(r["doc_id"], 0) + r["n_words"]
+        bins.setdefault(r["bin"], []).append(r)
+    want = {}
+    for i, t in rows:
+        want[i] = want.get(i, 0) + len((t or "").split())
+    assert total == want
+    text_of = {i: t for i, t in rows if i not in (3, None)}
+    for members in bins.values():
+        members = sorted(members, key=lambda r: (r["position"], r["n_words"]))
+        assert sum(r["n_words"] for r in members) <= 50
+        assert all(a["position"] + a["n_words"] == b["position"] for a, b in zip(members, members[1:], strict=False))
+        known = [r["doc_id"] for r in members if r["doc_id"] in text_of]
+        assert len({i % 3 for i in known}) == len(known)
+        copies = [text_of[i] for i in known if text_of[i] is not None]
+        assert len(set(copies)) == len(copies)
+    assert packing.pack(packing.lengths(docs(spark, rows).where("false"))).count() == 0
+
+
+# BPE tree ------------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("leaf", [1, 3, 16])
+def test_bpe_tree(leaf):
+    import tiktoken
+
+    with open(tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        ranks = bpe_tree.read_ranks(f.read())
+    plain = tiktoken.Encoding("plain", pat_str=tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    codec = bpe_tree.TreeCodec(ranks, tokenizers.PATTERN, leaf)
+    for t in [x or "" for x in texts(400, seed=leaf)] + ["ab1! " * 400, " " * 300, "é" * 500]:
+        ids = codec.encode(t)
+        assert ids == plain.encode_ordinary(t)
+        assert codec.decode(ids) == t.encode()
+
+
+def test_bpe_documents(spark):
+    import tiktoken
+
+    with open(tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        plain = tiktoken.Encoding("plain", pat_str=tokenizers.PATTERN, mergeable_ranks=bpe_tree.read_ranks(f.read()), special_tokens={})
+    rows = numbered(texts(50)) + [(2, " "), (None, "x")]
+    got = bpe_tree.encode_documents(docs(spark, rows), tokenizers.path("byte_bpe_50k.tiktoken"), tokenizers.PATTERN, keep_ids=True).collect()
+    want = sorted((str(i), plain.encode_ordinary(t or ""), hashlib.sha256((t or "").encode()).hexdigest()) for i, t in rows)
+    assert sorted((str(r["doc_id"]), r["ids"], r["decoded_sha256"]) for r in got) == want
+    assert all(r["ids_sha256"] == hashlib.sha256(" ".join(map(str, r["ids"])).encode()).hexdigest() and r["n_tokens"] == len(r["ids"]) for r in got)
+
+
+# language ID ---------------------------------------------------------------------------------------------
+
+
+def test_kneser_ney_sums_to_one():
+    model = langid.KneserNey({"x": {"ab": 3, "abc": 2, "b": 1}, "y": {"cc": 2, "ac": 1}}, order=3)
+    for prefix in ("", "a", "ab", "abc", "cc", "zz"):
+        total = np.zeros(2)
+        for c in ["a", "b", "c", None]:
+            word = prefix + (c or "")
+            cost, _ = model.bits([word])
+            before, _ = model.bits([prefix + "a"])
+            hashes, at, _ = langid._grams([word], 3)
+            assert len(at) == len(word) + 2
+            p = np.ones(2)
+            if c is None:
+                p = np.exp2(-(cost[0] - _prefix_bits(model, prefix)))
+            else:
+                p = np.exp2(-(_prefix_bits(model, word) - _prefix_bits(model, prefix)))
+            total += p
+        assert np.allclose(total, 1, atol=1e-3)
+
+
+def _prefix_bits(model, word):
+    """Bits of a word's letters without its end mark."""
+    hashes, at, owner = langid._grams([word], model.order)
+    p = np.full((len(at), len(model.languages)), 1.0 / model.symbols)
+    for n, (keys, probability, contexts, weights) in enumerate(model.tables, 1):
+        for i in np.flatnonzero(at >= max(1, n - 1)):
+            context = hashes[n - 1][i - 1] if n > 1 else np.uint64(0)
+            p[i] = langid._lookup(keys, probability, hashes[n][i : i + 1], 0.0)[0] + langid._lookup(contexts, weights, np.array([context]), 1.0)[0] * p[i]
+    return -np.log2(p[(at >= 1) & (at <= len(word))]).sum(0)
+
+
+def test_language_id(spark):
+    rng = random.Random(4)
+    syllables = {"en": ["the", "ing", "and", "er"], "de": ["sch", "ein", "ung", "ü"], "fr": ["eau", "que", "é", "oi"]}
+    rows = []
+    for i in range(600):
+        lang = ["en", "de", "fr"][i % 3]
+        text = " ".join("".join(rng.choice(syllables[lang]) for _ in range(rng.randint(1, 3))) for _ in range(rng.randint(8, 60)))
+        rows.append((i, text, lang))
+    rows += [(600, None, "en"), (601, "", None), (602, "12 !?", "fr"), (603, "qxz wvkj " * 50, None), (604, "üungsch ein", None), (None, "the and", "en"), (1, rows[1][1], "de")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("score", F.lit("clash")).repartition(3)
+    got = langid.predict(df, langid.fit(df)).collect()
+    assert len(got) == len(rows)
+    by_id = {r["doc_id"]: r for r in got}
+    for i, _, lang in rows[:600]:
+        r = by_id[i]
+        assert r["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 0)
+        assert r["lang_pred"] == lang and 0 <= r["score"] <= 1 and not r["rejected"]
+    assert [by_id[i]["lang_pred"] for i in (600, 601, 602)] == ["und"] * 3
+    assert by_id[603]["rejected"] and by_id[603]["lang_pred"] in syllables
+    assert by_id[604]["lang_pred"] == "de"
+    kept = langid.keep_known(df, langid.fit(df))
+    assert kept.columns == df.columns and kept.count() == len(rows) - 4
+    empty = df.where("false")
+    assert langid.predict(empty, langid.fit(empty)).count() == 0
+    assert {r["lang_pred"] for r in langid.predict(df.limit(5), langid.fit(empty)).collect()} == {"und"}
+
+
+# PII -----------------------------------------------------------------------------------------------------
+
+PLAIN = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def plain_pii(text):
+    def passes(kind, x):
+        digits = [int(c) for c in re.sub("[^0-9]", "", x)]
+        if kind == "ip":
+            return all(int(p) <= 255 for p in x.split("."))
+        if kind == "card":
+            twice = [d if i % 2 == 0 else d * 2 - 9 * (d > 4) for i, d in enumerate(reversed(digits))]
+            return 12 <= len(digits) <= 19 and sum(twice) % 10 == 0
+        return kind == "email" or 9 <= len(digits) <= 15
+
+    found = [(m.start(), k, f"{kind}:{m.start()}:{m.end()}") for k, (kind, p) in enumerate(PLAIN.items()) for m in re.finditer(p, text or "") if passes(kind, m[0])]
+    return ",".join(x for _, _, x in sorted(found))
+
+
+def test_pii(spark):
+    rng = random.Random(6)
+    parts = ["1", "2", "0", "4465758382889437", " ", "-", ".", "@", "a", "b.c", "x@y.z", "_", "+", "(", "1.2.3.4", "256.1.1.1", "é", "😀", "\n", "+1 (743) 555-3824", "00012.3.4.5", "%", "DE89370400440532013000"]
+    values = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 25))) for _ in range(1500)]
+    values += [None, "", "+" * 20000 + "1" * 20000, "1 " * 20000, "a." * 20000 + "@", "7" * 50000]
+    got = {r["doc_id"]: r for r in pii.digest(pii.find(docs(spark, numbered(values)))).collect()}
+    for i, t in numbered(values):
+        want = plain_pii(t)
+        assert ",".join(x for x in got[i]["spans"].split(",") if not x.startswith("iban")) == want
+        assert got[i]["base_sha256"] == hashlib.sha256(want.encode()).hexdigest()
+        assert got[i]["n_email"] == want.count("email")
+    rows = [(0, "my IBAN DE89 3704 0044 0532 0130 00, not DE89 3704 0044 0532 0130 01"), (0, "call +1 743 555 3824"), (1, "+1 743 555 3824")]
+    found = sorted((r["doc_id"], r["spans"], r["scores"]) for r in pii.digest(pii.find(docs(spark, rows))).collect())
+    assert found == [(0, "iban:8:35", "1.00"), (0, "phone:5:20", "0.80"), (1, "phone:0:15", "0.50")]
+    assert pii.find(docs(spark, rows).where("false")).count() == 0
+
+
+# media ---------------------------------------------------------------------------------------------------
+
+
+def test_netpbm_and_bmp():
+    import struct
+
+    rng = np.random.default_rng(1)
+    grey, colour = rng.integers(0, 256, (5, 7), np.uint8), rng.integers(0, 256, (5, 7, 3), np.uint8)
+    assert (media.decode(media.encode_pgm(grey)) == grey).all()
+    assert (media.decode(b"P2 # note\n7 5\n255\n" + " ".join(map(str, grey.ravel())).encode()) == grey).all()
+    assert (media.decode(b"P6\n7 5 255\n" + colour.tobytes()) == colour).all()
+    assert (media.decode(b"P3\n7 5 255\n" + " ".join(map(str, colour.ravel())).encode()) == colour).all()
+    assert (media.decode(b"P5\n7 5 65535\n" + grey.astype(">u2").tobytes()) == grey).all()
+    bits = grey > 127
+    assert (media.decode(b"P4\n7 5\n" + np.packbits(~bits, axis=1).tobytes()) == bits * 255).all()
+    assert (media.decode(b"P1\n7 5\n" + "".join(map(str, (~bits).astype(int).ravel())).encode()) == bits * 255).all()
+    rows = b"".join(r[:, ::-1].tobytes() + b"\0" * (-21 % 4) for r in colour[::-1])
+    bmp = b"BM" + struct.pack("<IHHI", 54 + len(rows), 0, 0, 54) + struct.pack("<IiiHHIIiiII", 40, 7, 5, 1, 24, 0, len(rows), 0, 0, 0, 0) + rows
+    assert (media.decode(bmp) == colour).all()
+    for bad in (None, b"", b"P5", b"P5\n0 0\n255\n", b"P5\n7 5\n255\nxx", b"BM123", bmp[:-5], b"GIF89a"):
+        assert media.decode(bad) is None
+
+
+def test_area_resize():
+    rng = np.random.default_rng(2)
+    plane = rng.random((6, 10)) * 255
+    assert np.allclose(media.area_resize(plane, 3, 5), plane.reshape(3, 2, 5, 2).mean((1, 3)))
+    up = media.area_resize(plane, 7, 9)
+    assert np.isclose(up.mean(), plane.mean())
+    assert np.allclose(media.area_resize(plane, 12, 20), plane.repeat(2, 0).repeat(2, 1))
+
+
+def test_text_media(spark):
+    rows = numbered(texts(60)) + [(1, "é" * 288), (2, "twin"), (3, "twin"), (None, "twin")]
+    got = media.media_digests(media.text_media(docs(spark, rows))).collect()
+    want = []
+    for i, t in rows:
+        raw = (t or "").encode()
+        full = raw + b"\xff" * (max(576, -(-len(raw) // 576) * 576) - len(raw))
+        want.append((str(i), len(raw), len(full), hashlib.sha256(full).hexdigest(), zlib.crc32(full[-32:])))
+    assert sorted((str(r["doc_id"]), r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) for r in got) == sorted(want)
+    twins = {(r["media_sha256"], r["feature"]) for r in got if r["n_bytes"] == 4 and r["doc_id"] in (2, 3, None) and r["payload_sha256"] == hashlib.sha256(b"twin" + b"\xff" * 572).hexdigest()}
+    assert len(twins) == 1
+    images = spark.createDataFrame([(1, bytearray(media.encode_pgm(np.arange(100, dtype=np.uint8).reshape(10, 10)))), (2, None), (3, bytearray(b"no"))], "k long, img binary")
+    tiles = {r["k"]: r for r in media.image_tiles(images, "k", "img").collect()}
+    assert tiles[1]["height"] == 10 and tiles[2]["dhash"] is None and tiles[3]["tile"] is None
+
+
+# secrets -------------------------------------------------------------------------------------------------
+
+
+def plain_secrets(text):
+    name = "(?:" + "|".join("".join(f"[{c.lower()}{c.upper()}]" for c in w) for w in ("password", "passwd", "secret", "token")) + "|[aA][pP][iI]_?[kK][eE][yY])"
+    found = [(m.start(), 0, f"assign:{m.start()}:{m.end()}") for m in re.finditer(name + r"""["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text or "") if len(m[1]) >= 6]
+    found += [(m.start(), 1, f"access:{m.start()}:{m.end()}") for m in re.finditer("AKIA[A-Z0-9]+", text or "") if len(m[0]) >= 20]
+    found += [(m.start(), 2, f"hex:{m.start()}:{m.end()}") for m in re.finditer("[0-9a-f]+", text or "") if len(m[0]) >= 24]
+    return ",".join(x for _, _, x in sorted(found))
+
+
+def test_secrets(spark):
+    rng = random.Random(7)
+    parts = ["password", "PassWd", "secret", "token", "api_key", "APIKEY", ":", "=", " ", '"', "'", "abc123", "AKIA", "ABCDEFGH12345678", "0123456789abcdef", "é", "\n", "x", "ſecret", "Zx81kQpL09aMmNq7Rt"]
+    values = [None, "", "=" * 5000, "token" * 2000] + ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(1500)]
+    got = {r["doc_id"]: r for r in secrets.scan(docs(spark, numbered(values))).collect()}
+    for i, t in numbered(values):
+        want = plain_secrets(t)
+        assert ",".join(x for x in got[i]["spans"].split(",") if not x.startswith("novel")) == want, t
+        assert got[i]["base_sha256"] == hashlib.sha256(want.encode()).hexdigest()
+
+
+def test_secret_novelty_and_redaction(spark):
+    novel = "the auth header: Bearer Zx81kQpL09aMmNq7RtYw"
+    words = "authorization of authorization_token_value_1 and authorization_token_value_1 again"
+    assert [s[1] for s in secrets.find(novel)] == [3] and not secrets.find(words)
+    rows = [(0, 'token = "11acdfb36bb72224148e" end'), (1, novel), (2, words), (3, None), (4, ""), (4, "a" * 5 + "0123456789abcdef0123456789")]
+    out = secrets.redact(docs(spark, rows))
+    assert out.columns == docs(spark, rows).columns
+    got = sorted((r["doc_id"], r["text"] or "", r["n_chars"]) for r in out.collect())
+    assert got[0] == (0, 'token = "[secret]" end', 22)
+    assert got[1] == (1, "the auth header: Bearer [secret]", 32) and got[2][1] == words
+    assert got[3] == (3, "", None) and [x[1] for x in got[4:]] == ["", "[secret]"]
+    assert secrets.redact(docs(spark, rows).where("false")).count() == 0
