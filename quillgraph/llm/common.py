@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 U64 = np.uint64
 
+# Workers live on between tasks; the system's allocator gives large buffers back when they are freed.
+pa.set_memory_pool(pa.system_memory_pool())
+
 
 def scratch_dir(spark: SparkSession) -> str:
     """A new folder under spark.checkpoint.dir; only where that is unset (tests, one machine) a local one."""
@@ -47,7 +50,7 @@ def text_buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def pieces(batch: pa.RecordBatch, column: str, max_bytes: int = 8 << 20):
+def pieces(batch: pa.RecordBatch, column: str, max_bytes: int = 4 << 20):
     """Slices of a batch whose texts hold about max_bytes at most (one text alone may hold more)."""
     col = batch.column(batch.schema.get_field_index(column))
     if not len(col):

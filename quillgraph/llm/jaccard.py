@@ -7,18 +7,18 @@ distinct k-word shingles.  Sets link when intersection * den >= union * num.  St
    byte a cell (how far a cell is above the mean, in doublings).  (byte, hash) is the global order of
    shingles: common passages come last.  The order affects speed only.
 2. One more pass gives each text its set's 128-bit digest, size, prefix (the first shingles in that order,
-   as many as a partner must share at least one of) and a 512-bit parity bitmap.  Equal sets become one
-   node; nodes with equal size and prefix one group.
+   as many as a partner must share at least one of) and a parity bitmap of about as many bits as shingles,
+   also folded to 256.  Equal sets become one node; nodes with equal size and prefix one group.
 3. Prefix shingles are posted by group.  Posting lists of one group are dropped.  Two groups of a list are a
    candidate if size and positions allow enough overlap.
 4. First round: in each list only neighbours in a random order are candidates, and in each group only
    successive members; so rows stay linear in the postings.  Candidates are expanded to members, filtered by
    bitmap (the parity of two sets differs in no more bits than the sets in elements) and verified on whole
    sets, rebuilt from the texts of just these documents.  Links give components.
-5. Second round: all pairs of a list that the first round left in different components, all members, the
-   same filters, again verified; so no link between components is lost, while pairs inside a component,
-   which cannot change the result, are not formed.  Long lists are cut into blocks, and pairs of blocks are
-   the tasks.
+5. Second round: every other pair of a list or group that the first round left in different components,
+   with the same filters, again verified; so no link between components is lost, while pairs inside a
+   component, which cannot change the result, are not formed.  Lists of two have no other pair.  Long lists
+   are cut into blocks, and pairs of blocks are the tasks.
 
 Documents with no words (null, empty, white space) have n_shingles 0 and are their own component; with
 fewer words than k the whole sequence is the only shingle.  Rows that repeat a doc_id are separate nodes
@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from quillgraph.llm.common import U64, materialize, mix, pieces, raw_shingles, remove, scratch_dir, shingle_hashes, table, text_buffers
 
 CELL_BITS, CHUNK_BITS = 22, 16
-BITMAP = 64  # bytes
+BITMAP = 32  # bytes
 BLOCK = 2048
 BLOOM_MOST = 1 << 26  # bits
 
@@ -62,7 +62,7 @@ def sketch(docs: DataFrame, k: int) -> np.ndarray:
         total = np.zeros(cells, np.uint32)
         held, size = [], 0
         for whole in batches:
-            for b in pieces(whole, "text"):
+            for b in pieces(whole, "text", 2 << 20):
                 h = raw_shingles(*text_buffers(b["text"]), k)[0]
                 held.append((h >> U64(64 - CELL_BITS)).astype(np.uint32))
                 size += len(h)
@@ -81,63 +81,84 @@ def sketch(docs: DataFrame, k: int) -> np.ndarray:
             for i, x in zip(b["chunk"].to_pylist(), b["counts"].to_pylist(), strict=True):
                 sums[i] = sums.get(i, 0) + np.frombuffer(zlib.decompress(x), np.uint32).astype(np.int64)
         if sums:
-            yield pa.record_batch([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["chunk", "counts"])
+            logs = [np.minimum(255, 5 * np.log2(1 + x)).astype(np.uint8).tobytes() for x in sums.values()]
+            yield pa.record_batch([pa.array(list(sums), pa.int32()), pa.array(logs, pa.binary()), pa.array([int(x.sum()) for x in sums.values()], pa.int64())], ["chunk", "logs", "total"])
 
-    schema = "chunk int, counts binary"
-    found = docs.mapInArrow(count, schema).repartition(cells // chunk, "chunk").mapInArrow(add, schema).toArrow()
-    total = np.zeros(cells, np.int64)
-    for i, x in zip(found["chunk"].to_pylist(), found["counts"].to_pylist(), strict=True):
-        total[i * chunk : (i + 1) * chunk] = np.frombuffer(x, np.int64)
-    mean = max(1.0, total.sum() / cells)
-    return np.clip(np.floor(np.log2(np.maximum(total / mean, 1))), 0, 255).astype(np.uint8)
+    counted = docs.mapInArrow(count, "chunk int, counts binary").repartition(cells // chunk, "chunk")
+    found = counted.mapInArrow(add, "chunk int, logs binary, total long").toArrow()
+    logs = np.zeros(cells, np.uint8)
+    for i, x in zip(found["chunk"].to_pylist(), found["logs"].to_pylist(), strict=True):
+        logs[i * chunk : (i + 1) * chunk] = np.frombuffer(x, np.uint8)
+    mean = max(1.0, sum(found["total"].to_pylist()) / cells)
+    return np.maximum(np.floor(logs / 5 - np.log2(mean)), 0).astype(np.uint8)
 
 
 def _bitmap(h: np.ndarray) -> bytes:
-    bits = np.bincount((mix(h) & U64(BITMAP * 8 - 1)).astype(np.int64), minlength=BITMAP * 8) & 1
+    """Parity of the set's elements by the low bits of another hash: a power of two of bits, as many as elements at least."""
+    size = max(BITMAP * 8, 1 << (len(h) - 1).bit_length())
+    bits = np.bincount((mix(h) & U64(size - 1)).astype(np.int64), minlength=size) & 1
     return np.packbits(bits.astype(bool)).tobytes()
 
 
+def _folded(bitmap: bytes, size: int) -> bytes:
+    """The bitmap that the set has with only size bytes."""
+    x = np.frombuffer(bitmap, np.uint8)
+    return np.bitwise_xor.reduce(x.reshape(-1, size), axis=0).tobytes()
+
+
 def _describe(docs: DataFrame, k: int, num: int, den: int, order) -> DataFrame:
-    """(doc_id, node, n, grp, prefix, bitmap): node and grp are 128-bit digests, null without words."""
+    """(doc_id, digest, n, grp, prefix, bitmap, fine): all but doc_id and n are null without words.
+
+    grp is a 64-bit hash of size and prefix; were two to meet, their members would be candidates in vain.
+    """
 
     def run(batches):
         rank = order.value
         for whole in batches:
-            for b in pieces(whole, "text"):
-                node, n, grp, prefix, bitmap = [], [], [], [], []
+            for b in pieces(whole, "text", 2 << 20):
+                digest, n, grp, prefix, bitmap, fine = [], [], [], [], [], []
                 for h in shingle_hashes(*text_buffers(b["text"]), k):
                     n.append(len(h))
                     if not len(h):
-                        node.append(None), grp.append(None), prefix.append(None), bitmap.append(None)
+                        for column in (digest, grp, prefix, bitmap, fine):
+                            column.append(None)
                         continue
                     size = int(_prefix_size(np.int64(len(h)), num, den))
                     level = rank[h >> U64(64 - CELL_BITS)]
                     low = h[level == 0]  # sorted by hash already
                     head = low[:size] if len(low) >= size else h[np.argsort(level, kind="stable")[:size]]
                     raw = head.astype("<u8").tobytes()
-                    node.append(blake2b(h.tobytes(), digest_size=16).digest())
-                    grp.append(blake2b(raw, digest_size=16, salt=len(h).to_bytes(8, "little")).digest())
+                    digest.append(blake2b(h.tobytes(), digest_size=16).digest())
+                    grp.append(int.from_bytes(blake2b(raw, digest_size=8, salt=len(h).to_bytes(8, "little")).digest(), "little", signed=True))
                     prefix.append(raw)
-                    bitmap.append(_bitmap(h))
-                yield pa.record_batch([b["doc_id"], pa.array(node, pa.binary()), pa.array(n, pa.int64()), pa.array(grp, pa.binary()), pa.array(prefix, pa.binary()), pa.array(bitmap, pa.binary())], ["doc_id", "node", "n", "grp", "prefix", "bitmap"])
+                    fine.append(_bitmap(h))
+                    bitmap.append(_folded(fine[-1], BITMAP))
+                yield pa.record_batch([b["doc_id"], pa.array(digest, pa.binary()), pa.array(n, pa.int64()), pa.array(grp, pa.int64()), pa.array(prefix, pa.binary()), pa.array(bitmap, pa.binary()), pa.array(fine, pa.binary())], ["doc_id", "digest", "n", "grp", "prefix", "bitmap", "fine"])
 
-    return docs.mapInArrow(run, "doc_id long, node binary, n long, grp binary, prefix binary, bitmap binary")
+    return docs.mapInArrow(run, "doc_id long, digest binary, n long, grp long, prefix binary, bitmap binary, fine binary")
 
 
-def _post(groups: DataFrame) -> DataFrame:
-    """(token, grp, n, pos) of each prefix shingle."""
+def _post(described: DataFrame) -> DataFrame:
+    """(token, grp, n, pos) of each prefix shingle, once for a group in each task (so copies meet before the shuffle)."""
 
     def run(batches):
+        seen: set[int] = set()
         for b in batches:
+            keep = []
+            for i, g in enumerate(b["grp"].to_pylist()):
+                if g not in seen:
+                    seen.add(g)
+                    keep.append(i)
+            b = b.take(pa.array(keep, pa.int64()))
             for at in range(0, len(b), 2000):
                 part = b.slice(at, 2000)
                 prefixes = [np.frombuffer(x, "<i8") for x in part["prefix"].to_pylist()]
                 sizes = np.array([len(x) for x in prefixes], np.int64)
                 row = pa.array(np.repeat(np.arange(len(sizes)), sizes))
                 pos = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-                yield pa.record_batch([pa.array(np.concatenate([*prefixes, np.zeros(0, np.int64)])), part["grp"].take(row), part["n"].take(row), pa.array(pos.astype(np.int32))], ["token", "grp", "n", "pos"])
+                yield pa.record_batch([pa.array(np.concatenate(prefixes)), part["grp"].take(row), part["n"].take(row).cast(pa.int32()), pa.array(pos.astype(np.int32))], ["token", "grp", "n", "pos"])
 
-    return groups.mapInArrow(run, "token long, grp binary, n long, pos int")
+    return described.mapInArrow(run, "token long, grp long, n int, pos int")
 
 
 def _rows(column: pa.Array, width: int) -> np.ndarray:
@@ -145,11 +166,6 @@ def _rows(column: pa.Array, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, width // 8)
 
 
-def _binary(values: np.ndarray) -> pa.Array:
-    raw, width = np.ascontiguousarray(values).tobytes(), values.shape[1] * 8
-    return pa.array([raw[i : i + width] for i in range(0, len(raw), width)], pa.binary())
-
-
 def _runs(batches, key: list[str], widths: dict[str, int]):
     """Whole runs of equal keys from sorted batches: dicts of numpy arrays, and where the runs start."""
     held = None
@@ -177,45 +193,45 @@ def _runs(batches, key: list[str], widths: dict[str, int]):
 
 
 def _shared(posted: DataFrame) -> DataFrame:
-    """Postings of lists with two groups or more, with the list's length df."""
+    """Postings of lists with two groups or more, each group once, with the list's length df."""
 
     def run(batches):
-        for t, starts in _runs(batches, ["token"], {"grp": 16}):
-            sizes = np.diff(np.append(starts, len(t["token"])))
-            df = np.repeat(sizes, sizes)
-            keep = df > 1
+        for t, starts in _runs(batches, ["token"], {}):
+            fresh = np.ones(len(t["token"]), bool)
+            fresh[1:] = (t["token"][1:] != t["token"][:-1]) | (t["grp"][1:] != t["grp"][:-1])
+            sizes = np.add.reduceat(fresh, starts, dtype=np.int64)
+            df = np.repeat(sizes, np.diff(np.append(starts, len(fresh))))
+            keep = fresh & (df > 1)
             if keep.any():
-                yield pa.record_batch([pa.array(t["token"][keep]), _binary(t["grp"][keep]), pa.array(t["n"][keep]), pa.array(t["pos"][keep].astype(np.int32)), pa.array(df[keep])], ["token", "grp", "n", "pos", "df"])
+                yield pa.record_batch([pa.array(x[keep]) for x in (t["token"], t["grp"], t["n"], t["pos"], df)], ["token", "grp", "n", "pos", "df"])
 
-    return posted.repartition("token").sortWithinPartitions("token").mapInArrow(run, "token long, grp binary, n long, pos int, df long")
+    return posted.repartition("token").sortWithinPartitions("token", "grp").mapInArrow(run, "token long, grp long, n int, pos int, df long")
 
 
 def _fits(t: dict, i: np.ndarray, j: np.ndarray, num: int, den: int) -> np.ndarray:
     """Whether sizes, and the positions of one shared shingle, leave enough overlap for a link."""
-    a, b, p, q = t["n"][i], t["n"][j], t["pos"][i], t["pos"][j]
+    a, b, p, q = (t[c][x].astype(np.int64) for c in ("n", "pos") for x in (i, j))
     need = _needed(a, b, num, den)
     return (np.minimum(a, b) >= need) & (np.minimum(a - p, b - q) + np.minimum(p, q) >= need)
 
 
-def _near(x: np.ndarray, y: np.ndarray, a: np.ndarray, b: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bits in which bitmaps differ, and whether that leaves a link possible."""
-    apart = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
-    return apart, apart <= a + b - 2 * _needed(a, b, num, den)
+def _near(x: np.ndarray, y: np.ndarray, a: np.ndarray, b: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Whether the bits in which bitmaps differ leave a link possible."""
+    return np.bitwise_count(x ^ y).sum(1, dtype=np.int64) <= a + b - 2 * _needed(a, b, num, den)
 
 
 def _pairs(x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
-    """Distinct unordered pairs as (a, b) with a < b in this module's order of digests."""
-    first = (x[:, 0] < y[:, 0]) | ((x[:, 0] == y[:, 0]) & (x[:, 1] < y[:, 1]))
-    both = np.where(first[:, None], np.hstack([x, y]), np.hstack([y, x]))
-    both = np.unique(both, axis=0) if len(both) < 1000 else both[np.unique(np.ascontiguousarray(both).view("V32").ravel(), return_index=True)[1]]
-    return pa.record_batch([_binary(both[:, :2]), _binary(both[:, 2:])], ["a", "b"])
+    """Distinct unordered pairs as (a, b) with a < b."""
+    both = np.sort(np.stack([x, y], 1), axis=1)
+    both = both[np.unique(both.view("V16").ravel(), return_index=True)[1]]
+    return pa.record_batch([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], ["a", "b"])
 
 
 def _neighbours(shared: DataFrame, num: int, den: int) -> DataFrame:
     """Round one: pairs of groups next to each other in a list; bands of size, random order within a band."""
 
     def run(batches):
-        for t, starts in _runs(batches, ["token"], {"grp": 16}):
+        for t, starts in _runs(batches, ["token"], {}):
             joined = np.ones(len(t["token"]), bool)
             joined[starts] = False
             j = np.flatnonzero(joined)
@@ -225,13 +241,13 @@ def _neighbours(shared: DataFrame, num: int, den: int) -> DataFrame:
 
     band = F.floor(F.log(F.col("n").cast("double")) * 8)
     ordered = shared.repartition("token").sortWithinPartitions("token", band, F.xxhash64("grp", "token"))
-    return ordered.select("token", "grp", "n", "pos").mapInArrow(run, "a binary, b binary").distinct()
+    return ordered.select("token", "grp", "n", "pos").mapInArrow(run, "a long, b long").distinct()
 
 
 def _across(lists: DataFrame, num: int, den: int) -> DataFrame:
     """Round two: all pairs of a list (token long, id, n, pos, df, comp, bitmap, one) in different components.
 
-    comp of 16 zero bytes: of several components, so any pair counts.  one: the bitmap stands for the id.
+    comp of -1: of several components, so any pair counts.  one: the bitmap stands for the id.
     """
     blocks = F.ceil(F.col("df") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("id", "token"), F.col("blocks")).cast("int")
@@ -239,25 +255,25 @@ def _across(lists: DataFrame, num: int, den: int) -> DataFrame:
     cut = cut.select("token", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "id", "n", "pos", "comp", "bitmap", "one")
 
     def run(batches):
-        for t, starts in _runs(batches, ["token", "x", "y"], {"id": 16, "comp": 16, "bitmap": BITMAP}):
+        for t, starts in _runs(batches, ["token", "x", "y"], {"bitmap": BITMAP}):
             sizes = np.diff(np.append(starts, len(t["token"])))
             rows = np.arange(len(t["token"]))
             after = np.repeat(starts + sizes, sizes) - rows - 1
-            several = ~t["comp"].any(1)
+            several = t["comp"] == -1
             ends = np.cumsum(after)
             done = 0
-            while done < len(rows):  # about two million pairs at a time
-                upto = max(done + 1, int(np.searchsorted(ends, (ends[done - 1] if done else 0) + 2_000_000, "right")))
+            while done < len(rows):  # about 400,000 pairs at a time
+                upto = max(done + 1, int(np.searchsorted(ends, (ends[done - 1] if done else 0) + 400_000, "right")))
                 n = after[done:upto]
                 i = np.repeat(rows[done:upto], n)
                 j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
                 done = upto
                 for ok in (
-                    lambda i, j: np.minimum(t["n"][i], t["n"][j]) * den >= np.maximum(t["n"][i], t["n"][j]) * num,
+                    lambda i, j: np.minimum(t["n"][i], t["n"][j]).astype(np.int64) * den >= np.maximum(t["n"][i], t["n"][j]).astype(np.int64) * num,
                     lambda i, j: (t["x"][i] == t["y"][i]) | (t["own"][i] != t["own"][j]),
-                    lambda i, j: several[i] | (t["comp"][i] != t["comp"][j]).any(1),
+                    lambda i, j: several[i] | (t["comp"][i] != t["comp"][j]),
                     lambda i, j: _fits(t, i, j, num, den),
-                    lambda i, j: ~(t["one"][i] & t["one"][j]) | _near(t["bitmap"][i], t["bitmap"][j], t["n"][i], t["n"][j], num, den)[1],
+                    lambda i, j: ~(t["one"][i] & t["one"][j]) | _near(t["bitmap"][i], t["bitmap"][j], t["n"][i].astype(np.int64), t["n"][j].astype(np.int64), num, den),
                 ):
                     if len(i):
                         keep = ok(i, j)
@@ -265,7 +281,7 @@ def _across(lists: DataFrame, num: int, den: int) -> DataFrame:
                 if len(i):
                     yield _pairs(t["id"][i], t["id"][j])
 
-    return cut.repartition("token", "x", "y").sortWithinPartitions("token", "x", "y").mapInArrow(run, "a binary, b binary").distinct()
+    return cut.repartition("token", "x", "y").sortWithinPartitions("token", "x", "y").mapInArrow(run, "a long, b long").distinct()
 
 
 def _close(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
@@ -275,24 +291,31 @@ def _close(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
         for b in batches:
             if len(b):
                 na, nb = b["na"].to_numpy(), b["nb"].to_numpy()
-                apart, ok = _near(_rows(b["xa"], BITMAP), _rows(b["xb"], BITMAP), na, nb, num, den)
+                x, y = b["xa"].to_pylist(), b["xb"].to_pylist()
+                sizes = np.minimum(np.fromiter(map(len, x), np.int64, len(x)), np.fromiter(map(len, y), np.int64, len(y)))
+                apart = np.zeros(len(b), np.int64)
+                for size in np.unique(sizes).tolist():  # few: the sizes are powers of two
+                    at = np.flatnonzero(sizes == size)
+                    p, q = (np.frombuffer(b"".join([v[i] if len(v[i]) == size else _folded(v[i], size) for i in at]), np.uint64).reshape(len(at), -1) for v in (x, y))
+                    apart[at] = np.bitwise_count(p ^ q).sum(1, dtype=np.int64)
+                ok = apart <= na + nb - 2 * _needed(na, nb, num, den)
                 ok &= np.minimum(na, nb) * den >= np.maximum(na, nb) * num
                 yield pa.record_batch([b["a"], b["b"], pa.array(apart)], ["a", "b", "apart"]).filter(pa.array(ok))
 
-    x = nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("bitmap").alias("xa"))
-    y = nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("bitmap").alias("xb"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "na", "nb", "xa", "xb").mapInArrow(run, "a binary, b binary, apart long")
+    some = _among(nodes.select("node", "n", "fine"), "node", pairs)
+    x = some.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("fine").alias("xa"))
+    y = some.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("fine").alias("xb"))
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "na", "nb", "xa", "xb").mapInArrow(run, "a long, b long, apart long")
 
 
-def _bloom(ids: DataFrame) -> tuple[np.ndarray, int]:
-    """Bits in which the ids (long column id) are marked, twice each; at most BLOOM_MOST of them."""
-    count = ids.count()
+def _bloom(ids: DataFrame, count: int) -> tuple[np.ndarray, int]:
+    """Bits in which the ids (one long column, about `count` values) are marked, twice each; at most BLOOM_MOST of them."""
     bits = 1 << min(BLOOM_MOST.bit_length() - 1, max(16, (16 * max(count, 1)).bit_length()))
 
     def run(batches):
         own = np.zeros(bits // 8, np.uint8)
         for b in batches:
-            for at in _marks(b["id"].to_numpy(zero_copy_only=False), bits):
+            for at in _marks(b.column(0).to_numpy(zero_copy_only=False), bits):
                 np.bitwise_or.at(own, at >> 3, (1 << (at & 7)).astype(np.uint8))
         if own.any():
             yield pa.record_batch([pa.array([zlib.compress(own.tobytes(), 1)], pa.binary())], ["bits"])
@@ -308,31 +331,46 @@ def _marks(ids: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return (h & U64(bits - 1)).astype(np.int64), (h >> U64(34) & U64(bits - 1)).astype(np.int64)
 
 
+def _marked(bloom: np.ndarray, bits: int, ids: np.ndarray) -> np.ndarray:
+    one, two = _marks(ids, bits)
+    return (bloom[one >> 3] >> (one & 7).astype(np.uint8) & bloom[two >> 3] >> (two & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def _among(rows: DataFrame, key: str, pairs: DataFrame) -> DataFrame:
+    """rows without most of those whose key is in no pair: fewer to shuffle for the join that follows."""
+    marks = rows.sparkSession.sparkContext.broadcast(_bloom(pairs.select("a").union(pairs.select("b")), 2 * pairs.count()))
+
+    def run(batches):
+        bloom, bits = marks.value
+        for b in batches:
+            yield b.filter(pa.array(_marked(bloom, bits, b[key].to_numpy())))
+
+    return rows.mapInArrow(run, rows.schema)
+
+
 def _verify(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, k: int, num: int, den: int, path: str) -> DataFrame:
     """The pairs (a, b) of nodes that link, by their whole sets from the texts of their first documents."""
     spark = docs.sparkSession
-    ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = nodes.select("node", F.coalesce("doc_id", F.lit(-1)).alias("id")).join(ends, "node", "left_semi")
-    marks = spark.sparkContext.broadcast(_bloom(wanted.select("id")))
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    wanted = materialize(_among(nodes.select("node", "digest", F.coalesce("doc_id", F.lit(-1)).alias("id")), "node", pairs).join(ends, "node", "left_semi"), f"{path}-wanted")
+    marks = spark.sparkContext.broadcast(_bloom(wanted.select("id"), wanted.count()))
 
     def sets(batches):
         bloom, bits = marks.value
         seen: set[bytes] = set()
         for whole in batches:
-            ids = whole["doc_id"].fill_null(-1).to_numpy()
-            one, two = _marks(ids, bits)
-            hit = (bloom[one >> 3] >> (one & 7).astype(np.uint8) & bloom[two >> 3] >> (two & 7).astype(np.uint8) & 1).astype(bool)
-            for b in pieces(whole.filter(pa.array(hit)), "text"):
-                node, rows = [], []
+            hit = _marked(bloom, bits, whole["doc_id"].fill_null(-1).to_numpy())
+            for b in pieces(whole.filter(pa.array(hit)), "text", 2 << 20):
+                digests, rows = [], []
                 for h in shingle_hashes(*text_buffers(b["text"]), k):
                     digest = blake2b(h.tobytes(), digest_size=16).digest()
                     if len(h) and digest not in seen:
                         seen.add(digest)
-                        node.append(digest)
+                        digests.append(digest)
                         rows.append(h.tobytes())
-                yield pa.record_batch([pa.array(node, pa.binary()), pa.array(rows, pa.binary())], ["node", "shingles"])
+                yield pa.record_batch([pa.array(digests, pa.binary()), pa.array(rows, pa.binary())], ["digest", "shingles"])
 
-    found = docs.mapInArrow(sets, "node binary, shingles binary").join(ends, "node", "left_semi")
+    found = docs.mapInArrow(sets, "digest binary, shingles binary").join(wanted.select("digest", "node"), "digest").select("node", "shingles")
     found = materialize(found, f"{path}-sets")
 
     def check(batches):
@@ -349,7 +387,7 @@ def _verify(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, k: int, num: in
 
     x = found.select(F.col("node").alias("a"), F.col("shingles").alias("xa"))
     y = found.select(F.col("node").alias("b"), F.col("shingles").alias("xb"))
-    links = materialize(pairs.select("a", "b").join(x, "a").join(y, "b").mapInArrow(check, "a binary, b binary"), f"{path}-links")
+    links = materialize(pairs.select("a", "b").join(x, "a").join(y, "b").mapInArrow(check, "a long, b long").distinct(), f"{path}-links")
     remove(spark, f"{path}-sets")
     return links
 
@@ -380,55 +418,58 @@ def components(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     docs = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
     order = spark.sparkContext.broadcast(sketch(docs, k))
     described = materialize(_describe(docs, k, num, den, order).withColumn("row", F.monotonically_increasing_id()), f"{path}/described")
-    firsts = described.where("node is not null").groupBy("node").agg(F.min("row").alias("row"), F.min("doc_id").alias("first_id"))
-    narrow = described.select("row", "doc_id", "n", "grp", "bitmap")
-    nodes = materialize(firsts.join(narrow, "row"), f"{path}/nodes")
-    heads = nodes.groupBy("grp").agg(F.min("row").alias("row"), F.count("*").alias("members"))
-    posted = _post(described.select("row", "n", "grp", "prefix").join(heads.select("row"), "row", "left_semi"))
-    shared = materialize(_shared(posted), f"{path}/shared")
+    worded = described.where("digest is not null")
+    first = F.min(F.struct("row", "doc_id", "n", "grp", "bitmap", "fine")).alias("first")
+    nodes = worded.groupBy("digest").agg(first, F.min("doc_id").alias("first_id"))
+    nodes = materialize(nodes.select(F.col("first.row").alias("node"), "digest", "first.doc_id", "first.n", "first.grp", "first.bitmap", "first.fine", "first_id"), f"{path}/nodes")
+    shared = materialize(_shared(_post(worded.select("grp", "n", "prefix"))), f"{path}/shared")
+    groups = nodes.groupBy("grp").agg(F.min("node").alias("node"), F.count("*").alias("members"))
 
     # Round one: neighbours in lists by their groups' first members, successive members within groups.
-    first = nodes.join(heads.select("row"), "row", "left_semi").select("grp", "node")
-    near = _neighbours(shared, num, den)
-    pairs = near.join(first.withColumnsRenamed({"grp": "a", "node": "na"}), "a").join(first.withColumnsRenamed({"grp": "b", "node": "nb"}), "b").select(F.col("na").alias("a"), F.col("nb").alias("b"))
-    crowded = nodes.join(heads.where("members > 1").select("grp"), "grp", "left_semi")
-    chain = crowded.select(F.col("node").alias("a"), F.lag("node").over(Window.partitionBy("grp").orderBy("row")).alias("b")).where("b is not null")
-    close = materialize(_close(pairs.union(chain), nodes, num, den), f"{path}/close")
+    near = materialize(_neighbours(shared, num, den), f"{path}/near")
+    heads = materialize(_among(groups.select("grp", "node"), "grp", near), f"{path}/heads")
+    pairs = near.join(heads.withColumnsRenamed({"grp": "a", "node": "na"}), "a").join(heads.withColumnsRenamed({"grp": "b", "node": "nb"}), "b").select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b"))
+    crowded = nodes.select("grp", "node").join(groups.where("members > 1").select("grp"), "grp", "left_semi")
+    chain = crowded.select(F.lag("node").over(Window.partitionBy("grp").orderBy("node")).alias("a"), F.col("node").alias("b")).where("a is not null")
+    pairs = materialize(pairs.union(chain).distinct(), f"{path}/pairs")
+    close = materialize(_close(pairs, nodes, num, den), f"{path}/close")
     # Of each node's pairs the nearest are enough here: round two takes up what they leave apart.
     both = close.union(close.select(F.col("b").alias("a"), F.col("a").alias("b"), "apart"))
     best = both.withColumn("place", F.row_number().over(Window.partitionBy("a").orderBy("apart", "b"))).where("place <= 2")
-    best = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links = _verify(docs, materialize(best, f"{path}/best"), nodes, k, num, den, f"{path}/one")
+    best = materialize(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"{path}/best")
+    links = _verify(docs, best, nodes, k, num, den, f"{path}/one")
     comps = connected(links, f"{path}/one")
 
     # Round two: everything that is still apart.
-    nodes = materialize(nodes.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")), f"{path}/nodes-two")
-    none = lambda size: F.unhex(F.lit("00" * size))
-    alone = F.col("members") == 1
-    groups = nodes.groupBy("grp").agg(F.count("*").alias("members"), F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("bitmap").alias("bitmap"))
-    groups = groups.select("grp", F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(none(16)).alias("comp"), F.when(alone, F.col("bitmap")).otherwise(none(BITMAP)).alias("bitmap"), alone.alias("one"), "members")
-    groups = materialize(groups, f"{path}/groups")
-    lists = shared.join(groups.drop("members"), "grp").withColumnRenamed("grp", "id")
-    wide = _across(lists, num, den)
-    member = nodes.select("grp", "node", "comp")
+    members = nodes.select("node", "grp", "n", "bitmap").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    members = materialize(members, f"{path}/members")
+    alone = F.col("size") == 1
+    grouped = members.groupBy("grp").agg(F.count("*").alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("bitmap").alias("bitmap"))
+    grouped = materialize(grouped.select("grp", F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(F.lit(-1)).alias("comp"), "bitmap", alone.alias("one"), "size"), f"{path}/groups")
+    lists = shared.where("df > 2").join(grouped.select("grp", "comp", "bitmap", "one"), "grp").withColumnRenamed("grp", "id")
+    wide = materialize(near.union(_across(lists, num, den)).distinct(), f"{path}/wide")
+    member = _among(members.select("grp", "node", "comp"), "grp", wide)
     left = member.withColumnsRenamed({"grp": "a", "node": "na", "comp": "ca"})
     right = member.withColumnsRenamed({"grp": "b", "node": "nb", "comp": "cb"})
-    expanded = wide.join(left, "a").join(right, "b").where("ca <> cb").select(F.col("na").alias("a"), F.col("nb").alias("b"))
-    mixed = groups.where((F.col("members") > 1) & (F.col("comp") == none(16))).select("grp", "members")
-    inner = nodes.join(mixed, "grp").select(F.xxhash64("grp").alias("token"), F.col("node").alias("id"), "n", F.lit(0).alias("pos"), F.col("members").alias("df"), "comp", "bitmap", F.lit(True).alias("one"))
-    more = materialize(_close(expanded.union(_across(inner, num, den)).distinct(), nodes, num, den).select("a", "b"), f"{path}/more")
+    expanded = wide.join(left, "a").join(right, "b").where("ca <> cb").select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b"))
+    mixed = grouped.where("size > 1 and comp = -1").select(F.col("grp").alias("token"), F.col("size").alias("df"))
+    inner = members.withColumnRenamed("grp", "token").join(mixed, "token").select("token", F.col("node").alias("id"), "n", F.lit(0).alias("pos"), "df", "comp", "bitmap", F.lit(True).alias("one"))
+    apart = materialize(expanded.union(_across(inner, num, den)).distinct(), f"{path}/apart")
+    fresh = materialize(apart.join(pairs, ["a", "b"], "left_anti"), f"{path}/fresh")
+    left_over = close.select("a", "b").join(best, ["a", "b"], "left_anti").join(apart, ["a", "b"], "left_semi")
+    more = materialize(_close(fresh, nodes, num, den).select("a", "b").union(left_over), f"{path}/more")
     if not more.isEmpty():
         further = _verify(docs, more, nodes, k, num, den, f"{path}/two")
         if not further.isEmpty():
             comps = connected(links.union(further), f"{path}/two")
 
-    ids = nodes.select("node", "first_id").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    ids = nodes.select("node", "digest", "first_id").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = ids.groupBy("comp").agg(F.min("first_id").alias("component_id"))
-    of_node = ids.join(least, "comp").select("node", "component_id")
-    out = described.select("doc_id", "n", "node").join(of_node, "node", "left")
-    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    of_node = ids.join(least, "comp").select("digest", "component_id")
+    out = described.select("doc_id", "n", "digest").join(of_node, "digest", "left")
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
     out = materialize(out, f"{path}/out")
-    for name in ("described", "nodes", "shared", "close", "best", "nodes-two", "groups", "more"):
+    for name in ("described", "nodes", "shared", "near", "heads", "pairs", "close", "best", "members", "groups", "wide", "apart", "fresh", "more"):
         remove(spark, f"{path}/{name}")
     return out
 

@@ -139,7 +139,7 @@ class KneserNey:
 class Scorer:
     """Scores whole texts, each distinct white-space-free chunk once; remembers up to `keep` of them."""
 
-    def __init__(self, model: KneserNey, keep: int = 600_000):
+    def __init__(self, model: KneserNey, keep: int = 500_000):
         self.model, self.keep = model, keep
         self.known: dict[str, int] = {}
         self.rows = np.zeros((0, len(model.languages) + 1))
@@ -228,7 +228,7 @@ def _predictions(docs: DataFrame, model: KneserNey, kept: list[str]) -> DataFram
     def run(batches):
         own = _scorer(packed.value)
         for whole in batches:
-            for b in pieces(whole, "_text", 16 << 20):
+            for b in pieces(whole, "_text", 8 << 20):
                 names, score, rejected = own.texts(b["_text"])
                 yield pa.record_batch([*(b[c] for c in kept), pa.array(names, pa.string()), pa.array(score, pa.float64()), pa.array(rejected)], [*kept, "_lang", "_score", "_rejected"])
 
