@@ -88,7 +88,7 @@ def review_window(spark, d):
 
 
 _RESOLVE = "SELECT min(id) AS id FROM (SELECT DISTINCT sha256('doc:' || doc_id) AS id FROM documents) WHERE starts_with(id, '{}') HAVING count(*) = 1"
-_UNIQUE = "6ed2e0f3a5"
+_UNIQUE = "09ffccc88c6f"
 
 
 @query(_RESOLVE.format(_UNIQUE))
@@ -385,7 +385,7 @@ def crdt_node_merge(spark, d):
     return merged.select("id", "status", "valid_to", "valid_from", "trust_tier", *[F.try_element_at("confidence", F.lit(k)).alias(f"c{k}") for k in (1, 2, 3)])
 
 
-@query(NE + ", x AS (SELECT from_id, to_id, kind, quarantined, 'DerivedDeterministic' AS trust_tier, 'a' AS plane FROM e UNION ALL SELECT from_id, to_id, kind, NOT quarantined, 'AgentAsserted', 'b' FROM e WHERE at % 2 = 0) SELECT from_id, to_id, kind, bool_and(quarantined) AS quarantined, CASE WHEN bool_or(trust_tier = 'AgentAsserted') THEN 'AgentAsserted' ELSE 'DerivedDeterministic' END AS trust_tier, CASE WHEN bool_or(plane = 'b') THEN 'b' ELSE 'a' END AS plane FROM x GROUP BY ALL")
+@query(NE + ", x AS (SELECT from_id, to_id, kind, quarantined, 'DerivedDeterministic' AS trust_tier, 'a' AS plane FROM e UNION ALL SELECT from_id, to_id, kind, NOT quarantined, 'AgentAsserted', 'b' FROM e WHERE e.at % 2 = 0) SELECT from_id, to_id, kind, bool_and(quarantined) AS quarantined, CASE WHEN bool_or(trust_tier = 'AgentAsserted') THEN 'AgentAsserted' ELSE 'DerivedDeterministic' END AS trust_tier, CASE WHEN bool_or(plane = 'b') THEN 'b' ELSE 'a' END AS plane FROM x GROUP BY ALL")
 def crdt_edge_merge(spark, d):
     _, edges = _spine(spark, d)
     one = edges.withColumns({"trust_tier": F.lit("DerivedDeterministic"), "plane": F.lit("a")})
@@ -529,14 +529,14 @@ def supersede_rejects(spark, d):
     return supersede.reject_reasons(nodes, edges.where("false"), edges).select("from_id", "to_id", "kind", "reason")
 
 
-@query(NE + " , f AS (SELECT to_id AS id, min({'at': at, 'from_id': from_id}).at AS at FROM e JOIN n a ON a.id = from_id JOIN n b ON b.id = to_id WHERE e.kind = 'Supersedes' AND NOT quarantined AND NOT (a.plane = 'Asserted' AND b.plane = 'Derived') GROUP BY 1) SELECT n.id, CASE WHEN f.id IS NOT NULL AND status = 'Active' THEN 'Superseded' ELSE status END AS status, CASE WHEN f.id IS NOT NULL AND status = 'Active' THEN greatest(at, valid_from) ELSE valid_to END AS valid_to FROM n LEFT JOIN f USING (id)")
+@query(NE + " , f AS (SELECT to_id AS id, min({'t': e.at, 'from_id': from_id}).t AS t FROM e JOIN n a ON a.id = from_id JOIN n b ON b.id = to_id WHERE e.kind = 'Supersedes' AND NOT quarantined AND NOT (a.plane = 'Asserted' AND b.plane = 'Derived') GROUP BY 1) SELECT n.id, CASE WHEN f.id IS NOT NULL AND status = 'Active' THEN 'Superseded' ELSE status END AS status, CASE WHEN f.id IS NOT NULL AND status = 'Active' THEN greatest(t, valid_from) ELSE valid_to END AS valid_to FROM n LEFT JOIN f USING (id)")
 def supersede_apply(spark, d):
     nodes, edges = _spine(spark, d)
     judged = supersede.resolve_cycles(edges.where("false"), supersede.reject_reasons(nodes, edges.where("false"), edges))
     return supersede.apply_supersessions(nodes, judged).select("id", "status", "valid_to")
 
 
-@query(NE + " SELECT from_id, to_id, kind, quarantined AND at % 2 = 1 AS quarantined, CASE WHEN quarantined AND at % 2 = 0 AND kind = 'Supersedes' THEN 123 ELSE at END AS at FROM e".replace("at % 2", "(at // 86400000) % 2"))
+@query(NE + """ SELECT from_id, to_id, kind, quarantined AND (e.at // 86400000) % 2 = 1 AS quarantined, CASE WHEN quarantined AND (e.at // 86400000) % 2 = 0 AND kind = 'Supersedes' THEN 123 ELSE e.at END AS at FROM e""")
 def confirm_edge(spark, d):
     _, edges = _spine(spark, d)
     return supersede.confirm(edges, edges.where("quarantined and floor(at / 86400000) % 2 = 0"), 123)
@@ -644,7 +644,7 @@ def token_bucket(spark, d):
     return access.token_bucket(e, 2.0, 1 / 7200).select("principal", "call_id", F.round("level", 6).alias("level"), "allowed")
 
 
-@query(N + ", i AS (SELECT o_custkey AS principal, valid_from AS a, valid_to AS z FROM n WHERE valid_to IS NOT NULL), s AS (SELECT principal, at, sum(d) AS d FROM (SELECT principal, a AS at, 1 AS d FROM i UNION ALL SELECT principal, z, -1 FROM i) GROUP BY ALL), r AS (SELECT principal, sum(d) OVER (PARTITION BY principal ORDER BY at ROWS UNBOUNDED PRECEDING) AS n FROM s) SELECT principal, CAST(max(n) AS BIGINT) AS most FROM r GROUP BY principal")
+@query(N + ", i AS (SELECT o_custkey AS principal, valid_from AS a, valid_to AS z FROM n WHERE valid_to IS NOT NULL), s AS (SELECT principal, t, sum(d) AS d FROM (SELECT principal, a AS t, 1 AS d FROM i UNION ALL SELECT principal, z, -1 FROM i) GROUP BY ALL), r AS (SELECT principal, sum(d) OVER (PARTITION BY principal ORDER BY t ROWS UNBOUNDED PRECEDING) AS n FROM s) SELECT principal, CAST(max(n) AS BIGINT) AS most FROM r GROUP BY principal")
 def concurrency_overlap(spark, d):
     spans = order_nodes(spark, d).where("valid_to is not null").select(F.col("o_custkey").alias("principal"), F.col("valid_from").alias("start"), F.col("valid_to").alias("stop"))
     return access.overlaps(spans)
@@ -671,7 +671,7 @@ def shred_forgets(spark, d):
 # Ingest ----------------------------------------------------------------------------------------------------
 
 
-@query("WITH h AS (SELECT user_id AS k, max(event_id) AS head FROM events GROUP BY 1), w AS (SELECT user_id AS k, max(event_id) AS seen, max(epoch_ms(ts)) AS at FROM events WHERE event_type <> 'purchase' AND user_id % 7 <> 0 GROUP BY 1) SELECT 'u' || h.k AS repo, coalesce(CAST(seen AS VARCHAR), '-') AS head, coalesce(CAST(at AS VARCHAR), '-') AS ingested_at_ms FROM h LEFT JOIN w USING (k)")
+@query("WITH h AS (SELECT user_id AS k, max(event_id) AS head FROM events GROUP BY 1), w AS (SELECT user_id AS k, max(event_id) AS seen, max(epoch_us(ts) // 1000) AS t FROM events WHERE event_type <> 'purchase' AND user_id % 7 <> 0 GROUP BY 1) SELECT 'u' || h.k AS repo, coalesce(CAST(seen AS VARCHAR), '-') AS head, coalesce(CAST(t AS VARCHAR), '-') AS ingested_at_ms FROM h LEFT JOIN w USING (k)")
 def freshness(spark, d):
     heads, marks = _marks(spark, d)
     return ingest.freshness(heads, marks)
@@ -841,10 +841,10 @@ def sliding(spark, d):
 
 @query("WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events), s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, k")
 def session(spark, d):
-    return table(spark, d, "events").groupBy("user_id", F.session_window("ts", "30 minutes")["start"].alias("start")).agg(F.count("*").alias("n")).withColumn("start", F.col("start").cast("timestamp_ntz"))
+    return table(spark, d, "events").groupBy("user_id", F.session_window("ts", "30 minutes").alias("w")).agg(F.count("*").alias("n")).select("user_id", F.col("w.start").cast("timestamp_ntz").alias("start"), "n")
 
 
-@query("SELECT event_id, arg_max(o_orderkey, {'d': o_orderdate, 'k': o_orderkey}) AS o_orderkey FROM (SELECT event_id, epoch_ms(ts) AS t, user_id FROM events) e LEFT JOIN orders ON o_custkey = user_id AND epoch_ms(o_orderdate) <= t GROUP BY event_id")
+@query("SELECT event_id, arg_max(o_orderkey, {'d': o_orderdate, 'k': o_orderkey}) AS o_orderkey FROM (SELECT event_id, epoch_us(ts) // 1000 AS t, user_id FROM events) e LEFT JOIN orders ON o_custkey = user_id AND epoch_ms(o_orderdate) <= t GROUP BY event_id")
 def nearest_asof(spark, d):
     """The customer's last order at or before each event: both sides in one ordered window per customer."""
     e = table(spark, d, "events").select(F.col("user_id").alias("k"), millis("ts").alias("t"), F.lit(1).alias("side"), F.col("event_id"), F.lit(None).cast("long").alias("o_orderkey"))
