@@ -1,0 +1,94 @@
+"""The registered op queries on the smallest tables: against SQL where there is some, else against plain versions."""
+
+import hashlib
+import zlib
+from pathlib import Path
+
+import duckdb
+import numpy as np
+import pytest
+
+import corpus_pipeline
+from quillgraph.llm import jaccard, registry
+
+DATA = Path("/root/testdata/sf0.001")
+pytestmark = pytest.mark.skipif(not DATA.exists(), reason="needs the driver's tables")
+tokenizers = pytest.importorskip("public_tokenizers")
+
+
+@pytest.fixture(scope="module")
+def duck():
+    connection = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        connection.sql(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
+    return connection
+
+
+@pytest.fixture(scope="module")
+def texts(duck):
+    return dict(duck.sql("SELECT doc_id, text FROM documents").fetchall())
+
+
+@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
+def test_sql(spark, duck, name):
+    df = registry.queries()[name](spark, str(DATA))
+    want = duck.sql(registry.oracle_sql()[name])
+    assert sorted(df.columns) == sorted(want.columns)
+    order = sorted(df.columns)
+    assert sorted(map(repr, map(tuple, df.select(order).collect()))) == sorted(map(repr, want.project(", ".join(order)).fetchall()))
+
+
+def test_op1(spark, texts):
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(tokenizers.path("word_bpe_49k.json"))
+    at = 0
+    got = {r["doc_id"]: r for r in registry.queries()["op1_token_files"](spark, str(DATA)).collect()}
+    for i in sorted(texts):
+        ids = whole.encode(texts[i] or "", add_special_tokens=False).ids + [1]
+        assert (got[i]["start"], got[i]["n_tokens"], got[i]["ids_crc32"]) == (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        at += len(ids)
+
+
+def test_op6(spark, texts):
+    import tiktoken
+
+    from quillgraph.llm.bpe_tree import read_ranks
+
+    with open(tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        plain = tiktoken.Encoding("plain", pat_str=tokenizers.PATTERN, mergeable_ranks=read_ranks(f.read()), special_tokens={})
+    for r in registry.queries()["op6_bpe_tree"](spark, str(DATA)).collect():
+        ids = plain.encode_ordinary(texts[r["doc_id"]])
+        assert r["n_tokens"] == len(ids) and r["ids_sha256"] == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+        assert r["decoded_sha256"] == hashlib.sha256(texts[r["doc_id"]].encode()).hexdigest()
+
+
+def test_op7_held_out(spark, duck):
+    truth = dict(duck.sql("SELECT doc_id, lang FROM documents").fetchall())
+    rows = [r for r in registry.queries()["op7_language_id"](spark, str(DATA)).collect() if r["held_out"]]
+    assert len(rows) > 20 and all(zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0 for r in rows)
+    assert sum(r["lang_pred"] == truth[r["doc_id"]] for r in rows) >= 0.97 * len(rows)
+
+
+def test_pipeline(spark, duck):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(DATA))
+        assert out.columns == docs.columns, name
+    known = corpus_pipeline.language(spark, docs, str(DATA))
+    kept = jaccard.keep_one_each(known)
+    groups = jaccard.components(known, 5, 80, 100).where("doc_id = component_id")
+    assert sorted(r["doc_id"] for r in kept.select("doc_id").collect()) == sorted(r["doc_id"] for r in groups.collect())
+    packed = corpus_pipeline.run(spark, str(DATA)).collect()
+    words = {r["doc_id"]: len((r["text"] or "").split()) for r in corpus_pipeline.redact_secrets(spark, kept, str(DATA)).collect()}
+    total = {}
+    for r in packed:
+        total[r["doc_id"]] = total.get(r["doc_id"], 0) + r["n_words"]
+    assert total == words
+
+
+def test_keep_one_each_repeats(spark):
+    rows = [(1, "a b c d e f g"), (1, "a b c d e f g"), (2, "a b c d e f g"), (3, "x"), (3, "y"), (None, "z q"), (None, "z q"), (4, None), (4, None), (5, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(map(repr, map(tuple, jaccard.keep_one_each(df).collect())))
+    assert got == sorted(map(repr, [(1, "a b c d e f g"), (3, "x"), (3, "y"), (None, "z q"), (4, None), (5, "")]))
