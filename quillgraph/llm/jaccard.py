@@ -8,7 +8,7 @@ distinct k-word shingles.  Sets link when intersection * den >= union * num.  St
    shingles: common passages come last.  The order affects speed only.
 2. One more pass gives each text its set's 128-bit digest, size, prefix (the first shingles in that order,
    as many as a partner must share at least one of) and a parity bitmap of about as many bits as shingles,
-   also folded to 256.  Equal sets become one node; nodes with equal size and prefix one group.
+   also folded to 1,024.  Equal sets become one node; nodes with equal size and prefix one group.
 3. Prefix shingles are posted by group.  Posting lists of one group are dropped.  Two groups of a list are a
    candidate if size and positions allow enough overlap.
 4. First round: in each list only neighbours in a random order are candidates, and in each group only
@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from quillgraph.llm.common import U64, materialize, mix, pieces, raw_shingles, remove, scratch_dir, shingle_hashes, table, text_buffers
 
 CELL_BITS, CHUNK_BITS = 22, 16
-BITMAP = 32  # bytes
+BITMAP = 128  # bytes
 BLOCK = 2048
 BLOOM_MOST = 1 << 26  # bits
 
@@ -262,8 +262,8 @@ def _across(lists: DataFrame, num: int, den: int) -> DataFrame:
             several = t["comp"] == -1
             ends = np.cumsum(after)
             done = 0
-            while done < len(rows):  # about 400,000 pairs at a time
-                upto = max(done + 1, int(np.searchsorted(ends, (ends[done - 1] if done else 0) + 400_000, "right")))
+            while done < len(rows):  # about 150,000 pairs at a time
+                upto = max(done + 1, int(np.searchsorted(ends, (ends[done - 1] if done else 0) + 150_000, "right")))
                 n = after[done:upto]
                 i = np.repeat(rows[done:upto], n)
                 j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
@@ -435,7 +435,7 @@ def components(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     close = materialize(_close(pairs, nodes, num, den), f"{path}/close")
     # Of each node's pairs the nearest are enough here: round two takes up what they leave apart.
     both = close.union(close.select(F.col("b").alias("a"), F.col("a").alias("b"), "apart"))
-    best = both.withColumn("place", F.row_number().over(Window.partitionBy("a").orderBy("apart", "b"))).where("place <= 2")
+    best = both.withColumn("place", F.row_number().over(Window.partitionBy("a").orderBy("apart", "b"))).where("place <= 8")
     best = materialize(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"{path}/best")
     links = _verify(docs, best, nodes, k, num, den, f"{path}/one")
     comps = connected(links, f"{path}/one")
@@ -474,6 +474,39 @@ def components(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     return out
 
 
+def keep_one_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """docs with one document of each component: the one with the smallest doc_id; docs' own columns.
+
+    Rows that repeat a doc_id and its text are one document; one row of them stays.  Most rows are known to
+    stay by a bitmap of the ids that go or repeat; only the others, with a few that it cannot tell, are
+    joined with the exact list.
+    """
+    groups = components(docs, k, num, den)
+    names = docs.columns
+    stays = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    unsure = groups.groupBy("doc_id").agg(F.count("*").alias("rows"), F.bool_and(stays).alias("stays"), F.bool_or(stays).alias("some")).where("rows > 1 or not stays")
+    count = unsure.count()
+    marks = docs.sparkSession.sparkContext.broadcast(_bloom(unsure.select(F.coalesce("doc_id", F.lit(-1)).alias("id")), count))
+    rows = docs.withColumn("_doc", F.col("doc_id").cast("long"))
+
+    def split(wanted: bool):
+        def run(batches):
+            bloom, bits = marks.value
+            for b in batches:
+                hit = _marked(bloom, bits, b["_doc"].fill_null(-1).to_numpy())
+                yield b.filter(pa.array(hit == wanted))
+
+        return run
+
+    sure = rows.mapInArrow(split(False), rows.schema)
+    listed = unsure.select(F.col("doc_id").alias("_id"), "some")
+    rest = rows.mapInArrow(split(True), rows.schema).join(listed, F.col("_doc").eqNullSafe(F.col("_id")), "left").where("some is null or some")
+    same = Window.partitionBy("_doc", F.md5(F.col("text").cast("string"))).orderBy(F.lit(0))
+    rest = rest.withColumn("_place", F.row_number().over(same)).where("_place = 1")
+    own = [F.col(f"`{c}`") for c in names]
+    return sure.select(*own).unionByName(rest.select(*own))
+
+
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components(table(spark, sf_dir, "documents"), 3, 90, 100)
 
@@ -497,16 +530,3 @@ r(doc_id, far) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, g
 SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, c.component_id
 FROM s JOIN (SELECT doc_id, min(far) AS component_id FROM r GROUP BY doc_id) c USING (doc_id)
 """
-
-
-def keep_one_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """docs with one document of each component: the one with the smallest doc_id; docs' own columns.
-
-    Rows that repeat a doc_id and its text are one document; one row of them stays.
-    """
-    groups = components(docs, k, num, den)
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    rows = docs.withColumn("_doc", F.col("doc_id").cast("long"))
-    rows = rows.join(kept, rows["_doc"].eqNullSafe(kept["_kept"]), "left_semi")
-    same = Window.partitionBy("_doc", F.md5(F.col("text").cast("string"))).orderBy(F.lit(0))
-    return rows.withColumn("_place", F.row_number().over(same)).where("_place = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
