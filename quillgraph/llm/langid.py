@@ -139,7 +139,7 @@ class KneserNey:
 class Scorer:
     """Scores whole texts, each distinct white-space-free chunk once; remembers up to `keep` of them."""
 
-    def __init__(self, model: KneserNey, keep: int = 500_000):
+    def __init__(self, model: KneserNey, keep: int = 300_000):
         self.model, self.keep = model, keep
         self.known: dict[str, int] = {}
         self.rows = np.zeros((0, len(model.languages) + 1))
@@ -156,11 +156,11 @@ class Scorer:
             flat = [w for x in words for w in x]
             owner = np.repeat(np.arange(len(fresh)), [len(x) for x in words])
             new = np.zeros((len(fresh), self.rows.shape[1]))
-            for a in range(0, len(flat), 100_000):
-                cost, n = self.model.bits(flat[a : a + 100_000])
+            for a in range(0, len(flat), 30_000):
+                cost, n = self.model.bits(flat[a : a + 30_000])
                 for k in range(cost.shape[1]):
-                    new[:, k] += np.bincount(owner[a : a + 100_000], weights=cost[:, k], minlength=len(fresh))
-                new[:, -1] += np.bincount(owner[a : a + 100_000], weights=n, minlength=len(fresh))
+                    new[:, k] += np.bincount(owner[a : a + 30_000], weights=cost[:, k], minlength=len(fresh))
+                new[:, -1] += np.bincount(owner[a : a + 30_000], weights=n, minlength=len(fresh))
             known.update(zip(fresh, range(len(self.rows), len(self.rows) + len(fresh)), strict=True))
             self.rows = np.concatenate([self.rows, new])
         return self.rows[[known[x] for x in names]] if names else self.rows[:0]
@@ -228,7 +228,7 @@ def _predictions(docs: DataFrame, model: KneserNey, kept: list[str]) -> DataFram
     def run(batches):
         own = _scorer(packed.value)
         for whole in batches:
-            for b in pieces(whole, "_text", 8 << 20):
+            for b in pieces(whole, "_text", 4 << 20):
                 names, score, rejected = own.texts(b["_text"])
                 yield pa.record_batch([*(b[c] for c in kept), pa.array(names, pa.string()), pa.array(score, pa.float64()), pa.array(rejected)], [*kept, "_lang", "_score", "_rejected"])
 
