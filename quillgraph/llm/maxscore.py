@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from quillgraph.llm.common import materialize, scratch_dir, table
 
 LIMIT = 1 << 27
-SHARD_ROWS, BLOCK_ROWS, PROBE = 4096, 512, 8
+SHARD_ROWS, BLOCK_ROWS, STRIP, PROBE = 4096, 512, 512, 8
 
 
 class Shard:
@@ -38,38 +38,44 @@ class Shard:
         self.low, self.high = (self.postings.min(1), self.postings.max(1)) if len(ids) else (None, None)
 
     def top(self, query_id: int, q: np.ndarray, k: int, floor: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, scores) of the k best by score, ties to the smaller id; none under floor, a known k-th score."""
+        """(ids, scores) of the k best by score, ties to the smaller id; floor: a known k-th score, none under it.
+
+        Vectors come in ascending ids, a strip at a time; the first strip is scored whole and sets the
+        threshold, which each strip may raise for those that follow.
+        """
         q = q[: len(self.postings)]
         least = np.where(q >= 0, q * self.low[: len(q)], q * self.high[: len(q)])
         bound = np.where(q >= 0, q * self.high[: len(q)], q * self.low[: len(q)]) - least
         base = int(least.sum())
         terms = np.argsort(-bound, kind="stable")
+        ordered = q[terms]
         rest = np.append(bound[terms][::-1].cumsum()[::-1], 0)  # what terms[i:] can add at most
+        offset = np.append(0, least[terms].cumsum())
         need = None if floor is None else floor - base
-        essential = len(terms) if need is None else int((rest > max(need, 0)).sum())
-        if need is not None and rest[0] < need:
-            return self.ids[:0], self.ids[:0]
-        first = max(min(essential, len(terms)), min(PROBE, len(terms)))
-        part = q[terms[:first]] @ self.postings[terms[:first]] - int(least[terms[:first]].sum())
-        alive = np.flatnonzero(self.ids != query_id)
-        done = first
-        while True:
-            if need is None and len(alive) > k:  # a threshold from the best so far, which the rest can only raise
-                best = np.partition(part[alive], len(alive) - k)[len(alive) - k]
-                alive = alive[part[alive] + rest[done] >= best]
-            elif need is not None:
+        ids, scores = self.ids[:0], np.zeros(0, np.int64)
+        for lo in range(0, len(self.ids), STRIP):
+            strip = self.postings[:, lo : lo + STRIP]
+            alive = np.flatnonzero(self.ids[lo : lo + STRIP] != query_id)
+            # Essential: the fewest terms without which no vector can reach the threshold.
+            done = len(terms) if need is None else int(np.searchsorted(-rest, -need, "right"))
+            done = min(done, len(terms))
+            part = ordered[:done] @ strip[terms[:done]] - int(offset[done]) if done else np.zeros(strip.shape[1], np.int64)
+            while need is not None:
                 alive = alive[part[alive] + rest[done] >= need]
-            if done == len(terms) or not len(alive):
-                break
-            some = terms[done : done + PROBE]
-            part[alive] += q[some] @ self.postings[np.ix_(some, alive)] - int(least[some].sum())
-            done += len(some)
-            if need is not None and len(alive) > k:
-                best = np.partition(part[alive], len(alive) - k)[len(alive) - k]
-                need = max(need, int(best))
-        ids, scores = self.ids[alive], part[alive] + base
-        order = np.lexsort((ids, -scores))[:k]
-        return ids[order], scores[order]
+                if done == len(terms) or not len(alive):
+                    break
+                some = terms[done : done + PROBE]
+                part[alive] += ordered[done : done + PROBE] @ strip[np.ix_(some, alive)] - int(least[some].sum())
+                done += len(some)
+            ids = np.concatenate([ids, self.ids[lo + alive]])
+            scores = np.concatenate([scores, part[alive]])
+            if len(ids) > k:
+                order = np.lexsort((ids, -scores))[:k]
+                ids, scores = ids[order], scores[order]
+            if len(ids) == k:
+                need = max(int(scores.min()), need if need is not None else int(scores.min()))
+        order = np.lexsort((ids, -scores))
+        return ids[order], scores[order] + base
 
 
 def quantise(vectors: DataFrame, key: str, column: str, scale: float) -> DataFrame:
