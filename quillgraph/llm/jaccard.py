@@ -499,8 +499,8 @@ def keep_one_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) ->
         return run
 
     sure = rows.mapInArrow(split(False), rows.schema)
-    listed = unsure.select(F.col("doc_id").alias("_id"), "some")
-    rest = rows.mapInArrow(split(True), rows.schema).join(listed, F.col("_doc").eqNullSafe(F.col("_id")), "left").where("some is null or some")
+    listed = unsure.select(F.col("doc_id").alias("_id"), F.col("some").alias("_some"))
+    rest = rows.mapInArrow(split(True), rows.schema).join(listed, F.col("_doc").eqNullSafe(F.col("_id")), "left").where("_some is null or _some")
     same = Window.partitionBy("_doc", F.md5(F.col("text").cast("string"))).orderBy(F.lit(0))
     rest = rest.withColumn("_place", F.row_number().over(same)).where("_place = 1")
     own = [F.col(f"`{c}`") for c in names]
