@@ -81,6 +81,17 @@ def test_in_flight(spark):
     assert [tuple(r) for r in recall.in_flight(df, links, merged).collect()] == [("w", "live")]
 
 
+def test_canonical_history(spark):
+    line = [(f"c{i:03d}", f"c{i - 1:03d}", "TemporalNext") for i in range(1, 40)]
+    side = [("s2", "s1", "TemporalNext"), ("s1", "c003", "TemporalNext"), ("c020", "s2", "MergeParent"), ("u1", "c005", "TemporalNext"), ("s2", "t1", "MergeParent")]
+    links = edges(spark, *line, *side, ("c030", "q", "References"))
+    head = spark.createDataFrame([("c025",)], "id string")
+    assert sorted(ids(recall.canonical(None, links, head))) == sorted([f"c{i:03d}" for i in range(26)] + ["s1", "s2", "t1"])
+    loop = edges(spark, ("a", "b", "TemporalNext"), ("b", "c", "TemporalNext"), ("c", "a", "TemporalNext"))
+    assert sorted(ids(recall.canonical(None, loop, spark.createDataFrame([("a",)], "id string")))) == ["a", "b", "c"]
+    assert ids(recall.canonical(None, loop, head.where("false"))) == []
+
+
 def test_analogies(spark):
     data = "id string, repo string, embedding struct<model:string,data:array<float>>"
     df = spark.createDataFrame([("a", "r", ("m", [1.0, 0.0])), ("b", "s", ("m", [1.0, 0.1])), ("c", "s", ("m", [1.0, 0.2])), ("d", "s", ("n", [1.0, 0.0])), ("e", "t", ("m", [1.0, 0.0])), ("z", "r", None)], data)
