@@ -9,11 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quillgraph.llm import jaccard, langid, packing, secrets
-from quillgraph.llm.common import materialize, remove, scratch_dir, table
+from quillgraph.llm.common import bounded_batches, materialize, remove, scratch_dir, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the language models do not reject."""
+    bounded_batches(spark)
     return langid.keep_known(docs, langid.fit(docs))
 
 

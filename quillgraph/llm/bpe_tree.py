@@ -17,13 +17,12 @@ from __future__ import annotations
 
 import base64
 import re
-from functools import lru_cache
 from hashlib import sha256
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from quillgraph.llm.common import pieces, table
+from quillgraph.llm.common import held, pieces, table
 
 LEAF = 1024
 _BREAK = re.compile(r"[!-~](?=[ \n])")
@@ -120,11 +119,6 @@ class TreeCodec:
         return self.decode(ids, a, mid) + self.decode(ids, mid, z)
 
 
-@lru_cache(maxsize=1)
-def codec(lines: bytes, pattern: str) -> TreeCodec:
-    return TreeCodec(read_ranks(lines), pattern)
-
-
 def encode_documents(docs: DataFrame, ranks: str, pattern: str, keep_ids: bool = False) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256[, ids]) of documents (doc_id, text).
 
@@ -134,7 +128,7 @@ def encode_documents(docs: DataFrame, ranks: str, pattern: str, keep_ids: bool =
         lines = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches):
-        own = codec(lines.value, pattern)
+        own = held(("tree", hash(lines.value), pattern), lambda: TreeCodec(read_ranks(lines.value), pattern))
         for whole in batches:
             for b in pieces(whole, "text"):
                 n, coded, decoded, kept = [], [], [], []

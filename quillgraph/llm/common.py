@@ -37,7 +37,32 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+_HELD: dict = {}
+
+
+def held(key, make):
+    """What a Python worker keeps between tasks: one object at a time, so operators do not add up in a worker."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
+def release() -> None:
+    """For tasks that keep nothing: lets go of what an operator before has left in the worker."""
+    _HELD.clear()
+
+
+def bounded_batches(spark: SparkSession, most: int = 8 << 20) -> None:
+    """Holds the session's Arrow batches to `most` bytes, so that a task's memory does not follow the rows' length."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key)
+    if not now.isdigit() or not 0 < int(now) <= most:
+        spark.conf.set(key, str(most))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import U64, materialize, mix, pieces, raw_shingles, remove, scratch_dir, shingle_hashes, table, text_buffers
+from quillgraph.llm.common import U64, materialize, mix, pieces, raw_shingles, release, remove, scratch_dir, shingle_hashes, table, text_buffers
 
 CELL_BITS, CHUNK_BITS = 22, 16
 BITMAP = 128  # bytes
@@ -59,6 +59,7 @@ def sketch(docs: DataFrame, k: int) -> np.ndarray:
     cells, chunk = 1 << CELL_BITS, 1 << CHUNK_BITS
 
     def count(batches):
+        release()
         total = np.zeros(cells, np.uint32)
         held, size = [], 0
         for whole in batches:
@@ -113,6 +114,7 @@ def _describe(docs: DataFrame, k: int, num: int, den: int, order) -> DataFrame:
     """
 
     def run(batches):
+        release()
         rank = order.value
         for whole in batches:
             for b in pieces(whole, "text", 2 << 20):
@@ -356,6 +358,7 @@ def _verify(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, k: int, num: in
     marks = spark.sparkContext.broadcast(_bloom(wanted.select("id"), wanted.count()))
 
     def sets(batches):
+        release()
         bloom, bits = marks.value
         seen: set[bytes] = set()
         for whole in batches:

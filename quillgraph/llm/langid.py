@@ -15,7 +15,6 @@ Repeated rows get equal results; only doc_id, text and lang are read.
 from __future__ import annotations
 
 import pickle
-from functools import lru_cache
 from unicodedata import normalize
 
 import numpy as np
@@ -25,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import U64, mix, pieces, table
+from quillgraph.llm.common import U64, held, mix, pieces, table
 
 ORDER = 5
 #: The sample that a model is fitted on: about so many documents of each language, of so many bytes at most.
@@ -216,17 +215,12 @@ def fit(docs: DataFrame) -> KneserNey:
     return model
 
 
-@lru_cache(maxsize=1)
-def _scorer(packed: bytes) -> Scorer:
-    return Scorer(pickle.loads(packed))
-
-
 def _predictions(docs: DataFrame, model: KneserNey, kept: list[str]) -> DataFrame:
     """docs with lang_pred, score and rejected under names of their own (_lang, _score, _rejected)."""
     packed = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
 
     def run(batches):
-        own = _scorer(packed.value)
+        own = held(("language", hash(packed.value)), lambda: Scorer(pickle.loads(packed.value)))
         for whole in batches:
             for b in pieces(whole, "_text", 4 << 20):
                 names, score, rejected = own.texts(b["_text"])

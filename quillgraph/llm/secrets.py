@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import pieces, table
+from quillgraph.llm.common import pieces, release, table
 
 #: The base kinds in their order.
 KINDS = ("assign", "access", "hex", "novel")
@@ -99,6 +99,7 @@ def scan(docs: DataFrame) -> DataFrame:
     empty = sha256(b"").hexdigest()
 
     def run(batches):
+        release()
         for whole in batches:
             for b in pieces(whole, "text"):
                 n = len(b)
@@ -119,6 +120,7 @@ def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     names = docs.columns
 
     def run(batches):
+        release()
         for whole in batches:
             for b in pieces(whole, "text"):
                 texts = None

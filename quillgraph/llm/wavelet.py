@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import materialize, pieces, remove, scratch_dir, table
+from quillgraph.llm.common import held, materialize, pieces, remove, scratch_dir, table
 
 MAGIC, BLOCK = b"WVM1", 512
 _POP = np.array([bin(i).count("1") for i in range(256)], np.uint8)
@@ -283,18 +283,6 @@ def _stretches(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
-_CODERS: dict[int, ChunkEncoder] = {}
-
-
-def coder(spec: bytes, dtype: str) -> ChunkEncoder:
-    """One encoder for all tasks of a Python worker."""
-    key = hash((spec, dtype))
-    if key not in _CODERS:
-        _CODERS.clear()
-        _CODERS[key] = ChunkEncoder(spec, dtype)
-    return _CODERS[key]
-
-
 def shard_table(docs: DataFrame, tokenizer: str, end_id: int = 1, shard_bytes: int = 8 << 20, width: int = 16) -> DataFrame:
     """(shard long, n_tokens long, file binary): documents (doc_id, text) as shard files in doc_id order.
 
@@ -317,7 +305,7 @@ def shard_table(docs: DataFrame, tokenizer: str, end_id: int = 1, shard_bytes: i
     kind = "<u4" if width > 16 else "<u2"
 
     def encode(batches):
-        encoder = coder(spec.value, kind)
+        encoder = held(("chunks", hash(spec.value), kind), lambda: ChunkEncoder(spec.value, kind))
         for whole in batches:
             for b in pieces(whole, "text", 10 << 20):
                 ids, at = encoder.encode(b["text"])
