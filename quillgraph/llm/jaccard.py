@@ -8,7 +8,7 @@ distinct k-word shingles.  Sets link when intersection * den >= union * num.  St
    shingles: common passages come last.  The order affects speed only.
 2. One more pass gives each text its set's 128-bit digest, size, prefix (the first shingles in that order,
    as many as a partner must share at least one of) and a parity bitmap of about as many bits as shingles,
-   also folded to 1,024.  Equal sets become one node; nodes with equal size and prefix one group.
+   also folded to 512.  Equal sets become one node; nodes with equal size and prefix one group.
 3. Prefix shingles are posted by group.  Posting lists of one group are dropped.  Two groups of a list are a
    candidate if size and positions allow enough overlap.
 4. First round: in each list only neighbours in a random order are candidates, and in each group only
@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from quillgraph.llm.common import U64, materialize, mix, pieces, raw_shingles, release, remove, scratch_dir, shingle_hashes, table, text_buffers
 
 CELL_BITS, CHUNK_BITS = 22, 16
-BITMAP = 128  # bytes
+BITMAP = 64  # bytes
 BLOCK = 2048
 BLOOM_MOST = 1 << 26  # bits
 
@@ -194,8 +194,10 @@ def _runs(batches, key: list[str], widths: dict[str, int]):
         yield held, cut(held)
 
 
-def _shared(posted: DataFrame) -> DataFrame:
-    """Postings of lists with two groups or more, each group once, with the list's length df."""
+def _shared(posted: DataFrame, num: int, den: int) -> DataFrame:
+    """Postings (token, grp, n, pos, df) of lists with two groups or more, each group once, df groups in all;
+    and round one's candidates as rows (grp, other): groups next to each other in a list, in bands of size
+    and random order within a band.  They share a pass, so postings are shuffled once."""
 
     def run(batches):
         for t, starts in _runs(batches, ["token"], {}):
@@ -204,10 +206,22 @@ def _shared(posted: DataFrame) -> DataFrame:
             sizes = np.add.reduceat(fresh, starts, dtype=np.int64)
             df = np.repeat(sizes, np.diff(np.append(starts, len(fresh))))
             keep = fresh & (df > 1)
-            if keep.any():
-                yield pa.record_batch([pa.array(x[keep]) for x in (t["token"], t["grp"], t["n"], t["pos"], df)], ["token", "grp", "n", "pos", "df"])
+            if not keep.any():
+                continue
+            token, grp, n, pos, df = (x[keep] for x in (t["token"], t["grp"], t["n"], t["pos"], df))
+            yield pa.record_batch([pa.array(token), pa.array(grp), pa.array(n), pa.array(pos), pa.array(df), pa.nulls(len(df), pa.int64())], names)
+            order = np.lexsort((mix(grp.view(U64) ^ mix(token.view(U64))), np.floor(np.log(n) * 8), token))
+            i, j = order[:-1], order[1:]
+            same = token[i] == token[j]
+            i, j = i[same], j[same]
+            ok = _fits({"n": n, "pos": pos}, i, j, num, den)
+            if ok.any():
+                pairs = _pairs(grp[i[ok]], grp[j[ok]])
+                none = [pa.nulls(len(pairs), x) for x in (pa.int64(), pa.int32(), pa.int32(), pa.int64())]
+                yield pa.record_batch([none[0], pairs["a"], none[1], none[2], none[3], pairs["b"]], names)
 
-    return posted.repartition("token").sortWithinPartitions("token", "grp").mapInArrow(run, "token long, grp long, n int, pos int, df long")
+    names = ["token", "grp", "n", "pos", "df", "other"]
+    return posted.repartition("token").sortWithinPartitions("token", "grp").mapInArrow(run, "token long, grp long, n int, pos int, df long, other long")
 
 
 def _fits(t: dict, i: np.ndarray, j: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -229,23 +243,6 @@ def _pairs(x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
     return pa.record_batch([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], ["a", "b"])
 
 
-def _neighbours(shared: DataFrame, num: int, den: int) -> DataFrame:
-    """Round one: pairs of groups next to each other in a list; bands of size, random order within a band."""
-
-    def run(batches):
-        for t, starts in _runs(batches, ["token"], {}):
-            joined = np.ones(len(t["token"]), bool)
-            joined[starts] = False
-            j = np.flatnonzero(joined)
-            ok = _fits(t, j - 1, j, num, den)
-            if ok.any():
-                yield _pairs(t["grp"][j[ok] - 1], t["grp"][j[ok]])
-
-    band = F.floor(F.log(F.col("n").cast("double")) * 8)
-    ordered = shared.repartition("token").sortWithinPartitions("token", band, F.xxhash64("grp", "token"))
-    return ordered.select("token", "grp", "n", "pos").mapInArrow(run, "a long, b long").distinct()
-
-
 def _across(lists: DataFrame, num: int, den: int) -> DataFrame:
     """Round two: all pairs of a list (token long, id, n, pos, df, comp, bitmap, one) in different components.
 
@@ -425,11 +422,12 @@ def components(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     first = F.min(F.struct("row", "doc_id", "n", "grp", "bitmap", "fine")).alias("first")
     nodes = worded.groupBy("digest").agg(first, F.min("doc_id").alias("first_id"))
     nodes = materialize(nodes.select(F.col("first.row").alias("node"), "digest", "first.doc_id", "first.n", "first.grp", "first.bitmap", "first.fine", "first_id"), f"{path}/nodes")
-    shared = materialize(_shared(_post(worded.select("grp", "n", "prefix"))), f"{path}/shared")
+    found = materialize(_shared(_post(worded.select("grp", "n", "prefix")), num, den), f"{path}/shared")
+    shared = found.where("other is null").drop("other")
     groups = nodes.groupBy("grp").agg(F.min("node").alias("node"), F.count("*").alias("members"))
 
     # Round one: neighbours in lists by their groups' first members, successive members within groups.
-    near = materialize(_neighbours(shared, num, den), f"{path}/near")
+    near = materialize(found.where("other is not null").select(F.col("grp").alias("a"), F.col("other").alias("b")).distinct(), f"{path}/near")
     heads = materialize(_among(groups.select("grp", "node"), "grp", near), f"{path}/heads")
     pairs = near.join(heads.withColumnsRenamed({"grp": "a", "node": "na"}), "a").join(heads.withColumnsRenamed({"grp": "b", "node": "nb"}), "b").select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b"))
     crowded = nodes.select("grp", "node").join(groups.where("members > 1").select("grp"), "grp", "left_semi")
