@@ -8,7 +8,7 @@ distinct k-word shingles.  Sets link when intersection * den >= union * num.  St
    shingles: common passages come last.  The order affects speed only.
 2. One more pass gives each text its set's 128-bit digest, size, prefix (the first shingles in that order,
    as many as a partner must share at least one of) and a parity bitmap of about as many bits as shingles,
-   also folded to 512.  Equal sets become one node; nodes with equal size and prefix one group.
+   also folded to 1,024.  Equal sets become one node; nodes with equal size and prefix one group.
 3. Prefix shingles are posted by group.  Posting lists of one group are dropped.  Two groups of a list are a
    candidate if size and positions allow enough overlap.
 4. First round: in each list only neighbours in a random order are candidates, and in each group only
@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from quillgraph.llm.common import U64, materialize, mix, pieces, raw_shingles, release, remove, scratch_dir, shingle_hashes, table, text_buffers
 
 CELL_BITS, CHUNK_BITS = 22, 16
-BITMAP = 64  # bytes
+BITMAP = 128  # bytes
 BLOCK = 2048
 BLOOM_MOST = 1 << 26  # bits
 
@@ -424,6 +424,9 @@ def components(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     nodes = materialize(nodes.select(F.col("first.row").alias("node"), "digest", "first.doc_id", "first.n", "first.grp", "first.bitmap", "first.fine", "first_id"), f"{path}/nodes")
     found = materialize(_shared(_post(worded.select("grp", "n", "prefix")), num, den), f"{path}/shared")
     shared = found.where("other is null").drop("other")
+    # Prefixes have served; without them and the bitmaps what is kept of each document is small.
+    described = materialize(described.select("doc_id", "n", "digest"), f"{path}/documents")
+    remove(spark, f"{path}/described")
     groups = nodes.groupBy("grp").agg(F.min("node").alias("node"), F.count("*").alias("members"))
 
     # Round one: neighbours in lists by their groups' first members, successive members within groups.
@@ -470,7 +473,7 @@ def components(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     out = described.select("doc_id", "n", "digest").join(of_node, "digest", "left")
     out = out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
     out = materialize(out, f"{path}/out")
-    for name in ("described", "nodes", "shared", "near", "heads", "pairs", "close", "best", "members", "groups", "wide", "apart", "fresh", "more"):
+    for name in ("documents", "nodes", "shared", "near", "heads", "pairs", "close", "best", "members", "groups", "wide", "apart", "fresh", "more"):
         remove(spark, f"{path}/{name}")
     return out
 
