@@ -4,16 +4,22 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgraph.functions import vectors
+from quillgraph.operators.graph import _keep, shared_dir
+
+#: Vectors and queries in a block of a cell: a pair of blocks is scored as one matrix product.
+BLOCK, QUERIES = 2048, 256
 
 
 class CellIndex:
     """Cells from a bounded sample (at most `sample` vectors); every vector is assigned to its nearest cell.
 
-    search() scores only vectors in the `probe` cells nearest to the query, by exact cosine.
+    search() scores only vectors in the `probe` cells nearest to the query, by exact cosine.  search_each()
+    takes a table of queries and goes on to every other cell that its bound does not rule out: its results
+    are those of scoring all vectors.
     """
 
     def __init__(self, table: DataFrame, column: str, cells: int = 16, probe: int = 6, sample: int = 20_000, steps: int = 10, seed: int = 7):
@@ -45,3 +51,91 @@ class CellIndex:
         near = np.argsort(-(self.centres @ q))[: self.probe].tolist()
         score = vectors.dot(F.col("_unit"), F.array(*map(F.lit, q.tolist())))
         return self.table.where(F.col("cell").isin(near)).select("id", score.alias("score")).orderBy(F.desc("score"), "id").limit(budget)
+
+    def search_each(self, queries: DataFrame, budget: int) -> DataFrame:
+        """(query_id, id, score): for each query (id, `column`) the `budget` vectors of highest cosine, ties by id.
+
+        After the probed cells, a query visits each cell that can still hold one of its nearest: no member's
+        cosine is over cos(angle to the centre - the cell's widest angle).
+        """
+        centres, probe, spark = self.centres, self.probe, self.table.sparkSession
+        folder = shared_dir(spark)
+        kind = dict(self.table.dtypes)["id"]
+        key = dict(queries.dtypes)["id"]
+        width = dict.fromkeys(range(len(centres)), 0.0)
+        far = self._packed(kind).groupBy("cell").agg(F.min("least").alias("least"))  # one row a cell
+        width.update({r["cell"]: float(np.arccos(np.clip(r["least"], -1, 1))) for r in far.collect()})
+        wide = np.array([width[k] for k in range(len(centres))])
+        asked = queries.select(F.col("id").alias("query_id"), vectors.normalise(F.col(self.column)).alias("_unit"), F.lit(None).cast("double").alias("least"))
+
+        def spread(later: bool):
+            """Queries in blocks for each cell: the probed ones, or later those of the others that are not ruled out."""
+
+            def run(batches):
+                for b in batches:
+                    rows = np.array(b["_unit"].to_pylist(), np.float64).reshape(len(b), -1)
+                    if not len(b):
+                        continue
+                    near = rows @ centres.T
+                    first = np.zeros(near.shape, bool)
+                    np.put_along_axis(first, np.argsort(-near, 1)[:, :probe], True, 1)
+                    if later:
+                        least = np.array([-np.inf if x is None else x for x in b["least"].to_pylist()])
+                        bound = np.cos(np.maximum(np.arccos(np.clip(near, -1, 1)) - wide, 0)) + 1e-9
+                        first = ~first & ((bound >= least[:, None]) | ~rows.any(1)[:, None])
+                    for cell in range(len(centres)):
+                        mine = np.flatnonzero(first[:, cell])
+                        for at in range(0, len(mine), QUERIES):
+                            some = mine[at : at + QUERIES]
+                            yield pa.record_batch([pa.array([cell], pa.int32()), pa.array([b["query_id"].take(pa.array(some)).to_pylist()], pa.list_(b["query_id"].type)), pa.array([rows[some].tobytes()], pa.binary())], ["cell", "asks", "grid"])
+
+            return run
+
+        def score(batches):
+            for b in batches:
+                for asks, grid, ids, members in zip(b["asks"].to_pylist(), b["grid"], b["ids"].to_pylist(), b["members"], strict=True):
+                    x = np.frombuffer(grid.as_buffer(), np.float64).reshape(len(asks), -1)
+                    y = np.frombuffer(members.as_buffer(), np.float64).reshape(len(ids), -1)
+                    scores = np.round(x @ y.T, 12)  # so that equal vectors tie wherever they stand
+                    names, most = np.array(ids), min(budget, len(ids))
+                    out = [[], [], []]
+                    for ask, row in zip(asks, scores, strict=True):
+                        top = np.flatnonzero(row >= np.partition(row, len(row) - most)[len(row) - most])
+                        top = top[np.lexsort((names[top], -row[top]))][:most]
+                        out[0] += [ask] * len(top)
+                        out[1] += [ids[k] for k in top]
+                        out[2] += row[top].tolist()
+                    yield pa.record_batch([pa.array(out[0], b["asks"].type.value_type), pa.array(out[1], b["ids"].type.value_type), pa.array(out[2], pa.float64())], ["query_id", "id", "score"])
+
+        def best(found):
+            place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+            return found.withColumn("_place", place).where(F.col("_place") <= budget).drop("_place")
+
+        def visit(some, later):
+            blocks = some.mapInArrow(spread(later), f"cell int, asks array<{key}>, grid binary")
+            pairs = blocks.join(self._packed(kind), "cell").select("asks", "grid", "ids", "members")
+            return pairs.mapInArrow(score, f"query_id {key}, id {kind}, score double")
+
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))  # a pair of blocks is over 1 MB
+        probed = _keep(best(visit(asked, False)), folder, "probed")
+        full = probed.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("least")).where(F.col("n") >= budget).drop("n")
+        others = asked.drop("least").join(full, "query_id", "left").select("query_id", "_unit", "least")
+        return best(probed.unionByName(visit(others, True)))
+
+    def _packed(self, kind: str) -> DataFrame:
+        """(cell, ids, members, least): vectors of a cell in blocks, and the least cosine of one to the centre."""
+        centres = self.centres
+
+        def pack(batches):
+            for b in batches:
+                if not len(b):
+                    continue
+                rows, cells = np.array(b["_unit"].to_pylist(), np.float64).reshape(len(b), -1), b["cell"].to_numpy()
+                for cell in np.unique(cells):
+                    mine = np.flatnonzero(cells == cell)
+                    for at in range(0, len(mine), BLOCK):
+                        some = mine[at : at + BLOCK]
+                        least = float((rows[some] @ centres[cell]).min())
+                        yield pa.record_batch([pa.array([cell], pa.int32()), pa.array([b["id"].take(pa.array(some)).to_pylist()], pa.list_(b["id"].type)), pa.array([rows[some].tobytes()], pa.binary()), pa.array([least])], ["cell", "ids", "members", "least"])
+
+        return self.table.mapInArrow(pack, f"cell int, ids array<{kind}>, members binary, least double")

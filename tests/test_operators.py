@@ -277,6 +277,38 @@ def test_scene_and_index(spark):
     assert hits >= 80
 
 
+def test_index_of_many_queries_is_exact(spark):
+    import os
+
+    import duckdb
+    import numpy as np
+    import pytest
+
+    from quillgraph.plans import catalogue
+
+    data = "/root/testdata/sf0.01"
+    if not os.path.isdir(data):
+        pytest.skip("needs the driver's tables")
+    rows = duckdb.sql(f"SELECT vec_id, embedding FROM '{data}/embeddings.parquet' ORDER BY vec_id").fetchall()
+    keys, grid = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], np.float64)
+    unit = grid / np.linalg.norm(grid, axis=1)[:, None]
+    got = {}
+    for r in catalogue.ann_topk(spark, data).collect():
+        got.setdefault(r["query_id"], []).append((-r["score"], r["id"]))
+    assert sorted(got) == [k for k in keys.tolist() if k % 50 == 0]
+    for q, found in got.items():
+        scores = unit @ unit[keys == q][0]
+        exact = keys[np.lexsort((keys, -np.round(scores, 12)))][:10]
+        assert {k for _, k in found} == set(exact.tolist())
+    # Far-off and zero vectors, one probed cell, fewer rows than asked for, ties by id.
+    vectors = [(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [-1.0, 0.0]), (4, [2.0, 0.0]), (5, [0.0, 0.0])]
+    df = spark.createDataFrame(vectors, "id long, data array<float>")
+    index = ann.CellIndex(df, "data", cells=4, probe=1)
+    for most, want in ((3, [1, 4, 2]), (9, [1, 4, 2, 5, 3])):
+        found = index.search_each(df.where("id = 1"), most).orderBy(F.desc("score"), "id").collect()
+        assert [r["id"] for r in found] == want
+
+
 def test_memory_graph(spark):
     df = nodes(spark, node("a", at=1), node("b", at=2), node("c", repo="secret", at=3))
     links = edges(spark, ("b", "a", "TemporalNext"))
