@@ -321,6 +321,12 @@ def hash_embed_buckets(spark, d):
     return vectors.hash_embedding(plain, "doc_id", "text", 256).select("doc_id", "bucket", F.round("weight", 6).alias("weight"))
 
 
+@query()
+def hash_embed_all(spark, d):
+    """Every document; its SQL sibling above keeps to the texts that SQL lower-cases and splits in the same way."""
+    return vectors.hash_embedding(table(spark, d, "documents"), "doc_id", "text", 256).select("doc_id", "bucket", F.round("weight", 6).alias("weight"))
+
+
 @query("SELECT count(*) FILTER (e.vec_id IS NOT NULL) AS reused, count(*) FILTER (e.vec_id IS NULL) AS to_embed FROM documents d LEFT JOIN (SELECT vec_id FROM embeddings WHERE label < 5) e ON e.vec_id = d.doc_id")
 def embed_reuse_split(spark, d):
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.lit(1).alias("one"))

@@ -309,6 +309,35 @@ def test_index_of_many_queries_is_exact(spark):
         assert [r["id"] for r in found] == want
 
 
+def test_hash_embedding_of_all_documents(spark):
+    import hashlib
+    import math
+    import os
+    import unicodedata
+
+    import duckdb
+
+    from quillgraph.plans import catalogue
+
+    data = "/root/testdata/sf0.001"
+    if not os.path.isdir(data):
+        pytest.skip("needs the driver's tables")
+    want, tokens_of = {}, {}
+    for key, text in duckdb.sql(f"SELECT doc_id, text FROM '{data}/documents.parquet'").fetchall():
+        kept = "".join(c if unicodedata.category(c)[0] in "LN" else " " for c in (text or "").lower())
+        tokens_of[key] = kept.split()
+        sums = {}
+        for token in tokens_of[key]:
+            h = hashlib.sha256(token.encode()).hexdigest()
+            at = int(h[:8], 16) % 256
+            sums[at] = sums.get(at, 0) + (1 if int(h[16], 16) % 2 == 0 else -1)
+        size = math.sqrt(sum(w * w for w in sums.values()))
+        want |= {(key, at): w / size for at, w in sums.items() if w}
+    got = {(r["doc_id"], r["bucket"]): r["weight"] for r in catalogue.hash_embed_all(spark, data).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want)
+    assert {k for k, _ in got} == {k for k, t in tokens_of.items() if t}
+
+
 def test_memory_graph(spark):
     df = nodes(spark, node("a", at=1), node("b", at=2), node("c", repo="secret", at=3))
     links = edges(spark, ("b", "a", "TemporalNext"))
