@@ -9,15 +9,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgraph.functions.text import truncate
+from quillgraph.operators.anchor import positions
 from quillgraph.operators.graph import contradicted, degrees, inside
 
 
 def ring(nodes: DataFrame, total: int | None = None) -> DataFrame:
-    """(id, x, y, z): nodes around a circle in order of id; for the few of a scene without vectors."""
+    """(id, x, y, z): nodes around a circle in order of id, numbered by range partitions."""
     n = total if total is not None else nodes.count()
-    place = (F.row_number().over(Window.orderBy("id")) - 1).cast("double")
-    angle = place * F.lit(2 * math.pi / max(n, 1))
-    return nodes.select("id", F.cos(angle).alias("x"), F.sin(angle).alias("y"), (F.sin(angle * 2) * 0.3).alias("z"))
+    angle = F.col("pos").cast("double") * F.lit(2 * math.pi / max(n, 1))
+    return positions(nodes.select("id"), ["id"]).select("id", F.cos(angle).alias("x"), F.sin(angle).alias("y"), (F.sin(angle * 2) * 0.3).alias("z"))
 
 
 def moments(vectors: DataFrame, column: str, dim: int) -> tuple[int, np.ndarray, np.ndarray]:

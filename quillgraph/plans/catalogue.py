@@ -513,6 +513,12 @@ def scene_ring(spark, d):
     return scene.ring(few).select("id", F.round("x", 9).alias("x"), F.round("y", 9).alias("y"))
 
 
+@query("WITH p AS (SELECT 'vec' || vec_id AS id, row_number() OVER (ORDER BY 'vec' || vec_id) - 1 AS i, count(*) OVER () AS n FROM embeddings) SELECT id, round(cos(i * 2 * pi() / n), 9) + 0.0 AS x, round(sin(i * 2 * pi() / n), 9) + 0.0 AS y FROM p")
+def scene_ring_all(spark, d):
+    ids = table(spark, d, "embeddings").select(F.concat(F.lit("vec"), "vec_id").alias("id"))
+    return scene.ring(ids).select("id", F.round("x", 9).alias("x"), F.round("y", 9).alias("y"))
+
+
 @query()
 def scene_pca(spark, d):
     rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")

@@ -338,6 +338,20 @@ def test_hash_embedding_of_all_documents(spark):
     assert {k for k, _ in got} == {k for k, t in tokens_of.items() if t}
 
 
+def test_ring_holds_every_row(spark):
+    import math
+
+    from quillgraph.plans import catalogue
+
+    df = spark.createDataFrame([(f"n{i:04}",) for i in range(600)], "id string").repartition(7)
+    got = {r["id"]: (r["x"], r["y"]) for r in scene.ring(df).collect()}
+    assert len(got) == 600
+    for i in range(600):
+        x, y = got[f"n{i:04}"]
+        assert abs(x - math.cos(2 * math.pi * i / 600)) < 1e-9 and abs(y - math.sin(2 * math.pi * i / 600)) < 1e-9
+    assert "scene_ring_all" in catalogue.QUERIES and "scene_ring_all" in catalogue.ORACLE
+
+
 def test_memory_graph(spark):
     df = nodes(spark, node("a", at=1), node("b", at=2), node("c", repo="secret", at=3))
     links = edges(spark, ("b", "a", "TemporalNext"))
