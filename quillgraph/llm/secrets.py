@@ -2,8 +2,9 @@
 
 Base kinds, leftmost and non-overlapping per kind, failing matches dropped: assign (a name such as
 password, then : or =, then a value of 6 characters or more), access (AKIA, 20 characters or more) and
-hex (24 characters or more).  Beyond these, a run of 16 or more key characters with a letter and a digit,
-shortly after a sensitive word and outside all base spans, is a candidate: a zstandard compressor primed
+hex (24 characters or more).  Beyond these, a run of 16 or more key characters with a letter and a digit
+that starts at most NEAR characters after a sensitive word (or follows such a run, joined by dots, as the parts
+of a JWT do) and lies outside all base spans is a candidate: a zstandard compressor primed
 with a dictionary of common code identifiers measures the surrounding text with and without it, and the
 difference in bytes is what the candidate adds.  If that is NOVEL bytes a character or more it is reported
 as kind novel; identifiers and words that the surroundings repeat cost little.
@@ -34,6 +35,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 SENSITIVE = re.compile(r"(?ai:passw|pwd|secret|token|api|key|auth|bearer|credential|private|signature)")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+JOINED = re.compile(r"\.[A-Za-z0-9+/_=-]+")
 #: What can hold any span at all, for a first look at whole texts.
 ANY = r"(?i:passw|pwd|secret|token|api|key|auth|bearer|credential|private|signature)|AKIA|[0-9a-f]{24}"
 #: Bytes a character from which a candidate counts as novel; characters of text on each side; how near the sensitive word is.
@@ -54,30 +56,41 @@ def _primed() -> zstandard.ZstdCompressor:
     return zstandard.ZstdCompressor(level=3, dict_data=words, write_content_size=False, write_checksum=False)
 
 
-def marginal_bytes(text: str, start: int, end: int) -> int:
-    """Compressed bytes that text[start:end] adds to what surrounds it."""
-    before, after = text[max(0, start - AROUND) : start], text[end : end + AROUND]
+def marginal_bytes(text: str, start: int, end: int, first: int | None = None, last: int | None = None) -> int:
+    """Compressed bytes that text[start:end] adds to what surrounds it, or surrounds the runs text[first:last] it is one of."""
+    first, last = start if first is None else first, end if last is None else last
+    before, after = text[max(0, first - AROUND) : first], text[last : last + AROUND]
     size = lambda s: len(_primed().compress(s.encode()))
     return size(before + after + text[start:end]) - size(before + after)
 
 
+def _candidates(text: str):
+    """Runs near sensitive words, each as a list of (start, end): itself and the runs joined to it by dots."""
+    reach = 0
+    for s in SENSITIVE.finditer(text):
+        # A run that starts NEAR after the word has its first 16 characters inside.
+        for m in CANDIDATE.finditer(text, max(reach, s.end()), s.end() + NEAR + 16):
+            if m.start() < reach:  # joined to the one before
+                continue
+            parts = [(m.start(), CANDIDATE.match(text, m.start()).end())]
+            while part := JOINED.match(text, parts[-1][1]):
+                parts.append((part.start() + 1, part.end()))
+            reach = parts[-1][1]
+            yield parts
+
+
 def find(text: str) -> list[tuple[int, int, int, int]]:
     """(start, kind's number, end, where the secret itself starts), in the order of spans."""
     out = [(m.start(), 0, m.end(), m.start(2)) for m in ASSIGN.finditer(text) if m.end() - m.start(2) >= 6]
     out += [(m.start(), 1, m.end(), m.start()) for m in ACCESS.finditer(text)]
     out += [(m.start(), 2, m.end(), m.start()) for m in HEX.finditer(text)]
     base = [(a, z) for a, _, z, _ in out]
-    reach = 0
-    for s in SENSITIVE.finditer(text):
-        for m in CANDIDATE.finditer(text, max(reach, s.end()), s.end() + NEAR):
-            start, end = m.start(), m.end()
-            if end == s.end() + NEAR:  # cut by the end of the region: take the whole run
-                end = CANDIDATE.match(text, start).end()
-            reach = max(reach, end)
+    for parts in _candidates(text):
+        for start, end in parts:
             x = text[start:end]
-            if any(a < end and start < z for a, z in base) or not (re.search("[0-9]", x) and re.search("[A-Za-z]", x)):
+            if len(x) < 16 or any(a < end and start < z for a, z in base) or not (re.search("[0-9]", x) and re.search("[A-Za-z]", x)):
                 continue
-            if marginal_bytes(text, start, end) >= NOVEL * (end - start):
+            if marginal_bytes(text, start, end, parts[0][0], parts[-1][1]) >= NOVEL * (end - start):
                 out.append((start, 3, end, start))
     return sorted(out)
 

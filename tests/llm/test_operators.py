@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import string
 import zlib
 
 import numpy as np
@@ -451,3 +452,18 @@ def test_secret_novelty_and_redaction(spark):
     assert got[1] == (1, "the auth header: Bearer [secret]", 32) and got[2][1] == words
     assert got[3] == (3, "", None) and [x[1] for x in got[4:]] == ["", "[secret]"]
     assert secrets.redact(docs(spark, rows).where("false")).count() == 0
+
+
+def test_secrets_anywhere_near_a_word(spark):
+    rng = random.Random(11)
+    for gap in range(1, 60):
+        key = "".join(rng.choice(string.ascii_letters + string.digits) for _ in range(39)) + "7"
+        text = "the key" + ":" + " " * (gap - 1) + key + " and so on."
+        start = 7 + gap
+        assert secrets.find(text) == ([(start, 3, start + 40, start)] if gap <= secrets.NEAR else []), gap
+    key = "q8Zx81kQpL09aMmNq7RtYwV3bT5cX2nD"
+    parts = ["eyJhbGciOiJIUzI1NiIsInR5cCI6IkpXVCJ9", "eyJzdWIiOiI0ODIxOTM3NTYwIiwibmFtZSI6IlF1aWxsIn0", "k3", "TJVA95OrM7E2cBab30RMHrHDcEfxjoYZgeFONFh7HgQ"]
+    rows = [(0, f"key for the production server is: {key}"), (1, "Authorization: Bearer " + ".".join(parts) + " ok"), (2, f"a {parts[1]}.{parts[3]}")]
+    got = sorted((r["doc_id"], r["text"]) for r in secrets.redact(docs(spark, rows)).collect())
+    assert got[0][1] == "key for the production server is: [secret]"
+    assert got[1][1] == "Authorization: Bearer [secret].[secret].k3.[secret] ok" and got[2][1] == rows[2][1]
