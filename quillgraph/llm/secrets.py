@@ -6,8 +6,9 @@ hex (24 characters or more).  Beyond these, a run of 16 or more key characters w
 that starts at most NEAR characters after a sensitive word (or follows such a run, joined by dots, as the parts
 of a JWT do) and lies outside all base spans is a candidate: a zstandard compressor primed
 with a dictionary of common code identifiers measures the surrounding text with and without it, and the
-difference in bytes is what the candidate adds.  If that is NOVEL bytes a character or more it is reported
-as kind novel; identifiers and words that the surroundings repeat cost little.
+difference in bytes is what the candidate adds.  Other copies of the
+candidate are blanked first.  If that is NOVEL bytes a character or more (less for long ones: `needed_bytes`) it
+is reported as kind novel; identifiers and words that the surroundings repeat cost little.
 
 Null and empty texts have no spans (counts 0, digest of the empty string, spans empty).  Equal texts give
 equal results, repeated rows are repeated, an empty table gives no rows.  `scan` reads only doc_id and text;
@@ -16,6 +17,7 @@ equal results, repeated rows are repeated, an empty table gives no rows.  `scan`
 
 from __future__ import annotations
 
+import math
 import re
 from functools import lru_cache
 from hashlib import sha256
@@ -40,6 +42,8 @@ JOINED = re.compile(r"\.[A-Za-z0-9+/_=-]+")
 ANY = r"(?i:passw|pwd|secret|token|api|key|auth|bearer|credential|private|signature)|AKIA|[0-9a-f]{24}"
 #: Bytes a character from which a candidate counts as novel; characters of text on each side; how near the sensitive word is.
 NOVEL, AROUND, NEAR = 0.8, 256, 40
+#: Characters up to which that holds; the share of an alphabet's entropy that very long candidates need.
+SHORT, RANDOM = 64, 0.97
 IDENTIFIERS = (
     "import from return def class function const let var public private static void string int float bool true false null "
     "None self this new try except catch finally raise throw if else elif for while break continue yield async await lambda "
@@ -57,13 +61,31 @@ def _primed() -> zstandard.ZstdCompressor:
 
 
 def marginal_bytes(text: str, start: int, end: int, first: int | None = None, last: int | None = None) -> int:
-    """Compressed bytes that text[start:end] adds to what surrounds it, or surrounds the runs text[first:last] it is one of."""
+    """Compressed bytes that text[start:end] adds to what surrounds it, or surrounds the runs text[first:last] it is one of.
+
+    Its other copies there are blanked, also where the edge of the surroundings cuts them.
+    """
     first, last = start if first is None else first, end if last is None else last
-    before, after = text[max(0, first - AROUND) : first], text[last : last + AROUND]
+    x, more = text[start:end], AROUND + end - start
+    blank = lambda s: s.replace(x, " " * len(x))
+    before, after = blank(text[max(0, first - more) : first])[-AROUND:], blank(text[last : last + more])[:AROUND]
     size = lambda s: len(_primed().compress(s.encode()))
     return size(before + after + text[start:end]) - size(before + after)
 
 
+def needed_bytes(x: str) -> float:
+    """Bytes from which x is novel: NOVEL a character while the code of its surroundings decides what it costs, and
+    nearer to what random characters of its alphabet take the longer it is, as the compressor then adapts to it."""
+    if re.fullmatch("[0-9A-F]+|[0-9a-f]+", x):
+        size = 16
+    elif re.fullmatch("[A-Z2-7]+=*", x):
+        size = 32
+    else:
+        size = sum(n for c, n in (("[0-9]", 10), ("[A-Z]", 26), ("[a-z]", 26)) if re.search(c, x)) + len(set(x) & set("+/_-"))
+    least = min(NOVEL, RANDOM * math.log2(size) / 8)
+    return len(x) * (least + (NOVEL - least) * min(1.0, SHORT / len(x)))
+
+
 def _candidates(text: str):
     """Runs near sensitive words, each as a list of (start, end): itself and the runs joined to it by dots."""
     reach = 0
@@ -90,7 +112,7 @@ def find(text: str) -> list[tuple[int, int, int, int]]:
             x = text[start:end]
             if len(x) < 16 or any(a < end and start < z for a, z in base) or not (re.search("[0-9]", x) and re.search("[A-Za-z]", x)):
                 continue
-            if marginal_bytes(text, start, end, parts[0][0], parts[-1][1]) >= NOVEL * (end - start):
+            if marginal_bytes(text, start, end, parts[0][0], parts[-1][1]) >= needed_bytes(x):
                 out.append((start, 3, end, start))
     return sorted(out)
 

@@ -467,3 +467,25 @@ def test_secrets_anywhere_near_a_word(spark):
     got = sorted((r["doc_id"], r["text"]) for r in secrets.redact(docs(spark, rows)).collect())
     assert got[0][1] == "key for the production server is: [secret]"
     assert got[1][1] == "Authorization: Bearer [secret].[secret].k3.[secret] ok" and got[2][1] == rows[2][1]
+
+
+def test_secrets_repeated_and_long(spark):
+    key = "q8Zx81kQpL09aMmNq7RtYwV3bT5cX2nDs6Jh4Gf1"
+    line = f"the auth header of the server: {key} is kept here. "
+    for gap in ("", "and some other words stand between them. " * 5, "x y " * 63):  # in full, and cut by the edge
+        text = line + gap + line
+        assert [text[a:z] for a, _, z, _ in secrets.find(text)] == [key, key], gap
+    assert secrets.redact(docs(spark, [(0, line * 3)])).first()["text"] == line.replace(key, "[secret]") * 3
+    rng = random.Random(12)
+    words = ["the", "house", "river", "and", "letter", "of", "morning", "garden", "under", "people", "a", "window", "some", "quiet", "they"]
+    for alphabet in ("0123456789ABCDEF", string.ascii_uppercase + "234567", string.ascii_letters + string.digits + "+/"):
+        for n in (256, 512, 1024, 4096):
+            hits = 0
+            for _ in range(20):
+                before = " ".join(rng.choice(words) for _ in range(60)) + " the key: "
+                x = "".join(rng.choice(alphabet) for _ in range(n))
+                hits += (len(before), 3, len(before) + n, len(before)) in secrets.find(f"{before}{x} {' '.join(rng.choice(words) for _ in range(60))}")
+            assert hits >= 19, (alphabet, n, hits)
+    for joiner in ("_", "-"):
+        long = joiner.join(rng.choice(words) for _ in range(200)) + "17"
+        assert not secrets.find("the key: " + long)
