@@ -2,7 +2,9 @@
 
 Base kinds, leftmost and non-overlapping per kind, failing matches dropped: email; ip (four parts, each at
 most 255); card (12 to 19 digits that pass Luhn); phone (9 to 15 digits).  The method adds kind iban
-(two letters, two check digits, 11 to 30 more in groups or not, right by mod 97).
+(two letters, two check digits, 11 to 30 more in groups or not, right by mod 97): the country's length where
+one is fixed, else the longest that is right; every place where one can begin is tried, leftmost first, and
+one that fails hides no other.
 
 Positions come from split(): the pieces between matches alternate with the matches, so running sums of
 their lengths (in code points) are the offsets.  Each pattern here takes the same matches as its plain form
@@ -29,8 +31,22 @@ PATTERNS = {
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])",
 }
+#: Where an IBAN can begin, and whole groups from there on; the longest is 34 characters with a blank after each but the last.
+IBAN_START = r"(?<![A-Za-z0-9])(?=[A-Z]{2}[0-9]{2}\x20?[A-Z0-9])"
+IBAN_GROUPS = r"^[A-Z]{2}[0-9]{2}[A-Z0-9]*+(?![A-Za-z0-9])(?:\x20[A-Z0-9]++(?![A-Za-z0-9]))*+"
+IBAN_MOST = 68
+#: Fixed lengths of countries' IBANs.
+IBAN_LENGTHS = {
+    c: n
+    for n, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+        22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+        25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+        29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for c in countries.split()
+}
 #: What a text must hold for a pattern to be tried.
 HINTS = {
     "email": r"@[A-Za-z0-9-]",
@@ -87,8 +103,6 @@ def _valid(kind: str, text: Column) -> Column:
         return F.length(digits).between(12, 19) & _luhn(digits)
     if kind == "phone":
         return F.length(_only_digits(text)).between(9, 15)
-    if kind == "iban":
-        return F.length(F.regexp_replace(text, " ", "")).between(15, 34) & _mod97(text)
     return F.lit(True)
 
 
@@ -115,17 +129,46 @@ def _spans(kind: str, matches: Column, between: Column) -> Column:
     return F.transform(F.filter(made, lambda x: _valid(kind, x["text"])), lambda x: x.dropFields("text"))
 
 
+def _ibans(pieces: Column) -> Column:
+    """As _spans, from a text cut before each place where an IBAN can begin."""
+    rank = KINDS.index("iban")
+    lengths = F.create_map(*[F.lit(x) for pair in IBAN_LENGTHS.items() for x in pair])
+    start = F.aggregate(
+        F.sequence(F.lit(1), F.size(pieces)),
+        F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts")),
+        lambda a, i: F.struct((a["at"] + F.length(F.element_at(pieces, i))).alias("at"), F.concat(a["starts"], F.array(a["at"])).alias("starts")),
+    )["starts"]
+
+    def best(i, at):
+        """The span that begins with piece i: (start, kind, end, score), null if none is right."""
+        # A piece but the first has 5 characters or more, so 20 of them hold the longest.
+        window = F.substring(F.array_join(F.slice(pieces, i, 20), ""), 1, IBAN_MOST)
+        groups = F.split(F.regexp_extract(window, IBAN_GROUPS, 0), " ")
+        fixed = F.try_element_at(lengths, F.substring(window, 1, 2))
+        tried = F.transform(F.sequence(F.size(groups), F.lit(1), F.lit(-1)), lambda n: F.array_join(F.slice(groups, F.lit(1), n), " "))
+        size = lambda x: F.length(F.regexp_replace(x, " ", ""))
+        right = F.filter(tried, lambda x: size(x).between(15, 34) & (size(x) == F.coalesce(fixed, size(x))) & _mod97(x))
+        before = F.when(i > 1, F.array_join(F.slice(pieces, F.greatest(i - 8, F.lit(1)), F.least(i - 1, F.lit(8))), "")).otherwise(F.lit(""))
+        found = F.struct(at.alias("start"), F.lit(rank).alias("kind"), (at + F.length(right[0])).alias("end"), _score("iban", before).alias("score"))
+        return F.when(F.size(right) > 0, found)
+
+    made = F.filter(F.transform(F.arrays_zip(F.sequence(F.lit(1), F.size(pieces)).alias("i"), start.alias("s")), lambda x: best(x["i"], x["s"])), lambda x: x.isNotNull())
+    none = F.array().cast("array<struct<start:int,kind:int,end:int,score:double>>")
+    return F.aggregate(made, none, lambda a, x: F.when(x["start"] >= F.coalesce(F.try_element_at(a, F.lit(-1))["end"], F.lit(0)), F.concat(a, F.array(x))).otherwise(a))
+
+
 def find(docs: DataFrame) -> DataFrame:
     """(doc_id, spans array<struct<start, kind, end, score>>) in the order of start, then kind."""
     docs = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
     empty = F.array().cast("array<string>")
-    for kind in KINDS:
+    for kind in BASE:
         hit = F.coalesce(F.col("text").rlike(HINTS[kind]), F.lit(False))
         docs = docs.withColumn(f"_{kind}", F.when(hit, F.regexp_extract_all("text", F.lit(PATTERNS[kind]), F.lit(0))).otherwise(empty))
-    for kind in KINDS:
+    for kind in BASE:
         docs = docs.withColumn(f"_{kind}_between", F.when(F.size(f"_{kind}") > 0, F.split("text", PATTERNS[kind])).otherwise(empty))
     none = F.array().cast("array<struct<start:int,kind:int,end:int,score:double>>")
-    found = [F.when(F.size(f"_{k}") > 0, _spans(k, F.col(f"_{k}"), F.col(f"_{k}_between"))).otherwise(none) for k in KINDS]
+    found = [F.when(F.size(f"_{k}") > 0, _spans(k, F.col(f"_{k}"), F.col(f"_{k}_between"))).otherwise(none) for k in BASE]
+    found.append(F.when(F.coalesce(F.col("text").rlike(HINTS["iban"]), F.lit(False)), _ibans(F.split("text", IBAN_START))).otherwise(none))
     return docs.select("doc_id", F.array_sort(F.concat(*found)).alias("spans"))
 
 

@@ -418,6 +418,23 @@ def test_text_media(spark):
     assert tiles[1]["height"] == 10 and tiles[2]["dhash"] is None and tiles[3]["tile"] is None
 
 
+def test_ibans_before_other_words(spark):
+    de, gb = "DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32"
+    made = "QX{:02} AB12 3456 7890 12"  # of no country: any length that is right
+    made = next(x for x in map(made.format, range(98)) if int("".join(str(int(c, 36)) for c in (x[4:] + x[:4]).replace(" ", ""))) % 97 == 1)
+    texts = [
+        ("DE89370400440532013000 EUR 500", ["DE89370400440532013000"]),
+        ("pay DE89370400440532013000 2024", ["DE89370400440532013000"]),
+        (f"{de} BIC", [de]), (f"{de} {gb} {de}", [de, gb, de]), (f"DE00 1234 {gb} X", [gb]), (f"é😀 QX12 {de}", [de]),
+        (f"{made} BIC CODE", [made]), (de + "1", []), (de + "a", []), ("x" + de, []), ("DE89  3704 0044 0532 0130 00", []),
+        ("DE89 3704 0044 0532 0130 01 BIC", []), ("D E89 3704 0044 0532 0130 00", []), (" ".join(de.replace(" ", "")[4:]).join(["DE89 ", " Z"]), ["DE89 " + " ".join(de.replace(" ", "")[4:])]),
+    ]
+    for r in pii.digest(pii.find(docs(spark, [(i, t) for i, (t, _) in enumerate(texts)]))).collect():
+        text, want = texts[r["doc_id"]]
+        spans = [x.split(":") for x in r["spans"].split(",") if x.startswith("iban")]
+        assert [text[int(a) : int(z)] for _, a, z in spans] == want and r["n_iban"] == len(want), text
+
+
 # secrets -------------------------------------------------------------------------------------------------
 
 
