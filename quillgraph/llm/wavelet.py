@@ -14,6 +14,7 @@ text are not read, so clashing names do no harm.
 from __future__ import annotations
 
 import json
+import re
 import struct
 import zlib
 
@@ -175,14 +176,17 @@ class ChunkEncoder:
     Holds for tokenizers that drop white space and treat what it separates independently, as the word
     BPE file does (its normaliser works by character or within a chunk, its splitter never crosses white
     space); the tests compare with encoding the texts whole.  Up to `keep` chunks are remembered in Arrow
-    arrays, others are encoded anew in each batch.
+    arrays, others are encoded anew in each batch.  Special tokens written in a text are text like any other,
+    or with `specials` get their own ids, as in the library's plain encode.
     """
 
-    def __init__(self, spec: bytes, dtype: str = "<u2", keep: int = 1_000_000):
+    def __init__(self, spec: bytes, dtype: str = "<u2", keep: int = 1_000_000, specials: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_buffer(spec)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not specials
+        names = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.special and t.content]
+        self.written = "(?i)" + "|".join(map(re.escape, names)) if specials and names else None
         self.dtype, self.keep = np.dtype(dtype), keep
         suffix = json.loads(spec)["model"].get("end_of_word_suffix")
         self.ends = None
@@ -246,7 +250,10 @@ class ChunkEncoder:
         words = pc.list_flatten(lists).dictionary_encode()
         names = words.dictionary
         plain = pc.string_is_ascii(names)
-        names = pc.if_else(plain, pc.ascii_lower(pc.if_else(plain, names, "")), names)
+        low = plain
+        if self.written:  # special tokens are told by their case
+            low = pc.and_(plain, pc.invert(pc.match_substring_regex(names, self.written)))
+        names = pc.if_else(low, pc.ascii_lower(pc.if_else(low, names, "")), names)
         # An ASCII chunk's last full stop or comma after a letter is a piece of its own.
         mark = np.zeros(len(names), np.int8)
         if self.marks is not None:
@@ -283,13 +290,13 @@ def _stretches(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
-def shard_table(docs: DataFrame, tokenizer: str, end_id: int = 1, shard_bytes: int = 8 << 20, width: int = 16) -> DataFrame:
+def shard_table(docs: DataFrame, tokenizer: str, end_id: int = 1, shard_bytes: int = 8 << 20, width: int = 16, specials: bool = False) -> DataFrame:
     """(shard long, n_tokens long, file binary): documents (doc_id, text) as shard files in doc_id order.
 
     Documents are dealt by ranges of doc_id (its quantiles) of about shard_bytes of text each; a range
     that holds more, by long texts or many rows of one id, is cut into several files, so that no task
     holds more than about twice shard_bytes and one text.  Shards number range << 20 | file.
-    tokenizer: path of a tokenizers file, read on the driver.
+    tokenizer: path of a tokenizers file, read on the driver; specials: see ChunkEncoder.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -305,7 +312,7 @@ def shard_table(docs: DataFrame, tokenizer: str, end_id: int = 1, shard_bytes: i
     kind = "<u4" if width > 16 else "<u2"
 
     def encode(batches):
-        encoder = held(("chunks", hash(spec.value), kind), lambda: ChunkEncoder(spec.value, kind))
+        encoder = held(("chunks", hash(spec.value), kind, specials), lambda: ChunkEncoder(spec.value, kind, specials=specials))
         for whole in batches:
             for b in pieces(whole, "text", 10 << 20):
                 ids, at = encoder.encode(b["text"])
@@ -384,7 +391,7 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = scratch_dir(spark)
-    files = shard_table(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    files = shard_table(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), specials=True)
     files.write.option("compression", "none").parquet(f"{path}/files")
     out = materialize(read_documents(spark.read.parquet(f"{path}/files")), f"{path}/rows")
     remove(spark, f"{path}/files")

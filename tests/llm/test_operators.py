@@ -78,6 +78,18 @@ def test_token_files(spark, tmp_path):
     assert wavelet.read_documents(wavelet.shard_table(docs(spark, [(1, "x")]).where("false"), path)).count() == 0
 
 
+def test_token_files_of_special_tokens(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(tokenizers.path("word_bpe_49k.json"))
+    values = ["one <|endoftext|> two", "One<|startoftext|>Two.", "<|ENDOFTEXT|> a,", "x<|endoftext|><|endoftext|>y.", "é<|endoftext|>É", "<|endoftext| >", "plain Words, again."]
+    docs(spark, numbered(values)).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in wavelet.op1_token_files(spark, str(tmp_path)).collect()}
+    for i, t in numbered(values):
+        ids = whole.encode(t, add_special_tokens=False).ids + [1]
+        assert (got[i]["n_tokens"], got[i]["ids_crc32"]) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())), t
+
+
 # MaxScore ------------------------------------------------------------------------------------------------
 
 
