@@ -108,11 +108,14 @@ def _folded(bitmap: bytes, size: int) -> bytes:
 
 
 def _describe(docs: DataFrame, k: int, num: int, den: int, order) -> DataFrame:
-    """(doc_id, digest, n, grp, prefix, bitmap, fine): all but doc_id and n are null without words.
+    """(doc_id, digest, n, grp, prefix, bitmap, fine) and docs' other columns but text: all but doc_id and n are null without words.
 
     grp is a 64-bit hash of size and prefix; were two to meet, their members would be candidates in vain.
     """
 
+    more = [c for c in docs.columns if c not in ("doc_id", "text")]
+    kinds = "".join(f", {c} {dict(docs.dtypes)[c]}" for c in more)
+
     def run(batches):
         release()
         rank = order.value
@@ -135,9 +138,9 @@ def _describe(docs: DataFrame, k: int, num: int, den: int, order) -> DataFrame:
                     prefix.append(raw)
                     fine.append(_bitmap(h))
                     bitmap.append(_folded(fine[-1], BITMAP))
-                yield pa.record_batch([b["doc_id"], pa.array(digest, pa.binary()), pa.array(n, pa.int64()), pa.array(grp, pa.int64()), pa.array(prefix, pa.binary()), pa.array(bitmap, pa.binary()), pa.array(fine, pa.binary())], ["doc_id", "digest", "n", "grp", "prefix", "bitmap", "fine"])
+                yield pa.record_batch([b["doc_id"], pa.array(digest, pa.binary()), pa.array(n, pa.int64()), pa.array(grp, pa.int64()), pa.array(prefix, pa.binary()), pa.array(bitmap, pa.binary()), pa.array(fine, pa.binary()), *(b[c] for c in more)], ["doc_id", "digest", "n", "grp", "prefix", "bitmap", "fine", *more])
 
-    return docs.mapInArrow(run, "doc_id long, digest binary, n long, grp long, prefix binary, bitmap binary, fine binary")
+    return docs.mapInArrow(run, "doc_id long, digest binary, n long, grp long, prefix binary, bitmap binary, fine binary" + kinds)
 
 
 def _post(described: DataFrame) -> DataFrame:
@@ -411,21 +414,28 @@ def connected(links: DataFrame, path: str) -> DataFrame:
             return labels
 
 
-def components(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of documents (doc_id, text)."""
+def components(docs: DataFrame, k: int, num: int, den: int, heads: bool = False) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of documents (doc_id, text).
+
+    With `heads` also own, the MD5 of the text, and stays: whether (doc_id, own) is the least of its component,
+    null ids last; texts without words are on their own and stay.
+    """
     spark = docs.sparkSession
     path = scratch_dir(spark)
     docs = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
     order = spark.sparkContext.broadcast(sketch(docs, k))
-    described = materialize(_describe(docs, k, num, den, order).withColumn("row", F.monotonically_increasing_id()), f"{path}/described")
+    own, head = ["own"] if heads else [], ["head"] if heads else []
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "own") if heads else None
+    known = docs.withColumn("own", F.unhex(F.md5("text"))) if heads else docs
+    described = materialize(_describe(known, k, num, den, order).withColumn("row", F.monotonically_increasing_id()), f"{path}/described")
     worded = described.where("digest is not null")
     first = F.min(F.struct("row", "doc_id", "n", "grp", "bitmap", "fine")).alias("first")
-    nodes = worded.groupBy("digest").agg(first, F.min("doc_id").alias("first_id"))
-    nodes = materialize(nodes.select(F.col("first.row").alias("node"), "digest", "first.doc_id", "first.n", "first.grp", "first.bitmap", "first.fine", "first_id"), f"{path}/nodes")
+    nodes = worded.groupBy("digest").agg(first, F.min("doc_id").alias("first_id"), *(F.min(key).alias(c) for c in head))
+    nodes = materialize(nodes.select(F.col("first.row").alias("node"), "digest", "first.doc_id", "first.n", "first.grp", "first.bitmap", "first.fine", "first_id", *head), f"{path}/nodes")
     found = materialize(_shared(_post(worded.select("grp", "n", "prefix")), num, den), f"{path}/shared")
     shared = found.where("other is null").drop("other")
     # Prefixes have served; without them and the bitmaps what is kept of each document is small.
-    described = materialize(described.select("doc_id", "n", "digest"), f"{path}/documents")
+    described = materialize(described.select("doc_id", "n", "digest", *own), f"{path}/documents")
     remove(spark, f"{path}/described")
     groups = nodes.groupBy("grp").agg(F.min("node").alias("node"), F.count("*").alias("members"))
 
@@ -467,11 +477,11 @@ def components(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
         if not further.isEmpty():
             comps = connected(links.union(further), f"{path}/two")
 
-    ids = nodes.select("node", "digest", "first_id").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    least = ids.groupBy("comp").agg(F.min("first_id").alias("component_id"))
-    of_node = ids.join(least, "comp").select("digest", "component_id")
-    out = described.select("doc_id", "n", "digest").join(of_node, "digest", "left")
-    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    ids = nodes.select("node", "digest", "first_id", *head).join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    least = ids.groupBy("comp").agg(F.min("first_id").alias("component_id"), *(F.min(c).alias(c) for c in head))
+    of_node = ids.drop(*head).join(least, "comp").select("digest", "component_id", *head)
+    out = described.join(of_node, "digest", "left")
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), *own, *((F.col("digest").isNull() | key.eqNullSafe(F.col(c))).alias("stays") for c in head))
     out = materialize(out, f"{path}/out")
     for name in ("documents", "nodes", "shared", "near", "heads", "pairs", "close", "best", "members", "groups", "wide", "apart", "fresh", "more"):
         remove(spark, f"{path}/{name}")
@@ -479,16 +489,15 @@ def components(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
 
 
 def keep_one_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """docs with one document of each component: the one with the smallest doc_id; docs' own columns.
+    """docs with one row of each component: the one with the smallest doc_id; docs' own columns.
 
-    Rows that repeat a doc_id and its text are one document; one row of them stays.  Most rows are known to
-    stay by a bitmap of the ids that go or repeat; only the others, with a few that it cannot tell, are
-    joined with the exact list.
+    Null ids come last; of several texts under the smallest id, that with the least MD5 stays.  Rows that repeat
+    a doc_id and its text are one document; one row of them stays.  Most rows are known to stay by a bitmap of
+    the ids that go or repeat; only the others, with a few that it cannot tell, are joined with the exact list.
     """
-    groups = components(docs, k, num, den)
+    groups = components(docs, k, num, den, heads=True)
     names = docs.columns
-    stays = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    unsure = groups.groupBy("doc_id").agg(F.count("*").alias("rows"), F.bool_and(stays).alias("stays"), F.bool_or(stays).alias("some")).where("rows > 1 or not stays")
+    unsure = groups.groupBy("doc_id", "own").agg(F.count("*").alias("rows"), F.bool_or("stays").alias("stays")).where("rows > 1 or not stays")
     count = unsure.count()
     marks = docs.sparkSession.sparkContext.broadcast(_bloom(unsure.select(F.coalesce("doc_id", F.lit(-1)).alias("id")), count))
     rows = docs.withColumn("_doc", F.col("doc_id").cast("long"))
@@ -503,9 +512,10 @@ def keep_one_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) ->
         return run
 
     sure = rows.mapInArrow(split(False), rows.schema)
-    listed = unsure.select(F.col("doc_id").alias("_id"), F.col("some").alias("_some"))
-    rest = rows.mapInArrow(split(True), rows.schema).join(listed, F.col("_doc").eqNullSafe(F.col("_id")), "left").where("_some is null or _some")
-    same = Window.partitionBy("_doc", F.md5(F.col("text").cast("string"))).orderBy(F.lit(0))
+    listed = unsure.select(F.col("doc_id").alias("_id"), F.col("own").alias("_of"), F.col("stays").alias("_stays"))
+    rest = rows.mapInArrow(split(True), rows.schema).withColumn("_own", F.unhex(F.md5(F.col("text").cast("string"))))
+    rest = rest.join(listed, F.col("_doc").eqNullSafe(F.col("_id")) & F.col("_own").eqNullSafe(F.col("_of")), "left").where("_stays is null or _stays")
+    same = Window.partitionBy("_doc", "_own").orderBy(F.lit(0))
     rest = rest.withColumn("_place", F.row_number().over(same)).where("_place = 1")
     own = [F.col(f"`{c}`") for c in names]
     return sure.select(*own).unionByName(rest.select(*own))

@@ -92,3 +92,17 @@ def test_keep_one_each_repeats(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = sorted(map(repr, map(tuple, jaccard.keep_one_each(df).collect())))
     assert got == sorted(map(repr, [(1, "a b c d e f g"), (3, "x"), (3, "y"), (None, "z q"), (4, None), (5, "")]))
+
+
+def test_keep_one_each_repeated_and_null_ids(spark):
+    long = [" ".join(f"{w}{i}" for i in range(60)) for w in "abc"]
+    near = [x + " end" for x in long]
+    # Id 2 has a near copy of id 1's text and the head of another component; null ids near copies.
+    rows = [(1, long[0]), (2, near[0]), (2, long[1]), (3, near[1]), (None, long[2]), (None, near[2]), (None, near[1])]
+    got = sorted(map(repr, map(tuple, jaccard.keep_one_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect())))
+    of_nulls = [repr((None, x)) for x in (long[2], near[2])]
+    assert [x for x in got if x not in of_nulls] == sorted([repr((1, long[0])), repr((2, long[1]))])
+    assert sum(x in of_nulls for x in got) == 1
+    rows = [(9, long[0]), (9, near[0]), (9, near[0]), (None, long[0])]
+    got = jaccard.keep_one_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert len(got) == 1 and got[0]["doc_id"] == 9
