@@ -59,7 +59,7 @@ def test_token_files(spark, tmp_path):
     whole.encode_special_tokens = True
     rows = numbered([*texts(150), "İstanbul H̱ello. KELVINK <|endoftext|> a.b, c.,"])
     rows += [(3, "again."), (3, "again.")]
-    files = wavelet.shard_table(docs(spark, rows), path, shard_bytes=2000).cache()
+    files = wavelet.shard_table(docs(spark, rows), path, shard_bytes=2000, specials=True).cache()
     assert files.count() > 3
     got = sorted(map(tuple, wavelet.read_documents(files).collect()), key=lambda r: (r[1], r[0]))
     ids = {}
