@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import re
 import uuid
 
 import numpy as np
@@ -16,15 +18,26 @@ pa.set_memory_pool(pa.system_memory_pool())
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir; only where that is unset (tests, one machine) a local one."""
+    """A new folder under spark.checkpoint.dir.  Where that is unset, a local one on one machine (as in tests); on a
+    cluster, whose executors share no local folder, an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         import tempfile
 
         base = f"file://{tempfile.gettempdir()}/quillgraph-scratch"
     return f"{base.rstrip('/')}/quillgraph-{uuid.uuid4().hex}"
 
 
+def unused(stem: str, *names: list[str]) -> str:
+    """stem, or stem with as many _ before it as none of the column names has (compared as Spark does, without case)."""
+    taken = {c.lower() for columns in names for c in columns}
+    while stem.lower() in taken:
+        stem = f"_{stem}"
+    return stem
+
+
 def materialize(df: DataFrame, path: str) -> DataFrame:
     """Write as Parquet (zstd) and read back: cuts lineage so that a lost executor costs no recomputation."""
     df.write.option("compression", "zstd").parquet(path)
@@ -48,9 +61,15 @@ def held(key, make):
     return _HELD[key]
 
 
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
 def release() -> None:
-    """For tasks that keep nothing: lets go of what an operator before has left in the worker."""
+    """For tasks that keep nothing: lets go of what an operator before has left in the worker, and has the C library
+    (where it can) give free pages back; workers are many and live on between tasks."""
     _HELD.clear()
+    if _TRIM:
+        _TRIM(0)
 
 
 def bounded_batches(spark: SparkSession, most: int = 8 << 20) -> None:

@@ -9,16 +9,18 @@ distinct k-word shingles.  Sets link when intersection * den >= union * num.  St
 2. One more pass gives each text its set's 128-bit digest, size, prefix (the first shingles in that order,
    as many as a partner must share at least one of) and a parity bitmap of about as many bits as shingles,
    also folded to 1,024.  Equal sets become one node; nodes with equal size and prefix one group.
-3. Prefix shingles are posted by group.  Posting lists of one group are dropped.  Two groups of a list are a
-   candidate if size and positions allow enough overlap.
+3. Prefix shingles are posted by group; a shingle in very many places is dealt to several tasks.  In the order of
+   sizes a posting list is cut wherever neighbours' sizes rule a link out; lists of one group are dropped.  Two
+   groups of a list are a candidate if size and positions allow enough overlap.
 4. First round: in each list only neighbours in a random order are candidates, and in each group only
    successive members; so rows stay linear in the postings.  Candidates are expanded to members, filtered by
    bitmap (the parity of two sets differs in no more bits than the sets in elements) and verified on whole
    sets, rebuilt from the texts of just these documents.  Links give components.
 5. Second round: every other pair of a list or group that the first round left in different components,
    with the same filters, again verified; so no link between components is lost, while pairs inside a
-   component, which cannot change the result, are not formed.  Lists of two have no other pair.  Long lists
-   are cut into blocks, and pairs of blocks are the tasks.
+   component, which cannot change the result, are not formed: lists within one component are dropped by an
+   aggregate, others are paired component by component.  Lists of two have no other pair.  Long lists are cut
+   into blocks, and pairs of blocks are the tasks.
 
 Documents with no words (null, empty, white space) have n_shingles 0 and are their own component; with
 fewer words than k the whole sequence is the only shingle.  Rows that repeat a doc_id are separate nodes
@@ -36,12 +38,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import U64, materialize, mix, pieces, raw_shingles, release, remove, scratch_dir, shingle_hashes, table, text_buffers
+from quillgraph.llm.common import U64, materialize, mix, pieces, raw_shingles, release, remove, scratch_dir, shingle_hashes, table, text_buffers, unused
 
 CELL_BITS, CHUNK_BITS = 22, 16
 BITMAP = 128  # bytes
 BLOCK = 2048
 BLOOM_MOST = 1 << 26  # bits
+HOT = 1 << 20  # places of a shingle from which its list is dealt to several tasks
 
 
 def _prefix_size(n: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -54,8 +57,8 @@ def _needed(a: np.ndarray, b: np.ndarray, num: int, den: int) -> np.ndarray:
     return -((-(a + b) * num) // (num + den))
 
 
-def sketch(docs: DataFrame, k: int) -> np.ndarray:
-    """One byte for each of 2**CELL_BITS cells: doublings of its count over the mean, from all documents."""
+def sketch(docs: DataFrame, k: int) -> tuple[np.ndarray, float]:
+    """One byte for each of 2**CELL_BITS cells: doublings of its count over the mean, from all documents; and that mean."""
     cells, chunk = 1 << CELL_BITS, 1 << CHUNK_BITS
 
     def count(batches):
@@ -91,7 +94,7 @@ def sketch(docs: DataFrame, k: int) -> np.ndarray:
     for i, x in zip(found["chunk"].to_pylist(), found["logs"].to_pylist(), strict=True):
         logs[i * chunk : (i + 1) * chunk] = np.frombuffer(x, np.uint8)
     mean = max(1.0, sum(found["total"].to_pylist()) / cells)
-    return np.maximum(np.floor(logs / 5 - np.log2(mean)), 0).astype(np.uint8)
+    return np.maximum(np.floor(logs / 5 - np.log2(mean)), 0).astype(np.uint8), mean
 
 
 def _bitmap(h: np.ndarray) -> bytes:
@@ -143,11 +146,18 @@ def _describe(docs: DataFrame, k: int, num: int, den: int, order) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, digest binary, n long, grp long, prefix binary, bitmap binary, fine binary" + kinds)
 
 
-def _post(described: DataFrame) -> DataFrame:
-    """(token, grp, n, pos) of each prefix shingle, once for a group in each task (so copies meet before the shuffle)."""
+def _post(described: DataFrame, order, mean: float) -> DataFrame:
+    """(token, salt, at, grp) of each prefix shingle, once for a group in each task (so copies meet before the shuffle).
+
+    at is n << 32 | pos.  salt deals a shingle that the sketch shows to be in over HOT places to several tasks by
+    group, from 1 on; 0 for all others.
+    """
 
     def run(batches):
-        seen: set[int] = set()
+        release()
+        parts = np.array([0, 0, *np.ceil(mean * np.exp2(np.arange(3, 60)) / HOT).astype(np.int64)])
+        parts[parts == 1] = 0
+        seen: set[int] = set()  # ids of groups of this task's rows
         for b in batches:
             keep = []
             for i, g in enumerate(b["grp"].to_pylist()):
@@ -159,11 +169,14 @@ def _post(described: DataFrame) -> DataFrame:
                 part = b.slice(at, 2000)
                 prefixes = [np.frombuffer(x, "<i8") for x in part["prefix"].to_pylist()]
                 sizes = np.array([len(x) for x in prefixes], np.int64)
-                row = pa.array(np.repeat(np.arange(len(sizes)), sizes))
+                token = np.concatenate(prefixes)
+                grp = np.repeat(part["grp"].to_numpy(), sizes)
                 pos = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-                yield pa.record_batch([pa.array(np.concatenate(prefixes)), part["grp"].take(row), part["n"].take(row).cast(pa.int32()), pa.array(pos.astype(np.int32))], ["token", "grp", "n", "pos"])
+                several = parts[order.value[token.view(U64) >> U64(64 - CELL_BITS)]]
+                salt = np.where(several > 0, (mix(grp.view(U64)) % np.maximum(several, 1).astype(U64)).astype(np.int64) + 1, 0)
+                yield pa.record_batch([pa.array(token), pa.array(salt.astype(np.int32)), pa.array(np.repeat(part["n"].to_numpy(), sizes) << 32 | pos), pa.array(grp)], ["token", "salt", "at", "grp"])
 
-    return described.mapInArrow(run, "token long, grp long, n int, pos int")
+    return described.mapInArrow(run, "token long, salt int, at long, grp long")
 
 
 def _rows(column: pa.Array, width: int) -> np.ndarray:
@@ -171,8 +184,11 @@ def _rows(column: pa.Array, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, width // 8)
 
 
-def _runs(batches, key: list[str], widths: dict[str, int]):
-    """Whole runs of equal keys from sorted batches: dicts of numpy arrays, and where the runs start."""
+def _runs(batches, key: list[str], widths: dict[str, int], apart=None):
+    """Whole runs of equal keys from sorted batches: dicts of numpy arrays, and where the runs start.
+
+    apart, if given, says of a dict's rows from the second on whether a run ends before them too.
+    """
     held = None
 
     def cut(t):
@@ -180,6 +196,8 @@ def _runs(batches, key: list[str], widths: dict[str, int]):
         change[0] = True
         for c in key:
             change[1:] |= t[c][1:] != t[c][:-1]
+        if apart is not None:
+            change[1:] |= apart(t)
         return np.flatnonzero(change)
 
     for b in batches:
@@ -198,33 +216,48 @@ def _runs(batches, key: list[str], widths: dict[str, int]):
 
 
 def _shared(posted: DataFrame, num: int, den: int) -> DataFrame:
-    """Postings (token, grp, n, pos, df) of lists with two groups or more, each group once, df groups in all;
-    and round one's candidates as rows (grp, other): groups next to each other in a list, in bands of size
-    and random order within a band.  They share a pass, so postings are shuffled once."""
+    """Postings (token, low, grp, at) for round two, and round one's candidates as rows (grp, other).
+
+    A list in the order of sizes is cut wherever two neighbours' sizes rule a link out, as then no pair across the cut
+    can link.  What is left is a list of its own, named by its least size (low); lists of one group are dropped.
+    Round one takes groups next to each other in bands of size and random order within a band; for lists of
+    two there is nothing beyond it.  Lists dealt to several tasks are not cut (low -1), as a task sees only some groups.
+    """
 
     def run(batches):
-        for t, starts in _runs(batches, ["token"], {}):
-            fresh = np.ones(len(t["token"]), bool)
-            fresh[1:] = (t["token"][1:] != t["token"][:-1]) | (t["grp"][1:] != t["grp"][:-1])
+        release()
+        gap = lambda t: (t["salt"][1:] == 0) & ((t["at"][:-1] >> 32) * den < (t["at"][1:] >> 32) * num)
+        for t, starts in _runs(batches, ["token", "salt"], {}, gap):
+            begin = np.zeros(len(t["token"]), bool)
+            begin[starts] = True
+            fresh = begin.copy()
+            fresh[1:] |= t["grp"][1:] != t["grp"][:-1]
             sizes = np.add.reduceat(fresh, starts, dtype=np.int64)
-            df = np.repeat(sizes, np.diff(np.append(starts, len(fresh))))
-            keep = fresh & (df > 1)
+            lengths = np.diff(np.append(starts, len(fresh)))
+            size = np.repeat(sizes, lengths)
+            salt = t["salt"]
+            low = np.where(salt == 0, np.repeat(t["at"][starts] >> 32, lengths), -1)
+            which = np.repeat(np.arange(len(starts)), lengths)
+            keep = fresh & ((size > 2) | (salt > 0))
+            if keep.any():
+                yield pa.record_batch([pa.array(t["token"][keep]), pa.array(low[keep]), pa.array(t["grp"][keep]), pa.array(t["at"][keep]), pa.nulls(int(keep.sum()), pa.int64())], names)
+            keep = fresh & (size > 1)
             if not keep.any():
                 continue
-            token, grp, n, pos, df = (x[keep] for x in (t["token"], t["grp"], t["n"], t["pos"], df))
-            yield pa.record_batch([pa.array(token), pa.array(grp), pa.array(n), pa.array(pos), pa.array(df), pa.nulls(len(df), pa.int64())], names)
-            order = np.lexsort((mix(grp.view(U64) ^ mix(token.view(U64))), np.floor(np.log(n) * 8), token))
+            token, which, grp, at = t["token"][keep], which[keep], t["grp"][keep], t["at"][keep]
+            n, pos = at >> 32, at & 0xFFFFFFFF
+            order = np.lexsort((mix(grp.view(U64) ^ mix(token.view(U64))), np.floor(np.log(n) * 8), which))
             i, j = order[:-1], order[1:]
-            same = token[i] == token[j]
+            same = which[i] == which[j]
             i, j = i[same], j[same]
             ok = _fits({"n": n, "pos": pos}, i, j, num, den)
             if ok.any():
                 pairs = _pairs(grp[i[ok]], grp[j[ok]])
-                none = [pa.nulls(len(pairs), x) for x in (pa.int64(), pa.int32(), pa.int32(), pa.int64())]
-                yield pa.record_batch([none[0], pairs["a"], none[1], none[2], none[3], pairs["b"]], names)
+                none = pa.nulls(len(pairs), pa.int64())
+                yield pa.record_batch([none, none, pairs["a"], none, pairs["b"]], names)
 
-    names = ["token", "grp", "n", "pos", "df", "other"]
-    return posted.repartition("token").sortWithinPartitions("token", "grp").mapInArrow(run, "token long, grp long, n int, pos int, df long, other long")
+    names = ["token", "low", "grp", "at", "other"]
+    return posted.repartition("token", "salt").sortWithinPartitions("token", "salt", "at", "grp").mapInArrow(run, "token long, low long, grp long, at long, other long")
 
 
 def _fits(t: dict, i: np.ndarray, j: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -247,35 +280,41 @@ def _pairs(x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
 
 
 def _across(lists: DataFrame, num: int, den: int) -> DataFrame:
-    """Round two: all pairs of a list (token long, id, n, pos, df, comp, bitmap, one) in different components.
+    """Round two: all pairs of a list (token, low, id, n, pos, df, comp, bitmap, one) in different components.
 
-    comp of -1: of several components, so any pair counts.  one: the bitmap stands for the id.
+    comp of -1: of several components, so any pair counts.  one: the bitmap stands for the id.  Rows come in the
+    order of components, so that pairs within one are not even formed.
     """
     blocks = F.ceil(F.col("df") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("id", "token"), F.col("blocks")).cast("int")
     cut = lists.withColumn("blocks", blocks).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cut = cut.select("token", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "id", "n", "pos", "comp", "bitmap", "one")
+    cut = cut.select("token", "low", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "id", "n", "pos", "comp", "bitmap", "one")
+    key = ["token", "low", "x", "y"]
 
     def run(batches):
-        for t, starts in _runs(batches, ["token", "x", "y"], {"bitmap": BITMAP}):
-            sizes = np.diff(np.append(starts, len(t["token"])))
+        release()
+        for t, starts in _runs(batches, key, {"bitmap": BITMAP}):
             rows = np.arange(len(t["token"]))
-            after = np.repeat(starts + sizes, sizes) - rows - 1
-            several = t["comp"] == -1
+            sizes = np.diff(np.append(starts, len(rows)))
+            begin = np.zeros(len(rows), bool)
+            begin[starts] = True
+            begin[1:] |= (t["comp"][1:] != t["comp"][:-1]) | (t["comp"][1:] == -1)
+            runs = np.flatnonzero(begin)
+            first = np.repeat(np.append(runs[1:], len(rows)), np.diff(np.append(runs, len(rows))))  # of the next component
+            after = np.repeat(starts + sizes, sizes) - first
             ends = np.cumsum(after)
             done = 0
             while done < len(rows):  # about 150,000 pairs at a time
                 upto = max(done + 1, int(np.searchsorted(ends, (ends[done - 1] if done else 0) + 150_000, "right")))
                 n = after[done:upto]
                 i = np.repeat(rows[done:upto], n)
-                j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
+                j = np.repeat(first[done:upto], n) + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
                 done = upto
                 for ok in (
-                    lambda i, j: np.minimum(t["n"][i], t["n"][j]).astype(np.int64) * den >= np.maximum(t["n"][i], t["n"][j]).astype(np.int64) * num,
+                    lambda i, j: np.minimum(t["n"][i], t["n"][j]) * den >= np.maximum(t["n"][i], t["n"][j]) * num,
                     lambda i, j: (t["x"][i] == t["y"][i]) | (t["own"][i] != t["own"][j]),
-                    lambda i, j: several[i] | (t["comp"][i] != t["comp"][j]),
                     lambda i, j: _fits(t, i, j, num, den),
-                    lambda i, j: ~(t["one"][i] & t["one"][j]) | _near(t["bitmap"][i], t["bitmap"][j], t["n"][i].astype(np.int64), t["n"][j].astype(np.int64), num, den),
+                    lambda i, j: ~(t["one"][i] & t["one"][j]) | _near(t["bitmap"][i], t["bitmap"][j], t["n"][i], t["n"][j], num, den),
                 ):
                     if len(i):
                         keep = ok(i, j)
@@ -283,13 +322,20 @@ def _across(lists: DataFrame, num: int, den: int) -> DataFrame:
                 if len(i):
                     yield _pairs(t["id"][i], t["id"][j])
 
-    return cut.repartition("token", "x", "y").sortWithinPartitions("token", "x", "y").mapInArrow(run, "a long, b long").distinct()
+    return cut.repartition(*key).sortWithinPartitions(*key, "comp").mapInArrow(run, "a long, b long").distinct()
+
 
+def _mixed(lists: DataFrame) -> DataFrame:
+    """(token, low, df) of the lists (token, low, comp) of three rows or more that lie in more than one component."""
+    sums = lists.groupBy("token", "low").agg(F.count("*").alias("df"), F.min("comp").alias("least"), F.max("comp").alias("most"))
+    return sums.where("df > 2 and (least <> most or least = -1)").select("token", "low", "df")
 
-def _close(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
+
+def _close(pairs: DataFrame, nodes: DataFrame, num: int, den: int, path: str) -> DataFrame:
     """(a, b, apart) of the pairs of nodes whose sizes and bitmaps leave a link possible."""
 
     def run(batches):
+        release()
         for b in batches:
             if len(b):
                 na, nb = b["na"].to_numpy(), b["nb"].to_numpy()
@@ -304,10 +350,12 @@ def _close(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
                 ok &= np.minimum(na, nb) * den >= np.maximum(na, nb) * num
                 yield pa.record_batch([b["a"], b["b"], pa.array(apart)], ["a", "b", "apart"]).filter(pa.array(ok))
 
-    some = _among(nodes.select("node", "n", "fine"), "node", pairs)
+    some = materialize(_among(nodes.select("node", "n", "fine"), "node", pairs), f"{path}-ends")
     x = some.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("fine").alias("xa"))
     y = some.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("fine").alias("xb"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "na", "nb", "xa", "xb").mapInArrow(run, "a long, b long, apart long")
+    close = materialize(pairs.join(x, "a").join(y, "b").select("a", "b", "na", "nb", "xa", "xb").mapInArrow(run, "a long, b long, apart long"), path)
+    remove(pairs.sparkSession, f"{path}-ends")
+    return close
 
 
 def _bloom(ids: DataFrame, count: int) -> tuple[np.ndarray, int]:
@@ -315,6 +363,7 @@ def _bloom(ids: DataFrame, count: int) -> tuple[np.ndarray, int]:
     bits = 1 << min(BLOOM_MOST.bit_length() - 1, max(16, (16 * max(count, 1)).bit_length()))
 
     def run(batches):
+        release()
         own = np.zeros(bits // 8, np.uint8)
         for b in batches:
             for at in _marks(b.column(0).to_numpy(zero_copy_only=False), bits):
@@ -343,6 +392,7 @@ def _among(rows: DataFrame, key: str, pairs: DataFrame) -> DataFrame:
     marks = rows.sparkSession.sparkContext.broadcast(_bloom(pairs.select("a").union(pairs.select("b")), 2 * pairs.count()))
 
     def run(batches):
+        release()
         bloom, bits = marks.value
         for b in batches:
             yield b.filter(pa.array(_marked(bloom, bits, b[key].to_numpy())))
@@ -377,6 +427,7 @@ def _verify(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, k: int, num: in
     found = materialize(found, f"{path}-sets")
 
     def check(batches):
+        release()
         for b in batches:
             if not len(b):
                 continue
@@ -391,7 +442,8 @@ def _verify(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, k: int, num: in
     x = found.select(F.col("node").alias("a"), F.col("shingles").alias("xa"))
     y = found.select(F.col("node").alias("b"), F.col("shingles").alias("xb"))
     links = materialize(pairs.select("a", "b").join(x, "a").join(y, "b").mapInArrow(check, "a long, b long").distinct(), f"{path}-links")
-    remove(spark, f"{path}-sets")
+    for name in ("sets", "wanted"):
+        remove(spark, f"{path}-{name}")
     return links
 
 
@@ -410,7 +462,9 @@ def connected(links: DataFrame, path: str) -> DataFrame:
         jump = labels.select(F.col("node").alias("low"), F.col("comp").alias("next"))
         fresh = materialize(lower.join(jump, "low").select("node", F.least("low", "next").alias("comp"), (F.least("low", "next") != F.col("comp")).alias("changed")), f"{path}-labels-{step}")
         labels = fresh.select("node", "comp")
+        remove(links.sparkSession, f"{path}-labels-{step - 1}")
         if fresh.where("changed").isEmpty():
+            remove(links.sparkSession, f"{path}-edges")
             return labels
 
 
@@ -422,60 +476,65 @@ def components(docs: DataFrame, k: int, num: int, den: int, heads: bool = False)
     """
     spark = docs.sparkSession
     path = scratch_dir(spark)
+    work = f"{path}/work"
     docs = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
-    order = spark.sparkContext.broadcast(sketch(docs, k))
+    levels, mean = sketch(docs, k)
+    order = spark.sparkContext.broadcast(levels)
     own, head = ["own"] if heads else [], ["head"] if heads else []
     key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "own") if heads else None
     known = docs.withColumn("own", F.unhex(F.md5("text"))) if heads else docs
-    described = materialize(_describe(known, k, num, den, order).withColumn("row", F.monotonically_increasing_id()), f"{path}/described")
+    described = materialize(_describe(known, k, num, den, order).withColumn("row", F.monotonically_increasing_id()), f"{work}/described")
     worded = described.where("digest is not null")
     first = F.min(F.struct("row", "doc_id", "n", "grp", "bitmap", "fine")).alias("first")
     nodes = worded.groupBy("digest").agg(first, F.min("doc_id").alias("first_id"), *(F.min(key).alias(c) for c in head))
-    nodes = materialize(nodes.select(F.col("first.row").alias("node"), "digest", "first.doc_id", "first.n", "first.grp", "first.bitmap", "first.fine", "first_id", *head), f"{path}/nodes")
-    found = materialize(_shared(_post(worded.select("grp", "n", "prefix")), num, den), f"{path}/shared")
-    shared = found.where("other is null").drop("other")
+    nodes = materialize(nodes.select(F.col("first.row").alias("node"), "digest", "first.doc_id", "first.n", "first.grp", "first.bitmap", "first.fine", "first_id", *head), f"{work}/nodes")
+    found = materialize(_shared(_post(worded.select("grp", "n", "prefix"), order, mean), num, den), f"{work}/shared")
+    shared = found.where("other is null").select("token", "low", "grp", F.shiftright("at", 32).alias("n"), F.col("at").bitwiseAND(0xFFFFFFFF).alias("pos"))
     # Prefixes have served; without them and the bitmaps what is kept of each document is small.
-    described = materialize(described.select("doc_id", "n", "digest", *own), f"{path}/documents")
-    remove(spark, f"{path}/described")
+    described = materialize(described.select("doc_id", "n", "digest", *own), f"{work}/documents")
+    remove(spark, f"{work}/described")
     groups = nodes.groupBy("grp").agg(F.min("node").alias("node"), F.count("*").alias("members"))
 
     # Round one: neighbours in lists by their groups' first members, successive members within groups.
-    near = materialize(found.where("other is not null").select(F.col("grp").alias("a"), F.col("other").alias("b")).distinct(), f"{path}/near")
-    heads = materialize(_among(groups.select("grp", "node"), "grp", near), f"{path}/heads")
-    pairs = near.join(heads.withColumnsRenamed({"grp": "a", "node": "na"}), "a").join(heads.withColumnsRenamed({"grp": "b", "node": "nb"}), "b").select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b"))
+    near = materialize(found.where("other is not null").select(F.col("grp").alias("a"), F.col("other").alias("b")).distinct(), f"{work}/near")
+    firsts = materialize(_among(groups.select("grp", "node"), "grp", near), f"{work}/firsts")
+    pairs = near.join(firsts.withColumnsRenamed({"grp": "a", "node": "na"}), "a").join(firsts.withColumnsRenamed({"grp": "b", "node": "nb"}), "b").select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b"))
     crowded = nodes.select("grp", "node").join(groups.where("members > 1").select("grp"), "grp", "left_semi")
     chain = crowded.select(F.lag("node").over(Window.partitionBy("grp").orderBy("node")).alias("a"), F.col("node").alias("b")).where("a is not null")
-    pairs = materialize(pairs.union(chain).distinct(), f"{path}/pairs")
-    close = materialize(_close(pairs, nodes, num, den), f"{path}/close")
+    pairs = materialize(pairs.union(chain).distinct(), f"{work}/pairs")
+    close = _close(pairs, nodes, num, den, f"{work}/close")
     # Of each node's pairs the nearest are enough here: round two takes up what they leave apart.
     both = close.union(close.select(F.col("b").alias("a"), F.col("a").alias("b"), "apart"))
     best = both.withColumn("place", F.row_number().over(Window.partitionBy("a").orderBy("apart", "b"))).where("place <= 8")
-    best = materialize(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"{path}/best")
-    links = _verify(docs, best, nodes, k, num, den, f"{path}/one")
-    comps = connected(links, f"{path}/one")
+    best = materialize(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"{work}/best")
+    links = _verify(docs, best, nodes, k, num, den, f"{work}/one")
+    comps = connected(links, f"{work}/one")
 
     # Round two: everything that is still apart.
     members = nodes.select("node", "grp", "n", "bitmap").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    members = materialize(members, f"{path}/members")
+    members = materialize(members, f"{work}/members")
     alone = F.col("size") == 1
-    grouped = members.groupBy("grp").agg(F.count("*").alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("bitmap").alias("bitmap"))
-    grouped = materialize(grouped.select("grp", F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(F.lit(-1)).alias("comp"), "bitmap", alone.alias("one"), "size"), f"{path}/groups")
-    lists = shared.where("df > 2").join(grouped.select("grp", "comp", "bitmap", "one"), "grp").withColumnRenamed("grp", "id")
-    wide = materialize(near.union(_across(lists, num, den)).distinct(), f"{path}/wide")
+    grouped = members.groupBy("grp").agg(F.count("*").alias("size"), F.min("comp").alias("least"), F.max("comp").alias("most"), F.min("bitmap").alias("bitmap"))
+    grouped = materialize(grouped.select("grp", F.when(F.col("least") == F.col("most"), F.col("least")).otherwise(F.lit(-1)).alias("comp"), "bitmap", alone.alias("one"), "size"), f"{work}/groups")
+    lists = materialize(shared.join(grouped.select("grp", "comp"), "grp"), f"{work}/lists")
+    remove(spark, f"{work}/shared")
+    lists = lists.join(_mixed(lists), ["token", "low"]).join(grouped.select("grp", "bitmap", "one"), "grp").withColumnRenamed("grp", "id")
+    wide = materialize(near.union(_across(lists, num, den)).distinct(), f"{work}/wide")
+    remove(spark, f"{work}/lists")
     member = _among(members.select("grp", "node", "comp"), "grp", wide)
     left = member.withColumnsRenamed({"grp": "a", "node": "na", "comp": "ca"})
     right = member.withColumnsRenamed({"grp": "b", "node": "nb", "comp": "cb"})
     expanded = wide.join(left, "a").join(right, "b").where("ca <> cb").select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b"))
     mixed = grouped.where("size > 1 and comp = -1").select(F.col("grp").alias("token"), F.col("size").alias("df"))
-    inner = members.withColumnRenamed("grp", "token").join(mixed, "token").select("token", F.col("node").alias("id"), "n", F.lit(0).alias("pos"), "df", "comp", "bitmap", F.lit(True).alias("one"))
-    apart = materialize(expanded.union(_across(inner, num, den)).distinct(), f"{path}/apart")
-    fresh = materialize(apart.join(pairs, ["a", "b"], "left_anti"), f"{path}/fresh")
+    inner = members.withColumnRenamed("grp", "token").join(mixed, "token").select("token", F.lit(0).cast("long").alias("low"), F.col("node").alias("id"), "n", F.lit(0).cast("long").alias("pos"), "df", "comp", "bitmap", F.lit(True).alias("one"))
+    apart = materialize(expanded.union(_across(inner, num, den)).distinct(), f"{work}/apart")
+    fresh = materialize(apart.join(pairs, ["a", "b"], "left_anti"), f"{work}/fresh")
     left_over = close.select("a", "b").join(best, ["a", "b"], "left_anti").join(apart, ["a", "b"], "left_semi")
-    more = materialize(_close(fresh, nodes, num, den).select("a", "b").union(left_over), f"{path}/more")
+    more = materialize(_close(fresh, nodes, num, den, f"{work}/closer").select("a", "b").union(left_over), f"{work}/more")
     if not more.isEmpty():
-        further = _verify(docs, more, nodes, k, num, den, f"{path}/two")
+        further = _verify(docs, more, nodes, k, num, den, f"{work}/two")
         if not further.isEmpty():
-            comps = connected(links.union(further), f"{path}/two")
+            comps = connected(links.union(further), f"{work}/two")
 
     ids = nodes.select("node", "digest", "first_id", *head).join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = ids.groupBy("comp").agg(F.min("first_id").alias("component_id"), *(F.min(c).alias(c) for c in head))
@@ -483,42 +542,42 @@ def components(docs: DataFrame, k: int, num: int, den: int, heads: bool = False)
     out = described.join(of_node, "digest", "left")
     out = out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), *own, *((F.col("digest").isNull() | key.eqNullSafe(F.col(c))).alias("stays") for c in head))
     out = materialize(out, f"{path}/out")
-    for name in ("documents", "nodes", "shared", "near", "heads", "pairs", "close", "best", "members", "groups", "wide", "apart", "fresh", "more"):
-        remove(spark, f"{path}/{name}")
+    remove(spark, work)
     return out
 
 
 def keep_one_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """docs with one row of each component: the one with the smallest doc_id; docs' own columns.
+    """docs with one row of each component: the one with the smallest doc_id; docs' own columns, whatever their names.
 
     Null ids come last; of several texts under the smallest id, that with the least MD5 stays.  Rows that repeat
     a doc_id and its text are one document; one row of them stays.  Most rows are known to stay by a bitmap of
     the ids that go or repeat; only the others, with a few that it cannot tell, are joined with the exact list.
     """
     groups = components(docs, k, num, den, heads=True)
-    names = docs.columns
+    doc, own, place, known, of, stays = (unused(c, docs.columns) for c in ("_doc", "_own", "_place", "_id", "_of", "_stays"))
     unsure = groups.groupBy("doc_id", "own").agg(F.count("*").alias("rows"), F.bool_or("stays").alias("stays")).where("rows > 1 or not stays")
     count = unsure.count()
     marks = docs.sparkSession.sparkContext.broadcast(_bloom(unsure.select(F.coalesce("doc_id", F.lit(-1)).alias("id")), count))
-    rows = docs.withColumn("_doc", F.col("doc_id").cast("long"))
+    rows = docs.withColumn(doc, F.col("doc_id").cast("long"))
 
     def split(wanted: bool):
         def run(batches):
+            release()
             bloom, bits = marks.value
             for b in batches:
-                hit = _marked(bloom, bits, b["_doc"].fill_null(-1).to_numpy())
+                hit = _marked(bloom, bits, b[doc].fill_null(-1).to_numpy())
                 yield b.filter(pa.array(hit == wanted))
 
         return run
 
     sure = rows.mapInArrow(split(False), rows.schema)
-    listed = unsure.select(F.col("doc_id").alias("_id"), F.col("own").alias("_of"), F.col("stays").alias("_stays"))
-    rest = rows.mapInArrow(split(True), rows.schema).withColumn("_own", F.unhex(F.md5(F.col("text").cast("string"))))
-    rest = rest.join(listed, F.col("_doc").eqNullSafe(F.col("_id")) & F.col("_own").eqNullSafe(F.col("_of")), "left").where("_stays is null or _stays")
-    same = Window.partitionBy("_doc", "_own").orderBy(F.lit(0))
-    rest = rest.withColumn("_place", F.row_number().over(same)).where("_place = 1")
-    own = [F.col(f"`{c}`") for c in names]
-    return sure.select(*own).unionByName(rest.select(*own))
+    listed = unsure.select(F.col("doc_id").alias(known), F.col("own").alias(of), F.col("stays").alias(stays))
+    rest = rows.mapInArrow(split(True), rows.schema).withColumn(own, F.unhex(F.md5(F.col("text").cast("string"))))
+    rest = rest.join(listed, F.col(doc).eqNullSafe(F.col(known)) & F.col(own).eqNullSafe(F.col(of)), "left").where(F.col(stays).isNull() | F.col(stays))
+    same = Window.partitionBy(doc, own).orderBy(F.lit(0))
+    rest = rest.withColumn(place, F.row_number().over(same)).where(F.col(place) == 1)
+    kept = [F.col(f"`{c}`") for c in docs.columns]
+    return sure.select(*kept).unionByName(rest.select(*kept))
 
 
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
