@@ -1,6 +1,7 @@
 """Each operator against a plain version, with nulls, empty and long texts, ties, repeated rows, extra columns and empty tables."""
 
 import hashlib
+import math
 import random
 import re
 import string
@@ -93,33 +94,55 @@ def test_token_files_of_special_tokens(spark, tmp_path):
 # MaxScore ------------------------------------------------------------------------------------------------
 
 
-def test_maxscore(spark):
-    rng = np.random.default_rng(3)
-    rows = [(i, [float(x) for x in rng.integers(-3, 4, 8) / 1024], 1) for i in range(500)]
-    rows += [(7, rows[7][1], 1), (900, None, 1), (901, [1.0, None], 1), (902, [float("nan")] * 8, 1), (903, [float("inf")] * 8, 1), (None, rows[0][1], 1), (904, [], 1), (1000, [3e38] * 8, 1)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, rank int").repartition(3)
-    table = maxscore.quantise(df, "vec_id", "embedding", 1024)
-    got = sorted(map(tuple, maxscore.top_k(table, table.where("id % 100 = 0"), 5).collect()))
-    fine = [(i, [max(-(1 << 27), min(1 << 27, int(np.floor(1024 * x)))) for x in v]) for i, v, _ in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
+def plain_top(rows, k):
+    """Rows (id, vector): each row with id % 100 = 0 asks all other rows; in Python's integers."""
+    fine = [(i, [math.floor(1024 * float(np.float32(x))) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     want = []
-    for q, v in fine:
+    for at, (q, v) in enumerate(fine):
         if q % 100 == 0:
-            scores = sorted((-sum(a * b for a, b in zip(v, w, strict=False)), i) for i, w in fine if i != q)[:5]
-            want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scores)]
-    assert got == sorted(want)
-    assert maxscore.top_k(table.where("false"), table, 5).count() == 0
+            scores = sorted((-sum(a * b for a, b in zip(v, w, strict=False)), i) for other, (i, w) in enumerate(fine) if other != at)[:k]
+            want += [(q, r + 1, i, max(-maxscore.MOST, min(maxscore.MOST, -s))) for r, (s, i) in enumerate(scores)]
+    return sorted(want)
 
 
-def test_maxscore_shards_prune_exactly():
+def test_maxscore(spark, monkeypatch):
+    monkeypatch.setattr(maxscore, "SHARD_ROWS", 64)
+    monkeypatch.setattr(maxscore, "BLOCK_ROWS", 2)
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in rng.integers(-3, 4, 8) / 1024]) for i in range(500)]
+    rows += [(7, rows[7][1]), (900, None), (901, [1.0, None]), (902, [float("nan")] * 8), (903, [float("inf")] * 8), (None, rows[0][1]), (904, []), (200, rows[100][1]), (200, rows[100][1])]
+    far = [(1000, [3e38] * 8), (1001, [-3e38, 1.0]), (1002, [3e38, 2.0]), (1100, [1e6, 0.0]), (1101, [1.0, 2.0]), (1003, [3.2e38])]
+    for some in (rows, rows + far):
+        df = spark.createDataFrame([(*r, 1, 2) for r in some], "vec_id long, embedding array<float>, rank int, row int").repartition(3)
+        table = maxscore.quantise(df, "vec_id", "embedding", 1024)
+        got = sorted(map(tuple, maxscore.top_k(table, F.col("id") % 100 == 0, 5).collect()))
+        assert got == plain_top(some, 5)
+    assert maxscore.top_k(table.where("false"), F.col("id") % 100 == 0, 5).count() == 0
+    assert maxscore.top_k(table, F.lit(False), 5).count() == 0
+
+
+def test_maxscore_of_large_components(spark, tmp_path):
+    spark.createDataFrame([(100, [1e6, 0.0]), (101, [1.0, 2.0]), (102, [1e6, 1e6])], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = sorted(map(tuple, maxscore.op2_maxscore(spark, str(tmp_path)).collect()))
+    assert got == [(100, 1, 102, 1_048_576_000_000_000_000), (100, 2, 101, 1_048_576_000_000)]
+    import duckdb
+
+    duck = duckdb.connect()
+    duck.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    assert sorted(duck.sql(maxscore.OP2_SQL).fetchall()) == got
+
+
+@pytest.mark.parametrize("kind", [np.int64, object])
+def test_maxscore_shards_prune_exactly(kind):
     rng = np.random.default_rng(0)
     vectors = rng.integers(-50, 50, (400, 16))
     vectors[:, 8:] //= 25
-    shard = maxscore.Shard(np.arange(400), vectors)
+    shard = maxscore.Shard(np.arange(400), np.arange(400), vectors.astype(kind))
     for q in rng.integers(-50, 50, (20, 16)):
         scores = vectors @ q
         order = np.lexsort((np.arange(400), -scores))[:7]
         for floor in (None, int(scores[order[-1]])):
-            ids, got = shard.top(-1, q, 7, floor)
+            ids, got = shard.top(-1, q.astype(kind), 7, floor)
             assert ids.tolist() == order.tolist() and got.tolist() == scores[order].tolist()
 
 
