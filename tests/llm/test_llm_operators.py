@@ -5,10 +5,12 @@ import math
 import random
 import re
 import string
+import time
 import zlib
 
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from quillgraph.llm import bpe_tree, extendible, jaccard, langid, maxscore, media, packing, pii, secrets, wavelet
@@ -495,7 +497,10 @@ def test_secrets(spark):
 def test_secret_novelty_and_redaction(spark):
     novel = "the auth header: Bearer Zx81kQpL09aMmNq7RtYw"
     words = "authorization of authorization_token_value_1 and authorization_token_value_1 again"
-    assert [s[1] for s in secrets.find(novel)] == [3] and not secrets.find(words)
+    plain = secrets.Novelty()
+    assert [s[1] for s in secrets.find(novel, plain)] == [3] and not secrets.find(words, plain)
+    assert [s[:3] for s in secrets.find("Zx81kQpL09aMmNq7RtYw is the auth key", plain)] == [(0, 3, 20)]
+    assert not secrets.find("Zx81kQpL09aMmNq7RtYw is here" + " " * 40 + "the key", plain)
     rows = [(0, 'token = "11acdfb36bb72224148e" end'), (1, novel), (2, words), (3, None), (4, ""), (4, "a" * 5 + "0123456789abcdef0123456789")]
     out = secrets.redact(docs(spark, rows))
     assert out.columns == docs(spark, rows).columns
@@ -512,7 +517,7 @@ def test_secrets_anywhere_near_a_word(spark):
         key = "".join(rng.choice(string.ascii_letters + string.digits) for _ in range(39)) + "7"
         text = "the key" + ":" + " " * (gap - 1) + key + " and so on."
         start = 7 + gap
-        assert secrets.find(text) == ([(start, 3, start + 40, start)] if gap <= secrets.NEAR else []), gap
+        assert [x[:4] for x in secrets.find(text, secrets.Novelty())] == ([(start, 3, start + 40, start)] if gap <= secrets.NEAR else []), gap
     key = "q8Zx81kQpL09aMmNq7RtYwV3bT5cX2nD"
     parts = ["eyJhbGciOiJIUzI1NiIsInR5cCI6IkpXVCJ9", "eyJzdWIiOiI0ODIxOTM3NTYwIiwibmFtZSI6IlF1aWxsIn0", "k3", "TJVA95OrM7E2cBab30RMHrHDcEfxjoYZgeFONFh7HgQ"]
     rows = [(0, f"key for the production server is: {key}"), (1, "Authorization: Bearer " + ".".join(parts) + " ok"), (2, f"a {parts[1]}.{parts[3]}")]
@@ -526,9 +531,9 @@ def test_secrets_repeated_and_long(spark):
     line = f"the auth header of the server: {key} is kept here. "
     for gap in ("", "and some other words stand between them. " * 5, "x y " * 63):  # in full, and cut by the edge
         text = line + gap + line
-        assert [text[a:z] for a, _, z, _ in secrets.find(text)] == [key, key], gap
+        assert [text[a:z] for a, _, z, _, _ in secrets.find(text, secrets.Novelty())] == [key, key], gap
     assert secrets.redact(docs(spark, [(0, line * 3)])).first()["text"] == line.replace(key, "[secret]") * 3
-    rng = random.Random(12)
+    rng, plain = random.Random(12), secrets.Novelty()
     words = ["the", "house", "river", "and", "letter", "of", "morning", "garden", "under", "people", "a", "window", "some", "quiet", "they"]
     for alphabet in ("0123456789ABCDEF", string.ascii_uppercase + "234567", string.ascii_letters + string.digits + "+/"):
         for n in (256, 512, 1024, 4096):
@@ -536,8 +541,81 @@ def test_secrets_repeated_and_long(spark):
             for _ in range(20):
                 before = " ".join(rng.choice(words) for _ in range(60)) + " the key: "
                 x = "".join(rng.choice(alphabet) for _ in range(n))
-                hits += (len(before), 3, len(before) + n, len(before)) in secrets.find(f"{before}{x} {' '.join(rng.choice(words) for _ in range(60))}")
+                hits += (len(before), 3, len(before) + n, len(before)) in [y[:4] for y in secrets.find(f"{before}{x} {' '.join(rng.choice(words) for _ in range(60))}", plain)]
             assert hits >= 19, (alphabet, n, hits)
     for joiner in ("_", "-"):
         long = joiner.join(rng.choice(words) for _ in range(200)) + "17"
-        assert not secrets.find("the key: " + long)
+        assert not secrets.find("the key: " + long, plain)
+
+
+def plain_added(text, start, end, first, last, names):
+    """What text[start:end] adds to its surroundings: two whole compressions, each by a compressor of its own."""
+
+    def size(x):
+        words = zstandard.ZstdCompressionDict(f"{names} {secrets.COMMON}".encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        return len(zstandard.ZstdCompressor(level=3, dict_data=words, write_content_size=False, write_checksum=False).compress(x.encode()))
+
+    x = text[start:end]
+    left = text[max(0, first - 256 - len(x)) : first].replace(x, " " * len(x))[-256:]
+    right = text[last : last + 256 + len(x)].replace(x, " " * len(x))[:256]
+    return size(left + right + x) - size(left + right)
+
+
+def plain_novel(text, names):
+    """Every run against every sensitive word and every base span."""
+    text = text or ""
+    base = [tuple(map(int, x.split(":")[1:])) for x in plain_secrets(text).split(",") if x]
+    words = [m.span() for m in re.finditer("(?i:passw|pwd|secret|token|api|key|auth|bearer|credential|private|signature)", text)]
+    out, taken = [], set()
+    for m in re.finditer("[A-Za-z0-9+/_=-]{16,}", text):
+        start, end = m.span()
+        if start in taken:
+            continue
+        if not any(0 <= start - z <= 40 or 0 <= a - end <= 40 for a, z in words):
+            inside = [z for a, z in words if start <= a and z + 16 <= end]
+            first_inside = [z for a, z in words if start <= a and z <= end]
+            if not inside or min(first_inside) != min(inside):
+                continue
+            start = min(inside)
+        rest = re.match(r"(?:\.[A-Za-z0-9+/_=-]+)*", text[end:])[0]
+        parts = [(start, end)]
+        for x in rest.split(".")[1:]:
+            parts.append((parts[-1][1] + 1, parts[-1][1] + 1 + len(x)))
+            taken.add(parts[-1][0])
+        for a, z in parts:
+            x = text[a:z]
+            if z - a >= 16 and not any(p < z and a < q for p, q in base) and re.search("[0-9]", x) and re.search("[A-Za-z]", x):
+                if plain_added(text, a, z, start, parts[-1][1], names) >= secrets.needed_bytes(x):
+                    out.append(f"novel:{a}:{z}")
+    return out
+
+
+def test_novel_spans_and_added_bytes_against_a_plain_version(spark):
+    rng = random.Random(21)
+    key = lambda n: "".join(rng.choice(string.ascii_letters + string.digits) for _ in range(n))
+    parts = ["the ", "key ", "token", ": ", " = ", ".", "session_store_value", "retry_count = ", "load_settings(", ") ", "private ", "AKIA" + key(16).upper(), "0123456789abcdef01234567 ", "é ", "\n", "words of prose that stand between here and there "]
+    values = [None, ""] + ["".join(rng.choice([*parts, key(20), key(44), key(18) + " "]) for _ in range(rng.randint(0, 14))) for _ in range(600)]
+    df = docs(spark, numbered(values))
+    names = secrets.identifiers(df)
+    counts = {}
+    for t in values:
+        for x in {m[0] for m in re.finditer(r"""\b(?:[A-Za-z]+(?:_[A-Za-z]+)+|[a-z]+(?:[A-Z][a-z]+)+|[A-Za-z]{3,}(?=["']? *(?:=|\()))\b""", t or "")}:
+            counts[x] = counts.get(x, 0) + 1
+    assert names.split()[::-1] == [x for x in sorted(counts, key=lambda x: (-counts[x], x)) if len(x) <= 32][: secrets.DICTIONARY_WORDS]
+    assert {"session_store_value", "load_settings", "retry_count"} <= set(names.split())
+    got = {r["doc_id"]: r for r in secrets.scan(df).collect()}
+    total = 0
+    for i, t in numbered(values):
+        spans = got[i]["spans"].split(",") if got[i]["spans"] else []
+        novel = plain_novel(t, names)
+        assert [x for x in spans if x.startswith("novel")] == novel, t
+        assert len(spans) == len(got[i]["added"].split(",")) if spans else got[i]["added"] == ""
+        total += len(novel)
+    assert total > 100
+
+
+def test_secrets_in_linear_time():
+    line = 'token = "11acdfb36bb72224148e" and more words\n'
+    start = time.perf_counter()
+    assert len(secrets.find(line * 8000, secrets.Novelty())) == 8000
+    assert time.perf_counter() - start < 8
