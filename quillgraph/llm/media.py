@@ -4,10 +4,13 @@ Decoding takes binary and plain PBM, PGM and PPM (P1 to P6, samples of 8 or 16 b
 of 1, 4, 8, 24 and 32 bits, top-down or bottom-up.  Anything else, a null or a truncated image gives a row
 with null results; an image without pixels too.
 
-The op9 query stores each text's bytes as the samples of a binary PGM of width 24 (rows of 24 samples, so
-any multiple of 576 fills whole rows), in a Parquet media table in the shared folder, and computes all
-digests from what it reads back.  A null text counts as empty (one payload of 576 bytes 255); equal texts
-give equal values; a repeated row is repeated; an empty table gives no rows; other columns are not read.
+The op9 query stores each text's bytes as samples of an image of width 24 (rows of 24 samples, so any multiple of
+576 fills whole rows): a grey BMP where the payload is an even number of units of 576, else a binary PGM.  The
+images are a Parquet media table in the shared folder.  What is read back is decoded, its payload digested, and
+its area-resized NPY tile and difference hash written as a table of tiles; the query's rows come from that table.
+A null text counts as empty (one payload of 576 bytes 255); equal texts give equal values; a repeated row is
+repeated; an empty table gives no rows; other columns are not read.  A long text is held as bytes and as its
+image; resizing adds only the sums of the rows at the edges of cells.
 """
 
 from __future__ import annotations
@@ -20,10 +23,11 @@ from hashlib import sha256
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quillgraph.llm.common import materialize, pieces, remove, scratch_dir, table
+from quillgraph.llm.common import materialize, pieces, release, remove, scratch_dir, table, unused
 
-UNIT, WIDTH = 576, 24
+UNIT, WIDTH, TILE = 576, 24, 16
 
 
 class BadImage(ValueError):
@@ -126,17 +130,33 @@ def encode_pgm(samples: np.ndarray) -> bytes:
     return b"P5\n%d %d\n255\n" % (w, h) + np.ascontiguousarray(samples, np.uint8).tobytes()
 
 
+def encode_bmp(samples: np.ndarray) -> bytes:
+    """An uncompressed BMP of 8 bits, its palette the 256 greys, rows from the bottom up."""
+    h, w = samples.shape
+    row = -(-w // 4) * 4
+    lines = np.zeros((h, row), np.uint8)
+    lines[:, :w] = samples[::-1]
+    palette = np.repeat(np.arange(256, dtype=np.uint8)[:, None], 4, 1)
+    palette[:, 3] = 0
+    start = 54 + 1024
+    head = struct.pack("<2sIHHI", b"BM", start + row * h, 0, 0, start) + struct.pack("<IiiHHIIiiII", 40, w, h, 1, 8, 0, row * h, 2835, 2835, 256, 256)
+    return head + palette.tobytes() + lines.tobytes()
+
+
 def grey(image: np.ndarray) -> np.ndarray:
-    """One plane of float64 from 0 to 255."""
+    """One plane: float64 from 0 to 255, or the bytes themselves where all channels are equal or there is one."""
+    if image.dtype == np.uint8 and (image.ndim == 2 or (image[..., 0] == image[..., 1]).all() and (image[..., 1] == image[..., 2]).all()):
+        return image if image.ndim == 2 else image[..., 0]
     x = image.astype(np.float64) / (257 if image.dtype == np.uint16 else 1)
     return x @ np.array([0.299, 0.587, 0.114]) if x.ndim == 3 else x
 
 
 def area_resize(plane: np.ndarray, height: int, width: int) -> np.ndarray:
-    """Mean over each target cell's exact area, by differences in the (linearly continued) integral image."""
+    """Mean over each target cell's exact area, by differences in the (linearly continued) integral image.
+
+    Only the integral image's rows beside the edges of cells are needed and formed.
+    """
     h, w = plane.shape
-    integral = np.zeros((h + 1, w + 1))
-    integral[1:, 1:] = plane.cumsum(0).cumsum(1)
 
     def along(n: int, m: int):
         at = np.arange(m + 1) * (n / m)
@@ -145,7 +165,12 @@ def area_resize(plane: np.ndarray, height: int, width: int) -> np.ndarray:
 
     r, rf = along(h, height)
     c, cf = along(w, width)
-    rows = integral[r] + (integral[r + 1] - integral[r]) * rf[:, None]
+    edges = np.unique(np.concatenate([r, r + 1]))  # from 0 to h
+    sums = np.add.reduceat(plane, edges[:-1], axis=0, dtype=np.float64)
+    integral = np.zeros((len(edges), w + 1))
+    integral[1:, 1:] = sums.cumsum(0).cumsum(1)
+    r, after = np.searchsorted(edges, r), np.searchsorted(edges, r + 1)
+    rows = integral[r] + (integral[after] - integral[r]) * rf[:, None]
     both = rows[:, c] + (rows[:, c + 1] - rows[:, c]) * cf
     cells = both[1:, 1:] - both[:-1, 1:] - both[1:, :-1] + both[:-1, :-1]
     return cells / ((h / height) * (w / width))
@@ -160,68 +185,79 @@ def difference_hash(plane: np.ndarray) -> str:
 def npy_tile(plane: np.ndarray, height: int, width: int) -> bytes:
     """The plane resized to height x width of uint8, as the bytes of an NPY file."""
     out = io.BytesIO()
-    np.save(out, np.clip(np.rint(area_resize(plane, height, width)), 0, 255).astype(np.uint8), allow_pickle=False)
+    np.save(out, np.ascontiguousarray(np.clip(np.rint(np.round(area_resize(plane, height, width), 6)), 0, 255), np.uint8), allow_pickle=False)
     return out.getvalue()
 
 
-def image_tiles(images: DataFrame, key: str, media: str, size: int = 16) -> DataFrame:
-    """(key, height, width, tile binary, dhash) of a table with encoded images in column media."""
+def image_tiles(images: DataFrame, key: str, media: str, size: int = TILE) -> DataFrame:
+    """(key, height, width, tile binary, dhash) of a table with encoded images in column media; a key column named as
+    one of these has _ put before its name."""
+    own = unused(key, ["height", "width", "tile", "dhash"])
 
     def run(batches):
+        release()
         for b in batches:
             out = []
-            for data in b["_media"].to_pylist():
+            for data in b["media"].to_pylist():
                 image = decode(data)
                 out.append((None,) * 4 if image is None else (*image.shape[:2], npy_tile(plane := grey(image), size, size), difference_hash(plane)))
             h, w, tile, dhash = zip(*out, strict=True) if out else ((),) * 4
-            yield pa.record_batch([b["_key"], pa.array(h, pa.int32()), pa.array(w, pa.int32()), pa.array(tile, pa.binary()), pa.array(dhash, pa.string())], ["_key", "height", "width", "tile", "dhash"])
+            yield pa.record_batch([b["key"], pa.array(h, pa.int32()), pa.array(w, pa.int32()), pa.array(tile, pa.binary()), pa.array(dhash, pa.string())], ["key", "height", "width", "tile", "dhash"])
 
     kind = images.schema[key].dataType.simpleString()
-    found = images.selectExpr(f"`{key}` _key", f"`{media}` _media").mapInArrow(run, f"_key {kind}, height int, width int, tile binary, dhash string")
-    return found.withColumnRenamed("_key", key)
+    found = images.selectExpr(f"`{key}` key", f"`{media}` media").mapInArrow(run, f"key {kind}, height int, width int, tile binary, dhash string")
+    return found.withColumnRenamed("key", own)
 
 
 def text_media(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, media binary): each text's padded UTF-8 bytes as a PGM."""
+    """(doc_id, n_bytes, media binary): each text's padded UTF-8 bytes as a grey BMP or a PGM."""
 
     def run(batches):
+        release()
         for whole in batches:
             for b in pieces(whole, "text"):
                 n, media = [], []
                 for text in b["text"].to_pylist():
                     raw = (text or "").encode()
                     n.append(len(raw))
-                    raw += b"\xff" * (max(UNIT, -(-len(raw) // UNIT) * UNIT) - len(raw))
-                    media.append(encode_pgm(np.frombuffer(raw, np.uint8).reshape(-1, WIDTH)))
+                    units = max(1, -(-len(raw) // UNIT))
+                    samples = np.full((units * UNIT // WIDTH, WIDTH), 255, np.uint8)
+                    samples.ravel()[: len(raw)] = np.frombuffer(raw, np.uint8)
+                    media.append(encode_pgm(samples) if units % 2 else encode_bmp(samples))
                 yield pa.record_batch([b["doc_id"], pa.array(n, pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
 
     docs = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
     return docs.mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
-def media_digests(stored: DataFrame) -> DataFrame:
-    """What op9 returns, from a stored media table (doc_id, n_bytes, media)."""
+def media_tiles(stored: DataFrame, size: int = TILE) -> DataFrame:
+    """Of a stored media table (doc_id, n_bytes, media): digests of the decoded payload and of the stored form, the
+    NPY tile of size x size and the difference hash; a media value that is no image is an error."""
 
     def run(batches):
-        for b in batches:
-            payload_bytes, payload_sha, tail, media_bytes, media_sha, feature = [], [], [], [], [], []
-            for data in b["media"].to_pylist():
-                image = decode_netpbm(data)
-                payload = image.tobytes()
-                payload_bytes.append(len(payload))
-                payload_sha.append(sha256(payload).hexdigest())
-                tail.append(zlib.crc32(payload[-32:]))
-                media_bytes.append(len(data))
-                media_sha.append(sha256(data).hexdigest())
-                feature.append(difference_hash(image))
-            yield pa.record_batch([b["doc_id"], b["n_bytes"], pa.array(payload_bytes, pa.int64()), pa.array(payload_sha, pa.string()), pa.array(tail, pa.int64()), pa.array(media_bytes, pa.int64()), pa.array(media_sha, pa.string()), pa.array(feature, pa.string())], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
-
-    return stored.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+        release()
+        for whole in batches:
+            for b in pieces(whole, "media"):
+                out = []
+                for data in b["media"].to_pylist():
+                    image = decode(data)
+                    if image is None:
+                        raise BadImage("a stored image cannot be read back")
+                    plane = grey(image)
+                    payload = np.ascontiguousarray(plane).data
+                    out.append((len(payload.cast("B")), sha256(payload).hexdigest(), zlib.crc32(payload.cast("B")[-32:]), len(data), sha256(data).hexdigest(), npy_tile(plane, size, size), difference_hash(plane)))
+                columns = zip(*out, strict=True)
+                yield pa.record_batch([b["doc_id"], b["n_bytes"], *(pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.string()), strict=True))], names)
+
+    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "tile", "dhash"]
+    return stored.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, tile binary, dhash string")
 
 
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """feature: the difference hash and the CRC-32 of the written NPY tile, in hex, joined by a colon."""
     path = scratch_dir(spark)
     stored = materialize(text_media(table(spark, sf_dir, "documents")), f"{path}/media")
-    out = materialize(media_digests(stored), f"{path}/rows")
+    tiles = materialize(media_tiles(stored), f"{path}/tiles")
     remove(spark, f"{path}/media")
-    return out
+    feature = F.concat_ws(":", "dhash", F.lpad(F.lower(F.hex(F.crc32("tile"))), 8, "0"))
+    return tiles.select(*tiles.columns[:7], feature.alias("feature"), F.octet_length("tile").cast("long").alias("tile_bytes"))

@@ -439,20 +439,41 @@ def test_area_resize():
     assert np.allclose(media.area_resize(plane, 12, 20), plane.repeat(2, 0).repeat(2, 1))
 
 
-def test_text_media(spark):
-    rows = numbered(texts(60)) + [(1, "é" * 288), (2, "twin"), (3, "twin"), (None, "twin")]
-    got = media.media_digests(media.text_media(docs(spark, rows))).collect()
-    want = []
+def plain_resize(plane, height, width):
+    """Means by the overlap of every cell with every sample, weight by weight."""
+
+    def weights(n, m):
+        return np.array([[max(0.0, min((k + 1) * n / m, i + 1) - max(k * n / m, i)) for i in range(n)] for k in range(m)])
+
+    rows, columns = weights(plane.shape[0], height), weights(plane.shape[1], width)
+    return rows @ plane.astype(float) @ columns.T / ((plane.shape[0] / height) * (plane.shape[1] / width))
+
+
+def test_text_media(spark, tmp_path):
+    import io
+
+    rows = numbered([*texts(60), "word " * 1000]) + [(1, "é" * 288), (1, "é" * 289), (2, "twin"), (3, "twin"), (None, "twin")]
+    docs(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(map(tuple, media.op9_media(spark, str(tmp_path)).collect()), key=str)
+    want, forms = [], set()
     for i, t in rows:
         raw = (t or "").encode()
         full = raw + b"\xff" * (max(576, -(-len(raw) // 576) * 576) - len(raw))
-        want.append((str(i), len(raw), len(full), hashlib.sha256(full).hexdigest(), zlib.crc32(full[-32:])))
-    assert sorted((str(r["doc_id"]), r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) for r in got) == sorted(want)
-    twins = {(r["media_sha256"], r["feature"]) for r in got if r["n_bytes"] == 4 and r["doc_id"] in (2, 3, None) and r["payload_sha256"] == hashlib.sha256(b"twin" + b"\xff" * 572).hexdigest()}
-    assert len(twins) == 1
-    images = spark.createDataFrame([(1, bytearray(media.encode_pgm(np.arange(100, dtype=np.uint8).reshape(10, 10)))), (2, None), (3, bytearray(b"no"))], "k long, img binary")
-    tiles = {r["k"]: r for r in media.image_tiles(images, "k", "img").collect()}
+        plane = np.frombuffer(full, np.uint8).reshape(-1, 24)
+        form = media.encode_pgm(plane) if len(full) // 576 % 2 else media.encode_bmp(plane)
+        forms.add(form[:2])
+        assert (media.grey(media.decode(form)) == plane).all()
+        small = plain_resize(plane, 8, 9).round(6)
+        dhash = f"{int(''.join('01'[int(a > b)] for r in small for a, b in zip(r[:-1], r[1:], strict=True)), 2):016x}"
+        tile = io.BytesIO()
+        np.save(tile, np.clip(np.rint(plain_resize(plane, 16, 16).round(6)), 0, 255).astype(np.uint8))
+        want.append((i, len(raw), len(full), hashlib.sha256(full).hexdigest(), zlib.crc32(full[-32:]), len(form), hashlib.sha256(form).hexdigest(), f"{dhash}:{zlib.crc32(tile.getvalue()):08x}", len(tile.getvalue())))
+    assert got == sorted(want, key=str) and forms == {b"P5", b"BM"}
+    images = spark.createDataFrame([(1, bytearray(media.encode_pgm(np.arange(100, dtype=np.uint8).reshape(10, 10)))), (2, None), (3, bytearray(b"no"))], "tile long, img binary")
+    tiles = {r["_tile"]: r for r in media.image_tiles(images, "tile", "img").collect()}
     assert tiles[1]["height"] == 10 and tiles[2]["dhash"] is None and tiles[3]["tile"] is None
+    assert np.load(io.BytesIO(tiles[1]["tile"])).shape == (16, 16)
+    assert media.media_tiles(media.text_media(docs(spark, rows).where("false"))).count() == 0
 
 
 def test_ibans_before_other_words(spark):
