@@ -18,7 +18,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import materialize, scratch_dir, table
+from quillgraph.llm.common import materialize, scratch_dir, table, unused
 
 BITS, STEP, MOST = 63, 8, 24
 
@@ -74,20 +74,31 @@ def _pages(rows: DataFrame, limit: int) -> DataFrame:
     return paged.select("id", "bytes", F.lit(BITS).alias("depth"), F.col("bits").alias("prefix"), F.count("*").over(page).alias("shard_rows"), F.sum("bytes").over(page).alias("shard_bytes"), F.concat_ws(".", F.col("part").cast("string"), F.col("page").cast("string")).alias("page"))
 
 
-def write_shards(df: DataFrame, key: str, tie: str, limit: int, path: str) -> None:
-    """df's rows as Parquet under path, one folder for each shard (sizes are those of the tie column's text)."""
-    rows = df.withColumn("_id", F.struct(*[F.col(f"`{c}`") for c in df.columns]))
-    bits = rows.select(F.col("_id").alias("id"), hash_bits(F.col(f"`{key}`"), F.col(f"`{tie}`")).alias("bits"), F.coalesce(F.octet_length(F.col(f"`{tie}`").cast("string")), F.lit(0)).cast("long").alias("bytes"))
-    assign(bits, limit).select("id.*", F.col("shard").alias("_shard")).repartition("_shard").write.partitionBy("_shard").parquet(path)
+def write_shards(df: DataFrame, key: str, tie: str, limit: int, path: str, extra: int = 0) -> DataFrame:
+    """df's rows as Parquet under path, one folder for each shard, and what is read back: df's columns and `shard`.
+
+    A row's size is that of its tie column's text and `extra` bytes.  A column of df named shard stays, and the
+    shard's name gets a _ before it.
+    """
+    name = unused("shard", df.columns)
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("id"), hash_bits(F.col(f"`{key}`"), F.col(f"`{tie}`")).alias("bits"), (F.coalesce(F.octet_length(F.col(f"`{tie}`").cast("string")), F.lit(0)).cast("long") + extra).alias("bytes"))
+    placed = assign(rows, limit).select("id.*", F.col("shard").alias(name))
+    placed.repartition(name).write.partitionBy(name).parquet(path)
+    return df.sparkSession.read.schema(placed.schema).parquet(path)
 
 
 OP3_LIMIT = 1 << 20
 
 
 def op3_extendible_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shards of whole rows of documents are written; names and sizes are those of the written rows."""
+    path = scratch_dir(spark)
     docs = table(spark, sf_dir, "documents")
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), hash_bits(F.col("doc_id"), F.col("text")).alias("bits"), (F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 16).alias("bytes"))
-    return assign(rows, OP3_LIMIT).select(F.col("id").alias("doc_id"), "shard", F.col("depth").cast("int").alias("depth"), "shard_rows", "shard_bytes", "oversize")
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 16
+    rows = write_shards(docs, "doc_id", "text", OP3_LIMIT, f"{path}/shards", 16).select("doc_id", unused("shard", docs.columns), size.alias("bytes")).toDF("doc_id", "shard", "bytes")
+    sizes = rows.groupBy("shard").agg(F.count("*").alias("shard_rows"), F.sum("bytes").alias("shard_bytes"))
+    depth = F.split("shard", ":")[0].cast("int")
+    return rows.join(sizes, "shard").select("doc_id", "shard", depth.alias("depth"), "shard_rows", "shard_bytes", (F.col("shard_bytes") > OP3_LIMIT).alias("oversize"))
 
 
 OP3_SQL = f"""

@@ -23,12 +23,14 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from quillgraph.llm.common import U64, held, mix, pieces, table
+from quillgraph.llm.common import U64, held, mix, pieces, table, unused
 
 ORDER = 5
-#: The sample that a model is fitted on: about so many documents of each language, of so many bytes at most.
-SAMPLE_DOCS, SAMPLE_BYTES = 300, 64 << 10
+#: The sample that a model is fitted on: about so many documents of each language, of so many bytes at most and about so
+#: many bytes of each language, for the languages with most documents (ties by name).  It bounds what reaches the driver.
+SAMPLE_DOCS, SAMPLE_BYTES, LANGUAGE_BYTES, LANGUAGES = 300, 64 << 10, 4 << 20, 128
 BEGIN, END = 1, 2
 _WORDS = regex.compile(r"\p{L}+")
 
@@ -191,13 +193,15 @@ class Scorer:
 def fit(docs: DataFrame) -> KneserNey:
     """A model from (doc_id, text, lang): documents whose crc32(doc_id as text) mod 5 is not 0.
 
-    Sampled by a hash of doc_id to about SAMPLE_DOCS documents a language, none over SAMPLE_BYTES; that
-    bounds what reaches the driver by the number of languages.  A fifth of the sample calibrates.
+    Sampled by a hash of doc_id to about SAMPLE_DOCS documents a language, none over SAMPLE_BYTES and about
+    LANGUAGE_BYTES in all, of at most LANGUAGES languages.  A fifth of the sample calibrates.
     """
     docs = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     learn = docs.where("lang is not null and crc32(doc_id) % 5 <> 0")
-    counts = {x["lang"]: x["n"] for x in learn.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    share = F.coalesce(*[F.when(F.col("lang") == k, F.lit(min(1.0, SAMPLE_DOCS / n))) for k, n in counts.items()], F.lit(0.0))
+    fit_size = F.coalesce(F.octet_length("text") <= SAMPLE_BYTES, F.lit(False))
+    sizes = learn.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.when(fit_size, F.octet_length("text").cast("long")).otherwise(0)).alias("bytes"))
+    counts = {x["lang"]: (x["n"], x["bytes"]) for x in sizes.orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
+    share = F.coalesce(*[F.when(F.col("lang") == k, F.lit(min(1.0, SAMPLE_DOCS / n, LANGUAGE_BYTES / max(size, 1)))) for k, (n, size) in counts.items()], F.lit(0.0))
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / (1 << 20)
     rows = learn.where(place < share).where(F.col("text").isNotNull() & (F.octet_length("text") <= SAMPLE_BYTES)).orderBy("doc_id").collect()
     words_of: dict[str, dict[str, int]] = {}
@@ -215,33 +219,33 @@ def fit(docs: DataFrame) -> KneserNey:
     return model
 
 
-def _predictions(docs: DataFrame, model: KneserNey, kept: list[str]) -> DataFrame:
-    """docs with lang_pred, score and rejected under names of their own (_lang, _score, _rejected)."""
+def _predictions(docs: DataFrame, model: KneserNey, kept: list[str], text: str, found: tuple[str, str, str]) -> DataFrame:
+    """The kept columns of docs, and of its column `text` lang_pred, score and rejected under the names found."""
     packed = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
 
     def run(batches):
         own = held(("language", hash(packed.value)), lambda: Scorer(pickle.loads(packed.value)))
         for whole in batches:
-            for b in pieces(whole, "_text", 4 << 20):
-                names, score, rejected = own.texts(b["_text"])
-                yield pa.record_batch([*(b[c] for c in kept), pa.array(names, pa.string()), pa.array(score, pa.float64()), pa.array(rejected)], [*kept, "_lang", "_score", "_rejected"])
+            for b in pieces(whole, text, 4 << 20):
+                names, score, rejected = own.texts(b[text])
+                yield pa.record_batch([*(b[c] for c in kept), pa.array(names, pa.string()), pa.array(score, pa.float64()), pa.array(rejected)], [*kept, *found])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in kept), "_lang string, _score double, _rejected boolean"])
-    return docs.mapInArrow(run, schema)
+    fields = [*(f for f in docs.schema if f.name in kept), *(T.StructField(c, t) for c, t in zip(found, (T.StringType(), T.DoubleType(), T.BooleanType()), strict=True))]
+    return docs.mapInArrow(run, T.StructType(fields))
 
 
 def predict(docs: DataFrame, model: KneserNey) -> DataFrame:
     """(doc_id, held_out, lang_pred, score, rejected) of documents (doc_id, text)."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.expr("crc32(cast(doc_id as string)) % 5 = 0"), F.lit(False)).alias("held_out"), F.col("text").cast("string").alias("_text"))
-    out = _predictions(docs, model, ["doc_id", "held_out"])
-    return out.withColumnsRenamed({"_lang": "lang_pred", "_score": "score", "_rejected": "rejected"})
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.expr("crc32(cast(doc_id as string)) % 5 = 0"), F.lit(False)).alias("held_out"), F.col("text").cast("string").alias("text"))
+    return _predictions(docs, model, ["doc_id", "held_out"], "text", ("lang_pred", "score", "rejected"))
 
 
 def keep_known(docs: DataFrame, model: KneserNey) -> DataFrame:
-    """The rows of docs that the model does not reject, with docs' own columns."""
+    """The rows of docs that the model does not reject, with docs' own columns, whatever their names."""
     names = docs.columns
-    marked = _predictions(docs.withColumn("_text", F.col("text").cast("string")), model, names)
-    return marked.where("not _rejected").select(*[F.col(f"`{c}`") for c in names])
+    text, *found = (unused(c, names) for c in ("_text", "_lang", "_score", "_rejected"))
+    marked = _predictions(docs.withColumn(text, F.col("text").cast("string")), model, names, text, tuple(found))
+    return marked.where(~F.col(found[-1])).select(*[F.col(f"`{c}`") for c in names])
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from quillgraph.llm.common import held, materialize, pieces, remove, scratch_dir, table
 
 MAGIC, BLOCK = b"WVM1", 512
+#: Ranges of doc_id at most: tasks that write, and marks that are broadcast.
+RANGES = 1 << 16
 _POP = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
 
@@ -176,11 +178,11 @@ class ChunkEncoder:
     Holds for tokenizers that drop white space and treat what it separates independently, as the word
     BPE file does (its normaliser works by character or within a chunk, its splitter never crosses white
     space); the tests compare with encoding the texts whole.  Up to `keep` chunks are remembered in Arrow
-    arrays, others are encoded anew in each batch.  Special tokens written in a text are text like any other,
-    or with `specials` get their own ids, as in the library's plain encode.
+    arrays, others are encoded anew in each batch.  Special tokens written in a text get their own ids, as in the
+    library's plain encode, or with specials=False are text like any other.
     """
 
-    def __init__(self, spec: bytes, dtype: str = "<u2", keep: int = 1_000_000, specials: bool = False):
+    def __init__(self, spec: bytes, dtype: str = "<u2", keep: int = 1_000_000, specials: bool = True):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_buffer(spec)
@@ -290,22 +292,24 @@ def _stretches(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
-def shard_table(docs: DataFrame, tokenizer: str, end_id: int = 1, shard_bytes: int = 8 << 20, width: int = 16, specials: bool = False) -> DataFrame:
+def shard_table(docs: DataFrame, tokenizer: str, end_id: int = 1, shard_bytes: int = 8 << 20, width: int = 16, specials: bool = True) -> DataFrame:
     """(shard long, n_tokens long, file binary): documents (doc_id, text) as shard files in doc_id order.
 
-    Documents are dealt by ranges of doc_id (its quantiles) of about shard_bytes of text each; a range
-    that holds more, by long texts or many rows of one id, is cut into several files, so that no task
-    holds more than about twice shard_bytes and one text.  Shards number range << 20 | file.
-    tokenizer: path of a tokenizers file, read on the driver; specials: see ChunkEncoder.
+    Documents are dealt by ranges of doc_id of about shard_bytes of text each, RANGES at most, whose bounds are
+    quantiles of a sample of about 30 ids a range; a range that holds more, by long texts or many rows of one id, is cut
+    into several files, so that no task holds more than about twice shard_bytes and one text.  Shards number
+    range << 20 | file.  tokenizer: path of a tokenizers file, read on the driver; specials: see ChunkEncoder.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     weight = F.coalesce(F.octet_length("text"), F.lit(0)) + 64
-    total = docs.agg(F.sum(weight.cast("long"))).first()[0] or 0
-    shards = max(1, -(-total // shard_bytes))
-    marks = [i / shards for i in range(1, shards)]
-    bounds = docs.agg(F.percentile_approx("doc_id", marks, min(10_000_000, max(10_000, 20 * shards)))).first()[0] if marks else []
-    bounds = spark.sparkContext.broadcast(np.unique(np.array(bounds or [], np.int64)))
+    total, rows = docs.agg(F.sum(weight.cast("long")), F.count("*")).first()
+    shards = min(RANGES, max(1, -(-(total or 0) // shard_bytes)))
+    share = min(1.0, 30 * shards / max(1, rows))
+    some = docs.where("doc_id is not null").select("doc_id")
+    some = np.sort(some.where(F.rand(7) < share).toArrow()["doc_id"].to_numpy()) if shards > 1 else np.zeros(0, np.int64)
+    marks = some[np.arange(1, shards) * len(some) // shards] if len(some) else some
+    bounds = spark.sparkContext.broadcast(np.unique(marks))
     with open(tokenizer, "rb") as f:
         spec = spark.sparkContext.broadcast(f.read())
 
@@ -371,7 +375,8 @@ def read_documents(files: DataFrame) -> DataFrame:
 
 
 def export_files(files: DataFrame, folder: str) -> None:
-    """Each shard file on its own in a mounted folder, written under a temporary name and renamed."""
+    """Each shard file of a table (shard, file) on its own in a mounted folder, written under a temporary name and renamed;
+    a file that is there already is replaced.  Other columns are not read; a null file is an error."""
 
     def put(batches):
         import os
@@ -391,7 +396,7 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = scratch_dir(spark)
-    files = shard_table(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), specials=True)
+    files = shard_table(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     files.write.option("compression", "none").parquet(f"{path}/files")
     out = materialize(read_documents(spark.read.parquet(f"{path}/files")), f"{path}/rows")
     remove(spark, f"{path}/files")

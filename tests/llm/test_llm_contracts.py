@@ -1,11 +1,13 @@
 """The registered op queries on the smallest tables: against SQL where there is some, else against plain versions."""
 
 import hashlib
+import re
 import zlib
 from pathlib import Path
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -71,20 +73,55 @@ def test_op7_held_out(spark, duck):
 
 
 def test_pipeline(spark, duck):
+    """Stage by stage against plain versions on the whole of the smallest table."""
+    from test_llm_operators import plain_components, plain_novel, plain_secrets
+
+    from quillgraph.llm import langid, packing, secrets
+
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        out = stage(spark, docs, str(DATA))
-        assert out.columns == docs.columns, name
-    known = corpus_pipeline.language(spark, docs, str(DATA))
-    kept = jaccard.keep_one_each(known)
-    groups = jaccard.components(known, 5, 80, 100).where("doc_id = component_id")
-    assert sorted(r["doc_id"] for r in kept.select("doc_id").collect()) == sorted(r["doc_id"] for r in groups.collect())
+    own = {r["doc_id"]: r for r in docs.collect()}
+    known = corpus_pipeline.language(spark, docs, str(DATA)).collect()
+    scorer = langid.Scorer(langid.fit(docs))
+    assert sorted(r["doc_id"] for r in known) == [i for i in sorted(own) if not scorer.texts(pa.array([own[i]["text"]]))[2][0]]
+    df = spark.createDataFrame(known, docs.schema)
+    kept = corpus_pipeline.near_copies(spark, df, str(DATA)).collect()
+    groups = plain_components([(r["doc_id"], r["text"]) for r in known], 5, 80, 100)
+    assert sorted(r["doc_id"] for r in kept) == sorted(i for i, _, c in groups if i == c)
+    df = spark.createDataFrame(kept, docs.schema)
+    clean = {r["doc_id"]: r for r in corpus_pipeline.redact_secrets(spark, df, str(DATA)).collect()}
+    names = secrets.identifiers(df)
+    assert sorted(clean) == sorted(r["doc_id"] for r in kept)
+    for r in kept:
+        found = plain_secrets(r["text"]) or ",".join(plain_novel(r["text"], names))
+        assert (clean[r["doc_id"]]["text"] != r["text"]) == bool(found) and clean[r["doc_id"]]["n_chars"] == len(clean[r["doc_id"]]["text"])
+        assert not re.search("AKIA[A-Z0-9]{16}|[0-9a-f]{24}", clean[r["doc_id"]]["text"])
     packed = corpus_pipeline.run(spark, str(DATA)).collect()
-    words = {r["doc_id"]: len((r["text"] or "").split()) for r in corpus_pipeline.redact_secrets(spark, kept, str(DATA)).collect()}
-    total = {}
-    for r in packed:
-        total[r["doc_id"]] = total.get(r["doc_id"], 0) + r["n_words"]
-    assert total == words
+    texts, bins = {}, {}
+    for r in sorted(packed, key=lambda r: (r["doc_id"], r["piece"])):
+        texts[r["doc_id"]] = texts.get(r["doc_id"], "") + r["text"]
+        bins.setdefault(r["bin"], []).append(r)
+    assert texts == {i: r["text"] for i, r in clean.items()}
+    for members in bins.values():
+        assert sum(r["n_words"] for r in members) <= packing.CAPACITY and all(r["n_words"] == len(re.findall(r"[^\x20\x09-\x0D]+", r["text"])) for r in members)
+        assert len({own[r["doc_id"]]["source"] for r in members}) == len(members)
+
+
+def test_pipeline_stages_of_odd_tables(spark):
+    """Nulls in all columns, repeated rows, columns with names that stages use, and no rows at all."""
+    names = ["_lang", "_text", "_doc", "_place", "row", "piece", "cluster"]
+    text = "the house and the river of a quiet morning under some old trees " * 3
+    rows = [(1, text, "en", "s", 1, *names), (1, text, "en", "s", 1, *names), (2, text + "ends", None, None, None, *names), (None, None, None, None, None, *[None] * 7), (4, "", "en", "s", 0, *names)]
+    rows += [(10 + i, f"{text} number {i} token = abcdef{i:06d} " + "word " * i, "en", f"s{i}", 5, *names) for i in range(12)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in names)
+    df = spark.createDataFrame(rows, schema).repartition(2)
+    for docs in (df, df.where("false")):
+        columns = docs.columns
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            docs = stage(spark, docs, "")
+            assert docs.columns == columns
+        last = corpus_pipeline.STAGES[-1][1](spark, docs, "")
+        assert last.columns == ["doc_id", "piece", "n_words", "bin", "position", "text"]
+        assert last.count() >= docs.count() and (docs.isEmpty() or not last.where("text like '%abcdef%'").count())
 
 
 def test_keep_one_each_repeats(spark):
@@ -106,3 +143,28 @@ def test_keep_one_each_repeated_and_null_ids(spark):
     rows = [(9, long[0]), (9, near[0]), (9, near[0]), (None, long[0])]
     got = jaccard.keep_one_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
     assert len(got) == 1 and got[0]["doc_id"] == 9
+
+
+def test_keep_one_each_clashing_columns(spark):
+    names = ["_doc", "_own", "_place", "_id", "_of", "_stays", "_Bloom"]
+    rows = [(1, "a b c d e f g", *names), (2, "a b c d e f g", *names), (3, "x", *names), (None, None, *names)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{c} string" for c in names))
+    got = jaccard.keep_one_each(df)
+    assert got.columns == df.columns
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, [rows[0], rows[2], rows[3]]))
+
+
+def test_hot_shingles_are_dealt_to_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "HOT", 1)
+    monkeypatch.setattr(jaccard, "CELL_BITS", 16)
+    rng = np.random.default_rng(5)
+    base = [f"w{i}" for i in range(40)]
+    rows = []
+    for i in range(80):
+        words = list(base) if i % 2 else [f"u{i // 8}-{j}" for j in range(30 + i % 3)]
+        words[int(rng.integers(len(words)))] = f"v{rng.integers(20)}"
+        rows.append((i, " ".join(words)))
+    from test_llm_operators import plain_components
+
+    got = jaccard.components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 3, 80, 100).collect()
+    assert sorted(map(tuple, got), key=repr) == plain_components(rows, 3, 80, 100)

@@ -59,10 +59,9 @@ def test_token_files(spark, tmp_path):
 
     path = tokenizers.path("word_bpe_49k.json")
     whole = Tokenizer.from_file(path)
-    whole.encode_special_tokens = True
-    rows = numbered([*texts(150), "İstanbul H̱ello. KELVINK <|endoftext|> a.b, c.,"])
+    rows = numbered([*texts(150), "İstanbul H̱ello. KELVINK <|endoftext|> a.b, c.,", "a<|startoftext|>b <|ENDOFTEXT|>"])
     rows += [(3, "again."), (3, "again.")]
-    files = wavelet.shard_table(docs(spark, rows), path, shard_bytes=2000, specials=True).cache()
+    files = wavelet.shard_table(docs(spark, rows), path, shard_bytes=2000).cache()
     assert files.count() > 3
     got = sorted(map(tuple, wavelet.read_documents(files).collect()), key=lambda r: (r[1], r[0]))
     ids = {}
@@ -175,6 +174,20 @@ def test_extendible_hashing(spark):
     assert extendible.assign(coded.where("false"), limit).count() == 0
 
 
+def test_shards_on_disk(spark, tmp_path):
+    rows = numbered(texts(100, longest=20)) + [(5, "same")] * 40 + [(None, "z" * 500), (None, None)]
+    df = docs(spark, rows).withColumn("shard", F.lit("own"))
+    back = extendible.write_shards(df, "doc_id", "text", 400, f"{tmp_path}/shards", 16)
+    assert back.columns == [*df.columns, "_shard"]
+    got = back.collect()
+    assert sorted((str(r["doc_id"]), str(r["text"]), r["shard"]) for r in got) == sorted((str(i), str(t), "own") for i, t in rows)
+    sizes = {}
+    for r in got:
+        sizes.setdefault(r["_shard"], []).append(len((r["text"] or "").encode()) + 16)
+    assert len(sizes) > 5 and all(sum(x) <= 400 or len(x) == 1 for x in sizes.values())
+    assert len([p for p in (tmp_path / "shards").iterdir() if p.is_dir()]) == len(sizes)
+
+
 # n-gram Jaccard join -------------------------------------------------------------------------------------
 
 
@@ -277,6 +290,30 @@ def test_packing(spark):
     assert packing.pack(packing.lengths(docs(spark, rows).where("false"))).count() == 0
 
 
+def test_packing_fits_best_in_each_group(spark):
+    rng = random.Random(3)
+    rows = numbered(["w " * rng.randint(0, 70) for _ in range(300)])
+    got = packing.pack(packing.lengths(docs(spark, rows)), 50, 10_000).where("n_words < 50").collect()
+    items = sorted(((len(t.split()) % 50, i, len(t.split()) // 50, f"s{i % 3}", t) for i, t in rows if len(t.split()) % 50 or not t.split()), key=lambda x: (-x[0], x[1]))
+    bins = plain_best_fit([(n, source, t) for n, _, _, source, t in items], 50)
+    assert sorted((r["doc_id"], r["piece"], r["bin"], r["position"]) for r in got) == sorted((i, piece, f"0.0:{b}", at) for (_, i, piece, _, _), (b, at) in zip(items, bins, strict=True))
+
+
+def test_packing_of_one_hot_id_and_its_texts(spark):
+    rows = [(5, "w w w")] * 300 + [(None, f"x{i} y") for i in range(300)] + [(7, "a  b\nc " * 40 + "d")]
+    got = packing.pack(packing.lengths(docs(spark, rows)), 50, 16)
+    assert got.where("doc_id = 5").count() == 300 and got.where("doc_id is null").count() == 300
+    assert got.where("doc_id = 5").select(F.split("bin", ":")[0].alias("g")).groupBy("g").count().agg(F.max("count")).first()[0] <= 64
+    assert got.where("doc_id = 5").select("bin").distinct().count() == 300
+    packed = packing.pack_texts(docs(spark, [*rows, (8, None), (9, "")]), 50, 16).collect()
+    whole = sorted((r["piece"], r["text"]) for r in packed if r["doc_id"] == 7)
+    assert "".join(t for _, t in whole) == rows[-1][1] and [len(t.split()) for _, t in whole] == [50, 50, 21]
+    assert [(r["n_words"], r["text"]) for r in packed if r["doc_id"] == 8] == [(0, None)]
+    assert sorted(r["text"] for r in packed if r["doc_id"] is None) == sorted(t for i, t in rows if i is None)
+    assert all(r["n_words"] == len((r["text"] or "").split()) for r in packed)
+    assert packing.pack_texts(docs(spark, rows).where("false")).count() == 0
+
+
 # BPE tree ------------------------------------------------------------------------------------------------
 
 
@@ -339,6 +376,62 @@ def _prefix_bits(model, word):
     return -np.log2(p[(at >= 1) & (at <= len(word))]).sum(0)
 
 
+def plain_kneser_ney(counts, order, symbols):
+    """A function from a word to its bits: interpolated Kneser-Ney by dictionaries, one language."""
+    tokens = {w: ["<", *w, ">"] for w in counts}
+    raw = [{} for _ in range(order + 2)]
+    for w, n in counts.items():
+        t = tokens[w]
+        for k in range(1, order + 2):
+            for i in range(max(1, k - 1), len(t)):
+                g = tuple(t[i - k + 1 : i + 1])
+                raw[k][g] = raw[k].get(g, 0) + n
+    use = [{} for _ in range(order + 1)]
+    for k in range(1, order + 1):
+        for g, n in raw[k].items():
+            lefts = sum(1 for h in raw[k + 1] if h[1:] == g)
+            use[k][g] = n if k == order or g[0] == "<" else lefts
+    discount = []
+    for k in range(order + 1):
+        ones, twos = (sum(1 for x in use[k].values() if x == y) for y in (1, 2))
+        discount.append(ones / (ones + 2 * twos) if ones and twos else 0.5)
+
+    def p(g):
+        if not g:
+            return 1 / symbols
+        k, lower = len(g), p(g[1:])
+        same = [n for h, n in use[k].items() if h[:-1] == g[:-1]]
+        if not same:
+            return lower
+        own = use[k].get(g, 0)
+        return max(own - discount[k], 0) / sum(same) + sum(min(n, discount[k]) for n in same) / sum(same) * lower
+
+    def bits(word):
+        t = ["<", *word, ">"]
+        return -sum(math.log2(p(tuple(t[max(0, i - order + 1) : i + 1]))) for i in range(1, len(t)))
+
+    return bits
+
+
+def test_kneser_ney_against_a_plain_model():
+    rng = random.Random(9)
+    words = {k: {"".join(rng.choice(letters) for _ in range(rng.randint(1, 6))): rng.randint(1, 4) for _ in range(40)} for k, letters in (("x", "abcd"), ("y", "cdefü"))}
+    for order in (2, 3, 5):
+        model = langid.KneserNey(words, order)
+        plain = [plain_kneser_ney(words[k], order, model.symbols) for k in ("x", "y")]
+        tried = [*list(words["x"])[:10], *list(words["y"])[:10], "a", "zz", "abcdabcd", "üü"]
+        cost, n = model.bits(tried)
+        assert n.tolist() == [len(w) + 1 for w in tried]
+        assert np.allclose(cost, [[f(w) for f in plain] for w in tried], rtol=1e-4)
+
+
+def test_language_columns_may_clash(spark):
+    rows = [(i, ["the and er ing", "sch ein ung der"][i % 2] * 5, ["en", "de"][i % 2], "mine", "mine", "mine", True) for i in range(60)] + [(60, None, None, "mine", None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, _text string, _lang string, _score string, _rejected boolean")
+    kept = langid.keep_known(df, langid.fit(df))
+    assert kept.columns == df.columns and sorted(map(tuple, kept.collect())) == sorted(rows[:60])
+
+
 def test_language_id(spark):
     rng = random.Random(4)
     syllables = {"en": ["the", "ing", "and", "er"], "de": ["sch", "ein", "ung", "ü"], "fr": ["eau", "que", "é", "oi"]}
