@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.operators import graph, merge, recall, supersede
+from quillgraph.operators import assertions, graph, merge, recall, scene, supersede
 
 #: Budgets of the verbs, and the most that may be asked for.
 BUDGETS = {"recall": 15, "search": 10, "neighbors": 20, "as_of": 15, "critique": 15, "analogy": 5}
-MOST, MOST_ANALOGIES = 500, 50
+MOST, MOST_ANALOGIES, MOST_NODES, MOST_EDGES = 500, 50, 10_000, 50_000
 
 
 class MemoryGraph:
@@ -68,6 +68,37 @@ class MemoryGraph:
         """With another replica's nodes and edges merged in."""
         return MemoryGraph(merge.merge_nodes(self.nodes.unionByName(nodes)), merge.merge_edges(self.edges.unionByName(edges)), self.readable)
 
+    def assert_diff(self, nodes: DataFrame, edges: DataFrame, keys: DataFrame, writer: str, at_ms: int) -> MemoryGraph:
+        """With a signed diff of a writer (keys: author, key): all of it, or an error that names a reason."""
+        judged = assertions.judge_diff(self.nodes, self.edges, assertions.check_nodes(nodes, keys), assertions.check_edges(edges, keys), writer, at_ms)
+        return MemoryGraph(*assertions.apply_diff(self.nodes, self.edges, judged), self.readable)
+
+    def merge_diff(self, nodes: DataFrame, edges: DataFrame, grants: DataFrame, keys: DataFrame, writer: str, at_ms: int) -> MemoryGraph:
+        """assert_diff of at most MOST_NODES and MOST_EDGES, if the grants (repo, can_write) cover every repo that it touches."""
+        if nodes.count() > MOST_NODES or edges.count() > MOST_EDGES:
+            raise ValueError("a diff may hold 10,000 nodes and 50,000 edges")
+        barred = merge.unwritable(nodes, edges, self.nodes, grants).agg(F.count("*").alias("n"), F.min("repo").alias("repo")).first()
+        if barred["n"]:
+            raise PermissionError(f"no write grant for {barred['n']} repos, such as {barred['repo']}")
+        return self.assert_diff(nodes, edges, keys, writer, at_ms)
+
+    def review(self, repo: str, budget: int | None = None) -> DataFrame:
+        return recall.review(recall.tenant(self._seen(), repo), self._budget("recall", budget))
+
+    def total(self, repo: str) -> int:
+        """How many nodes a tenant has, whatever a recall or as_of shows of them."""
+        return recall.tenant(self._seen(), repo).count()
+
+    def health(self) -> DataFrame:
+        """(nodes, edges, proposals, tenants)."""
+        edges = self.edges.agg(F.count("*").alias("edges"), F.count_if("quarantined").alias("proposals"), F.lit(1).alias("one"))
+        nodes = self._seen().agg(F.count("*").alias("nodes"), F.count_distinct("repo").alias("tenants"), F.lit(1).alias("one"))
+        return nodes.join(edges, "one").select("nodes", "edges", "proposals", "tenants")
+
+    def layout(self, dim: int = 256) -> tuple[DataFrame, DataFrame]:
+        """The scene's nodes with places by their vectors of this size (or on a ring), and the edges between them."""
+        return scene.scene(self._seen().withColumn("vector", F.col("embedding.data")), self.edges, "vector", dim)
+
     def register(self, spark: SparkSession, prefix: str = "") -> None:
         """Temporary views for SQL."""
         self.nodes.createOrReplaceTempView(f"{prefix}nodes")

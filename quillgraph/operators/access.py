@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillgraph.functions import ed25519
 from quillgraph.functions.ids import field, little_endian
 
 ZERO_HASH = "0" * 64
@@ -36,16 +38,83 @@ def check_grants(requests: DataFrame, grants: DataFrame, now: int) -> DataFrame:
 
 
 def readable_repos(scopes: DataFrame, repos: DataFrame) -> DataFrame:
-    """(grant_id, repo): repos that a grant's first matching scope lets read.  scopes: (grant_id, pos, resource, can_read)."""
-    exact = repos.join(scopes, repos["repo"] == scopes["resource"]).select("grant_id", "repo", "pos", "can_read")
+    """(grant_id, repo): repos that a grant's first matching scope lets read.  scopes: (grant_id, pos, resource, can_read).
+
+    A wildcard counts for a repo unless one of the grant's own scopes on it comes first.  The result names each pair,
+    so it is as large as the grants with a wildcard times the repos; `readable_by` keeps the wildcard instead.
+    """
+    own = scopes.where("resource <> '*'").groupBy("grant_id", F.col("resource").alias("repo")).agg(F.min(F.struct("pos", "can_read")).alias("own"))
     stars = scopes.where("resource = '*'").groupBy("grant_id").agg(F.min(F.struct("pos", "can_read")).alias("star"))
-    # A wildcard holds for every repo: its grants are gathered into one array per repo row, bounded by the grants with a star.
-    star_list = stars.agg(F.collect_list(F.struct("grant_id", "star.pos", "star.can_read")).alias("stars")).first()["stars"]
-    star_rows = F.array(*[F.struct(F.lit(s["grant_id"]).alias("grant_id"), F.lit(s["pos"]).alias("pos"), F.lit(s["can_read"]).alias("can_read")) for s in star_list])
-    if star_list:
-        exact = exact.unionByName(repos.select("repo", F.explode(star_rows).alias("s")).select("s.grant_id", "repo", "s.pos", "s.can_read"))
-    first = exact.groupBy("grant_id", "repo").agg(F.min_by("can_read", "pos").alias("can_read"))
-    return first.where("can_read").select("grant_id", "repo")
+    wide = repos.select("repo").distinct().withColumn("one", F.lit(1)).join(stars.withColumn("one", F.lit(1)), "one").join(own, ["grant_id", "repo"], "left")
+    first = F.when(F.col("own.pos") < F.col("star.pos"), F.col("own.can_read")).otherwise(F.col("star.can_read"))
+    exact = own.join(stars, "grant_id", "left_anti").join(repos.select("repo").distinct(), "repo", "left_semi")
+    return wide.where(first).select("grant_id", "repo").unionByName(exact.where("own.can_read").select("grant_id", "repo"))
+
+
+def readable_by(rows: DataFrame, scopes: DataFrame, grant_id: str) -> DataFrame:
+    """rows (with repo) that a grant's first matching scope lets read: one grant's scopes joined, its wildcard a literal."""
+    own = scopes.where(F.col("grant_id") == grant_id)
+    star = own.where("resource = '*'").agg(F.min(F.struct("pos", "can_read")).alias("s")).first()["s"]
+    named = own.where("resource <> '*'").groupBy(F.col("resource").alias("repo")).agg(F.min(F.struct("pos", "can_read")).alias("_own"))
+    found = rows.join(named, "repo", "left")
+    if star is None:
+        return found.where("_own.can_read").drop("_own")
+    return found.where(F.when(F.col("_own.pos") < star["pos"], F.col("_own.can_read")).otherwise(F.lit(star["can_read"]))).drop("_own")
+
+
+def both_allow(decisions: DataFrame, session: DataFrame) -> DataFrame:
+    """(request_id, allowed, reason): a request passes if its own grant and the session's allow it; the first refusal is the reason."""
+    joined = decisions.select("request_id", F.col("decision").alias("own")).join(session.select("request_id", F.col("decision").alias("session")), "request_id", "left")
+    other = F.coalesce("session", F.lit("no grant"))
+    reason = F.when(other != "allowed", F.concat(F.lit("session: "), other)).when(F.col("own") != "allowed", F.concat(F.lit("request: "), F.col("own")))
+    return joined.select("request_id", reason.isNull().alias("allowed"), reason.alias("reason"))
+
+
+def grant_preimage(domain: str = "grant:v1") -> Column:
+    """Bytes that a grant's signature covers: domain, id, issuer, recipient, each scope and its rights, policy, expiry,
+    delegations, the issuer's key, and a mark if it is revoked.
+
+    Columns: grant_id, issuer, recipient, scopes array<struct<resource, can_read, can_write>>, policy, expires_at_ms,
+    delegations array<struct<delegator, at_ms>>, issuer_key, revoked.
+    """
+    text = lambda c: F.encode(c, "UTF-8")
+    bit = lambda c: F.when(c, F.unhex(F.lit("01"))).otherwise(F.unhex(F.lit("00")))
+    none = F.unhex(F.lit(""))
+    joined = lambda items, one: F.aggregate(F.transform(items, one), none, lambda x, y: F.concat(x, y))
+    return F.concat(
+        field(0, text(F.lit(domain))),
+        field(1, text(F.col("grant_id"))),
+        field(2, text(F.col("issuer"))),
+        field(3, text(F.col("recipient"))),
+        joined(F.col("scopes"), lambda s: F.concat(field(4, text(s["resource"])), field(5, F.concat(bit(s["can_read"]), bit(s["can_write"]))))),
+        field(6, text(F.col("policy"))),
+        field(7, little_endian(F.col("expires_at_ms"), 8)),
+        joined(F.col("delegations"), lambda d: F.concat(field(8, text(d["delegator"])), field(9, little_endian(d["at_ms"], 8)))),
+        field(10, F.col("issuer_key")),
+        F.when(F.col("revoked"), field(11, text(F.lit("revoked")))).otherwise(none),
+    )
+
+
+def signed_grants(grants: DataFrame) -> DataFrame:
+    """grants (with issuer_key and signature) with `signed`: the issuer's key signed the preimage; unsigned ones are not."""
+    made = grants.withColumn("_preimage", grant_preimage())
+    return made.withColumn("signed", F.coalesce(ed25519.verified("issuer_key", "_preimage", "signature"), F.lit(False))).drop("_preimage")
+
+
+def join_members(members: DataFrame, hits: DataFrame, org: str) -> DataFrame:
+    """members (org, principal, role) with those of the allow-list hits (login_id, role) that have no membership of the org yet."""
+    fresh = hits.select(F.lit(org).alias("org"), F.col("login_id").cast("string").alias("principal"), "role").dropDuplicates(["principal"])
+    return members.select("org", "principal", "role").unionByName(fresh.join(members.select("org", "principal"), ["org", "principal"], "left_anti"))
+
+
+def org_gate(requests: DataFrame, orgs: DataFrame, members: DataFrame) -> DataFrame:
+    """requests (request_id, principal, org) with `decision`: unknown org, inactive org, no member, allowed, in this order.
+
+    orgs: (org, status); members: (org, principal).
+    """
+    known = requests.join(orgs.select("org", "status"), "org", "left").join(members.select("org", "principal").distinct().withColumn("_in", F.lit(True)), ["org", "principal"], "left")
+    decision = F.when(F.col("status").isNull(), "unknown org").when(F.col("status") != "Active", "inactive org").when(F.col("_in").isNull(), "no member").otherwise("allowed")
+    return known.select("request_id", "principal", "org", decision.alias("decision"))
 
 
 def role_scopes(memberships: DataFrame) -> DataFrame:
@@ -96,19 +165,69 @@ def audit_preimage(domain: str = "audit:v1") -> Column:
 
 
 def verify_audit(records: DataFrame, hashed: Column | None = None) -> DataFrame:
-    """One row (records, first_break, reason): whether sequences are dense from 0 and hashes chain.
+    """One row (records, first_break, reason): whether each sequence from 0 on is there once and hashes chain.
 
-    A record is compared with the one before it through a join on sequence - 1, not one global window.
+    first_break is the first sequence that is there twice, has none before it, or does not carry the hash of the one
+    before.  A record is compared with that one through a join on sequence - 1, not one global window.
     """
     own = records.withColumn("hash", F.sha2(audit_preimage(), 256) if hashed is None else hashed)
-    before = own.select((F.col("sequence") + 1).alias("sequence"), F.col("hash").alias("expected")).dropDuplicates(["sequence"])
+    before = own.groupBy((F.col("sequence") + 1).alias("sequence")).agg(F.min("hash").alias("expected"))
+    each = own.groupBy("sequence").agg(F.count("*").alias("n"), F.min("prev_hash").alias("prev_hash"))
     total = own.agg(F.count("*").alias("n"))
-    joined = own.join(before, "sequence", "left")
-    bad_link = F.when(F.col("sequence") == 0, F.col("prev_hash") != ZERO_HASH).otherwise(F.col("expected").isNull() | (F.col("prev_hash") != F.col("expected")))
-    broken = joined.agg(F.min(F.when(bad_link, F.struct("sequence", F.when(F.col("expected").isNull() & (F.col("sequence") > 0), "sequence").otherwise("prev_hash").alias("reason")))).alias("b"))
+    joined = each.join(before, "sequence", "left")
+    gap = (F.col("n") > 1) | (F.col("sequence") < 0) | ((F.col("sequence") > 0) & F.col("expected").isNull())
+    bad = gap | ~F.col("prev_hash").eqNullSafe(F.when(F.col("sequence") == 0, F.lit(ZERO_HASH)).otherwise(F.col("expected")))
+    broken = joined.agg(F.min(F.when(bad, F.struct("sequence", F.when(gap, "sequence").otherwise("prev_hash").alias("reason")))).alias("b"))
     return total.withColumn("one", F.lit(1)).join(broken.withColumn("one", F.lit(1)), "one").select(F.col("n").alias("records"), F.col("b.sequence").alias("first_break"), F.col("b.reason").alias("reason"))
 
 
+def append_audit(log: DataFrame, events: list[dict]) -> DataFrame:
+    """log with a batch of a single writer's events (timestamp_ms, event, actor, resource_id, detail) chained to its last record.
+
+    Only the last record comes to the driver, which hashes the batch in order.
+    """
+    spark = log.sparkSession
+    last = log.withColumn("hash", F.sha2(audit_preimage(), 256)).agg(F.max(F.struct("sequence", "hash")).alias("m")).first()["m"]
+    number, before = (last["sequence"] + 1, last["hash"]) if last else (0, ZERO_HASH)
+    rows = []
+    for e in events:
+        rows.append((number, e["timestamp_ms"], before, e["event"], e["actor"], e["resource_id"], e["detail"]))
+        number, before = number + 1, audit_hash(*rows[-1])
+    fresh = spark.createDataFrame(rows, "sequence long, timestamp_ms long, prev_hash string, event string, actor string, resource_id string, detail string")
+    return log.select(*fresh.columns).unionByName(fresh)
+
+
+def audit_hash(sequence: int, timestamp_ms: int, prev_hash: str, event: str, actor: str, resource_id: str, detail: str, domain: str = "audit:v1") -> str:
+    """The hash of one record: sha2 of what audit_preimage() gives."""
+    parts = (domain.encode(), sequence.to_bytes(8, "little"), timestamp_ms.to_bytes(8, "little"), bytes.fromhex(prev_hash), *(x.encode() for x in (event, actor, resource_id, detail)))
+    return hashlib.sha256(b"".join(bytes([k]) + len(x).to_bytes(8, "little") + x for k, x in enumerate(parts))).hexdigest()
+
+
+def check_head(log: DataFrame, head: DataFrame) -> DataFrame:
+    """(state): a log against the head (records, hash) that was kept beside it.
+
+    sound; ahead (one record that the head does not know yet, as after a crash between the two writes); truncated;
+    replaced (as long as the head says, with another last hash), or unknown without a head.
+    """
+    own = log.withColumn("hash", F.sha2(audit_preimage(), 256)).agg(F.count("*").alias("n"), F.max(F.struct("sequence", "hash")).alias("m"), F.max_by(F.col("prev_hash"), F.col("sequence")).alias("before"))
+    both = own.withColumn("one", F.lit(1)).join(head.select("records", F.col("hash").alias("kept"), F.lit(1).alias("one")), "one", "left")
+    state = (
+        F.when(F.col("records").isNull(), "unknown")
+        .when(F.col("n") < F.col("records"), "truncated")
+        .when((F.col("n") == F.col("records")) & (F.coalesce("m.hash", F.lit(ZERO_HASH)) == F.col("kept")), "sound")
+        .when((F.col("n") == F.col("records") + 1) & (F.col("before") == F.col("kept")), "ahead")
+        .otherwise("replaced")
+    )
+    return both.select(state.alias("state"))
+
+
+def filter_audit(log: DataFrame, actor: str | None = None, event: str | None = None, text: str | None = None) -> DataFrame:
+    """Records of an actor and event, with text (without case) in actor, resource or detail."""
+    log = log if actor is None else log.where(F.col("actor") == actor)
+    log = log if event is None else log.where(F.col("event") == event)
+    return log if not text else log.where(F.contains(F.lower(F.concat_ws("\n", "actor", "resource_id", "detail")), F.lit(text.lower())))
+
+
 def fixed_window(calls: DataFrame, seconds: int, limit: int) -> DataFrame:
     """calls (principal, ts, call_id) with window start, place in it, allowed, and seconds to the window's end if refused."""
     epoch = F.unix_micros("ts")
@@ -162,20 +281,43 @@ def _nonce(key: Column, aad: Column, content: Column) -> Column:
     return F.unhex(F.substring(F.sha2(F.concat(key, F.lit(b"\0"), aad, F.lit(b"\0"), content), 256), 1, 24))
 
 
-def seal(rows: DataFrame, keyring: DataFrame) -> DataFrame:
-    """(tenant, id, generation, sealed) of rows (tenant, id, content) under each tenant's live key (tenant, generation, key)."""
-    aad = F.concat(F.encode("tenant", "UTF-8"), F.lit(b"\0"), F.encode("id", "UTF-8"))
+def _aad(slot: str | None) -> Column:
+    """What binds a sealed value to its place: tenant and id, and the slot's name between them if there is one."""
+    parts = [F.col("tenant"), *([F.lit(slot)] if slot else []), F.col("id")]
+    return F.encode(F.concat_ws("\0", *parts), "UTF-8")
+
+
+def seal(rows: DataFrame, keyring: DataFrame, slot: str | None = None) -> DataFrame:
+    """(tenant, id, generation, sealed) of rows (tenant, id, content) under each tenant's live key (tenant, generation, key).
+
+    slot: the table that the value lies in, such as edges or meta; one sealed for another place does not open.
+    """
     live = rows.join(keyring.where("key is not null"), "tenant")
-    cipher = F.aes_encrypt("content", "key", F.lit("GCM"), F.lit("DEFAULT"), _nonce(F.col("key"), aad, F.col("content")), aad)
+    cipher = F.aes_encrypt("content", "key", F.lit("GCM"), F.lit("DEFAULT"), _nonce(F.col("key"), _aad(slot), F.col("content")), _aad(slot))
     return live.select("tenant", "id", "generation", cipher.alias("sealed"))
 
 
-def unseal(sealed: DataFrame, keyring: DataFrame) -> DataFrame:
+def unseal(sealed: DataFrame, keyring: DataFrame, slot: str | None = None) -> DataFrame:
     """(tenant, id, content) of what the live keys open; other generations and shredded tenants are absent,
     a wrong tag under the live key is an error."""
-    aad = F.concat(F.encode("tenant", "UTF-8"), F.lit(b"\0"), F.encode("id", "UTF-8"))
     live = sealed.join(keyring.where("key is not null"), ["tenant", "generation"])
-    return live.select("tenant", "id", F.aes_decrypt("sealed", "key", F.lit("GCM"), F.lit("DEFAULT"), aad).alias("content"))
+    return live.select("tenant", "id", F.aes_decrypt("sealed", "key", F.lit("GCM"), F.lit("DEFAULT"), _aad(slot)).alias("content"))
+
+
+def seal_migration(rows: DataFrame, keyring: DataFrame, slot: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """rows (tenant, id, content, generation, sealed) with all plain ones sealed, and (sealed, kept, skipped) counts.
+
+    Rows that are sealed already stay, so that a second run changes nothing; rows of tenants without a live key stay plain
+    and are counted as skipped.
+    """
+    plain = rows.where("sealed is null").select("tenant", "id", "content")
+    done = seal(plain, keyring, slot)
+    waiting = plain.join(keyring.where("key is not null").select("tenant"), "tenant", "left_anti").select("tenant", "id", "content", F.lit(None).cast("int").alias("generation"), F.lit(None).cast("binary").alias("sealed"))
+    kept = rows.where("sealed is not null").select("tenant", "id", "content", F.col("generation").cast("int").alias("generation"), "sealed")
+    out = kept.unionByName(done.select("tenant", "id", F.lit(None).cast("binary").alias("content"), F.col("generation").cast("int").alias("generation"), "sealed")).unionByName(waiting)
+    live = keyring.where("key is not null").select("tenant", F.lit(True).alias("live"))
+    counts = rows.join(live, "tenant", "left").agg(F.count_if(F.col("sealed").isNull() & F.col("live")).alias("sealed"), F.count_if(F.col("sealed").isNotNull()).alias("kept"), F.count_if(F.col("sealed").isNull() & F.col("live").isNull()).alias("skipped"))
+    return out, counts
 
 
 def ensure_keys(keyring: DataFrame, tenants: DataFrame, fresh: Column) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.functions import ed25519
+from quillgraph.operators.merge import merge_nodes
 from quillgraph.operators.supersede import SECOND_PARTY, assertable, upsert_edges, upsert_nodes
 from quillgraph.schema import edge_tag
 
@@ -77,6 +78,7 @@ def apply_diff(stored: DataFrame, stored_edges: DataFrame, judged: tuple[DataFra
     refused = nodes.select("reason").unionByName(edges.select("reason")).where("reason is not null").agg(F.count("*").alias("n"), F.min("reason").alias("reason")).first()
     if refused["n"]:
         raise ValueError(f"{refused['n']} items refused, such as: {refused['reason']}")
-    known = stored.select("id")
-    fresh = nodes.join(known, "id", "left_anti").select(*stored.columns)
-    return upsert_nodes(stored, fresh), upsert_edges(stored_edges, edges.select(*stored_edges.columns))
+    # A known node of the writer is joined with what is stored, as in a merge; a new one comes in without an embedding.
+    bare = nodes.withColumn("embedding", F.lit(None).cast(stored.schema["embedding"].dataType)) if "embedding" in stored.columns else nodes
+    touched = stored.join(nodes.select("id"), "id", "left_semi").unionByName(bare.select(*stored.columns))
+    return upsert_nodes(stored, merge_nodes(touched).select(*stored.columns)), upsert_edges(stored_edges, edges.select(*stored_edges.columns))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame
@@ -16,14 +17,23 @@ def _keep(df: DataFrame, spark_dir: str, step: str) -> DataFrame:
 
 
 def shared_dir(spark) -> str:
+    """A new folder under spark.checkpoint.dir; unset, a local one on one machine (as in tests) and an error on a cluster."""
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:  # one machine, as in tests
+    if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         import tempfile
 
         base = f"file://{tempfile.gettempdir()}/quillgraph-graph"
     return f"{base.rstrip('/')}/graph-{uuid.uuid4().hex}"
 
 
+def drop_folder(spark, path: str) -> None:
+    """Delete a scratch folder through Hadoop's file system."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def reachable(edges: DataFrame, starts: DataFrame, most: int = 1_000_000) -> DataFrame:
     """(id): nodes reached from the starts over (from_id, to_id), starts themselves excluded.
 
@@ -90,10 +100,58 @@ def is_ancestor(edges: DataFrame, ancestor: DataFrame, head: DataFrame) -> DataF
     return ancestor.select("id").join(head.select("id").unionByName(reachable(edges, head)), "id", "left_semi")
 
 
+def components(edges: DataFrame, folder: str) -> DataFrame:
+    """(id, comp): the least id of each weakly connected component.
+
+    A round gives a node the least label around it and then that label's label, so long chains take few rounds.
+    """
+    both = _keep(edges.select("from_id", "to_id").union(edges.select("to_id", "from_id")).distinct(), folder, "both")
+    labels = _keep(both.groupBy(F.col("from_id").alias("id")).agg(F.min(F.least("from_id", "to_id")).alias("comp")), folder, "labels-0")
+    step = 0
+    while True:
+        step += 1
+        around = both.join(labels.withColumnsRenamed({"id": "to_id", "comp": "near"}), "to_id").groupBy(F.col("from_id").alias("id")).agg(F.min("near").alias("near"))
+        lower = labels.join(around, "id").select("id", "comp", F.least("comp", "near").alias("low"))
+        jump = labels.withColumnsRenamed({"id": "low", "comp": "next"})
+        fresh = lower.join(jump, "low").select("id", F.least("low", "next").alias("comp"), (F.least("low", "next") != F.col("comp")).alias("changed"))
+        fresh = _keep(fresh, folder, f"labels-{step}")
+        labels = fresh.select("id", "comp")
+        drop_folder(edges.sparkSession, f"{folder}/labels-{step - 1}")
+        if fresh.where("changed").isEmpty():
+            return labels
+
+
+def cyclic_core(edges: DataFrame, rounds: int = 8) -> DataFrame:
+    """Those of the edges (from_id, to_id) that may lie on a cycle; none that does is left out.
+
+    Weakly connected components with fewer edges than nodes are trees and go, all at once; of the others, ends
+    without a way in or out are peeled, for some rounds.
+    """
+    folder = shared_dir(edges.sparkSession)
+    left = _keep(edges.select("from_id", "to_id").distinct(), folder, "edges")
+    comps = components(left, folder)
+    nodes = comps.groupBy("comp").agg(F.count("*").alias("nodes"))
+    own = left.join(comps.withColumnRenamed("id", "from_id"), "from_id")
+    dense = own.groupBy("comp").agg(F.count("*").alias("edges")).join(nodes, "comp").where("edges >= nodes").select("comp")
+    left = _keep(own.join(dense, "comp", "left_semi").select("from_id", "to_id"), folder, "dense")
+    for k in range(rounds):
+        inner = left.join(left.select(F.col("from_id").alias("to_id")), "to_id", "left_semi").join(left.select(F.col("to_id").alias("from_id")), "from_id", "left_semi")
+        size, left = left.count(), _keep(inner.select("from_id", "to_id"), folder, f"peeled-{k}")
+        if left.count() == size:
+            break
+    return left
+
+
 def closes_cycle(edges: DataFrame, proposals: DataFrame) -> DataFrame:
-    """Those proposals (from_id, to_id) that would close a cycle: from is to, or reachable from it."""
-    reach = reachable_pairs(edges, proposals.select(F.col("to_id").alias("id")))
-    back = proposals.join(reach.withColumnsRenamed({"start": "to_id", "id": "from_id"}), ["from_id", "to_id"], "left_semi")
+    """Those proposals (from_id, to_id) that would close a cycle: from is to, or reachable from it.
+
+    A path back can only run through the cyclic core of edges and proposals, so only that is searched.
+    """
+    proposals = proposals.select("from_id", "to_id").distinct()
+    core = cyclic_core(edges.select("from_id", "to_id").unionByName(proposals))
+    asked = proposals.join(core, ["from_id", "to_id"], "left_semi")
+    reach = reachable_pairs(edges.join(core, ["from_id", "to_id"], "left_semi"), asked.select(F.col("to_id").alias("id")))
+    back = asked.join(reach.withColumnsRenamed({"start": "to_id", "id": "from_id"}), ["from_id", "to_id"], "left_semi")
     return back.unionByName(proposals.where("from_id = to_id")).distinct()
 
 

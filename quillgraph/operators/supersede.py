@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.operators.graph import closes_cycle
+from quillgraph.operators.graph import closes_cycle, cyclic_core, reachable_pairs
 from quillgraph.schema import edge_tag
 
 SECOND_PARTY = ("Supersedes", "Refutes", "Contradicts")
@@ -40,16 +40,18 @@ def reject_reasons(nodes: DataFrame, edges: DataFrame, proposals: DataFrame) ->
 def resolve_cycles(edges: DataFrame, judged: DataFrame) -> DataFrame:
     """judged with the edges of cycles decided one by one in (at, from, to) order: those that close one stay rejected.
 
-    Only edges marked `cycle` come to the driver; they are exceptions, and their order decides.
+    Only edges marked `cycle` come to the driver, and which of their ends reach which over stored edges; they are
+    exceptions, and their order decides.
     """
     loops = judged.where("reason = 'cycle'").select("from_id", "to_id", "at").orderBy("at", "from_id", "to_id")
     if loops.isEmpty():
         return judged
-    spine = edges.where("kind = 'Supersedes' and not quarantined").select("from_id", "to_id")
-    ends = loops.select(F.explode(F.array("from_id", "to_id")).alias("from_id")).distinct()
+    spine = edges.where("kind = 'Supersedes' and not quarantined").select("from_id", "to_id").distinct()
+    ends = loops.select(F.explode(F.array("from_id", "to_id")).alias("id")).distinct()
+    inner = spine.join(cyclic_core(spine.unionByName(loops.select("from_id", "to_id"))), ["from_id", "to_id"], "left_semi")
     after: dict[str, set[str]] = {}
-    for row in spine.join(ends, "from_id", "left_semi").toLocalIterator():
-        after.setdefault(row["from_id"], set()).add(row["to_id"])
+    for row in reachable_pairs(inner, ends).join(ends, "id", "left_semi").toLocalIterator():
+        after.setdefault(row["start"], set()).add(row["id"])
     kept = []
     for row in loops.toLocalIterator():
         stack, seen = [row["to_id"]], set()
@@ -97,6 +99,16 @@ def upsert_nodes(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     return stored.join(incoming.select("id"), "id", "left_anti").unionByName(incoming)
 
 
+def confirm_and_apply(nodes: DataFrame, edges: DataFrame, keys: DataFrame, at: int) -> tuple[DataFrame, DataFrame]:
+    """Graph with the proposals of the keys confirmed: those that supersede go through the guards and, where they pass, retire
+    their targets at the confirmation's clock; where they do not, they stay proposals."""
+    hit = edges.join(keys.select("from_id", "to_id", "kind").distinct(), ["from_id", "to_id", "kind"], "left_semi").where("quarantined")
+    ask = hit.where("kind = 'Supersedes'").select("from_id", "to_id", "kind", F.lit(False).alias("quarantined"), F.lit(at).cast("long").alias("at"))
+    judged = resolve_cycles(edges, reject_reasons(nodes, edges, ask))
+    refused = judged.where("reason is not null").select("from_id", "to_id", "kind")
+    return apply_supersessions(nodes, judged), confirm(edges, keys.select("from_id", "to_id", "kind").join(refused, ["from_id", "to_id", "kind"], "left_anti"), at)
+
+
 def set_status(nodes: DataFrame, ids: DataFrame, status: str) -> DataFrame:
     hit = nodes.join(ids.select("id").distinct().withColumn("_hit", F.lit(True)), "id", "left")
     return hit.withColumn("status", F.when(F.col("_hit"), F.lit(status)).otherwise(F.col("status"))).drop("_hit")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillgraph.functions import lattice, text, vectors
-from quillgraph.operators import access, anchor, ann, graph, ingest, merge, recall, scene, supersede
+from quillgraph.operators import access, anchor, ann, graph, ingest, jobs, merge, recall, scene, supersede
 from quillgraph.plans.adapters import (
     GEO_SQL,
     LINES_SQL,
@@ -310,23 +310,15 @@ def ann_topk(spark, d):
     return ann.CellIndex(nodes, "data").search_each(nodes.where("id % 50 = 0"), 10).withColumn("score", F.round("score", 6))
 
 
-@query(
-    """WITH t AS (SELECT doc_id, lower(unnest(regexp_split_to_array(text, '[^A-Za-z0-9]+'))) AS tok FROM documents WHERE lang = 'en' AND regexp_full_match(text, '[\\x00-\\x7F]*')),
-    h AS (SELECT doc_id, sha256(tok) AS h FROM t WHERE tok <> ''),
-    b AS (SELECT doc_id, CAST(CAST('0x' || substr(h, 1, 8) AS BIGINT) % 256 AS INTEGER) AS bucket, sum(CASE WHEN CAST('0x' || substr(h, 17, 1) AS BIGINT) % 2 = 0 THEN 1 ELSE -1 END) AS w FROM h GROUP BY ALL HAVING w <> 0)
-    SELECT doc_id, bucket, round(w / sqrt(sum(CAST(w * w AS DOUBLE)) OVER (PARTITION BY doc_id)), 6) AS weight FROM b"""
-)
-def hash_embed_buckets(spark, d):
-    plain = table(spark, d, "documents").where("lang = 'en'").where(F.col("text").rlike(r"^[\x00-\x7F]*$"))
-    return vectors.hash_embedding(plain, "doc_id", "text", 256).select("doc_id", "bucket", F.round("weight", 6).alias("weight"))
-
-
 @query()
 def hash_embed_all(spark, d):
-    """Every document; its SQL sibling above keeps to the texts that SQL lower-cases and splits in the same way."""
+    """Every document; SQL lower-cases and splits some letters in another way, so the tests compare with a plain version."""
     return vectors.hash_embedding(table(spark, d, "documents"), "doc_id", "text", 256).select("doc_id", "bucket", F.round("weight", 6).alias("weight"))
 
 
+QUERIES["hash_embed_buckets"] = hash_embed_all
+
+
 @query("SELECT count(*) FILTER (e.vec_id IS NOT NULL) AS reused, count(*) FILTER (e.vec_id IS NULL) AS to_embed FROM documents d LEFT JOIN (SELECT vec_id FROM embeddings WHERE label < 5) e ON e.vec_id = d.doc_id")
 def embed_reuse_split(spark, d):
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.lit(1).alias("one"))
@@ -507,18 +499,15 @@ def dangling_filter(spark, d):
     return graph.inside(edges, nodes.where(F.col("repo") == URGENT)).select("from_id", "to_id", "kind")
 
 
-@query("WITH x AS (SELECT 'vec' || vec_id AS id FROM embeddings WHERE vec_id < 50), p AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS i, count(*) OVER () AS n FROM x) SELECT id, round(cos(i * 2 * pi() / n), 9) AS x, round(sin(i * 2 * pi() / n), 9) AS y FROM p")
-def scene_ring(spark, d):
-    few = table(spark, d, "embeddings").where("vec_id < 50").select(F.concat(F.lit("vec"), "vec_id").alias("id"))
-    return scene.ring(few).select("id", F.round("x", 9).alias("x"), F.round("y", 9).alias("y"))
-
-
 @query("WITH p AS (SELECT 'vec' || vec_id AS id, row_number() OVER (ORDER BY 'vec' || vec_id) - 1 AS i, count(*) OVER () AS n FROM embeddings) SELECT id, round(cos(i * 2 * pi() / n), 9) + 0.0 AS x, round(sin(i * 2 * pi() / n), 9) + 0.0 AS y FROM p")
-def scene_ring_all(spark, d):
+def scene_ring(spark, d):
     ids = table(spark, d, "embeddings").select(F.concat(F.lit("vec"), "vec_id").alias("id"))
     return scene.ring(ids).select("id", F.round("x", 9).alias("x"), F.round("y", 9).alias("y"))
 
 
+QUERIES["scene_ring_all"], ORACLE["scene_ring_all"] = scene_ring, ORACLE["scene_ring"]
+
+
 @query()
 def scene_pca(spark, d):
     rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
@@ -566,6 +555,80 @@ def effective_status(spark, d):
     return supersede.effective_status(*_spine(spark, d), AT)
 
 
+_SINCE = 788_918_400_000  # 1995-01-01
+
+
+@query(NE + f"""
+, st AS (SELECT from_id, to_id FROM e WHERE kind = 'Supersedes' AND NOT quarantined),
+pr AS (SELECT from_id, to_id FROM e WHERE kind = 'TemporalNext' AND NOT EXISTS (SELECT 1 FROM st WHERE st.from_id = e.from_id AND st.to_id = e.to_id)
+       UNION ALL SELECT to_id, from_id FROM e WHERE kind = 'Supersedes' AND NOT quarantined AND e.at >= {_SINCE}),
+k AS (SELECT pr.*, a.plane AS fp, b.plane AS tp FROM pr JOIN n a ON a.id = from_id JOIN n b ON b.id = to_id)
+SELECT from_id, to_id, CASE WHEN fp = 'Asserted' AND tp = 'Derived' THEN 'plane' WHEN EXISTS (SELECT 1 FROM st WHERE st.from_id = k.to_id AND st.to_id = k.from_id) THEN 'cycle' END AS reason FROM k""")
+def supersede_stored(spark, d):
+    """Proposals against stored supersessions: along the spine, and back over each newer stored edge, which closes a cycle."""
+    nodes, edges = _spine(spark, d)
+    stored = edges.where("kind = 'Supersedes' and not quarantined")
+    ahead = edges.where("kind = 'TemporalNext'").join(stored.select("from_id", "to_id"), ["from_id", "to_id"], "left_anti")
+    back = stored.where(F.col("at") >= _SINCE).select(F.col("to_id").alias("from_id"), F.col("from_id").alias("to_id"), "at")
+    asked = ahead.select("from_id", "to_id", "at").unionByName(back).select("from_id", "to_id", F.lit("Supersedes").alias("kind"), F.lit(False).alias("quarantined"), "at")
+    return supersede.resolve_cycles(stored, supersede.reject_reasons(nodes, stored, asked)).select("from_id", "to_id", "reason")
+
+
+@query(NE + """, f AS (SELECT e.from_id, e.to_id, a.plane = 'Asserted' AND b.plane = 'Derived' AS bad FROM e JOIN n a ON a.id = from_id JOIN n b ON b.id = to_id WHERE e.kind = 'Supersedes' AND quarantined),
+h AS (SELECT DISTINCT to_id AS id FROM f WHERE NOT bad)
+SELECT n.id, CASE WHEN h.id IS NOT NULL AND status = 'Active' THEN 'Superseded' ELSE status END AS status, (SELECT count(*) FROM f WHERE bad) AS still FROM n LEFT JOIN h USING (id)""")
+def confirm_and_apply(spark, d):
+    nodes, edges = _spine(spark, d)
+    after, links = supersede.confirm_and_apply(nodes, edges, edges.where("kind = 'Supersedes' and quarantined"), 1)
+    still = links.where("kind = 'Supersedes' and quarantined").agg(F.count("*").alias("still"), F.lit(1).alias("one"))
+    return after.select("id", "status", F.lit(1).alias("one")).join(still, "one").drop("one")
+
+
+@query(N + " SELECT repo, arg_min(CASE WHEN o_orderkey % 2 = 0 THEN 'v1' ELSE 'v2' END, id) AS model FROM n WHERE o_orderkey % 3 = 0 GROUP BY repo")
+def model_detect(spark, d):
+    key = F.col("o_orderkey")
+    model = F.when(key % 2 == 0, "v1").otherwise("v2")
+    return jobs.embedding_models(order_nodes(spark, d).withColumn("embedding", F.when(key % 3 == 0, F.struct(model.alias("model"), F.array(F.lit(1.0)).alias("data")))))
+
+
+@query(NE + ", f AS (SELECT from_id, to_id, kind FROM e ORDER BY from_id, to_id, kind LIMIT 1) SELECT e.from_id, e.to_id, e.kind, quarantined FROM e JOIN f USING (from_id, to_id, kind)")
+def edge_by_key(spark, d):
+    _, edges = _spine(spark, d)
+    first = edges.orderBy("from_id", "to_id", "kind").first()
+    return jobs.edge_at(edges, first["from_id"], first["to_id"], first["kind"]).select("from_id", "to_id", "kind", "quarantined")
+
+
+@query("SELECT doc_id, ['AnalogousTo', 'DependsOn', 'Supersedes', 'AnchoredTo'][1 + doc_id % 4] AS edge, ['claim:confirmed', 'tech_debt', 'doc', 'rationale'][1 + doc_id % 4] AS node FROM documents")
+def kind_from_string(spark, d):
+    at = (F.col("doc_id") % 4 + 1).cast("int")
+    pick = lambda *x: F.element_at(F.array(*map(F.lit, x)), at)
+    return table(spark, d, "documents").select("doc_id", jobs.edge_kind(pick("Analogy", "depends_on", "SUPERSEDES", "anchoredto")).alias("edge"), jobs.node_kind(pick("claim", "TechDebt", "note", "other")).alias("node"))
+
+
+@query(N + " SELECT id, author, plane, trust_tier FROM n")
+def blame(spark, d):
+    return jobs.blame(order_nodes(spark, d))
+
+
+@query(NE + ", s AS (SELECT id FROM n WHERE repo IN ('1-URGENT', '2-HIGH') AND status = 'Active') SELECT from_id, to_id, kind FROM e WHERE NOT quarantined AND from_id IN (SELECT id FROM s) AND to_id IN (SELECT id FROM s)")
+def scene_filter(spark, d):
+    nodes, edges = _spine(spark, d)
+    return jobs.scene_filter(nodes, edges, {"repo": ["1-URGENT", "2-HIGH"], "status": ["Active"]}, False)[1].select("from_id", "to_id", "kind")
+
+
+@query(NE + " SELECT 'proposals' AS queue, from_id AS id, to_id AS other FROM e WHERE quarantined UNION ALL SELECT 'superseded', from_id, to_id FROM e WHERE NOT quarantined AND kind = 'Supersedes' UNION ALL SELECT 'contradicted', id, NULL FROM n WHERE list_contains(confidence, 3)")
+def review_queues(spark, d):
+    return jobs.review_queues(*_spine(spark, d))
+
+
+@query(N + " SELECT id, o_orderkey % 3 = 0 AND o_orderkey % 4 <> 0 AS embedded FROM n")
+def strip_markers(spark, d):
+    key = F.col("o_orderkey")
+    nodes = order_nodes(spark, d).withColumns({"kind": F.when(key % 4 == 0, "branch").otherwise("commit"), "embedding": F.lit(None).cast("struct<model:string,data:array<double>>")})
+    fresh = nodes.where(key % 3 == 0).select("id", F.array(F.lit(1.0)).alias("data"))
+    return jobs.strip_embeddings(jobs.backfill_embeddings(nodes, fresh, "v1")).select("id", F.col("embedding").isNotNull().alias("embedded"))
+
+
 # Access ----------------------------------------------------------------------------------------------------
 
 _GRANTS = [("g1", False, None, True, [("src0", True, False), ("*", True, True)]), ("g2", False, 1000, True, [("*", True, True)]), ("g3", True, None, True, [("*", True, True)]), ("g4", False, None, False, [("src1", True, True)]), ("g5", False, 5000, True, [("src1", True, True), ("src2", False, True)])]
@@ -643,6 +706,40 @@ def audit_break(spark, d):
     return access.verify_audit(_audit(spark, d, 17).drop("hash"), F.sha2(F.concat_ws("|", "sequence", "timestamp_ms", "event", "actor"), 256))
 
 
+@query("SELECT count(*) + 1 AS records, CAST(23 AS BIGINT) AS first_break, 'sequence' AS reason FROM events")
+def audit_duplicate(spark, d):
+    log = _audit(spark, d).drop("hash")
+    return access.verify_audit(log.unionByName(log.where("sequence = 23")), F.sha2(F.concat_ws("|", "sequence", "timestamp_ms", "event", "actor"), 256))
+
+
+@query("SELECT event_id AS sequence FROM events WHERE event_type = 'purchase' AND contains(CAST(user_id AS VARCHAR) || chr(10) || 'Doc-' || (event_id % 10), '7')")
+def audit_filter(spark, d):
+    log = _audit(spark, d).withColumns({"resource_id": F.concat(F.lit("Doc-"), F.col("sequence") % 10), "detail": F.lit("")})
+    return access.filter_audit(log, event="purchase", text="7").select("sequence")
+
+
+@query("SELECT c_custkey AS request_id, c_custkey % 4 <> 0 AND c_custkey % 3 = 1 AS allowed, CASE WHEN c_custkey % 4 = 0 THEN 'session: no grant' WHEN c_custkey % 3 = 0 THEN 'request: expired' WHEN c_custkey % 3 = 2 THEN 'request: not permitted' END AS reason FROM customer")
+def session_request(spark, d):
+    k = F.col("c_custkey")
+    own = table(spark, d, "customer").select(k.alias("request_id"), F.when(k % 3 == 0, "expired").when(k % 3 == 1, "allowed").otherwise("not permitted").alias("decision"))
+    return access.both_allow(own, own.where("request_id % 4 <> 0").withColumn("decision", F.lit("allowed")))
+
+
+@query("SELECT c_custkey AS request_id, 'p' || c_custkey AS principal, 'n' || c_nationkey AS org, CASE WHEN c_nationkey % 5 = 0 THEN 'unknown org' WHEN c_nationkey % 3 = 0 THEN 'inactive org' WHEN c_custkey % 2 = 0 THEN 'no member' ELSE 'allowed' END AS decision FROM customer")
+def org_gate(spark, d):
+    asks = table(spark, d, "customer").select(F.col("c_custkey").alias("request_id"), F.concat(F.lit("p"), "c_custkey").alias("principal"), F.concat(F.lit("n"), "c_nationkey").alias("org"))
+    orgs = table(spark, d, "nation").where("n_nationkey % 5 <> 0").select(F.concat(F.lit("n"), "n_nationkey").alias("org"), F.when(F.col("n_nationkey") % 3 == 0, "Closed").otherwise("Active").alias("status"))
+    return access.org_gate(asks, orgs, asks.where("request_id % 2 = 1"))
+
+
+@query("SELECT 'acme' AS org, CAST(c_custkey AS VARCHAR) AS principal, CASE WHEN c_custkey % 3 = 0 THEN 'owner' ELSE 'member' END AS role FROM customer WHERE c_custkey % 3 = 0 OR c_custkey % 2 = 0")
+def jit_membership(spark, d):
+    k = F.col("c_custkey")
+    people = table(spark, d, "customer")
+    members = people.where(k % 3 == 0).select(F.lit("acme").alias("org"), k.cast("string").alias("principal"), F.lit("owner").alias("role"))
+    return access.join_members(members, people.where(k % 2 == 0).select(k.alias("login_id"), F.lit("member").alias("role")), "acme")
+
+
 @query("WITH c AS (SELECT user_id AS principal, event_id AS call_id, CAST(floor(epoch_us(ts) / 3600e6) * 3600 AS BIGINT) AS window_start, row_number() OVER (PARTITION BY user_id, floor(epoch_us(ts) / 3600e6) ORDER BY ts, event_id) AS place, ts FROM events) SELECT principal, call_id, window_start, CAST(place AS INTEGER) AS place, place <= 1 AS allowed, CASE WHEN place > 1 THEN CAST(ceil(window_start + 3600 - epoch_us(ts) / 1000000) AS BIGINT) END AS retry_after FROM c")
 def fixed_window_quota(spark, d):
     calls = table(spark, d, "events").select(F.col("user_id").alias("principal"), F.col("event_id").alias("call_id"), instant("ts").alias("ts"))
@@ -679,6 +776,25 @@ def shred_forgets(spark, d):
     return access.unseal(access.seal(docs, ring), access.shred(ring, "src0")).groupBy("tenant").agg(F.count("*").alias("n"))
 
 
+@query(NE + " SELECT from_id || to_id || e.kind AS id, repo AS tenant, sha256(e.kind || '|' || quarantined) AS digest FROM e JOIN n ON n.id = from_id")
+def edge_seal_roundtrip(spark, d):
+    nodes, edges = _spine(spark, d)
+    rows = access.edge_owner(edges, nodes).select("tenant", F.concat("from_id", "to_id", "kind").alias("id"), F.encode(F.concat_ws("|", "kind", F.col("quarantined").cast("string")), "UTF-8").alias("content"))
+    ring = _keys(spark, nodes.select("repo").distinct())
+    return access.unseal(access.seal(rows, ring, "edges"), ring, "edges").select("id", "tenant", F.sha2("content", 256).alias("digest"))
+
+
+@query("SELECT count(*) FILTER (doc_id % 3 <> 0 AND source <> 'src0') AS sealed, count(*) FILTER (doc_id % 3 = 0 AND source <> 'src0') AS kept, count(*) FILTER (source = 'src0') AS skipped, count(*) FILTER (source <> 'src0') AS after FROM documents")
+def seal_migration(spark, d):
+    docs = table(spark, d, "documents").select(F.col("source").alias("tenant"), F.col("doc_id").cast("string").alias("id"), F.encode("text", "UTF-8").alias("content"), "doc_id")
+    ring = access.shred(_keys(spark, docs.select(F.col("tenant").alias("repo")).distinct()), "src0")
+    old = access.seal(docs.where("doc_id % 3 = 0"), ring)
+    bare = docs.join(old.select("tenant", "id"), ["tenant", "id"], "left_anti").select("tenant", "id", "content", F.lit(None).cast("int").alias("generation"), F.lit(None).cast("binary").alias("sealed"))
+    rows, counts = access.seal_migration(bare.unionByName(old.select("tenant", "id", F.lit(None).cast("binary").alias("content"), "generation", "sealed")), ring)
+    after = rows.where("sealed is not null").agg(F.count("*").alias("after"), F.lit(1).alias("one"))
+    return counts.withColumn("one", F.lit(1)).join(after, "one").drop("one")
+
+
 # Ingest ----------------------------------------------------------------------------------------------------
 
 
@@ -714,10 +830,10 @@ def queue_drain(spark, d):
     return ingest.drain(table(spark, d, "events").select(F.concat(F.lit("u"), "user_id").alias("repo"), F.col("event_id").alias("seq")))
 
 
-@query("SELECT 'o' || o_orderkey AS child, 'o' || p AS parent, CASE WHEN i = 1 THEN 'TemporalNext' ELSE 'MergeParent' END AS kind FROM (SELECT o_orderkey, unnest([o_orderkey - 1, o_orderkey - 7]) AS p, unnest([1, 2]) AS i FROM orders WHERE o_orderkey > 7)")
+@query("SELECT 'o' || o_orderkey AS child, 'o' || p AS parent, CASE WHEN i = 1 THEN 'TemporalNext' ELSE 'MergeParent' END AS kind FROM (SELECT o_orderkey, unnest([o_orderkey - 1, o_orderkey - 7]) AS p, unnest([1, 2]) AS i FROM orders)")
 def spine_build(spark, d):
     k = F.col("o_orderkey")
-    commits = table(spark, d, "orders").where("o_orderkey > 7").select(F.concat(F.lit("o"), k).alias("sha"), F.array(F.concat(F.lit("o"), k - 1), F.concat(F.lit("o"), k - 7)).alias("parents"))
+    commits = table(spark, d, "orders").select(F.concat(F.lit("o"), k).alias("sha"), F.array(F.concat(F.lit("o"), k - 1), F.concat(F.lit("o"), k - 7)).alias("parents"))
     return ingest.spine(commits)
 
 
@@ -730,6 +846,37 @@ def trailer_gate(spark, d):
     return ingest.trailer_edges(commits, spark.createDataFrame([("u1",)], "author string"))
 
 
+_LINE = ", o AS (SELECT o_orderkey, o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY valid_from DESC, o_orderkey DESC) AS back FROM n)"
+
+
+def _commits(spark, d) -> DataFrame:
+    """Orders as commits of their customers' repos, each with the customer's order before as its parent, and its place from the newest."""
+    line = Window.partitionBy("o_custkey").orderBy("valid_from", "o_orderkey")
+    back = Window.partitionBy("o_custkey").orderBy(F.desc("valid_from"), F.desc("o_orderkey"))
+    sha = F.concat(F.lit("o"), F.col("o_orderkey").cast("string"))
+    rows = order_nodes(spark, d).select("o_custkey", "valid_from", sha.alias("sha"), F.lag(sha).over(line).alias("before"), F.row_number().over(back).alias("back"))
+    return rows.select(F.concat(F.lit("cust-"), F.col("o_custkey").cast("string")).alias("repo"), "o_custkey", "sha", F.array_compact(F.array("before")).alias("parents"), "back")
+
+
+@query(N + _LINE + ", c AS (SELECT o_custkey, count(*) AS k FROM o GROUP BY 1) SELECT 'o' || o_orderkey AS sha FROM o JOIN c USING (o_custkey) WHERE o_custkey % 5 = 0 OR k <= o_custkey % 4 OR back <= o_custkey % 4")
+def ingest_incremental(spark, d):
+    """Each repo's watermark lies some commits back; one in five names a commit that its history no longer has."""
+    commits = _commits(spark, d)
+    lost = F.col("o_custkey") % 5 == 0
+    marks = commits.where("back = 1 + o_custkey % 4").select("repo", F.when(lost, F.concat(F.lit("gone-"), "sha")).otherwise(F.col("sha")).alias("head"))
+    return jobs.pending_commits(commits, commits.where("back = 1").select("repo", F.col("sha").alias("head")), marks)
+
+
+@query(N + _LINE + " SELECT 'b' || o_custkey AS id, CASE WHEN o_custkey % 5 = 0 OR o_custkey % 3 = 0 OR o_custkey % 2 = 0 THEN 'Archived' ELSE 'Active' END AS status FROM o WHERE back = 1")
+def reap_branches(spark, d):
+    """Branches that are deleted, have another tip, or are merged are archived."""
+    k = F.col("o_custkey")
+    tips = _commits(spark, d).where("back = 1")
+    branches = tips.select(F.concat(F.lit("b"), k.cast("string")).alias("id"), F.col("repo").alias("name"), F.col("sha").alias("tip"), F.lit("Active").alias("status"))
+    live = tips.where(k % 5 != 0).select(F.col("repo").alias("name"), F.when(k % 3 == 0, "moved").otherwise(F.col("sha")).alias("tip"))
+    return jobs.reap_branches(branches, live, tips.where(k % 2 == 0).select("sha")).select("id", "status")
+
+
 @query("SELECT s_name || '@' || (s_suppkey + 1) AS new_key, s_name || '@' || s_suppkey AS old_key FROM supplier WHERE s_suppkey % 3 = 0 AND s_suppkey % 2 = 0")
 def redeploy_supersede(spark, d):
     k = F.col("s_suppkey")

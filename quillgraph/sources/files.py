@@ -165,50 +165,61 @@ def parse_push(body: bytes, owners: set[str]) -> dict | None:
 
 
 class Snapshots:
-    """Versioned Parquet tables with one current version; a table changes by a rename of its pointer."""
+    """Versioned Parquet tables.  A version counts once its marker is there; the highest marked one is current."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
 
-    def _pointer(self, name: str):
-        jvm = self.spark._jvm
-        p = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}/_current")
+    def _at(self, name: str):
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
         return p, p.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
+    def _marked(self, name: str) -> list[int]:
+        p, fs = self._at(name)
+        if not fs.exists(p):
+            return []
+        return sorted(int(x.getPath().getName()[10:]) for x in fs.listStatus(p) if x.getPath().getName().startswith("committed-"))
+
     def version(self, name: str) -> int:
         """The current version; 0 if there is none."""
-        p, fs = self._pointer(name)
-        if not fs.exists(p):
-            return 0
-        stream = fs.open(p)
-        try:
-            return int(bytes(stream.readAllBytes()).decode())
-        finally:
-            stream.close()
+        return max(self._marked(name), default=0)
 
-    def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{name}/v{self.version(name):08d}")
+    def read(self, name: str, version: int | None = None) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/{name}/v{version or self.version(name):08d}")
 
     def commit(self, name: str, df: DataFrame, partition: list[str] | None = None) -> int:
-        """Write the next version whole, then point to it; readers see the one or the other."""
+        """Write the next version whole, then its marker, which must be new; readers see the one or the other.
+
+        What a crash before the marker has left is written over.  Of two writers at once the second one fails.
+        """
         nxt = self.version(name) + 1
         writer = df.write.mode("overwrite")
         (writer.partitionBy(*partition) if partition else writer).parquet(f"{self.path}/{name}/v{nxt:08d}")
-        p, fs = self._pointer(name)
-        fresh = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}/_next")
-        out = fs.create(fresh, True)
-        out.write(bytearray(str(nxt).encode()))
-        out.close()
-        fs.delete(p, False)
-        if not fs.rename(fresh, p):
-            raise OSError(f"{name} could not be pointed to version {nxt}")
+        _, fs = self._at(name)
+        if not fs.createNewFile(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}/committed-{nxt:08d}")):
+            raise OSError(f"version {nxt} of {name} was committed by another writer")
         return nxt
 
+    def commit_all(self, tables: dict[str, DataFrame]) -> int:
+        """The next version of several tables at once: they count together, once the manifest that names their versions does."""
+        now = self.versions()
+        now.update({name: self.commit(name, df) for name, df in tables.items()})
+        return self.commit("manifest", self.spark.createDataFrame(sorted(now.items()), "name string, version int"))
+
+    def versions(self) -> dict[str, int]:
+        """What the last manifest names."""
+        return {r["name"]: r["version"] for r in self.read("manifest").collect()} if self.version("manifest") else {}
+
+    def current(self, name: str, schema: str) -> DataFrame:
+        """A table as the last manifest names it; empty if it does not."""
+        version = self.versions().get(name)
+        return self.read(name, version) if version else self.spark.createDataFrame([], schema)
+
     def prune(self, name: str, keep: int) -> list[int]:
-        """Delete all but the newest versions; returns those that went."""
-        gone = [v for v in range(1, self.version(name) - keep + 1)]
-        p, fs = self._pointer(name)
+        """Delete all but the newest versions, markers first; returns those that went."""
+        gone = self._marked(name)[:-keep] if keep else self._marked(name)
+        _, fs = self._at(name)
         for v in gone:
-            fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}/v{v:08d}"), True)
+            for path in (f"committed-{v:08d}", f"v{v:08d}"):
+                fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}/{path}"), True)
         return gone
-

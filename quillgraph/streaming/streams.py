@@ -11,7 +11,6 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quillgraph.operators.access import refill
 from quillgraph.operators.ingest import block_walk, drain
-from quillgraph.sources.files import Snapshots
 
 
 def drain_queue(queue: DataFrame, work: Callable[[list[str]], None], checkpoint: str):
@@ -23,27 +22,42 @@ def drain_queue(queue: DataFrame, work: Callable[[list[str]], None], checkpoint:
     return queue.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def walk_blocks(blocks: DataFrame, watched: DataFrame, store: Snapshots, checkpoint: str):
-    """Follows a block stream: checkpoints, events and orphans of each batch become new versions of the tables.
+def walk_blocks(blocks: DataFrame, watched: DataFrame, path: str, checkpoint: str):
+    """Follows a block stream: checkpoints, events and orphans of each batch go to folders of their own under path.
 
-    The stream's checkpoint moves on only after the tables; a batch that is run again changes nothing.
+    A batch is written under its number, and written over if it is run again, so nothing of the history is rewritten;
+    `walked` reads the tables.  Of the stored checkpoints only those at or one before the batch's heights are read.
     """
     spark = blocks.sparkSession
 
-    def current(name: str, schema: str) -> DataFrame:
-        return store.read(name) if store.version(name) else spark.createDataFrame([], schema)
-
-    def each(batch: DataFrame, _: int) -> None:
-        known = current("checkpoints", "number long, hash string")
-        found = block_walk(batch, watched, known)
-        fresh = batch.select("number", "hash").dropDuplicates(["number"])
-        store.commit("orphans", current("orphans", "number long, orphan string, by string").unionByName(found["orphans"]).distinct())
-        store.commit("events", current("events", "number long, block string, tx string, address string").unionByName(found["events"].select("number", "block", "tx", "address")).dropDuplicates(["tx", "address"]))
-        store.commit("checkpoints", known.join(fresh.select("number"), "number", "left_anti").unionByName(fresh))
+    def each(batch: DataFrame, number: int) -> None:
+        found = block_walk(batch, watched, _at_heights(walked(spark, path, "checkpoints", number), batch))
+        for name, rows in (("orphans", found["orphans"]), ("events", found["events"].select("number", "block", "tx", "address")), ("checkpoints", batch.select("number", "hash").dropDuplicates(["number"]))):
+            rows.write.mode("overwrite").parquet(f"{path}/{name}/batch={number}")
 
     return blocks.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def _at_heights(stored: DataFrame, batch: DataFrame) -> DataFrame:
+    heights = batch.select(F.explode(F.array(F.col("number"), F.col("number") - 1)).alias("number")).distinct()
+    return stored.join(heights, "number", "left_semi")
+
+
+WALKED = {"checkpoints": "number long, hash string", "events": "number long, block string, tx string, address string", "orphans": "number long, orphan string, by string"}
+
+
+def walked(spark: SparkSession, path: str, name: str, before: int | None = None) -> DataFrame:
+    """A table of walk_blocks: of checkpoints the last one at a height, of the others each row once; before: only of batches before."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
+    if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+        return spark.createDataFrame([], WALKED[name])
+    rows = spark.read.schema(f"{WALKED[name]}, batch long").parquet(f"{path}/{name}")
+    rows = rows if before is None else rows.where(F.col("batch") < before)
+    if name == "checkpoints":
+        return rows.groupBy("number").agg(F.max_by("hash", "batch").alias("hash"))
+    return rows.drop("batch").dropDuplicates(["tx", "address"] if name == "events" else ["number", "orphan", "by"])
+
+
 def audit_tail(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """New records of an audit folder of JSON lines, as they come."""
     return spark.readStream.schema(schema).json(path)

@@ -113,6 +113,12 @@ def test_snapshots(spark, tmp_path):
     for i in range(3):
         assert store.commit("t", spark.range(i + 1)) == i + 1
     assert store.read("t").count() == 3 and store.prune("t", 1) == [1, 2] and store.read("t").count() == 3
+    # A version without its marker, as a crash leaves it, does not count and is written over.
+    spark.range(9).write.parquet(f"file://{tmp_path}/s/t/v00000004")
+    assert store.version("t") == 3 and store.commit("t", spark.range(5)) == 4 and store.read("t").count() == 5
+    store.commit_all({"a": spark.range(1), "b": spark.range(2)})
+    store.commit("a", spark.range(7))  # not in a manifest yet
+    assert store.current("a", "id long").count() == 1 and store.current("b", "id long").count() == 2 and store.current("c", "id long").count() == 0
 
 
 def test_streams(spark, tmp_path):
@@ -124,15 +130,15 @@ def test_streams(spark, tmp_path):
     tx = "array<struct<hash:string,`from`:string,`to`:string,value:string>>"
     schema = f"number long, hash string, parent_hash string, transactions {tx}"
     spark.createDataFrame([(1, "h1", "h0", [("t", "0xa", None, "0x0")])], schema).write.parquet(str(tmp_path / "b"))
-    store = files.Snapshots(spark, f"file://{tmp_path}/store")
+    store = f"file://{tmp_path}/store"
     watched = spark.createDataFrame([("0xA",)], "address string")
     for more in ([], [(1, "h1b", "h0", [])]):
         if more:
             spark.createDataFrame(more, schema).write.mode("append").parquet(str(tmp_path / "b"))
         streams.walk_blocks(spark.readStream.schema(schema).parquet(str(tmp_path / "b")), watched, store, str(tmp_path / "ck2")).awaitTermination()
-    assert [r["tx"] for r in store.read("events").collect()] == ["t"]
-    assert [tuple(r) for r in store.read("orphans").collect()] == [(1, "h1", "h1b")]
-    assert [tuple(r) for r in store.read("checkpoints").collect()] == [(1, "h1b")]
+    assert [r["tx"] for r in streams.walked(spark, store, "events").collect()] == ["t"]
+    assert [tuple(r) for r in streams.walked(spark, store, "orphans").collect()] == [(1, "h1", "h1b")]
+    assert [tuple(r) for r in streams.walked(spark, store, "checkpoints").collect()] == [(1, "h1b")]
 
 
 def test_stream_token_bucket(spark, tmp_path):
