@@ -746,7 +746,12 @@ def fixed_window_quota(spark, d):
     return access.fixed_window(calls, 3600, 1)
 
 
-@query()
+@query(
+    """WITH RECURSIVE c AS (SELECT user_id, event_id, epoch_us(ts) / CAST(1000000 AS DOUBLE) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+    b AS (SELECT user_id, event_id, t, i, CAST(2 AS DOUBLE) AS level FROM c WHERE i = 1
+      UNION ALL SELECT c.user_id, c.event_id, c.t, c.i, least(2, b.level - CASE WHEN b.level >= 1 THEN 1 ELSE 0 END + greatest(0, c.t - b.t) * (1 / CAST(7200 AS DOUBLE))) FROM b JOIN c ON c.user_id = b.user_id AND c.i = b.i + 1)
+    SELECT user_id AS principal, event_id AS call_id, round(level, 6) AS level, level >= 1 AS allowed FROM b"""
+)
 def token_bucket(spark, d):
     e = table(spark, d, "events").select(F.col("user_id").alias("principal"), F.col("event_id").alias("call_id"), (F.unix_micros(instant("ts")) / 1e6).alias("ts"), F.lit(1).alias("cost"))
     return access.token_bucket(e, 2.0, 1 / 7200).select("principal", "call_id", F.round("level", 6).alias("level"), "allowed")

@@ -5,7 +5,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from quillgraph.plans import catalogue
+from quillgraph.plans import catalogue, rules  # noqa: F401
 
 DATA = Path("/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
