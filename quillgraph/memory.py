@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.operators import assertions, graph, merge, recall, scene, supersede
+from quillgraph.functions import vectors
+from quillgraph.operators import ann, assertions, graph, merge, recall, scene, supersede
 
 #: Budgets of the verbs, and the most that may be asked for.
 BUDGETS = {"recall": 15, "search": 10, "neighbors": 20, "as_of": 15, "critique": 15, "analogy": 5}
@@ -31,6 +35,17 @@ class MemoryGraph:
     def search(self, repo: str, query: list[float], model: str, budget: int | None = None) -> DataFrame:
         return recall.search(recall.tenant(self._seen(), repo), query, model, self._budget("search", budget))
 
+    def search_cached(self, repo: str, query: list[float], model: str, path: str, watermark: str, budget: int | None = None) -> DataFrame:
+        """search() through an index of the tenant's vectors as of a watermark, kept under path: only cells that may hold
+        one of the nearest are read."""
+        most, data = self._budget("search", budget), F.col("embedding.data")
+        own = recall.tenant(self._seen(), repo).where((F.col("embedding.model") == model) & (F.size(data) == len(query)) & vectors.finite(data))
+        if own.isEmpty():
+            return recall.search(own, query, model, most)
+        place = hashlib.sha256(json.dumps([repo, model, len(query)]).encode()).hexdigest()[:32]
+        index = ann.CellIndex.cached(own.select("id", data.alias("data")), "data", f"{path}/{place}", watermark)
+        return own.join(index.search(query, most), "id").orderBy(F.desc("score"), "id")
+
     def neighbors(self, node_id: str, budget: int | None = None) -> DataFrame:
         return recall.neighbors(self.nodes, self.edges, node_id, self._budget("neighbors", budget), self.readable)
 

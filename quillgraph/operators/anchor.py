@@ -8,6 +8,7 @@ import json
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillgraph.functions import ed25519
 from quillgraph.functions.ids import little_endian
 from quillgraph.operators.graph import _keep, shared_dir
 from quillgraph.schema import edge_tag, status_rank
@@ -76,3 +77,16 @@ def bind(record: dict, block: dict | None, external_root: str | None = None) ->
     if external_root is not None and len(external_root) > 256:
         raise ValueError("external root is over 256 characters")
     return {**record, "chain": {k: block[k] for k in ("chain_id", "number", "hash")}, "external_root": external_root}
+
+
+def sign_record(record: dict, seed: bytes) -> dict:
+    """A record with an Ed25519 signature over the bytes of its compact JSON, which come along, and the signer's key."""
+    payload = json.dumps(record, separators=(",", ":"), ensure_ascii=False).encode()
+    return {"record": record, "payload": payload.hex(), "signature": ed25519.sign(seed, payload).hex(), "key": ed25519.public_key(seed).hex(), "alg": "ed25519"}
+
+
+def record_signed(signed: dict, key: bytes | None = None) -> bool:
+    """Whether the payload's signature holds, by this key if one is given, and the payload says what the record says."""
+    payload = bytes.fromhex(signed["payload"])
+    ours = key is None or key.hex() == signed["key"]
+    return ours and json.loads(payload) == signed["record"] and ed25519.verify(bytes.fromhex(signed["key"]), payload, bytes.fromhex(signed["signature"]))

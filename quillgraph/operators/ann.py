@@ -2,32 +2,36 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgraph.functions import vectors
-from quillgraph.operators.graph import _keep, shared_dir
+from quillgraph.operators.graph import _keep, drop_folder, shared_dir
 
 #: Vectors and queries in a block of a cell: a pair of blocks is scored as one matrix product.
 BLOCK, QUERIES = 2048, 256
+#: Cells of an index: about the root of the number of vectors, within these bounds.
+FEWEST, MOST = 16, 512
 
 
 class CellIndex:
     """Cells from a bounded sample (at most `sample` vectors); every vector is assigned to its nearest cell.
 
-    search() scores only vectors in the `probe` cells nearest to the query, by exact cosine.  search_each()
-    takes a table of queries and goes on to every other cell that its bound does not rule out: its results
-    are those of scoring all vectors.
+    search() and search_each(), for a table of queries, score the vectors in the `probe` cells nearest to a query and go on
+    to every other cell that its bound does not rule out: their results are those of scoring all vectors.  cached() keeps an index as a table from one session to the next.
     """
 
-    def __init__(self, table: DataFrame, column: str, cells: int = 16, probe: int = 6, sample: int = 20_000, steps: int = 10, seed: int = 7):
-        self.column, self.probe = column, probe
+    def __init__(self, table: DataFrame, column: str, cells: int | None = None, probe: int = 6, sample: int = 20_000, steps: int = 10, seed: int = 7):
+        self.column, self.probe, self.wide = column, probe, None
         unit = table.withColumn("_unit", vectors.normalise(F.col(column)))
         some = unit.orderBy(F.xxhash64("id")).limit(sample).select("_unit").toArrow()["_unit"]
         grid = np.array(some.to_pylist(), np.float64)
         rng = np.random.default_rng(seed)
+        cells = cells or min(MOST, max(FEWEST, math.isqrt(table.count())))
         self.centres = grid[rng.permutation(len(grid))[: min(cells, len(grid))]]
         for _ in range(steps):
             own = (grid @ self.centres.T).argmax(1)
@@ -45,12 +49,51 @@ class CellIndex:
         kind = dict(table.dtypes)["id"]
         self.table = unit.select("id", "_unit").mapInArrow(assign, f"id {kind}, _unit array<double>, cell int")
 
+    @classmethod
+    def cached(cls, table: DataFrame, column: str, path: str, watermark: str, **fit) -> CellIndex:
+        """The index of table (id, `column`) as of a watermark, read from a folder under path if it was built before.
+
+        A folder is named by the watermark and the number of vectors, so a later state has one of its own; it counts once
+        its centres are there, which are written last, and one left half-written is written anew.  Vectors lie in
+        folders by cell: search() reads those of the cells that it visits only.
+        """
+        spark = table.sparkSession
+        folder = f"{path}/{watermark}-{table.count()}"
+        root = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/centres/_SUCCESS")
+        if not root.getFileSystem(spark._jsc.hadoopConfiguration()).exists(root):
+            drop_folder(spark, folder)
+            built = cls(table, column, **fit)
+            built.table.repartition("cell", F.pmod(F.xxhash64("id"), F.lit(8))).write.partitionBy("cell").parquet(f"{folder}/vectors")
+            rows = [(k, c, w, built.probe) for k, (c, w) in enumerate(zip(built.centres.tolist(), built.widths().tolist(), strict=True))]
+            spark.createDataFrame(rows, "k int, centre array<double>, wide double, probe int").coalesce(1).write.parquet(f"{folder}/centres")
+        own = cls.__new__(cls)
+        rows = spark.read.parquet(f"{folder}/centres").orderBy("k").collect()
+        own.column, own.probe, own.centres, own.wide = column, rows[0]["probe"], np.array([r["centre"] for r in rows]), np.array([r["wide"] for r in rows])
+        own.table = spark.read.parquet(f"{folder}/vectors").select("id", "_unit", F.col("cell").cast("int").alias("cell"))
+        return own
+
     def search(self, query: list[float], budget: int) -> DataFrame:
+        """(id, score): the `budget` vectors of highest cosine, ties by id, among the probed cells and those not ruled out."""
         q = np.array(query, np.float64)
         q = q / (np.linalg.norm(q) or 1)
-        near = np.argsort(-(self.centres @ q))[: self.probe].tolist()
+        near = self.centres @ q
+        cells = np.argsort(-near)[: self.probe].tolist()
         score = vectors.dot(F.col("_unit"), F.array(*map(F.lit, q.tolist())))
-        return self.table.where(F.col("cell").isin(near)).select("id", score.alias("score")).orderBy(F.desc("score"), "id").limit(budget)
+        best = lambda some: self.table.where(F.col("cell").isin(some)).select("id", score.alias("score")).orderBy(F.desc("score"), "id").limit(budget)
+        found = best(cells).agg(F.count("*").alias("n"), F.min("score").alias("least")).first()
+        bound = np.cos(np.maximum(np.arccos(np.clip(near, -1, 1)) - self.widths(), 0)) + 1e-9
+        open_still = bound >= found["least"] if found["n"] >= budget and q.any() else np.ones(len(near), bool)
+        return best(sorted({*cells, *np.flatnonzero(open_still).tolist()}))
+
+    def widths(self) -> np.ndarray:
+        """For each cell the widest angle of a member to the centre; one pass over the vectors, then kept."""
+        if self.wide is None:
+            kind = dict(self.table.dtypes)["id"]
+            least = self._packed(kind).groupBy("cell").agg(F.min("least").alias("least")).collect()  # one row a cell
+            self.wide = np.zeros(len(self.centres))
+            for r in least:
+                self.wide[r["cell"]] = np.arccos(np.clip(r["least"], -1, 1))
+        return self.wide
 
     def search_each(self, queries: DataFrame, budget: int) -> DataFrame:
         """(query_id, id, score): for each query (id, `column`) the `budget` vectors of highest cosine, ties by id.
@@ -62,10 +105,7 @@ class CellIndex:
         folder = shared_dir(spark)
         kind = dict(self.table.dtypes)["id"]
         key = dict(queries.dtypes)["id"]
-        width = dict.fromkeys(range(len(centres)), 0.0)
-        far = self._packed(kind).groupBy("cell").agg(F.min("least").alias("least"))  # one row a cell
-        width.update({r["cell"]: float(np.arccos(np.clip(r["least"], -1, 1))) for r in far.collect()})
-        wide = np.array([width[k] for k in range(len(centres))])
+        wide = self.widths()
         asked = queries.select(F.col("id").alias("query_id"), vectors.normalise(F.col(self.column)).alias("_unit"), F.lit(None).cast("double").alias("least"))
 
         def spread(later: bool):

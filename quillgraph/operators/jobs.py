@@ -117,19 +117,19 @@ def grounded(hits: DataFrame, recent: DataFrame, most: int = 6) -> DataFrame:
     some = hits.limit(most)
     some = recent.limit(most) if some.isEmpty() else some
     parts = F.array_sort(F.collect_list(F.struct("citation", "text")))
-    return some.agg(F.array_join(F.transform(parts, lambda p: F.concat(F.lit("["), p["citation"], F.lit("] "), p["text"])), "\\n\\n").alias("prompt"), F.transform(parts, lambda p: p["citation"]).alias("citations"))
+    return some.agg(F.array_join(F.transform(parts, lambda p: F.concat(F.lit("["), p["citation"], F.lit("] "), p["text"])), "\n\n").alias("prompt"), F.transform(parts, lambda p: p["citation"]).alias("citations"))
 
 
 # Ingest ----------------------------------------------------------------------------------------------------
 
 
-def commit_graph(commits: DataFrame, authorities: DataFrame) -> tuple[DataFrame, DataFrame]:
+def commit_graph(commits: DataFrame, authorities: DataFrame, keep=lambda df, step: df) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges of commits (repo, sha, parents, author, time_secs, subject, body).
 
     Ids are hashes of content.  Trailers that name a commit of the same repo are edges to it; the others lead to a
-    stub of the reference, one for each name and repo.
+    stub of the reference, one for each name and repo.  keep(df, step) may store what several steps read.
     """
-    content = F.encode(F.concat_ws("\\n", "subject", "body"), "UTF-8")
+    content = F.encode(F.concat_ws("\n", "subject", "body"), "UTF-8")
     source = F.encode(F.concat(F.lit("git_commit|"), "repo", F.lit("|"), "sha"), "UTF-8")
     own = commits.withColumn("content", content).withColumn("source", F.decode(source, "UTF-8"))
     key = ids.sha2_id(ids.node_preimage(F.lit("Derived"), F.lit("commit"), F.col("repo"), F.col("author"), F.col("source"), F.col("content")))
@@ -139,7 +139,7 @@ def commit_graph(commits: DataFrame, authorities: DataFrame) -> tuple[DataFrame,
     target = named.select("repo", F.col("sha").alias("parent"), F.col("id").alias("to_id"))
     repo_of = commits.select("repo", F.col("sha").alias("child"))
     lines = ends(ingest.spine(commits).join(repo_of, "child")).join(target, ["repo", "parent"])
-    said = ends(ingest.trailer_edges(commits, authorities).join(commits.select("repo", "sha"), "sha").withColumnRenamed("sha", "child")).join(target.withColumnRenamed("parent", "target"), ["repo", "target"], "left")
+    said = ends(keep(ingest.trailer_edges(commits, authorities), "trailers").join(commits.select("repo", "sha"), "sha").withColumnRenamed("sha", "child")).join(target.withColumnRenamed("parent", "target"), ["repo", "target"], "left")
     stub = ids.sha2_id(F.encode(F.concat(F.lit("ref:"), "repo", F.lit("|"), "target"), "UTF-8"))
     stubs = said.where("to_id is null").groupBy("repo", "target").agg(F.min("at").alias("at")).select(stub.alias("id"), "repo", F.lit("doc").alias("kind"), F.lit("Derived").alias("plane"), F.lit("ref").alias("author"), F.concat(F.lit("ref:"), "target").alias("sha"), F.encode("target", "UTF-8").alias("content"), F.col("at").alias("valid_from"), F.lit(None).cast("long").alias("valid_to"), F.lit("DerivedDeterministic").alias("trust_tier"), F.lit("Active").alias("status"))
     edges = lines.select("from_id", "to_id", "kind", F.lit(False).alias("quarantined"), "at").unionByName(said.select("from_id", F.coalesce("to_id", stub).alias("to_id"), "kind", "quarantined", "at"))
@@ -166,19 +166,24 @@ def run_ingest(store: Snapshots, commits: DataFrame, heads: DataFrame, authoriti
     Returns how many commits were due and how many supersessions were refused.
     """
     nodes, edges, meta = store.current("nodes", NODES), store.current("edges", EDGES), store.current("meta", META)
+    folder = graph.shared_dir(commits.sparkSession)
+    keep = lambda df, step: graph._keep(df, folder, step)  # noqa: E731  each is read by several of the steps after it
     marks = meta_get(meta, "watermark").select("repo", F.col("value").alias("head"))
-    due = commits.join(pending_commits(commits, heads, marks), "sha", "left_semi")
-    found, links = commit_graph(commits, authorities)
-    fresh = found.join(due.select("repo", "sha"), ["repo", "sha"], "left_semi").unionByName(found.where("startswith(sha, 'ref:')"))
-    links = links.join(fresh.select(F.col("id").alias("from_id")), "from_id", "left_semi")
+    due = keep(commits.join(pending_commits(commits, heads, marks), "sha", "left_semi"), "due")
+    found, links = commit_graph(commits, authorities, keep)
+    found = keep(found, "found")
+    fresh = keep(found.join(due.select("repo", "sha"), ["repo", "sha"], "left_semi").unionByName(found.where("startswith(sha, 'ref:')")), "fresh")
+    links = keep(links.join(fresh.select(F.col("id").alias("from_id")), "from_id", "left_semi"), "links")
     known = nodes.unionByName(fresh.join(nodes.select("id"), "id", "left_anti"))
-    judged = supersede.resolve_cycles(edges, supersede.reject_reasons(known, edges, links.where("kind = 'Supersedes'")))
+    reasons = keep(supersede.reject_reasons(known, edges, links.where("kind = 'Supersedes'")), "reasons")
+    judged = keep(supersede.resolve_cycles(edges, reasons), "judged")
     refused = judged.where("reason is not null and reason <> 'quarantined'")
     kept = links.join(refused.select("from_id", "to_id", "kind"), ["from_id", "to_id", "kind"], "left_anti")
     after = supersede.apply_supersessions(known, judged)
     marked = meta_put(meta, heads.select("repo", F.lit("watermark").alias("key"), F.col("head").alias("value"), F.lit(now).cast("long").alias("at")))
     counts = {"commits": due.count(), "refused": refused.count()}
     store.commit_all({"nodes": after.select(nodes.columns), "edges": supersede.upsert_edges(edges, kept.select(edges.columns)), "meta": marked.select(meta.columns)})
+    graph.drop_folder(commits.sparkSession, folder)
     return counts
 
 

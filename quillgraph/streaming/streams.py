@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quillgraph.operators.access import refill
@@ -91,3 +93,26 @@ def windowed(events: DataFrame, width: str, late: str, slide: str | None = None)
 def once(events: DataFrame, key: list[str], late: str) -> DataFrame:
     """A stream without repeats of a key within the watermark's delay."""
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(key)
+
+
+class ProgressLines(StreamingQueryListener):
+    """Writes one JSON line for each start, batch and end of the session's streams to a writer, such as a file's write."""
+
+    def __init__(self, write: Callable[[str], object]):
+        self.write = write
+
+    def _line(self, **fields) -> None:
+        self.write(json.dumps(fields, separators=(",", ":")) + "\n")
+
+    def onQueryStarted(self, event) -> None:
+        self._line(event="started", stream=event.name, id=str(event.id))
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        self._line(event="progress", stream=p.name, id=str(p.id), batch=p.batchId, rows=p.numInputRows)
+
+    def onQueryIdle(self, event) -> None:
+        """Nothing is told of idle streams."""
+
+    def onQueryTerminated(self, event) -> None:
+        self._line(event="failed" if event.exception else "done", id=str(event.id), error=event.exception)

@@ -112,4 +112,67 @@ def test_asserted_and_merged_diffs(spark):
 
 def test_grounding(spark):
     hits = spark.createDataFrame([("1", "t", "a:x")], "id string, text string, citation string")
+    assert jobs.grounded(hits.union(hits), hits).first()["prompt"] == "[a:x] t\n\n[a:x] t"
     assert jobs.grounded(hits, hits).first()["prompt"] == "[a:x] t" and jobs.grounded(hits.where("false"), hits).first()["citations"] == ["a:x"]
+
+
+def test_cached_index(spark, tmp_path):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(30, 8)) * 4
+    grid = (centres[rng.integers(0, 30, 600)] + rng.normal(size=(600, 8))).astype(np.float32)
+    kinds = "id string, repo string, kind string, embedding struct<model: string, data: array<float>>"
+    nodes = spark.createDataFrame([(f"{i:04}", "r" if i % 6 else "s", "doc", ("m", v)) for i, v in enumerate(grid.tolist())], kinds)
+    edges = spark.createDataFrame([], "from_id string, to_id string, kind string, quarantined boolean")
+    g, path = MemoryGraph(nodes, edges), f"file://{tmp_path}/index"
+    look = lambda graph, mark: [r["id"] for r in graph.search_cached("r", grid[5].tolist(), "m", path, mark).collect()]
+    want = [r["id"] for r in g.search("r", grid[5].tolist(), "m").collect()]
+    assert look(g, "w1") == look(g, "w1") == want and want[0] == "0005"
+    (tenant,) = (tmp_path / "index").iterdir()
+    assert [p.name for p in tenant.iterdir()] == ["w1-500"]  # the second search built nothing
+    cells = {p.name for p in (tenant / "w1-500" / "vectors").glob("cell=*")}
+    assert 16 <= len(cells) <= 22
+    fewer = MemoryGraph(nodes.where("id <> '0005'"), edges)
+    assert "0005" not in look(fewer, "w1") and len(list(tenant.iterdir())) == 2  # another count is another state
+    (tenant / "w1-500" / "centres" / "_SUCCESS").unlink()  # a build that died is done again
+    assert look(g, "w1") == want
+    assert g.search_cached("none", grid[5].tolist(), "m", path, "w1").isEmpty()
+    # Zero vectors as queries, and fewer vectors than asked for.
+    assert [r["id"] for r in g.search_cached("r", [0.0] * 8, "m", path, "w1", 3).collect()] == ["0001", "0002", "0003"]
+    assert g.search_cached("s", grid[5].tolist(), "m", path, "w1", 400).count() == 100
+
+
+def test_signed_record(spark):
+    from quillgraph.functions import ed25519
+    from quillgraph.operators import anchor
+
+    record = {"repo": "ré", "root": "ab", "node_count": 2}
+    signed = anchor.sign_record(record, b"s" * 32)
+    key = ed25519.public_key(b"s" * 32)
+    assert signed == anchor.sign_record(record, b"s" * 32)  # the same record gives the same signature
+    assert anchor.record_signed(signed) and anchor.record_signed(signed, key) and not anchor.record_signed(signed, b"x" * 32)
+    assert not anchor.record_signed({**signed, "record": {**record, "node_count": 3}})
+    other = anchor.sign_record({**record, "node_count": 3}, b"s" * 32)
+    assert not anchor.record_signed({**other, "signature": signed["signature"]})
+
+
+def test_progress_lines(spark, tmp_path):
+    import json
+    import time
+
+    from quillgraph.streaming import streams
+
+    spark.range(5).write.parquet(str(tmp_path / "in"))
+    told: list[str] = []
+    listener = streams.ProgressLines(told.append)
+    spark.streams.addListener(listener)
+    rows = spark.readStream.schema("id long").parquet(str(tmp_path / "in"))
+    rows.writeStream.format("memory").queryName("lines").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start().awaitTermination()
+    for _ in range(50):
+        if told and "done" in told[-1]:
+            break
+        time.sleep(0.1)
+    spark.streams.removeListener(listener)
+    events = [json.loads(x) for x in told]
+    assert events[0]["event"] == "started" and events[-1]["event"] == "done" and sum(e.get("rows", 0) for e in events) == 5
