@@ -11,7 +11,8 @@ from quillgraph.plans.adapters import LINES_SQL, NODES_SQL, SPINE_SQL, hashed, i
 from quillgraph.plans.catalogue import AT, NE, URGENT, N, query
 from quillgraph.schema import status_rank, trust_rank
 
-KEY = F.col("o_orderkey")
+def _key():
+    return F.col("o_orderkey")
 
 
 def _listed(key: str, values: list[str]):
@@ -43,9 +44,9 @@ def _text(tag: int, value: str) -> str:
 @query(N + f" SELECT id, o_orderkey FROM n WHERE repo = '{URGENT}' AND o_orderkey % 17 <> 0 AND o_orderkey % 9 <> 0 AND o_orderkey % 4 <> 1")
 def tenant_scan(spark, d):
     """A tenant without branch markers, stubs and commits in flight."""
-    ref = F.struct(F.when(KEY % 9 == 0, "ref:x").when(KEY % 2 == 0, "key").alias("key"))
-    nodes = order_nodes(spark, d).withColumns({"kind": F.when(KEY % 17 == 0, "branch").otherwise("commit"), "source_ref": ref})
-    return recall.tenant(nodes, URGENT, nodes.where(KEY % 4 == 1)).select("id", "o_orderkey")
+    ref = F.struct(F.when(_key() % 9 == 0, "ref:x").when(_key() % 2 == 0, "key").alias("key"))
+    nodes = order_nodes(spark, d).withColumns({"kind": F.when(_key() % 17 == 0, "branch").otherwise("commit"), "source_ref": ref})
+    return recall.tenant(nodes, URGENT, nodes.where(_key() % 4 == 1)).select("id", "o_orderkey")
 
 
 @query(N + " SELECT id, repo FROM n WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 45) AND repo <> '2-HIGH'")
@@ -157,7 +158,7 @@ _NODE = " || ".join([_text(0, f"'{ids.NODE_DOMAIN}'"), _field(1, "unhex('0100')"
 def content_ids(spark, d):
     """Ids over all that a node's id covers."""
     none = F.lit(None).cast("string")
-    ref = F.struct(F.lit("git_commit").alias("tag"), "repo", none.alias("path"), none.alias("git_sha"), F.concat(F.lit("o"), KEY).alias("sha"), none.alias("byte_start"), none.alias("byte_end"), none.alias("key"))
+    ref = F.struct(F.lit("git_commit").alias("tag"), "repo", none.alias("path"), none.alias("git_sha"), F.concat(F.lit("o"), _key()).alias("sha"), none.alias("byte_start"), none.alias("byte_end"), none.alias("key"))
     made = ids.node_preimage(F.col("plane"), F.col("kind"), F.col("repo"), F.col("author"), ids.source_bytes(F.col("ref")), F.col("content"))
     return order_nodes(spark, d).withColumn("ref", ref).select("o_orderkey", ids.sha2_id(made).alias("content_id"))
 
@@ -205,7 +206,7 @@ def assertable_nodes(spark, d):
 @query(N + " SELECT o_orderkey FROM n WHERE NOT (plane = 'Derived' AND NOT signed AND status = 'Active' AND o_orderkey % 3 = 0)")
 def corpus_violations(spark, d):
     """What an import of a corpus would refuse."""
-    author = F.when(KEY % 3 == 0, F.concat(F.lit("corpus:"), "repo")).otherwise(F.col("author"))
+    author = F.when(_key() % 3 == 0, F.concat(F.lit("corpus:"), "repo")).otherwise(F.col("author"))
     return corpus.violations(order_nodes(spark, d).withColumn("author", author)).select("o_orderkey")
 
 
@@ -227,15 +228,15 @@ def inserters(spark, d):
 @query(N + " SELECT o_orderkey, CASE WHEN o_orderkey % 6 = 0 THEN 'Archived' ELSE status END AS status FROM n")
 def status_set(spark, d):
     nodes = order_nodes(spark, d)
-    return supersede.set_status(nodes, nodes.where(KEY % 6 == 0), "Archived").select("o_orderkey", "status")
+    return supersede.set_status(nodes, nodes.where(_key() % 6 == 0), "Archived").select("o_orderkey", "status")
 
 
 def _diff(spark, d) -> tuple[DataFrame, DataFrame]:
     """A diff of every other order over a store of two orders in three, by writer w1 of three."""
-    nodes = order_nodes(spark, d).withColumns({"author": F.concat(F.lit("w"), KEY % 3), "observed_at": F.col("valid_from"), "ok": KEY % 14 != 0})
+    nodes = order_nodes(spark, d).withColumns({"author": F.concat(F.lit("w"), _key() % 3), "observed_at": F.col("valid_from"), "ok": _key() % 14 != 0})
     edges = spine_edges(nodes)
     stored = edges.where("kind = 'Contradicts'").withColumn("quarantined", F.lit(True))
-    return assertions.judge_diff(nodes.where(KEY % 3 != 2), stored, nodes.where(KEY % 2 == 0), edges.withColumn("ok", F.col("kind") != "Refutes"), "w1", AT)
+    return assertions.judge_diff(nodes.where(_key() % 3 != 2), stored, nodes.where(_key() % 2 == 0), edges.withColumn("ok", F.col("kind") != "Refutes"), "w1", AT)
 
 
 @query(
@@ -268,7 +269,7 @@ def merge_authz(spark, d):
     """Tenants that a bundle touches without a write grant, and a null row for ends that nobody knows."""
     nodes = order_nodes(spark, d)
     grants = spark.createDataFrame([(URGENT, True), ("2-HIGH", True), ("3-MEDIUM", False)], "repo string, can_write boolean")
-    return merge.unwritable(nodes.where(KEY % 4 == 0), spine_edges(nodes), nodes.where(KEY % 4 == 1), grants)
+    return merge.unwritable(nodes.where(_key() % 4 == 0), spine_edges(nodes), nodes.where(_key() % 4 == 1), grants)
 
 
 @query(
@@ -289,7 +290,7 @@ def keys_ensured(spark, d):
 
 @query("WITH " + NODES_SQL.strip() + "," + LINES_SQL + ", p AS (SELECT sha256('part:' || p_partkey) AS id, p_brand FROM part) SELECT from_id, to_id, le.kind, coalesce(n.repo, p_brand) AS tenant FROM le LEFT JOIN n ON n.id = from_id AND o_orderkey % 2 = 0 LEFT JOIN p ON p.id = to_id")
 def edge_owners(spark, d):
-    nodes = order_nodes(spark, d).where(KEY % 2 == 0).select("id", "repo").union(part_nodes(spark, d).select("id", "repo"))
+    nodes = order_nodes(spark, d).where(_key() % 2 == 0).select("id", "repo").union(part_nodes(spark, d).select("id", "repo"))
     return access.edge_owner(line_edges(spark, d), nodes).select("from_id", "to_id", "kind", "tenant")
 
 
