@@ -11,6 +11,7 @@ from quillgraph.plans.adapters import LINES_SQL, NODES_SQL, SPINE_SQL, hashed, i
 from quillgraph.plans.catalogue import AT, NE, URGENT, N, query
 from quillgraph.schema import status_rank, trust_rank
 
+
 def _key():
     return F.col("o_orderkey")
 
