@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 import ctypes
+import io
 import re
 import uuid
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 U64 = np.uint64
+#: Bytes up to which a set of blocks is broadcast; beyond, blocks and shards meet in a join on both numbers.
+BROADCAST_BYTES = 8 << 20
 
 # Workers live on between tasks; the system's allocator gives large buffers back when they are freed.
 pa.set_memory_pool(pa.system_memory_pool())
@@ -85,6 +89,44 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def to_bytes(**arrays: np.ndarray) -> bytes:
+    """Named arrays of plain types as one value."""
+    out = io.BytesIO()
+    np.savez(out, **arrays)
+    return out.getvalue()
+
+
+def from_bytes(data: bytes) -> dict[str, np.ndarray]:
+    with np.load(io.BytesIO(data)) as held_:
+        return dict(held_)
+
+
+def numbered(packed: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """A written table whose tasks numbered their rows `partition << 24 | place`, numbered from 0 on, and how many rows it has.
+
+    What is broadcast has one row of 16 bytes for each task that wrote.
+    """
+    sizes = packed.groupBy(F.shiftright(name, 24).alias("_task")).agg(F.count("*").alias("_rows"))
+    before = sizes.select("_task", (F.sum("_rows").over(Window.orderBy("_task")) - F.col("_rows")).alias("_before"))
+    dense = packed.withColumn("_task", F.shiftright(name, 24)).join(F.broadcast(before), "_task")
+    dense = dense.withColumn(name, F.col("_before") + F.col(name).bitwiseAND(F.lit((1 << 24) - 1)))
+    return dense.select(*packed.columns), packed.count()
+
+
+def meet(shards: DataFrame, blocks: DataFrame, n_shards: int, n_blocks: int, most: int = BROADCAST_BYTES) -> DataFrame:
+    """Each shard (shard, ...) with each block (block, ...) of a stated set of queries.
+
+    Blocks of up to `most` bytes in all go to where the shards are; more of them meet the shards in a join on both numbers,
+    so that no task holds more than a shard and a block at a time.
+    """
+    size = sum((F.coalesce(F.octet_length(f.name), F.lit(0)) for f in blocks.schema if f.dataType.typeName() == "binary"), F.lit(0))
+    held_ = blocks.agg(F.sum(size.cast("long")).alias("bytes")).first()["bytes"] or 0
+    copies = shards.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))))
+    if held_ <= most:
+        return copies.join(F.broadcast(blocks), "block")
+    return copies.join(blocks.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_shards - 1).cast("long")))), ["shard", "block"])
+
+
 def text_buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and the len+1 offsets of a string column; null is empty."""
     col = col.cast(pa.large_string()).fill_null("")
