@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import materialize, release, remove, scratch_dir, table
+from quillgraph.llm.common import materialize, numbered, release, remove, scratch_dir, table
 
 #: The largest score that a long shows; sums whose bound is under SAFE are exact in 64 bits.
 MOST, SAFE = (1 << 63) - 1, 1 << 61
@@ -94,11 +94,11 @@ class Shard:
         return ids[order], scores[order] + base
 
 
-def quantise(vectors: DataFrame, key: str, column: str, scale: float) -> DataFrame:
-    """(id, v array<double>) of the rows that take part: scale * x with x as double; top_k takes its floor."""
+def quantise(vectors: DataFrame, key: str, column: str, scale: float, *more: str) -> DataFrame:
+    """(id, v array<double>, more columns) of the rows that take part: scale * x with x as double; top_k takes its floor."""
     x = F.transform(F.col(f"`{column}`"), lambda c: F.lit(float(scale)) * c.cast("double"))
     fine = F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) != F.lit(float("inf"))))
-    rows = vectors.where(F.col(f"`{key}`").isNotNull()).select(F.col(f"`{key}`").cast("long").alias("id"), x.alias("v"))
+    rows = vectors.where(F.col(f"`{key}`").isNotNull()).select(F.col(f"`{key}`").cast("long").alias("id"), x.alias("v"), *more)
     return rows.where(F.col("v").isNotNull() & fine)
 
 
@@ -190,12 +190,6 @@ def _blocks(shards: DataFrame) -> DataFrame:
     return asking.repartition(max(1, -(-size // BLOCK_ROWS)), "row").mapInArrow(pack, _kinds("block"))
 
 
-def _numbered(packed: DataFrame, name: str) -> tuple[DataFrame, int]:
-    """packed with its numbers made dense (int, from 0), and how many there are."""
-    dense = packed.select(name, (F.row_number().over(Window.orderBy(name)) - 1).alias("dense"))
-    return packed.join(dense, name).drop(name).withColumnRenamed("dense", name), packed.count()
-
-
 def _pair(row: dict) -> tuple[Shard, np.ndarray, np.ndarray, np.ndarray]:
     """A shard, and the rows, ids and vectors of a block, in 64 bits where all sums fit, else in Python's integers."""
     rows, ids, vectors = _unpacked(row, "shard")
@@ -231,8 +225,8 @@ def top_k(rows: DataFrame, asks: Column, k: int) -> DataFrame:
     path = scratch_dir(spark)
     shards = materialize(_shards(rows.select("id", "v", F.coalesce(asks, F.lit(False)).alias("asks"))), f"{path}/shards")
     blocks = materialize(_blocks(shards), f"{path}/blocks")
-    shards, n_shards = _numbered(shards.drop("asks"), "shard")
-    blocks, n_blocks = _numbered(blocks, "block")
+    shards, n_shards = numbered(shards.drop("asks"), "shard")
+    blocks, n_blocks = numbered(blocks, "block")
     if not n_shards or not n_blocks:
         return spark.createDataFrame([], "query_id long, rank int, id long, score long")
 
@@ -244,7 +238,7 @@ def top_k(rows: DataFrame, asks: Column, k: int) -> DataFrame:
                 tops = [shard.top(at, q, k) for at, q in zip(query_rows.tolist(), qs, strict=True)]
                 floors = pickle.dumps([int(scores[-1]) if len(scores) == k else None for _, scores in tops])
                 found = _found(query_rows, query_ids, tops)
-                yield pa.record_batch([pa.array([row["block"]], pa.int32()), pa.array([floors], pa.binary()), pa.array([found.to_pylist()], pa.list_(pa.struct(list(found.schema))))], ["block", "floors", "found"])
+                yield pa.record_batch([pa.array([row["block"]], pa.int64()), pa.array([floors], pa.binary()), pa.array([found.to_pylist()], pa.list_(pa.struct(list(found.schema))))], ["block", "floors", "found"])
 
     def go_on(batches):
         release()
@@ -256,10 +250,10 @@ def top_k(rows: DataFrame, asks: Column, k: int) -> DataFrame:
 
     # The shard that a block meets first; then each side is repeated by the other's numbers, dealt by the pair.
     own = blocks.withColumn("shard", F.pmod(F.col("block"), F.lit(n_shards)))
-    kinds = "block int, floors binary, found array<struct<query_row:bigint,query_id:bigint,id:bigint,score:bigint,exact:binary>>"
+    kinds = "block long, floors binary, found array<struct<query_row:bigint,query_id:bigint,id:bigint,score:bigint,exact:binary>>"
     first = materialize(own.join(shards, "shard").mapInArrow(begin, kinds), f"{path}/first")
-    left = shards.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-    right = blocks.join(first.select("block", "floors"), "block").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1))))
+    left = shards.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))))
+    right = blocks.join(first.select("block", "floors"), "block").withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_shards - 1).cast("long"))))
     right = right.where(F.col("shard") != F.pmod(F.col("block"), F.lit(n_shards)))
     found = left.join(right, ["shard", "block"]).mapInArrow(go_on, _FOUND).unionByName(first.select(F.explode("found").alias("f")).select("f.*"))
     order = Window.partitionBy("query_row").orderBy(F.desc("score"), F.desc("exact"), "id")

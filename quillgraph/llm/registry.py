@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from quillgraph.llm import bpe_tree, extendible, impacts, jaccard, langid, maxscore, media, packing, pii, quality, secrets, wavelet
+from quillgraph.llm import balltree, bpe_tree, extendible, impacts, jaccard, langid, maxscore, media, packing, pii, quality, secrets, wavelet
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op8_pii": pii.op8_pii,
         "op9_media": media.op9_media,
         "op10_secrets": secrets.op10_secrets,
+        "op11_ball_tree": balltree.op11_ball_tree,
         "op12_compression_bands": quality.op12_compression_bands,
         "op13_impact_search": impacts.op13_impact_search,
         "pipeline": corpus_pipeline.run,
@@ -29,5 +30,6 @@ def oracle_sql() -> dict[str, str]:
         "op2_maxscore": maxscore.OP2_SQL,
         "op3_extendible_hashing": extendible.OP3_SQL,
         "op4_ngram_jaccard": jaccard.OP4_SQL,
+        "op11_ball_tree": balltree.OP11_SQL,
         "op13_impact_search": impacts.OP13_SQL,
     }
