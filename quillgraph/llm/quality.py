@@ -36,12 +36,12 @@ BANDS = (
     (64, 400, 1250),
     (128, 280, 1100),
     (256, 200, 1010),
-    (512, 150, 900),
-    (1024, 120, 820),
-    (2048, 100, 780),
-    (4096, 85, 750),
-    (16384, 65, 735),
-    (65536, 50, 725),
+    (512, 150, 880),
+    (1024, 120, 780),
+    (2048, 100, 720),
+    (4096, 85, 690),
+    (16384, 65, 670),
+    (65536, 50, 660),
 )
 SYMBOLS = b"#*$%&|<>"
 VERDICTS = ("kept", "repetitive", "incompressible")

@@ -21,7 +21,7 @@ tokenizers = pytest.importorskip("public_tokenizers")
 @pytest.fixture(scope="module")
 def duck():
     connection = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "benchmark"):
         connection.sql(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     return connection
 
