@@ -2,13 +2,13 @@
 
 Rows are packed into shards, each with a ball tree of its own: a node has its rows' mean, the radius around it, and the
 least and largest label under it.  For a query q, all inner products under a node lie within
-`q . centre +- |q| * radius`.  The search takes nodes by their upper bounds, the largest first, and passes over those
+`q . centre +- |q| * radius`.  The search goes depth first, to the child that promises more first, and passes over nodes
 whose labels cannot fit, whose bounds lie outside the window of scores, or whose upper bound is strictly beneath the
 k-th score found so far; nodes that could tie with it are opened, so results are exact.
 
 Two rounds: each anchor's positives are its nearest rows of its label; then, for each of them, the window
-`floor <= score <= positive's score` gives its negatives, all windows of an anchor in one walk of a tree.  Anchors come in
-blocks, rows in shards; what a task has found for an anchor in one shard bounds its search in the next, and Spark merges
+`floor <= score <= positive's score` gives its negatives.  Anchors come in blocks, rows in shards, and a block walks a tree
+together: at each node go on the anchors, with all their windows, that its bounds do not rule out.  What a task has found for an anchor in one shard bounds its search in the next, and Spark merges
 the tasks' best rows.
 
 Scores are exact: in doubles where a bound shows that all sums are whole numbers below 2**53, else in Python's integers;
@@ -23,7 +23,6 @@ rows; neither does an empty table.
 
 from __future__ import annotations
 
-import heapq
 from bisect import insort
 
 import numpy as np
@@ -85,66 +84,74 @@ class BallTree:
         tree.vectors = tree.vectors.astype(np.float64)
         return tree
 
-    def bounds(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(least, most) inner product under each node."""
-        width = min(len(q), self.centre.shape[1])
+    def bounds(self, qs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(least, most) inner product under each node with each of the queries (rows)."""
+        width = min(qs.shape[1], self.centre.shape[1])
         with np.errstate(all="ignore"):
-            size = np.sqrt((q**2).sum())
-            middle = self.centre[:, :width] @ q[:width]
-            reach = size * self.radius
-            reach = reach + MARGIN * (1 + reach + size * np.sqrt((self.centre**2).sum(1)))
+            size = np.sqrt((qs**2).sum(1))
+            middle = self.centre[:, :width] @ qs[:, :width].T
+            reach = np.outer(self.radius, size)
+            reach += MARGIN * (1 + reach + np.outer(np.sqrt((self.centre**2).sum(1)), size))
             return np.nan_to_num(middle - reach, nan=-np.inf, posinf=np.inf, neginf=-np.inf), np.nan_to_num(middle + reach, nan=np.inf, posinf=np.inf, neginf=-np.inf)
 
-    def exact_in_doubles(self, most: np.ndarray) -> bool:
-        """Whether all inner products with vectors of at most these components, and their partial sums, are below 2**53."""
-        width = min(len(most), self.vectors.shape[1])
+    def exact_in_doubles(self, qs: np.ndarray) -> bool:
+        """Whether all inner products with the queries, and their partial sums, are below 2**53."""
+        width = min(qs.shape[1], self.vectors.shape[1])
+        most = [np.abs(x[:, :width]).max(0, initial=0) for x in (self.vectors, qs)]
         with np.errstate(all="ignore"):
-            return bool((np.abs(self.vectors[:, :width]).max(0, initial=0) * most[:width]).sum() < 1 << 53)
+            return bool((most[0] * most[1]).sum() < 1 << 53)
 
-    def scores(self, node: int, q: np.ndarray, plain: bool) -> np.ndarray:
-        a, z = self.start[node], self.end[node]
-        width = min(len(q), self.vectors.shape[1])
+    def scores(self, node: int, qs: np.ndarray, plain: bool) -> np.ndarray:
+        """Queries x rows of a leaf."""
+        width = min(qs.shape[1], self.vectors.shape[1])
+        own, qs = self.vectors[self.start[node] : self.end[node], :width], qs[:, :width]
         if plain:
-            return (self.vectors[a:z, :width] @ q[:width]).astype(np.int64)
-        whole = np.array([[int(c) for c in v] for v in self.vectors[a:z, :width]], object).reshape(z - a, width)
-        return whole @ np.array([int(c) for c in q[:width]], object) if width else np.zeros(z - a, object)
+            return qs @ own.T
+        own, qs = (np.array([[int(c) for c in v] for v in x], object).reshape(x.shape) for x in (own, qs))
+        return qs @ own.T if width else np.zeros((len(qs), len(own)), object)
 
-    def walk(self, row: int, label: int, q: np.ndarray, plain: bool, same: bool, windows: list[tuple], found: list[list], k: int) -> None:
-        """Adds to found[j], sorted lists of (-score, id), the k best rows for windows[j], (least, most) or None on either side.
+    def search(self, rows: np.ndarray, labels: np.ndarray, qs: np.ndarray, same: bool, low: np.ndarray, high: np.ndarray, found: list[list[list]], k: int) -> None:
+        """Adds to found[i][j], sorted lists of (-score, id), the k best rows for query i in its window low[i, j] to high[i, j].
 
-        Rows of the label (same) or of others; never the row itself.
+        Rows of the query's label (same) or of others; never the row itself.  One walk for all queries: each node is met by those
+        that still need it, the child that promises more to them first.
         """
-        least, most = self.bounds(q)
-        need = [self._need(w, f, k) for w, f in zip(windows, found, strict=True)]
-        tops = [np.inf if w[1] is None else w[1] for w in windows]
-        heap = [(-most[0], 0)] if len(self.ids) else []
-        while heap:
-            upper, node = heapq.heappop(heap)
-            if -upper < min(need):
-                break  # all that is left lies beneath the k-th score, or the window, of each
-            if not any(most[node] >= n and least[node] <= t for n, t in zip(need, tops, strict=True)):
-                continue
-            if same and not self.low[node] <= label <= self.high[node] or not same and self.low[node] == label == self.high[node]:
+        plain = self.exact_in_doubles(qs)
+        kind = np.float64 if plain else object
+        low, high, need = low.astype(kind), high.astype(kind), low.astype(kind)
+
+        def raise_need(i: int, j: int) -> None:
+            if len(found[i][j]) == k:
+                need[i, j] = max(low[i, j], -found[i][j][-1][0])
+
+        for i, own in enumerate(found):
+            for j in range(len(own)):
+                raise_need(i, j)
+        least, most = self.bounds(qs)
+        stack = [(0, np.arange(len(qs)))]
+        while stack:
+            node, alive = stack.pop()
+            fit = ((most[node, alive, None] >= need[alive]) & (least[node, alive, None] <= high[alive])).any(1)
+            within = (self.low[node] <= labels[alive]) & (labels[alive] <= self.high[node])
+            alive = alive[fit & (within if same else ~within | (self.low[node] < self.high[node]))]
+            if not len(alive):
                 continue
             if self.left[node] >= 0:
-                for child in (int(self.left[node]), int(self.left[node]) + 1):
-                    heapq.heappush(heap, (-most[child], child))
+                children = [int(self.left[node]), int(self.left[node]) + 1]
+                children.sort(key=lambda c: most[c, alive].sum())
+                stack += [(c, alive) for c in children]
                 continue
             a, z = self.start[node], self.end[node]
-            fit = ((self.labels[a:z] == label) == same) & (self.rows[a:z] != row)
-            scores = self.scores(node, q, plain)
-            for j, own in enumerate(found):
-                some = fit & (scores >= need[j]) if need[j] != -np.inf else fit
-                some = np.flatnonzero(some & (scores <= tops[j]) if tops[j] != np.inf else some)
-                for i in some.tolist():
-                    insort(own, (-int(scores[i]), int(self.ids[a + i])))
-                del own[k:]
-                need[j] = self._need(windows[j], own, k)
-
-    @staticmethod
-    def _need(window: tuple, found: list, k: int):
-        floor = -np.inf if window[0] is None else window[0]
-        return max(floor, -found[-1][0]) if len(found) == k else floor
+            scores = self.scores(node, qs[alive], plain)
+            fit = ((self.labels[a:z] == labels[alive, None]) == same) & (self.rows[a:z] != rows[alive, None])
+            for j in range(low.shape[1]):
+                hits = fit & (scores >= need[alive, j, None]) & (scores <= high[alive, j, None])
+                for i, c in np.argwhere(hits).tolist():
+                    own = found[alive[i]][j]
+                    insort(own, (-int(scores[i, c]), int(self.ids[a + c])))
+                    del own[k:]
+                for i in np.flatnonzero(hits.any(1)).tolist():
+                    raise_need(int(alive[i]), j)
 
 
 def _grid(values: pa.ListArray) -> np.ndarray:
@@ -253,7 +260,7 @@ def _walked(pairs: DataFrame, k: int, least: int | None) -> DataFrame:
 
         def cells():
             out = {c: [] for c in ("row", "anchor", "place", "positive", "positive_shown", "id", "score", "exact")}
-            for asked, found in kept.values():
+            for asked, _, _, found in kept.values():
                 for i, own in enumerate(found):
                     for j, best in enumerate(own):
                         at = asked["_first"][i] + j
@@ -269,19 +276,20 @@ def _walked(pairs: DataFrame, k: int, least: int | None) -> DataFrame:
                 tree = BallTree.unpacked(pair["tree"])
                 if pair["block"] not in kept:
                     asked = from_bytes(pair["asked"])
-                    asked["_first"] = np.searchsorted(asked["of"], np.arange(len(asked["rows"]) + 1))
-                    exact = asked["exact"].tobytes()
-                    scores = [_score(s, exact[288 * i : 288 * i + 288] if abs(s) >= MOST else None) for i, s in enumerate(asked["shown"].tolist())]
-                    windows = [[(None, None)] if least is None else [(-(-least * p // 100), p) for p in scores[a:z]] for a, z in zip(asked["_first"][:-1], asked["_first"][1:], strict=True)]
-                    asked["_windows"] = windows
-                    kept[pair["block"]] = asked, [[[] for _ in w] for w in windows]
-                asked, found = kept[pair["block"]]
-                most = np.abs(asked["vectors"]).max(0, initial=0)
-                plain = tree.exact_in_doubles(most)
-                for i, (row, label) in enumerate(zip(asked["rows"].tolist(), asked["labels"].tolist(), strict=True)):
-                    if found[i]:
-                        tree.walk(row, label, asked["vectors"][i], plain, least is None, asked["_windows"][i], found[i], k)
-            if sum(len(f) for _, f in kept.values()) * k > HELD:
+                    asked["_first"] = first = np.searchsorted(asked["of"], np.arange(len(asked["rows"]) + 1))
+                    wide = max(1, int(np.diff(first).max(initial=0)))
+                    low, high = np.full((len(first) - 1, wide), np.inf, object), np.full((len(first) - 1, wide), -np.inf, object)
+                    if least is None:
+                        low[:], high[:] = -np.inf, np.inf
+                    else:
+                        exact = asked["exact"].tobytes()
+                        for at, (i, shown) in enumerate(zip(asked["of"].tolist(), asked["shown"].tolist(), strict=True)):
+                            score = _score(shown, exact[288 * at : 288 * at + 288] if abs(shown) >= MOST else None)
+                            low[i, at - first[i]], high[i, at - first[i]] = -(-least * score // 100), score
+                    kept[pair["block"]] = asked, low, high, [[[] for _ in range(wide)] for _ in low]
+                asked, low, high, found = kept[pair["block"]]
+                tree.search(asked["rows"], asked["labels"], asked["vectors"], least is None, low, high, found, k)
+            if sum(x[1].size for x in kept.values()) * k > HELD:
                 yield cells()
                 kept.clear()
         if kept:
