@@ -121,40 +121,6 @@ def components(edges: DataFrame, folder: str) -> DataFrame:
             return labels
 
 
-def cyclic_core(edges: DataFrame, rounds: int = 8) -> DataFrame:
-    """Those of the edges (from_id, to_id) that may lie on a cycle; none that does is left out.
-
-    Weakly connected components with fewer edges than nodes are trees and go, all at once; of the others, ends
-    without a way in or out are peeled, for some rounds.
-    """
-    folder = shared_dir(edges.sparkSession)
-    left = _keep(edges.select("from_id", "to_id").distinct(), folder, "edges")
-    comps = components(left, folder)
-    nodes = comps.groupBy("comp").agg(F.count("*").alias("nodes"))
-    own = left.join(comps.withColumnRenamed("id", "from_id"), "from_id")
-    dense = own.groupBy("comp").agg(F.count("*").alias("edges")).join(nodes, "comp").where("edges >= nodes").select("comp")
-    left = _keep(own.join(dense, "comp", "left_semi").select("from_id", "to_id"), folder, "dense")
-    for k in range(rounds):
-        inner = left.join(left.select(F.col("from_id").alias("to_id")), "to_id", "left_semi").join(left.select(F.col("to_id").alias("from_id")), "from_id", "left_semi")
-        size, left = left.count(), _keep(inner.select("from_id", "to_id"), folder, f"peeled-{k}")
-        if left.count() == size:
-            break
-    return left
-
-
-def closes_cycle(edges: DataFrame, proposals: DataFrame) -> DataFrame:
-    """Those proposals (from_id, to_id) that would close a cycle: from is to, or reachable from it.
-
-    A path back can only run through the cyclic core of edges and proposals, so only that is searched.
-    """
-    proposals = proposals.select("from_id", "to_id").distinct()
-    core = cyclic_core(edges.select("from_id", "to_id").unionByName(proposals))
-    asked = proposals.join(core, ["from_id", "to_id"], "left_semi")
-    reach = reachable_pairs(edges.join(core, ["from_id", "to_id"], "left_semi"), asked.select(F.col("to_id").alias("id")))
-    back = asked.join(reach.withColumnsRenamed({"start": "to_id", "id": "from_id"}), ["from_id", "to_id"], "left_semi")
-    return back.unionByName(proposals.where("from_id = to_id")).distinct()
-
-
 def neighbourhood(edges: DataFrame, starts: DataFrame, hops: int) -> DataFrame:
     """(id, hop): nodes within so many undirected hops, starts at hop 0."""
     both = edges.select("from_id", "to_id").unionByName(edges.select(F.col("to_id").alias("from_id"), F.col("from_id").alias("to_id"))).distinct()

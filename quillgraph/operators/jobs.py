@@ -175,8 +175,7 @@ def run_ingest(store: Snapshots, commits: DataFrame, heads: DataFrame, authoriti
     fresh = keep(found.join(due.select("repo", "sha"), ["repo", "sha"], "left_semi").unionByName(found.where("startswith(sha, 'ref:')")), "fresh")
     links = keep(links.join(fresh.select(F.col("id").alias("from_id")), "from_id", "left_semi"), "links")
     known = nodes.unionByName(fresh.join(nodes.select("id"), "id", "left_anti"))
-    reasons = keep(supersede.reject_reasons(known, edges, links.where("kind = 'Supersedes'")), "reasons")
-    judged = keep(supersede.resolve_cycles(edges, reasons), "judged")
+    judged = keep(supersede.judge(known, edges, links.where("kind = 'Supersedes'")), "judged")
     refused = judged.where("reason is not null and reason <> 'quarantined'")
     kept = links.join(refused.select("from_id", "to_id", "kind"), ["from_id", "to_id", "kind"], "left_anti")
     after = supersede.apply_supersessions(known, judged)

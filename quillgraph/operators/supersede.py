@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.operators.graph import closes_cycle, cyclic_core, reachable_pairs
+from quillgraph.operators.anchor import positions
+from quillgraph.operators.cycles import admitted, strong_components
+from quillgraph.operators.graph import _keep, shared_dir
 from quillgraph.schema import edge_tag
 
 SECOND_PARTY = ("Supersedes", "Refutes", "Contradicts")
@@ -17,55 +19,54 @@ def assertable() -> Column:
     return (F.col("plane") == "Asserted") & F.col("trust_tier").isin("AgentAsserted", "InferredAdvisory")
 
 
-def reject_reasons(nodes: DataFrame, edges: DataFrame, proposals: DataFrame) -> DataFrame:
-    """proposals (from_id, to_id, kind, quarantined, at) with `reason`, null if the supersession may apply."""
+def _judged(nodes: DataFrame, edges: DataFrame, proposals: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """proposals with `reason`, `cycle` for all that lie on one; and the components (id, scc) of stored and proposed edges together."""
     ends = nodes.select(F.col("id"), F.col("plane"))
-    known = proposals.join(ends.withColumnsRenamed({"id": "from_id", "plane": "from_plane"}), "from_id", "left").join(ends.withColumnsRenamed({"id": "to_id", "plane": "to_plane"}), "to_id", "left")
+    known = proposals.join(ends.withColumnsRenamed({"id": "from_id", "plane": "_from"}), "from_id", "left").join(ends.withColumnsRenamed({"id": "to_id", "plane": "_to"}), "to_id", "left")
+    own = F.col("plane") if "plane" in proposals.columns else F.col("_from")
     first = (
         F.when(F.col("kind") != "Supersedes", "kind")
         .when(F.col("quarantined"), "quarantined")
         .when(F.col("from_id") == F.col("to_id"), "self")
-        .when(F.col("from_plane").isNull() | F.col("to_plane").isNull(), "missing")
-        .when((F.col("from_plane") == "Asserted") & (F.col("to_plane") == "Derived"), "plane")
+        .when(F.col("_from").isNull() | F.col("_to").isNull(), "missing")
+        .when((own == "Asserted") & (F.col("_to") == "Derived"), "plane")
     )
-    known = known.withColumn("reason", first).drop("from_plane", "to_plane")
-    fit = known.where("reason is null").select("from_id", "to_id").distinct()
-    spine = edges.where("kind = 'Supersedes' and not quarantined").select("from_id", "to_id")
-    # An edge is in a cycle if its target reaches its source over old and new edges together.
-    loops = closes_cycle(spine.unionByName(fit).distinct(), fit).withColumn("loop", F.lit(True))
-    marked = known.join(loops, ["from_id", "to_id"], "left")
-    return marked.withColumn("reason", F.when(F.col("reason").isNull() & F.col("loop"), "cycle").otherwise(F.col("reason"))).drop("loop")
+    known = known.withColumn("reason", first).drop("_from", "_to")
+    fit = known.where("reason is null").select("from_id", "to_id")
+    # A proposal closes a cycle, alone or with others, if both of its ends lie in one component.
+    comps = strong_components(spine(edges).unionByName(fit))
+    both = known.join(comps.withColumnsRenamed({"id": "from_id", "scc": "_a"}), "from_id", "left").join(comps.withColumnsRenamed({"id": "to_id", "scc": "_z"}), "to_id", "left")
+    return both.withColumn("reason", F.when(F.col("reason").isNull() & (F.col("_a") == F.col("_z")), "cycle").otherwise(F.col("reason"))).drop("_a", "_z"), comps
+
+
+def spine(edges: DataFrame) -> DataFrame:
+    """(from_id, to_id) of the confirmed supersessions."""
+    return edges.where("kind = 'Supersedes' and not quarantined").select("from_id", "to_id").distinct()
+
+
+def reject_reasons(nodes: DataFrame, edges: DataFrame, proposals: DataFrame) -> DataFrame:
+    """proposals (from_id, to_id, kind, quarantined, at) with `reason`, null if the supersession may apply whatever the order.
+
+    An asserted supersession must not retire a derived node: by the proposal's own plane where it has that column, else by
+    that of the node it comes from.
+    """
+    return _judged(nodes, edges, proposals)[0]
 
 
-def resolve_cycles(edges: DataFrame, judged: DataFrame) -> DataFrame:
-    """judged with the edges of cycles decided one by one in (at, from, to) order: those that close one stay rejected.
+def judge(nodes: DataFrame, edges: DataFrame, proposals: DataFrame, order: tuple[str, ...] = ("at", "from_id", "to_id")) -> DataFrame:
+    """reject_reasons with the proposals on cycles tried one by one in an order: those that close one stay rejected.
 
-    Only edges marked `cycle` come to the driver, and which of their ends reach which over stored edges; they are
-    exceptions, and their order decides.
+    The components are found once; each is decided on its own, so unrelated cycles do not wait for one another.
     """
-    loops = judged.where("reason = 'cycle'").select("from_id", "to_id", "at").orderBy("at", "from_id", "to_id")
+    judged, comps = _judged(nodes, edges, proposals)
+    folder = shared_dir(nodes.sparkSession)
+    judged = _keep(judged, folder, "judged")
+    loops = judged.where("reason = 'cycle'").groupBy("from_id", "to_id").agg(*[F.min(c).alias(c) for c in order if c not in ("from_id", "to_id")])
     if loops.isEmpty():
         return judged
-    spine = edges.where("kind = 'Supersedes' and not quarantined").select("from_id", "to_id").distinct()
-    ends = loops.select(F.explode(F.array("from_id", "to_id")).alias("id")).distinct()
-    inner = spine.join(cyclic_core(spine.unionByName(loops.select("from_id", "to_id"))), ["from_id", "to_id"], "left_semi")
-    after: dict[str, set[str]] = {}
-    for row in reachable_pairs(inner, ends).join(ends, "id", "left_semi").toLocalIterator():
-        after.setdefault(row["start"], set()).add(row["id"])
-    kept = []
-    for row in loops.toLocalIterator():
-        stack, seen = [row["to_id"]], set()
-        while stack:
-            x = stack.pop()
-            if x not in seen:
-                seen.add(x)
-                stack.extend(after.get(x, ()))
-        if row["from_id"] not in seen:
-            after.setdefault(row["from_id"], set()).add(row["to_id"])
-            kept.append((row["from_id"], row["to_id"]))
-    good = judged.sparkSession.createDataFrame(kept, "from_id string, to_id string").withColumn("fine", F.lit(True))
-    out = judged.join(good, ["from_id", "to_id"], "left")
-    return out.withColumn("reason", F.when((F.col("reason") == "cycle") & F.col("fine"), F.lit(None)).otherwise(F.col("reason"))).drop("fine")
+    fine = admitted(spine(edges), positions(loops, [*dict.fromkeys((*order, "from_id", "to_id"))], "place"), comps)
+    out = judged.join(fine.select("from_id", "to_id").distinct().withColumn("_fine", F.lit(True)), ["from_id", "to_id"], "left")
+    return out.withColumn("reason", F.when((F.col("reason") == "cycle") & F.col("_fine"), F.lit(None)).otherwise(F.col("reason"))).drop("_fine")
 
 
 def apply_supersessions(nodes: DataFrame, judged: DataFrame) -> DataFrame:
@@ -79,12 +80,21 @@ def apply_supersessions(nodes: DataFrame, judged: DataFrame) -> DataFrame:
     return hit.withColumn("valid_to", F.when(now, F.greatest(F.col("by.at"), F.col("valid_from"))).otherwise(F.col("valid_to"))).withColumn("status", F.when(now, "Superseded").otherwise(F.col("status"))).drop("by")
 
 
+def clock(edges: DataFrame) -> Column:
+    """An edge's time: its column `at`, or that of its provenance."""
+    return F.col("at") if "at" in edges.columns else F.col("provenance.at")
+
+
 def confirm(edges: DataFrame, keys: DataFrame, at: int) -> DataFrame:
     """edges with those of the keys out of quarantine; a Supersedes edge gets the clock of its confirmation."""
     marked = edges.join(keys.select("from_id", "to_id", "kind").distinct().withColumn("hit", F.lit(True)), ["from_id", "to_id", "kind"], "left")
     hit = F.coalesce("hit", F.lit(False)) & F.col("quarantined")
-    out = marked.withColumn("at", F.when(hit & (F.col("kind") == "Supersedes"), F.lit(at)).otherwise(F.col("at"))) if "at" in edges.columns else marked
-    return out.withColumn("quarantined", F.col("quarantined") & ~hit).drop("hit")
+    now = hit & (F.col("kind") == "Supersedes")
+    if "at" in edges.columns:
+        marked = marked.withColumn("at", F.when(now, F.lit(at).cast("long")).otherwise(F.col("at")))
+    elif "provenance" in edges.columns:
+        marked = marked.withColumn("provenance", F.when(now, F.col("provenance").withField("at", F.lit(at).cast("long"))).otherwise(F.col("provenance")))
+    return marked.withColumn("quarantined", F.col("quarantined") & ~hit).drop("hit").select(*edges.columns)
 
 
 def upsert_edges(stored: DataFrame, incoming: DataFrame) -> DataFrame:
@@ -99,14 +109,45 @@ def upsert_nodes(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     return stored.join(incoming.select("id"), "id", "left_anti").unionByName(incoming)
 
 
-def confirm_and_apply(nodes: DataFrame, edges: DataFrame, keys: DataFrame, at: int) -> tuple[DataFrame, DataFrame]:
+def inserter_key() -> Column:
+    """The meta key under which it is kept who brought in a contesting proposal."""
+    return F.concat_ws(":", F.lit("inserter"), "from_id", "to_id", "kind")
+
+
+def confirm_outcomes(nodes: DataFrame, edges: DataFrame, keys: DataFrame, at: int, writer: str | None = None, meta: DataFrame | None = None) -> DataFrame:
+    """(from_id, to_id, kind, outcome) for the keys: confirmed, already confirmed, not found, second party, or a guard's reason.
+
+    With meta (repo, key, value, at), a proposal that supersedes, refutes or contradicts a node is confirmed by its author, or by
+    a writer who neither inserted it (as meta has it) nor signed it; without a record of who inserted it, by the author alone,
+    and never without a writer.  Without meta nobody is asked.  Supersessions go through judge() at the confirmation's clock.
+    """
+    columns = ["from_id", "to_id", "kind"]
+    asserter = F.col("asserter") if "asserter" in edges.columns else F.col("provenance.asserter") if "provenance" in edges.columns else F.lit(None).cast("string")
+    stored = edges.select(*columns, "quarantined", asserter.alias("_signer"), *(["plane"] if "plane" in edges.columns else []))
+    asked = keys.select(*columns).distinct().join(stored, columns, "left")
+    state = F.when(F.col("quarantined").isNull(), "not found").when(~F.col("quarantined"), "already confirmed")
+    if meta is not None:
+        asked = asked.join(nodes.select(F.col("id").alias("to_id"), F.col("author").alias("_author")), "to_id", "left")
+        held = meta.where(F.startswith("key", F.lit("inserter:"))).groupBy(F.col("key").alias("_key")).agg(F.max_by("value", "at").alias("_inserter"))
+        asked = asked.withColumn("_key", inserter_key()).join(held, "_key", "left").drop("_key")
+        who = F.lit(writer).cast("string")
+        allowed = F.coalesce(may_confirm(who, F.col("_author"), F.col("_inserter"), F.col("_signer")), F.lit(False)) & who.isNotNull()
+        state = state.when(F.col("kind").isin(*SECOND_PARTY) & ~allowed, "second party")
+    asked = asked.withColumn("_state", state).drop("_author", "_inserter", "_signer")
+    folder = shared_dir(nodes.sparkSession)
+    asked = _keep(asked, folder, "asked")
+    ask = asked.where("_state is null and kind = 'Supersedes'").drop("_state").withColumns({"quarantined": F.lit(False), "at": F.lit(at).cast("long")})
+    judged = judge(nodes, edges, ask).select(*columns, "reason")
+    out = asked.join(judged, columns, "left")
+    return _keep(out.select(*columns, F.coalesce("_state", "reason", F.lit("confirmed")).alias("outcome")), folder, "outcomes")
+
+
+def confirm_and_apply(nodes: DataFrame, edges: DataFrame, keys: DataFrame, at: int, writer: str | None = None, meta: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Graph with the proposals of the keys confirmed: those that supersede go through the guards and, where they pass, retire
     their targets at the confirmation's clock; where they do not, they stay proposals."""
-    hit = edges.join(keys.select("from_id", "to_id", "kind").distinct(), ["from_id", "to_id", "kind"], "left_semi").where("quarantined")
-    ask = hit.where("kind = 'Supersedes'").select("from_id", "to_id", "kind", F.lit(False).alias("quarantined"), F.lit(at).cast("long").alias("at"))
-    judged = resolve_cycles(edges, reject_reasons(nodes, edges, ask))
-    refused = judged.where("reason is not null").select("from_id", "to_id", "kind")
-    return apply_supersessions(nodes, judged), confirm(edges, keys.select("from_id", "to_id", "kind").join(refused, ["from_id", "to_id", "kind"], "left_anti"), at)
+    fine = confirm_outcomes(nodes, edges, keys, at, writer, meta).where("outcome = 'confirmed'")
+    retired = fine.where("kind = 'Supersedes'").select("from_id", "to_id", F.lit(at).cast("long").alias("at"), F.lit(None).cast("string").alias("reason"))
+    return apply_supersessions(nodes, retired), confirm(edges, fine, at)
 
 
 def set_status(nodes: DataFrame, ids: DataFrame, status: str) -> DataFrame:
@@ -115,8 +156,8 @@ def set_status(nodes: DataFrame, ids: DataFrame, status: str) -> DataFrame:
 
 
 def may_confirm(writer: Column, author: Column, inserter: Column, signer: Column) -> Column:
-    """The node's author, or a writer who neither inserted nor signed the proposal."""
-    return (writer == author) | (~writer.eqNullSafe(inserter) & ~writer.eqNullSafe(signer))
+    """The node's author, or a writer who neither inserted nor signed the proposal; who inserted it must be known."""
+    return writer.eqNullSafe(author) | (inserter.isNotNull() & ~writer.eqNullSafe(inserter) & ~writer.eqNullSafe(signer))
 
 
 def effective_status(nodes: DataFrame, edges: DataFrame, cutoff: int) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillgraph.functions import lattice, text, vectors
-from quillgraph.operators import access, anchor, ann, graph, ingest, jobs, merge, recall, scene, supersede
+from quillgraph.operators import access, anchor, ann, cycles, graph, ingest, jobs, merge, recall, scene, supersede
 from quillgraph.plans.adapters import (
     GEO_SQL,
     LINES_SQL,
@@ -316,9 +316,6 @@ def hash_embed_all(spark, d):
     return vectors.hash_embedding(table(spark, d, "documents"), "doc_id", "text", 256).select("doc_id", "bucket", F.round("weight", 6).alias("weight"))
 
 
-QUERIES["hash_embed_buckets"] = hash_embed_all
-
-
 @query("SELECT count(*) FILTER (e.vec_id IS NOT NULL) AS reused, count(*) FILTER (e.vec_id IS NULL) AS to_embed FROM documents d LEFT JOIN (SELECT vec_id FROM embeddings WHERE label < 5) e ON e.vec_id = d.doc_id")
 def embed_reuse_split(spark, d):
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.lit(1).alias("one"))
@@ -450,7 +447,7 @@ def ancestor_set(spark, d):
 def cycle_guard(spark, d):
     edges = geography_edges(spark, d)
     back = edges.where("from_id like 'n%'").select(F.col("to_id").alias("from_id"), F.col("from_id").alias("to_id"))
-    return graph.closes_cycle(edges, back.unionByName(spark.createDataFrame([("r0", "r1")], "from_id string, to_id string")))
+    return cycles.closes_cycle(edges, back.unionByName(spark.createDataFrame([("r0", "r1")], "from_id string, to_id string")))
 
 
 @query(_with(GEO_SQL) + ", u AS (SELECT from_id, to_id FROM ge UNION SELECT to_id, from_id FROM ge), h1 AS (SELECT DISTINCT to_id AS id FROM u WHERE from_id = 'r0'), h2 AS (SELECT DISTINCT to_id AS id FROM u WHERE from_id IN (SELECT id FROM h1)) SELECT 'r0' AS id, 0 AS hop UNION ALL SELECT id, 1 FROM h1 UNION ALL SELECT id, 2 FROM h2 WHERE id <> 'r0' AND id NOT IN (SELECT id FROM h1)")
@@ -505,9 +502,6 @@ def scene_ring(spark, d):
     return scene.ring(ids).select("id", F.round("x", 9).alias("x"), F.round("y", 9).alias("y"))
 
 
-QUERIES["scene_ring_all"], ORACLE["scene_ring_all"] = scene_ring, ORACLE["scene_ring"]
-
-
 @query()
 def scene_pca(spark, d):
     rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
@@ -532,7 +526,7 @@ def supersede_rejects(spark, d):
 @query(NE + " , f AS (SELECT to_id AS id, min({'t': e.at, 'from_id': from_id}).t AS t FROM e JOIN n a ON a.id = from_id JOIN n b ON b.id = to_id WHERE e.kind = 'Supersedes' AND NOT quarantined AND NOT (a.plane = 'Asserted' AND b.plane = 'Derived') GROUP BY 1) SELECT n.id, CASE WHEN f.id IS NOT NULL AND status = 'Active' THEN 'Superseded' ELSE status END AS status, CASE WHEN f.id IS NOT NULL AND status = 'Active' THEN greatest(t, valid_from) ELSE valid_to END AS valid_to FROM n LEFT JOIN f USING (id)")
 def supersede_apply(spark, d):
     nodes, edges = _spine(spark, d)
-    judged = supersede.resolve_cycles(edges.where("false"), supersede.reject_reasons(nodes, edges.where("false"), edges))
+    judged = supersede.judge(nodes, edges.where("false"), edges)
     return supersede.apply_supersessions(nodes, judged).select("id", "status", "valid_to")
 
 
@@ -571,7 +565,7 @@ def supersede_stored(spark, d):
     ahead = edges.where("kind = 'TemporalNext'").join(stored.select("from_id", "to_id"), ["from_id", "to_id"], "left_anti")
     back = stored.where(F.col("at") >= _SINCE).select(F.col("to_id").alias("from_id"), F.col("from_id").alias("to_id"), "at")
     asked = ahead.select("from_id", "to_id", "at").unionByName(back).select("from_id", "to_id", F.lit("Supersedes").alias("kind"), F.lit(False).alias("quarantined"), "at")
-    return supersede.resolve_cycles(stored, supersede.reject_reasons(nodes, stored, asked)).select("from_id", "to_id", "reason")
+    return supersede.judge(nodes, stored, asked).select("from_id", "to_id", "reason")
 
 
 @query(NE + """, f AS (SELECT e.from_id, e.to_id, a.plane = 'Asserted' AND b.plane = 'Derived' AS bad FROM e JOIN n a ON a.id = from_id JOIN n b ON b.id = to_id WHERE e.kind = 'Supersedes' AND quarantined),
@@ -591,7 +585,7 @@ def model_detect(spark, d):
     return jobs.embedding_models(order_nodes(spark, d).withColumn("embedding", F.when(key % 3 == 0, F.struct(model.alias("model"), F.array(F.lit(1.0)).alias("data")))))
 
 
-@query(NE + ", f AS (SELECT from_id, to_id, kind FROM e ORDER BY from_id, to_id, kind LIMIT 1) SELECT e.from_id, e.to_id, e.kind, quarantined FROM e JOIN f USING (from_id, to_id, kind)")
+@query(NE + " SELECT from_id, to_id, kind, quarantined FROM e ORDER BY from_id, to_id, kind LIMIT 1")
 def edge_by_key(spark, d):
     _, edges = _spine(spark, d)
     first = edges.orderBy("from_id", "to_id", "kind").first()

@@ -44,7 +44,7 @@ def test_cycle_of_stored_and_new_supersessions(spark):
     kinds = "from_id string, to_id string, kind string, quarantined boolean, at long"
     stored = spark.createDataFrame([("b", "c", "Supersedes", False, 1), ("c", "a", "Supersedes", False, 2)], kinds)
     asked = spark.createDataFrame([("a", "b", "Supersedes", False, 3), ("d", "e", "Supersedes", False, 4), ("e", "d", "Supersedes", False, 5), ("b", "d", "Supersedes", False, 6)], kinds)
-    got = supersede.resolve_cycles(stored, supersede.reject_reasons(nodes, stored, asked))
+    got = supersede.judge(nodes, stored, asked)
     assert {(r["from_id"], r["to_id"]): r["reason"] for r in got.collect()} == {("a", "b"): "cycle", ("d", "e"): None, ("e", "d"): "cycle", ("b", "d"): None}
 
 

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillgraph.memory import MemoryGraph
-from quillgraph.operators import access, anchor, ann, graph, ingest, merge, recall, scene, supersede
+from quillgraph.operators import access, anchor, ann, cycles, graph, ingest, merge, recall, scene, supersede
 
 NODE = "id string, repo string, kind string, plane string, status string, author string, trust_tier string, valid_from long, valid_to long, signature binary, confidence array<tinyint>, content binary, source_ref struct<tag:string,repo:string,path:string,key:string>"
 
@@ -110,7 +110,7 @@ def test_reachability(spark):
     assert sorted(ids(graph.reachable(links, start))) == ["b", "c"]
     assert graph.reachable(links.where("false"), start).count() == 0
     line = edges(spark, ("a", "b", "k"), ("b", "c", "k"))
-    loops = graph.closes_cycle(line, spark.createDataFrame([("c", "a"), ("a", "c"), ("q", "q")], "from_id string, to_id string"))
+    loops = cycles.closes_cycle(line, spark.createDataFrame([("c", "a"), ("a", "c"), ("q", "q")], "from_id string, to_id string"))
     assert sorted(map(tuple, loops.collect())) == [("c", "a"), ("q", "q")]
     assert sorted(map(tuple, graph.neighbourhood(line, start, 2).collect())) == [("a", 0), ("b", 1), ("c", 2)]
 
@@ -121,7 +121,7 @@ def test_supersession(spark):
         spark, ("b", "a", "Supersedes", False, 50), ("d", "a", "Supersedes", False, 500), ("a", "b", "Supersedes", False, 600), ("c", "b", "Supersedes", False, 1),
         ("a", "a", "Supersedes", False, 1), ("x", "a", "Supersedes", False, 1), ("b", "d", "Refutes", False, 1), ("a", "d", "Supersedes", True, 1), ("b", "d", "Supersedes", False, 10),
     )
-    judged = supersede.resolve_cycles(claims.where("false"), supersede.reject_reasons(df, claims.where("false"), claims))
+    judged = supersede.judge(df, claims.where("false"), claims)
     reasons = {(r["from_id"], r["to_id"], r["kind"]): r["reason"] for r in judged.collect()}
     assert reasons[("c", "b", "Supersedes")] == "plane" and reasons[("a", "a", "Supersedes")] == "self" and reasons[("x", "a", "Supersedes")] == "missing"
     assert reasons[("b", "d", "Refutes")] == "kind" and reasons[("a", "d", "Supersedes")] == "quarantined"
@@ -349,7 +349,7 @@ def test_ring_holds_every_row(spark):
     for i in range(600):
         x, y = got[f"n{i:04}"]
         assert abs(x - math.cos(2 * math.pi * i / 600)) < 1e-9 and abs(y - math.sin(2 * math.pi * i / 600)) < 1e-9
-    assert "scene_ring_all" in catalogue.QUERIES and "scene_ring_all" in catalogue.ORACLE
+    assert "scene_ring" in catalogue.QUERIES and "scene_ring" in catalogue.ORACLE
 
 
 def test_memory_graph(spark):
