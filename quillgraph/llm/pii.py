@@ -63,7 +63,7 @@ NEARBY = {
     "phone": "phone|tel|call|mobile|fax",
     "iban": "iban|account|bank|konto",
 }
-REACH = 40
+REACH, RUN = 40, 256
 
 
 def _only_digits(text: Column) -> Column:
@@ -111,33 +111,32 @@ def _score(kind: str, before: Column) -> Column:
     return F.when(near, F.least(F.lit(1.0), F.lit(PRIOR[kind] + 0.3))).otherwise(F.lit(PRIOR[kind]))
 
 
+def _ends(lengths: Column) -> Column:
+    """Running sums of an array: at each level k a place adds what lies 2**k before it, so n lengths take log2(n) passes."""
+    levels = F.sequence(F.lit(0), F.greatest(F.ceil(F.log2(F.size(lengths))).cast("int"), F.lit(0)))
+    level = lambda sums, k: F.transform(sums, lambda x, i: x + F.coalesce(F.get(sums, i - F.call_function("shiftleft", F.lit(1), k)), F.lit(0)))
+    return F.when(F.size(lengths) > 0, F.aggregate(levels, lengths, level)).otherwise(lengths)
+
+
 def _spans(kind: str, matches: Column, between: Column) -> Column:
     """array<struct<start, kind, end, score>> of the valid matches; matches and between are columns."""
     rank = KINDS.index(kind)
-    start = F.aggregate(
-        F.sequence(F.lit(1), F.size(matches)),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts")),
-        lambda a, i: F.struct(
-            (a["at"] + F.length(F.element_at(between, i)) + F.length(F.element_at(matches, i))).alias("at"),
-            F.concat(a["starts"], F.array(a["at"] + F.length(F.element_at(between, i)))).alias("starts"),
-        ),
-    )["starts"]
+    before = F.slice(between, F.lit(1), F.size(matches))
+    ends = _ends(F.zip_with(before, matches, lambda b, m: F.coalesce(F.length(b) + F.length(m), F.lit(0))))
+    start = F.zip_with(ends, matches, lambda e, m: e - F.length(m))
     made = F.transform(
-        F.arrays_zip(start.alias("s"), matches.alias("m"), F.slice(between, F.lit(1), F.size(matches)).alias("b")),
+        F.arrays_zip(start.alias("s"), matches.alias("m"), before.alias("b")),
         lambda x: F.struct(x["s"].alias("start"), F.lit(rank).alias("kind"), (x["s"] + F.length(x["m"])).alias("end"), _score(kind, x["b"]).alias("score"), x["m"].alias("text")),
     )
     return F.transform(F.filter(made, lambda x: _valid(kind, x["text"])), lambda x: x.dropFields("text"))
 
 
 def _ibans(pieces: Column) -> Column:
-    """As _spans, from a text cut before each place where an IBAN can begin."""
+    """As _spans, from a text cut before each place where an IBAN can begin; some may overlap.  pieces is a column."""
     rank = KINDS.index("iban")
     lengths = F.create_map(*[F.lit(x) for pair in IBAN_LENGTHS.items() for x in pair])
-    start = F.aggregate(
-        F.sequence(F.lit(1), F.size(pieces)),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts")),
-        lambda a, i: F.struct((a["at"] + F.length(F.element_at(pieces, i))).alias("at"), F.concat(a["starts"], F.array(a["at"])).alias("starts")),
-    )["starts"]
+    sizes = F.transform(pieces, lambda p: F.coalesce(F.length(p), F.lit(0)))
+    start = F.zip_with(_ends(sizes), sizes, lambda e, n: e - n)
 
     def best(i, at):
         """The span that begins with piece i: (start, kind, end, score), null if none is right."""
@@ -152,9 +151,25 @@ def _ibans(pieces: Column) -> Column:
         found = F.struct(at.alias("start"), F.lit(rank).alias("kind"), (at + F.length(right[0])).alias("end"), _score("iban", before).alias("score"))
         return F.when(F.size(right) > 0, found)
 
-    made = F.filter(F.transform(F.arrays_zip(F.sequence(F.lit(1), F.size(pieces)).alias("i"), start.alias("s")), lambda x: best(x["i"], x["s"])), lambda x: x.isNotNull())
+    return F.filter(F.transform(F.arrays_zip(F.sequence(F.lit(1), F.size(pieces)).alias("i"), start.alias("s")), lambda x: best(x["i"], x["s"])), lambda x: x.isNotNull())
+
+
+def _apart(spans: Column) -> Column:
+    """The spans (a column), by their start, that begin where the kept one before has ended or later.
+
+    Kept ones are gathered RUN at a time, so that no growing array is copied for each of them.
+    """
     none = F.array().cast("array<struct<start:int,kind:int,end:int,score:double>>")
-    return F.aggregate(made, none, lambda a, x: F.when(x["start"] >= F.coalesce(F.try_element_at(a, F.lit(-1))["end"], F.lit(0)), F.concat(a, F.array(x))).otherwise(a))
+    step = lambda a, x: F.when(x["start"] >= a["end"], F.struct(x["end"].alias("end"), F.concat(a["kept"], F.array(x)).alias("kept"))).otherwise(a)
+    state = lambda end, kept: F.struct(end.alias("end"), kept.alias("kept"))
+
+    def run(a, k):
+        own = F.aggregate(F.slice(spans, k * RUN + 1, F.lit(RUN)), state(a["end"], none), step)
+        return F.aggregate(F.array(own), a, lambda a, o: state(o["end"], F.concat(a["kept"], F.array(o["kept"]))))
+
+    runs = F.sequence(F.lit(0), F.floor(F.size(spans) / RUN).cast("int"))
+    first = state(F.lit(0), F.array().cast("array<array<struct<start:int,kind:int,end:int,score:double>>>"))
+    return F.flatten(F.aggregate(runs, first, run)["kept"])
 
 
 def find(docs: DataFrame) -> DataFrame:
@@ -168,7 +183,10 @@ def find(docs: DataFrame) -> DataFrame:
         docs = docs.withColumn(f"_{kind}_between", F.when(F.size(f"_{kind}") > 0, F.split("text", PATTERNS[kind])).otherwise(empty))
     none = F.array().cast("array<struct<start:int,kind:int,end:int,score:double>>")
     found = [F.when(F.size(f"_{k}") > 0, _spans(k, F.col(f"_{k}"), F.col(f"_{k}_between"))).otherwise(none) for k in BASE]
-    found.append(F.when(F.coalesce(F.col("text").rlike(HINTS["iban"]), F.lit(False)), _ibans(F.split("text", IBAN_START))).otherwise(none))
+    # Columns of their own, as what is written out within a lambda would be worked out anew for each element.
+    docs = docs.withColumn("_pieces", F.when(F.coalesce(F.col("text").rlike(HINTS["iban"]), F.lit(False)), F.split("text", IBAN_START)).otherwise(empty))
+    docs = docs.withColumn("_ibans", F.when(F.size("_pieces") > 0, _ibans(F.col("_pieces"))).otherwise(none))
+    found.append(F.when(F.size("_ibans") > 0, _apart(F.col("_ibans"))).otherwise(none))
     return docs.select("doc_id", F.array_sort(F.concat(*found)).alias("spans"))
 
 
