@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgraph.functions import vectors
-from quillgraph.operators import ann, assertions, graph, merge, recall, scene, supersede
+from quillgraph.operators import ann, assertions, graph, jobs, merge, recall, scene, supersede
 
 #: Budgets of the verbs, and the most that may be asked for.
 BUDGETS = {"recall": 15, "search": 10, "neighbors": 20, "as_of": 15, "critique": 15, "analogy": 5}
@@ -17,10 +17,15 @@ MOST, MOST_ANALOGIES, MOST_NODES, MOST_EDGES = 500, 50, 10_000, 50_000
 
 
 class MemoryGraph:
-    """nodes and edges with the columns of quillgraph.schema; readable: repos (repo) that may be seen, or None for all."""
+    """nodes and edges with the columns of quillgraph.schema; readable: repos (repo) that may be seen, or None for all;
+    meta (repo, key, value, at): watermarks and who brought in which proposal."""
 
-    def __init__(self, nodes: DataFrame, edges: DataFrame, readable: DataFrame | None = None):
+    counters: DataFrame | None = None
+    outcomes: DataFrame | None = None
+
+    def __init__(self, nodes: DataFrame, edges: DataFrame, readable: DataFrame | None = None, meta: DataFrame | None = None):
         self.nodes, self.edges, self.readable = nodes, edges, readable
+        self.meta = nodes.sparkSession.createDataFrame([], jobs.META) if meta is None else meta
 
     def _budget(self, verb: str, asked: int | None) -> int:
         most = MOST_ANALOGIES if verb == "analogy" else MOST
@@ -72,29 +77,61 @@ class MemoryGraph:
         start = self.nodes.sparkSession.createDataFrame([(node_id,)], "id string")
         return graph.reachable(self.edges.where(F.col("kind") == kind), start)
 
-    def propose(self, edges: DataFrame) -> MemoryGraph:
-        """With the edges as proposals; confirmed ones stay confirmed."""
-        return MemoryGraph(self.nodes, supersede.upsert_edges(self.edges, edges.withColumn("quarantined", F.lit(True))), self.readable)
-
-    def confirm(self, keys: DataFrame, at_ms: int) -> MemoryGraph:
-        return MemoryGraph(self.nodes, supersede.confirm(self.edges, keys, at_ms), self.readable)
-
-    def merge(self, nodes: DataFrame, edges: DataFrame) -> MemoryGraph:
-        """With another replica's nodes and edges merged in."""
-        return MemoryGraph(merge.merge_nodes(self.nodes.unionByName(nodes)), merge.merge_edges(self.edges.unionByName(edges)), self.readable)
+    def _with(self, nodes: DataFrame | None = None, edges: DataFrame | None = None, meta: DataFrame | None = None) -> MemoryGraph:
+        return MemoryGraph(self.nodes if nodes is None else nodes, self.edges if edges is None else edges, self.readable, self.meta if meta is None else meta)
+
+    def propose(self, edges: DataFrame, writer: str | None = None, at_ms: int = 0) -> MemoryGraph:
+        """With the edges as proposals; confirmed ones stay confirmed.  Who brings in a proposal that contests a node is kept."""
+        loose = edges.withColumn("quarantined", F.lit(True))
+        meta = self.meta
+        if writer is not None:
+            repos = self.nodes.select(F.col("id").alias("to_id"), "repo")
+            records = jobs.inserter_records(loose.drop("repo").join(repos, "to_id"), writer, at_ms)
+            meta = jobs.meta_put(meta, records)
+        # Stored, as each verb after it reads them several times.
+        return self._with(edges=self._stored(supersede.upsert_edges(self.edges, loose)), meta=self._stored(meta))
+
+    def _stored(self, df: DataFrame) -> DataFrame:
+        return graph._keep(df, graph.shared_dir(self.nodes.sparkSession), "stored")
+
+    def confirm(self, keys: DataFrame, at_ms: int, writer: str | None = None) -> MemoryGraph:
+        """With the proposals of the keys confirmed that the writer may confirm and that pass the guards; supersessions retire
+        their targets.  The others stay proposals; `outcomes` of the result has each key's fate, see supersede.confirm_outcomes."""
+        outcomes = supersede.confirm_outcomes(self.nodes, self.edges, keys, at_ms, writer, self.meta)
+        out = self._with(*supersede.apply_outcomes(self.nodes, self.edges, outcomes, at_ms))
+        out.outcomes = outcomes
+        return out
+
+    def merge(self, nodes: DataFrame, edges: DataFrame, grants: DataFrame | None = None, keys: DataFrame | None = None) -> MemoryGraph:
+        """With another replica's nodes and edges merged in, see merge.merge_bundle; `counters` of the result has what was done.
+
+        grants (repo, can_write) must cover every repo that the bundle touches, keys (author, key) verify its asserted items;
+        None on either is for a replica of one's own.
+        """
+        if grants is not None:
+            self._authorize(nodes, edges, grants)
+        after, links, counters = merge.merge_bundle(self.nodes, self.edges, nodes, edges, keys)
+        out = self._with(after, links)
+        out.counters = counters
+        return out
+
+    def _authorize(self, nodes: DataFrame, edges: DataFrame, grants: DataFrame) -> None:
+        barred = merge.unwritable(nodes, edges, self.nodes, grants).agg(F.count("*").alias("n"), F.min("repo").alias("repo")).first()
+        if barred["n"]:
+            raise PermissionError(f"no write grant for {barred['n']} repos, such as {barred['repo']}")
 
     def assert_diff(self, nodes: DataFrame, edges: DataFrame, keys: DataFrame, writer: str, at_ms: int) -> MemoryGraph:
         """With a signed diff of a writer (keys: author, key): all of it, or an error that names a reason."""
         judged = assertions.judge_diff(self.nodes, self.edges, assertions.check_nodes(nodes, keys), assertions.check_edges(edges, keys), writer, at_ms)
-        return MemoryGraph(*assertions.apply_diff(self.nodes, self.edges, judged), self.readable)
+        repos = self.nodes.select("id", "repo").unionByName(nodes.select("id", "repo")).dropDuplicates(["id"])
+        records = jobs.inserter_records(edges.drop("repo").join(repos.withColumnRenamed("id", "to_id"), "to_id"), writer, at_ms)
+        return self._with(*assertions.apply_diff(self.nodes, self.edges, judged, at_ms), jobs.meta_put(self.meta, records))
 
     def merge_diff(self, nodes: DataFrame, edges: DataFrame, grants: DataFrame, keys: DataFrame, writer: str, at_ms: int) -> MemoryGraph:
         """assert_diff of at most MOST_NODES and MOST_EDGES, if the grants (repo, can_write) cover every repo that it touches."""
         if nodes.count() > MOST_NODES or edges.count() > MOST_EDGES:
             raise ValueError("a diff may hold 10,000 nodes and 50,000 edges")
-        barred = merge.unwritable(nodes, edges, self.nodes, grants).agg(F.count("*").alias("n"), F.min("repo").alias("repo")).first()
-        if barred["n"]:
-            raise PermissionError(f"no write grant for {barred['n']} repos, such as {barred['repo']}")
+        self._authorize(nodes, edges, grants)
         return self.assert_diff(nodes, edges, keys, writer, at_ms)
 
     def review(self, repo: str, budget: int | None = None) -> DataFrame:

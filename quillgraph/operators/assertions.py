@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillgraph.functions import ed25519
 from quillgraph.operators.merge import merge_nodes
-from quillgraph.operators.supersede import SECOND_PARTY, assertable, upsert_edges, upsert_nodes
+from quillgraph.operators.supersede import SECOND_PARTY, apply_supersessions, assertable, clock, judge, upsert_edges, upsert_nodes
 from quillgraph.schema import edge_tag
 
 
@@ -72,8 +72,11 @@ def judge_diff(stored: DataFrame, stored_edges: DataFrame, nodes: DataFrame, edg
     return judged, links
 
 
-def apply_diff(stored: DataFrame, stored_edges: DataFrame, judged: tuple[DataFrame, DataFrame]) -> tuple[DataFrame, DataFrame]:
-    """The graph with the diff, all of it or, if anything was refused, an error that names the first reason."""
+def apply_diff(stored: DataFrame, stored_edges: DataFrame, judged: tuple[DataFrame, DataFrame], now: int = 0) -> tuple[DataFrame, DataFrame]:
+    """The graph with the diff, all of it or, if anything was refused, an error that names the first reason.
+
+    The writer's own confirmed supersessions go through the guards too and retire their targets.
+    """
     nodes, edges = judged
     refused = nodes.select("reason").unionByName(edges.select("reason")).where("reason is not null").agg(F.count("*").alias("n"), F.min("reason").alias("reason")).first()
     if refused["n"]:
@@ -81,4 +84,14 @@ def apply_diff(stored: DataFrame, stored_edges: DataFrame, judged: tuple[DataFra
     # A known node of the writer is joined with what is stored, as in a merge; a new one comes in without an embedding.
     bare = nodes.withColumn("embedding", F.lit(None).cast(stored.schema["embedding"].dataType)) if "embedding" in stored.columns else nodes
     touched = stored.join(nodes.select("id"), "id", "left_semi").unionByName(bare.select(*stored.columns))
-    return upsert_nodes(stored, merge_nodes(touched).select(*stored.columns)), upsert_edges(stored_edges, edges.select(*stored_edges.columns))
+    known = upsert_nodes(stored, merge_nodes(touched).select(*stored.columns))
+    claims = edges.where("kind = 'Supersedes' and not quarantined")
+    at = clock(claims) if {"at", "provenance"} & set(claims.columns) else F.lit(now).cast("long")
+    asked = claims.withColumn("at", at)
+    if not asked.isEmpty():
+        fate = judge(known, stored_edges, asked.drop("reason"))
+        barred = fate.where("reason is not null").agg(F.count("*").alias("n"), F.min("reason").alias("reason")).first()
+        if barred["n"]:
+            raise ValueError(f"{barred['n']} supersessions refused, such as: {barred['reason']}")
+        known = apply_supersessions(known, fate).select(*stored.columns)
+    return known, upsert_edges(stored_edges, edges.select(*stored_edges.columns))

@@ -8,6 +8,8 @@ edges are left, one task finishes.
 
 from __future__ import annotations
 
+from collections import Counter
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -76,12 +78,10 @@ def _in_one_task(edges: DataFrame) -> DataFrame:
     def run(parts):
         whole = pd.concat([pd.DataFrame({"from_id": [], "to_id": []}, dtype=object), *parts], ignore_index=True)
         (a, z), names = _numbered(whole["from_id"], whole["to_id"])
-        of = pd.Series(tarjan(len(names), _ahead(a, z)), dtype="int64")
-        ids = pd.Series(names, dtype=object)
-        first = ids.groupby(of).transform("min") if len(ids) else ids
-        loops = set(ids[[x for x, y in zip(a, z, strict=True) if x == y]]) if len(ids) else set()
-        some = (of.map(of.value_counts()) > 1) | ids.isin(loops) if len(ids) else ids.astype(bool)
-        yield pd.DataFrame({"id": ids[some], "scc": first[some]})
+        of = tarjan(len(names), _ahead(a, z))
+        sizes = Counter(of)
+        some = pd.DataFrame([(names[i], c) for i, c in enumerate(of) if sizes[c] > 1], columns=["id", "of"]).sort_values("id")
+        yield pd.DataFrame({"id": some["id"].astype(object), "scc": some["of"].map(some.drop_duplicates("of").set_index("of")["id"]).astype(object)})
 
     return edges.select("from_id", "to_id").repartition(1).mapInPandas(run, "id string, scc string")
 
@@ -260,7 +260,7 @@ def _decide(part: pd.DataFrame) -> pd.DataFrame:
     order = _Order(len(names), _ahead([x for x, _ in pairs], [y for _, y in pairs]))
     turn = part["place"].tolist()
     fine = [i for i in sorted((i for i, x in enumerate(asked) if x), key=lambda i: turn[i]) if order.add(of[a[i]], of[z[i]])]
-    return part.iloc[fine][["from_id", "to_id"]]
+    return part.iloc[fine][["from_id", "to_id"]].astype(object)
 
 
 def _bundled(rows: DataFrame, total: int, small: int):
@@ -276,7 +276,7 @@ def _closing(part: pd.DataFrame) -> pd.DataFrame:
     of = tarjan(len(names), _ahead([a[i] for i in held], [z[i] for i in held]))
     pairs = {(of[a[i]], of[z[i]]) for i in held if of[a[i]] != of[z[i]]}
     order = _Order(len(names), _ahead([x for x, _ in pairs], [y for _, y in pairs]))
-    return part.iloc[[i for i, x in enumerate(asked) if x and order.closes(of[a[i]], of[z[i]])]][["from_id", "to_id"]]
+    return part.iloc[[i for i, x in enumerate(asked) if x and order.closes(of[a[i]], of[z[i]])]][["from_id", "to_id"]].astype(object)
 
 
 def closes_cycle(edges: DataFrame, proposals: DataFrame, small: int | None = None) -> DataFrame:

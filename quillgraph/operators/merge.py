@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from quillgraph.functions.lattice import BOTH
 from quillgraph.functions.vectors import bit_patterns
+from quillgraph.operators.graph import _keep, shared_dir
 from quillgraph.schema import STATUS_RANKS, TRUST_RANKS, edge_tag, lookup, status_rank, trust_rank
 
+#: What a merge counts.
+COUNTERS = ("nodes_added", "nodes_merged", "edges_added", "edges_merged", "superseded", "rejected_supersessions", "rejected_signatures", "contradictions")
 _STATUS = {v: k for k, v in STATUS_RANKS.items()}
 _TRUST = {v: k for k, v in TRUST_RANKS.items()}
 
@@ -76,6 +79,71 @@ def merge_counters(before: DataFrame, after: DataFrame) -> DataFrame:
     )
 
 
+def _classified(local: DataFrame, remote: DataFrame, merged: DataFrame, keys: list[str]) -> DataFrame:
+    """merged rows of remote keys with `_had`, `_changed` and `_torn` (positions of confidence that became contradicted)."""
+    columns = [c for c in local.columns if c not in keys]
+    old = local.select(*keys, F.struct(*columns).alias("_old"))
+    both = merged.join(remote.select(*keys).distinct(), keys, "left_semi").join(old, keys, "left_outer")
+    torn = F.lit(0)
+    if "confidence" in columns:
+        none = F.array().cast("array<tinyint>")
+        both_at = lambda c: F.size(F.filter(F.coalesce(c, none), lambda x: x == BOTH))
+        torn = F.when(F.col("_old").isNotNull(), both_at(F.col("confidence")) - both_at(F.col("_old.confidence"))).otherwise(0)
+    return both.withColumns({"_had": F.col("_old").isNotNull(), "_changed": ~F.struct(*columns).eqNullSafe(F.col("_old")), "_torn": torn}).drop("_old")
+
+
+def merge_bundle(nodes: DataFrame, edges: DataFrame, remote_nodes: DataFrame, remote_edges: DataFrame, keys: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The graph with a replica's bundle, and one row of its eight counters.
+
+    keys (author, key): asserted items must carry a good signature of their author's or stay out; without keys the bundle is
+    the own replica's and is not asked.  Nodes and plain edges are joined with what is stored; then each confirmed
+    supersession goes through the guards, in the order of (from, to), and what passes is stored and retires its target.
+    What is refused is left out and counted.
+    """
+    from quillgraph.operators import assertions, supersede
+
+    folder = shared_dir(nodes.sparkSession)
+    keep = lambda df, step: _keep(df, folder, step)
+    node_columns, edge_columns = nodes.columns, edges.columns
+    bad = F.lit(False)
+    if keys is not None:
+        remote_nodes, remote_edges = assertions.check_nodes(remote_nodes, keys), assertions.check_edges(remote_edges, keys)
+        bad = ~F.coalesce("ok", F.lit(False))
+    asserted = lambda df: (F.col("plane") == "Asserted") if "plane" in df.columns else F.lit(False)
+    judged_nodes = keep(remote_nodes.withColumn("_bad", F.coalesce(asserted(remote_nodes) & bad, F.lit(False))), "nodes-in")
+    judged_edges = keep(remote_edges.withColumn("_bad", F.coalesce(asserted(remote_edges) & bad, F.lit(False))), "edges-in")
+    refused = judged_nodes.select("_bad").unionByName(judged_edges.select("_bad")).where("_bad").count()
+    fresh, links = judged_nodes.where("not _bad").select(*node_columns), judged_edges.where("not _bad").select(*edge_columns)
+
+    own = nodes.join(fresh.select("id"), "id", "left_semi")
+    sorted_nodes = keep(_classified(own, fresh, merge_nodes(own.unionByName(fresh)).select(*node_columns), ["id"]), "nodes-sorted")
+    joined = nodes.join(fresh.select("id"), "id", "left_anti").unionByName(sorted_nodes.select(*node_columns))
+
+    at = ["from_id", "to_id", "kind"]
+    firm = (F.col("kind") == "Supersedes") & ~F.col("quarantined")
+    plain, claims = links.where(~firm), links.where(firm)
+    own_edges = edges.join(plain.select(*at), at, "left_semi")
+    merged = merge_edges(own_edges.unionByName(plain))
+    merged = merged.join(own_edges.unionByName(plain).groupBy(*at).agg(*[F.min_by(c, F.struct("quarantined")).alias(c) for c in edge_columns if c not in merged.columns]), at) if set(edge_columns) - set(merged.columns) else merged
+    sorted_edges = keep(_classified(own_edges, plain, merged.select(*edge_columns), at), "edges-sorted")
+    linked = edges.join(plain.select(*at), at, "left_anti").unionByName(sorted_edges.select(*edge_columns))
+
+    asked = claims.dropDuplicates(at).withColumn("at", supersede.clock(claims)) if "at" not in edge_columns else claims.dropDuplicates(at)
+    order = ("from_id", "to_id")
+    judged = keep(supersede.judge(joined, linked, asked, order), "judged")
+    fine = judged.where("reason is null")
+    after = keep(supersede.apply_supersessions(joined, judged, order).select(*node_columns), "nodes-out")
+    known = fine.join(edges.select(*at), at, "left_semi").count()
+    outcome = linked.join(fine.select(*at), at, "left_anti").unionByName(fine.select(*edge_columns))
+    done, turned = fine.count(), joined.where("status = 'Active'").join(after.where("status = 'Superseded'").select("id"), "id", "left_semi").count()
+    n = sorted_nodes.agg(F.count_if(~F.col("_had")).alias("nodes_added"), F.count_if(F.col("_had") & F.col("_changed")).alias("nodes_merged"), F.coalesce(F.sum("_torn"), F.lit(0)).cast("long").alias("contradictions"))
+    e = sorted_edges.agg((F.count_if(~F.col("_had")) + F.lit(done - known)).alias("edges_added"), F.count_if(F.col("_had") & F.col("_changed")).alias("edges_merged"))
+    rest = {"superseded": turned, "rejected_supersessions": judged.count() - done, "rejected_signatures": refused}
+    one = F.lit(1).alias("_one")
+    counters = n.select("*", one).join(e.select("*", one), "_one").drop("_one").withColumns({k: F.lit(v).cast("long") for k, v in rest.items()})
+    return after, keep(outcome.select(*edge_columns), "edges-out"), counters.select(*COUNTERS)
+
+
 def dedup(nodes: DataFrame, order: list[str]) -> DataFrame:
     """The first row of each id in the order of the columns."""
     return nodes.groupBy("id").agg(F.min_by(F.struct(*nodes.columns), F.struct(*order)).alias("_row")).select("_row.*")

@@ -61,7 +61,7 @@ def judge(nodes: DataFrame, edges: DataFrame, proposals: DataFrame, order: tuple
     judged, comps = _judged(nodes, edges, proposals)
     folder = shared_dir(nodes.sparkSession)
     judged = _keep(judged, folder, "judged")
-    loops = judged.where("reason = 'cycle'").groupBy("from_id", "to_id").agg(*[F.min(c).alias(c) for c in order if c not in ("from_id", "to_id")])
+    loops = judged.where("reason = 'cycle'").groupBy("from_id", "to_id").agg(F.count("*").alias("_n"), *[F.min(c).alias(c) for c in order if c not in ("from_id", "to_id")])
     if loops.isEmpty():
         return judged
     fine = admitted(spine(edges), positions(loops, [*dict.fromkeys((*order, "from_id", "to_id"))], "place"), comps)
@@ -69,12 +69,12 @@ def judge(nodes: DataFrame, edges: DataFrame, proposals: DataFrame, order: tuple
     return out.withColumn("reason", F.when((F.col("reason") == "cycle") & F.col("_fine"), F.lit(None)).otherwise(F.col("reason"))).drop("_fine")
 
 
-def apply_supersessions(nodes: DataFrame, judged: DataFrame) -> DataFrame:
+def apply_supersessions(nodes: DataFrame, judged: DataFrame, order: tuple[str, ...] = ("at", "from_id")) -> DataFrame:
     """nodes after the accepted supersessions: active targets become Superseded, valid_to = max(at, valid_from).
 
-    Of several edges to a target the first in (at, from) order sets the time; the others change nothing.
+    Of several edges to a target the first in an order sets the time; the others change nothing.
     """
-    first = judged.where("reason is null").groupBy(F.col("to_id").alias("id")).agg(F.min(F.struct("at", "from_id")).alias("by"))
+    first = judged.where("reason is null").groupBy(F.col("to_id").alias("id")).agg(F.min(F.struct(*dict.fromkeys((*order, "at")))).alias("by"))
     hit = nodes.join(first, "id", "left")
     now = (F.col("status") == "Active") & F.col("by").isNotNull()
     return hit.withColumn("valid_to", F.when(now, F.greatest(F.col("by.at"), F.col("valid_from"))).otherwise(F.col("valid_to"))).withColumn("status", F.when(now, "Superseded").otherwise(F.col("status"))).drop("by")
@@ -145,7 +145,12 @@ def confirm_outcomes(nodes: DataFrame, edges: DataFrame, keys: DataFrame, at: in
 def confirm_and_apply(nodes: DataFrame, edges: DataFrame, keys: DataFrame, at: int, writer: str | None = None, meta: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Graph with the proposals of the keys confirmed: those that supersede go through the guards and, where they pass, retire
     their targets at the confirmation's clock; where they do not, they stay proposals."""
-    fine = confirm_outcomes(nodes, edges, keys, at, writer, meta).where("outcome = 'confirmed'")
+    return apply_outcomes(nodes, edges, confirm_outcomes(nodes, edges, keys, at, writer, meta), at)
+
+
+def apply_outcomes(nodes: DataFrame, edges: DataFrame, outcomes: DataFrame, at: int) -> tuple[DataFrame, DataFrame]:
+    """Graph with what confirm_outcomes has confirmed."""
+    fine = outcomes.where("outcome = 'confirmed'")
     retired = fine.where("kind = 'Supersedes'").select("from_id", "to_id", F.lit(at).cast("long").alias("at"), F.lit(None).cast("string").alias("reason"))
     return apply_supersessions(nodes, retired), confirm(edges, fine, at)
 

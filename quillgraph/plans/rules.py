@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.functions import ids, text
+from quillgraph.memory import MemoryGraph
 from quillgraph.operators import access, assertions, corpus, graph, ingest, jobs, merge, recall, scene, supersede
 from quillgraph.plans.adapters import LINES_SQL, NODES_SQL, SPINE_SQL, hashed, instant, line_edges, millis, order_nodes, part_nodes, spine_edges, table
 from quillgraph.plans.catalogue import AT, NE, URGENT, N, query
@@ -341,3 +342,96 @@ def scene_graph(spark, d):
     nodes = order_nodes(spark, d)
     shown, _ = scene.scene(nodes.withColumn("vector", F.array().cast("array<double>")), spine_edges(nodes), "vector", 64)
     return shown.withColumns({"x": F.round("x", 6), "y": F.round("y", 6)}).drop("z")
+
+
+# Confirmation and merges through the guards ----------------------------------------------------------------
+
+def _contested(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Proposals beside the spine's own: some back along it, some of a node over itself, and one against each confirmed supersession."""
+    keyed = edges.join(nodes.select(F.col("id").alias("from_id"), "o_orderkey"), "from_id")
+    over = F.lit("Supersedes").alias("kind")
+    back = lambda rows: rows.select(F.col("to_id").alias("from_id"), F.col("from_id").alias("to_id"), over)
+    line = keyed.where("kind = 'TemporalNext'")
+    own = line.where("o_orderkey % 50 = 0").select("from_id", F.col("from_id").alias("to_id"), over)
+    made = back(line.where("o_orderkey % 42 = 0")).unionByName(own).unionByName(back(edges.where("kind = 'Supersedes' and not quarantined"))).distinct()
+    return made.join(edges.select("from_id", "to_id", "kind"), ["from_id", "to_id", "kind"], "left_anti").withColumns({"quarantined": F.lit(True), "at": F.lit(1).cast("long")})
+
+
+_FACADE_SQL = (
+    NE.replace("quarantined, valid_from AS at", "quarantined, valid_from AS at, o_orderkey AS hash_key")
+    + """,
+made AS (
+  SELECT to_id AS from_id, from_id AS to_id, 'Supersedes' AS kind FROM e WHERE kind = 'TemporalNext' AND hash_key % 42 = 0
+  UNION SELECT from_id, from_id, 'Supersedes' FROM e WHERE kind = 'TemporalNext' AND hash_key % 50 = 0
+  UNION SELECT to_id, from_id, 'Supersedes' FROM e WHERE kind = 'Supersedes' AND NOT quarantined),
+pr AS MATERIALIZED (
+  SELECT p.*, a.plane = 'Asserted' AND b.plane = 'Derived' AS crosses, b.o_orderkey % 2 = 1 AS mine
+  FROM (SELECT * FROM made UNION SELECT from_id, to_id, kind FROM e WHERE quarantined) p JOIN n a ON a.id = p.from_id JOIN n b ON b.id = p.to_id),
+firm AS MATERIALIZED (SELECT from_id, to_id FROM e WHERE kind = 'Supersedes' AND NOT quarantined),
+fit AS MATERIALIZED (SELECT from_id, to_id FROM pr WHERE NOT mine AND kind = 'Supersedes' AND from_id <> to_id AND NOT crosses),
+o AS (
+  SELECT from_id, to_id, kind, CASE WHEN mine THEN 'second party' WHEN kind <> 'Supersedes' THEN 'confirmed' WHEN from_id = to_id THEN 'self' WHEN crosses THEN 'plane'
+    WHEN EXISTS (SELECT 1 FROM firm f WHERE f.from_id = pr.to_id AND f.to_id = pr.from_id) THEN 'cycle'
+    WHEN EXISTS (SELECT 1 FROM fit f WHERE f.from_id = pr.to_id AND f.to_id = pr.from_id AND f.from_id < pr.from_id) THEN 'cycle' ELSE 'confirmed' END AS outcome
+  FROM pr),
+hit AS (SELECT DISTINCT to_id AS id FROM o WHERE outcome = 'confirmed' AND kind = 'Supersedes')
+SELECT o.*, outcome <> 'confirmed' AS quarantined, CASE WHEN n.status = 'Active' AND hit.id IS NOT NULL THEN 'Superseded' ELSE n.status END AS status
+FROM o JOIN n ON n.id = o.to_id LEFT JOIN hit ON hit.id = o.to_id"""
+)
+
+
+@query(_FACADE_SQL)
+def confirm_facade(spark, d):
+    """Proposals over each order confirmed by the graph's own verb: over oneself, against what is confirmed, from an asserted node over
+    a derived one, and those that the one who confirms has brought in; with what became of the edge and of its target."""
+    nodes = order_nodes(spark, d)
+    edges = spine_edges(nodes)
+    g = MemoryGraph(nodes, edges)
+    asked = _contested(nodes, edges).unionByName(edges.where("quarantined"))
+    mine = asked.join(nodes.where("o_orderkey % 2 = 1").select(F.col("id").alias("to_id")), "to_id", "left_semi").select(*asked.columns)
+    g = g.propose(mine, "me", 5).propose(asked.join(mine.select("from_id", "to_id", "kind"), ["from_id", "to_id", "kind"], "left_anti").select(*asked.columns), "you", 5)
+    keys = asked.select("from_id", "to_id", "kind")
+    after = g.confirm(keys, 123, "me")
+    state = after.edges.select("from_id", "to_id", "kind", "quarantined")
+    return after.outcomes.join(state, ["from_id", "to_id", "kind"]).join(after.nodes.select(F.col("id").alias("to_id"), "status"), "to_id")
+
+
+_BUNDLE_SQL = (
+    NE
+    + """,
+l AS MATERIALIZED (SELECT * FROM n WHERE o_orderkey % 5 <> 1),
+r AS MATERIALIZED (SELECT * REPLACE (CASE WHEN o_orderkey % 4 = 0 THEN 'Archived' ELSE status END AS status, list_reverse(confidence) AS confidence) FROM n WHERE o_orderkey % 3 <> 1 AND o_orderkey % 10 <> 5),
+b AS (SELECT r.*, l.id IS NOT NULL AS had, l.status AS was, l.valid_to AS until, l.confidence AS old FROM r LEFT JOIN l USING (id)),
+j AS MATERIALIZED (
+  SELECT id, o_orderkey, had, plane,
+    CASE WHEN had AND (CASE was WHEN 'Active' THEN 0 WHEN 'Superseded' THEN 1 ELSE 2 END) > (CASE status WHEN 'Active' THEN 0 WHEN 'Superseded' THEN 1 ELSE 2 END) THEN was ELSE status END AS now, was,
+    list_transform([1, 2], lambda i: CAST(confidence[i] | coalesce(old[i], 0) AS TINYINT)) AS joined, old
+  FROM b),
+nn AS MATERIALIZED (SELECT l.id, coalesce(j.now, l.status) AS status, l.plane FROM l LEFT JOIN j USING (id) UNION ALL SELECT id, now, plane FROM j WHERE NOT had),
+le AS MATERIALIZED (SELECT * FROM e WHERE substr(from_id, 1, 1) < 'a'),
+re AS MATERIALIZED (SELECT from_id, to_id, kind, quarantined AND substr(from_id, 2, 1) < '8' AS quarantined, at FROM e WHERE substr(to_id, 1, 1) < 'a'),
+plain AS (SELECT re.*, le.from_id IS NOT NULL AS had, le.quarantined AND NOT re.quarantined AS changed FROM re LEFT JOIN le USING (from_id, to_id, kind) WHERE NOT (re.kind = 'Supersedes' AND NOT re.quarantined)),
+claim AS (
+  SELECT re.from_id, re.to_id, le.from_id IS NOT NULL AS had, a.id IS NULL OR z.id IS NULL OR (a.plane = 'Asserted' AND z.plane = 'Derived') AS barred, z.status AS target
+  FROM re LEFT JOIN le USING (from_id, to_id, kind) LEFT JOIN nn a ON a.id = re.from_id LEFT JOIN nn z ON z.id = re.to_id WHERE re.kind = 'Supersedes' AND NOT re.quarantined)
+SELECT (SELECT count(*) FROM j WHERE NOT had) AS nodes_added,
+  (SELECT count(*) FROM j WHERE had AND (now <> was OR joined <> old)) AS nodes_merged,
+  (SELECT count(*) FROM plain WHERE NOT had) + (SELECT count(*) FROM claim WHERE NOT barred AND NOT had) AS edges_added,
+  (SELECT count(*) FROM plain WHERE had AND changed) AS edges_merged,
+  (SELECT count(DISTINCT to_id) FROM claim WHERE NOT barred AND target = 'Active') AS superseded,
+  (SELECT count(*) FROM claim WHERE barred) AS rejected_supersessions,
+  CAST(0 AS BIGINT) AS rejected_signatures,
+  (SELECT CAST(coalesce(sum(len(list_filter(joined, lambda x: x = 3)) - len(list_filter(old, lambda x: x = 3))), 0) AS BIGINT) FROM j WHERE had) AS contradictions"""
+)
+
+
+@query(_BUNDLE_SQL)
+def merge_counters(spark, d):
+    """The eight counters of a merge: half of the orders here, another half there, archived or with other confidence on some."""
+    nodes = order_nodes(spark, d)
+    edges = spine_edges(nodes).withColumn("trust_tier", F.lit("DerivedDeterministic"))
+    there = nodes.where("o_orderkey % 3 <> 1 and o_orderkey % 10 <> 5").withColumns({"status": F.when(_key() % 4 == 0, "Archived").otherwise(F.col("status")), "confidence": F.reverse("confidence")})
+    links = edges.where("substring(to_id, 1, 1) < 'a'").withColumn("quarantined", F.col("quarantined") & (F.substring("from_id", 2, 1) < "8"))
+    columns = [c for c in nodes.columns if c not in ("o_orderkey", "o_custkey")]
+    g = MemoryGraph(nodes.where("o_orderkey % 5 <> 1").select(*columns), edges.where("substring(from_id, 1, 1) < 'a'"))
+    return g.merge(there.select(*columns), links).counters
