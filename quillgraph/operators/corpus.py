@@ -57,14 +57,13 @@ def violations(nodes: DataFrame) -> DataFrame:
 
 
 def import_tenant(store: Snapshots, repo: str, digest: str, nodes: DataFrame, edges: DataFrame) -> bool:
-    """Lands a tenant unless this digest already has; the digest is recorded only after all of it."""
+    """Lands a tenant unless this digest already has; nodes, edges and the digest count together, with one manifest."""
     spark = nodes.sparkSession
-    done = store.read("imports") if store.version("imports") else spark.createDataFrame([], "repo string, digest string")
+    done = store.current("imports", "repo string, digest string")
     if not done.where((F.col("repo") == repo) & (F.col("digest") == digest)).isEmpty():
         return False
     if not violations(nodes).isEmpty():
         raise ValueError(f"{repo}: nodes that are no plain corpus nodes")
-    store.commit(f"nodes-{repo}", nodes)
-    store.commit(f"edges-{repo}", edges)
-    store.commit("imports", done.where(F.col("repo") != repo).unionByName(spark.createDataFrame([(repo, digest)], "repo string, digest string")))
+    marks = done.where(F.col("repo") != repo).unionByName(spark.createDataFrame([(repo, digest)], "repo string, digest string"))
+    store.commit_all({f"nodes-{repo}": nodes, f"edges-{repo}": edges, "imports": marks})
     return True

@@ -12,9 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.functions import ids
-from quillgraph.operators import graph, ingest, recall, supersede
+from quillgraph.operators import corpus, graph, ingest, recall, supersede
 from quillgraph.schema import lookup
-from quillgraph.sources.files import Snapshots
+from quillgraph.sources.delta import Store
 
 NODES = "id string, repo string, kind string, plane string, author string, sha string, content binary, valid_from long, valid_to long, trust_tier string, status string"
 EDGES = "from_id string, to_id string, kind string, quarantined boolean, at long"
@@ -123,11 +123,12 @@ def grounded(hits: DataFrame, recent: DataFrame, most: int = 6) -> DataFrame:
 # Ingest ----------------------------------------------------------------------------------------------------
 
 
-def commit_graph(commits: DataFrame, authorities: DataFrame, keep=lambda df, step: df) -> tuple[DataFrame, DataFrame]:
+def commit_graph(commits: DataFrame, authorities: DataFrame, keep=lambda df, step: df, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges of commits (repo, sha, parents, author, time_secs, subject, body).
 
     Ids are hashes of content.  Trailers that name a commit of the same repo are edges to it; the others lead to a
-    stub of the reference, one for each name and repo.  keep(df, step) may store what several steps read.
+    stub of the reference, one for each name and repo.  keep(df, step) may store what several steps read; known
+    (repo, sha, id): commits stored before, which parents and trailers may name.
     """
     content = F.encode(F.concat_ws("\n", "subject", "body"), "UTF-8")
     source = F.encode(F.concat(F.lit("git_commit|"), "repo", F.lit("|"), "sha"), "UTF-8")
@@ -137,6 +138,10 @@ def commit_graph(commits: DataFrame, authorities: DataFrame, keep=lambda df, ste
     named = nodes.select("repo", "sha", "id", "valid_from")
     ends = lambda rows: rows.join(named.select("repo", F.col("sha").alias("child"), F.col("id").alias("from_id"), F.col("valid_from").alias("at")), ["repo", "child"])
     target = named.select("repo", F.col("sha").alias("parent"), F.col("id").alias("to_id"))
+    if known is not None:
+        wanted = commits.select("repo", F.explode("parents").alias("parent")).unionByName(ingest.trailer_edges(commits, authorities).join(commits.select("repo", "sha"), "sha").select("repo", F.col("target").alias("parent"))).distinct()
+        older = known.select("repo", F.col("sha").alias("parent"), F.col("id").alias("to_id")).join(wanted, ["repo", "parent"], "left_semi").join(target, ["repo", "parent"], "left_anti")
+        target = keep(target.unionByName(older), "targets")
     repo_of = commits.select("repo", F.col("sha").alias("child"))
     lines = ends(ingest.spine(commits).join(repo_of, "child")).join(target, ["repo", "parent"])
     said = ends(keep(ingest.trailer_edges(commits, authorities), "trailers").join(commits.select("repo", "sha"), "sha").withColumnRenamed("sha", "child")).join(target.withColumnRenamed("parent", "target"), ["repo", "target"], "left")
@@ -160,28 +165,85 @@ def pending_commits(commits: DataFrame, heads: DataFrame, marks: DataFrame) -> D
     return all_of_it.join(done, "id", "left_anti").select(F.col("id").alias("sha"))
 
 
-def run_ingest(store: Snapshots, commits: DataFrame, heads: DataFrame, authorities: DataFrame, now: int) -> dict[str, int]:
-    """Brings a store up to the heads (repo, head): new commits, their edges, supersessions, then the watermarks, in one commit.
+def due_commits(commits: DataFrame, heads: DataFrame, held: DataFrame) -> DataFrame:
+    """Those of commits (repo, sha, parents) that the heads (repo, head) reach through commits that are not held (repo, sha).
 
-    Returns how many commits were due and how many supersessions were refused.
+    What is stored has all of its history stored, so the walk ends there and its cost follows the push.
     """
-    nodes, edges, meta = store.current("nodes", NODES), store.current("edges", EDGES), store.current("meta", META)
+    fresh = commits.join(held.select("repo", "sha"), ["repo", "sha"], "left_anti")
+    spine = ingest.spine(fresh).select(F.col("child").alias("from_id"), F.col("parent").alias("to_id"), "kind")
+    return fresh.join(recall.canonical(fresh, spine, heads.select(F.col("head").alias("id"))).select(F.col("id").alias("sha")), "sha", "left_semi")
+
+
+def document_changes(docs: DataFrame, nodes: DataFrame, now: int, keep=lambda df, step: df) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Documents (repo, path, git_sha, text) against the stored nodes: new nodes, their edges, and stored ones that are gone.
+
+    All repos of docs are derived anew and compared by content id: what is stored stays as it is, what has vanished from its
+    repo is archived.  Directives that name a commit or a stub of the repo lead to it, the others to a new stub.
+    """
+    found, said = corpus.document_graph(docs)
+    state = F.lit(None).cast("long").alias("valid_to"), F.lit("DerivedDeterministic").alias("trust_tier")
+    own = keep(found.select("id", "repo", "kind", F.lit("Derived").alias("plane"), "author", F.concat(F.lit("doc:"), "path").alias("sha"), "content", F.coalesce("created_ms", F.lit(now)).cast("long").alias("valid_from"), *state, "status").dropDuplicates(["id"]), "documents")
+    held = nodes.where("startswith(sha, 'doc:')").join(docs.select("repo").distinct(), "repo", "left_semi")
+    fresh = own.join(held.select("id"), "id", "left_anti")
+    gone = held.where("status <> 'Archived'").join(own.select("id"), "id", "left_anti").withColumn("status", F.lit("Archived"))
+    said = keep(said.join(fresh.select(F.col("id").alias("from_id"), "repo", F.col("valid_from").alias("at")), "from_id"), "directives")
+    named = nodes.select("repo", F.regexp_replace("sha", "^ref:", "").alias("target"), F.col("id").alias("to_id")).join(said.select("repo", "target").distinct(), ["repo", "target"], "left_semi").groupBy("repo", "target").agg(F.min("to_id").alias("to_id"))
+    led = said.join(named, ["repo", "target"], "left")
+    stub = ids.sha2_id(F.encode(F.concat(F.lit("ref:"), "repo", F.lit("|"), "target"), "UTF-8"))
+    stubs = led.where("to_id is null").groupBy("repo", "target").agg(F.min("at").alias("valid_from")).select(stub.alias("id"), "repo", F.lit("doc").alias("kind"), F.lit("Derived").alias("plane"), F.lit("ref").alias("author"), F.concat(F.lit("ref:"), "target").alias("sha"), F.encode("target", "UTF-8").alias("content"), "valid_from", *state, F.lit("Active").alias("status"))
+    links = led.select("from_id", F.coalesce("to_id", stub).alias("to_id"), "kind", "quarantined", "at").dropDuplicates(["from_id", "to_id", "kind"])
+    return fresh.unionByName(stubs.select(*fresh.columns)), links, gone
+
+
+def open_store(spark, path: str) -> Store:
+    """The tables of ingest jobs under a path."""
+    return Store(spark, path, {"nodes": ["id"], "edges": ["from_id", "to_id", "kind"], "meta": ["repo", "key"]})
+
+
+def run_ingest(store: Store, commits: DataFrame, heads: DataFrame, authorities: DataFrame, now: int, docs: DataFrame | None = None, compact_after: int = 16) -> dict[str, int]:
+    """Brings a store up to the heads (repo, head): new commits, their edges, documents, supersessions and watermarks, in one commit.
+
+    commits may be the whole history or what is new in it; docs (repo, path, git_sha, text) are all documents of their repos
+    now.  Only new and changed rows are written.  Returns how many commits were due, supersessions refused, and
+    documents new and gone.
+    """
+    number, _ = store.state()
+    nodes, edges, meta = store.read("nodes", NODES), store.read("edges", EDGES), store.read("meta", META)
     folder = graph.shared_dir(commits.sparkSession)
     keep = lambda df, step: graph._keep(df, folder, step)  # noqa: E731  each is read by several of the steps after it
-    marks = meta_get(meta, "watermark").select("repo", F.col("value").alias("head"))
-    due = keep(commits.join(pending_commits(commits, heads, marks), "sha", "left_semi"), "due")
-    found, links = commit_graph(commits, authorities, keep)
-    found = keep(found, "found")
-    fresh = keep(found.join(due.select("repo", "sha"), ["repo", "sha"], "left_semi").unionByName(found.where("startswith(sha, 'ref:')")), "fresh")
-    links = keep(links.join(fresh.select(F.col("id").alias("from_id")), "from_id", "left_semi"), "links")
-    known = nodes.unionByName(fresh.join(nodes.select("id"), "id", "left_anti"))
-    judged = keep(supersede.judge(known, edges, links.where("kind = 'Supersedes'")), "judged")
+    due = keep(due_commits(commits, heads, nodes.where("kind = 'commit'")), "due")
+    found, links = commit_graph(due, authorities, keep, nodes.where("kind = 'commit'").select("repo", "sha", "id"))
+    gone = None
+    if docs is not None:
+        named = nodes.unionByName(keep(found, "commits"))
+        more, directives, gone = document_changes(docs, named, now, keep)
+        found, links, gone = found.unionByName(more.select(*found.columns)), links.unionByName(directives), keep(gone, "gone")
+    fresh = keep(found.dropDuplicates(["id"]).join(nodes.select("id"), "id", "left_anti"), "fresh")
+    links = keep(links, "links")
+    claims = links.where("kind = 'Supersedes'")
+    known = nodes.unionByName(fresh)
+    # Only the ends of what is claimed can matter.
+    ends = claims.select(F.explode(F.array("from_id", "to_id")).alias("id")).distinct()
+    judged = keep(supersede.judge(keep(known.join(ends, "id", "left_semi"), "ends"), edges, claims), "judged")
     refused = judged.where("reason is not null and reason <> 'quarantined'")
     kept = links.join(refused.select("from_id", "to_id", "kind"), ["from_id", "to_id", "kind"], "left_anti")
-    after = supersede.apply_supersessions(known, judged)
-    marked = meta_put(meta, heads.select("repo", F.lit("watermark").alias("key"), F.col("head").alias("value"), F.lit(now).cast("long").alias("at")))
+    hit = judged.where("reason is null").select(F.col("to_id").alias("id")).distinct()
+    if gone is not None:
+        known = known.join(gone.select("id"), "id", "left_anti").unionByName(gone.select(*known.columns))
+    turned = supersede.apply_supersessions(known.join(hit, "id", "left_semi"), judged).select(*nodes.columns)
+    rest = fresh.select(*nodes.columns) if gone is None else fresh.select(*nodes.columns).unionByName(gone.select(*nodes.columns))
+    changes = {"nodes": rest.join(hit, "id", "left_anti").select(*nodes.columns).unionByName(turned)}
+    # A proposal never takes the place of a confirmed edge.
+    firm = edges.where("not quarantined").join(kept.select("from_id", "to_id", "kind"), ["from_id", "to_id", "kind"], "left_semi").select("from_id", "to_id", "kind")
+    changes["edges"] = kept.where("not quarantined").unionByName(kept.where("quarantined").join(firm, ["from_id", "to_id", "kind"], "left_anti").select(*kept.columns)).select(*edges.columns)
+    changes["meta"] = heads.select("repo", F.lit("watermark").alias("key"), F.col("head").alias("value"), F.lit(now).cast("long").alias("at"))
     counts = {"commits": due.count(), "refused": refused.count()}
-    store.commit_all({"nodes": after.select(nodes.columns), "edges": supersede.upsert_edges(edges, kept.select(edges.columns)), "meta": marked.select(meta.columns)})
+    if docs is not None:
+        counts |= {"documents": fresh.where("startswith(sha, 'doc:')").count(), "gone": gone.count()}
+    store.commit(changes, based_on=number)
+    for name in changes:
+        store.compact(name, compact_after)
     graph.drop_folder(commits.sparkSession, folder)
     return counts
 

@@ -34,7 +34,8 @@ def _judged(nodes: DataFrame, edges: DataFrame, proposals: DataFrame) -> tuple[D
     known = known.withColumn("reason", first).drop("_from", "_to")
     fit = known.where("reason is null").select("from_id", "to_id")
     # A proposal closes a cycle, alone or with others, if both of its ends lie in one component.
-    comps = strong_components(spine(edges).unionByName(fit))
+    # Without proposals there is nothing to find, however much is stored.
+    comps = strong_components((spine(edges) if not fit.isEmpty() else fit).unionByName(fit))
     both = known.join(comps.withColumnsRenamed({"id": "from_id", "scc": "_a"}), "from_id", "left").join(comps.withColumnsRenamed({"id": "to_id", "scc": "_z"}), "to_id", "left")
     return both.withColumn("reason", F.when(F.col("reason").isNull() & (F.col("_a") == F.col("_z")), "cycle").otherwise(F.col("reason"))).drop("_a", "_z"), comps
 

@@ -409,7 +409,7 @@ j AS MATERIALIZED (
   FROM b),
 nn AS MATERIALIZED (SELECT l.id, coalesce(j.now, l.status) AS status, l.plane FROM l LEFT JOIN j USING (id) UNION ALL SELECT id, now, plane FROM j WHERE NOT had),
 le AS MATERIALIZED (SELECT * FROM e WHERE substr(from_id, 1, 1) < 'a'),
-re AS MATERIALIZED (SELECT from_id, to_id, kind, quarantined AND substr(from_id, 2, 1) < '8' AS quarantined, at FROM e WHERE substr(to_id, 1, 1) < 'a'),
+re AS MATERIALIZED (SELECT from_id, to_id, kind, quarantined AND substr(from_id, 2, 1) < '8' AS quarantined, e.at FROM e WHERE substr(to_id, 1, 1) < 'a'),
 plain AS (SELECT re.*, le.from_id IS NOT NULL AS had, le.quarantined AND NOT re.quarantined AS changed FROM re LEFT JOIN le USING (from_id, to_id, kind) WHERE NOT (re.kind = 'Supersedes' AND NOT re.quarantined)),
 claim AS (
   SELECT re.from_id, re.to_id, le.from_id IS NOT NULL AS had, a.id IS NULL OR z.id IS NULL OR (a.plane = 'Asserted' AND z.plane = 'Derived') AS barred, z.status AS target
@@ -435,3 +435,16 @@ def merge_counters(spark, d):
     columns = [c for c in nodes.columns if c not in ("o_orderkey", "o_custkey")]
     g = MemoryGraph(nodes.where("o_orderkey % 5 <> 1").select(*columns), edges.where("substring(from_id, 1, 1) < 'a'"))
     return g.merge(there.select(*columns), links).counters
+
+
+@query("SELECT 'doc:docs/' || doc_id || '.md' AS sha, source AS repo, CASE WHEN doc_id % 3 = 1 THEN 'Archived' ELSE 'Active' END AS status, CAST(CASE WHEN doc_id % 3 = 0 THEN 20 ELSE 10 END AS BIGINT) AS valid_from FROM documents WHERE source IN (SELECT source FROM documents WHERE doc_id % 3 <> 1)")
+def ingest_documents(spark, d):
+    """Two pushes of documents into one store: the second lacks a third of the first's and brings a third of its own; what has
+    vanished is archived, what stayed is not written again."""
+    docs = table(spark, d, "documents").select(F.col("source").alias("repo"), F.concat(F.lit("docs/"), "doc_id", F.lit(".md")).alias("path"), F.lit("s").alias("git_sha"), "text", "doc_id")
+    store = jobs.open_store(spark, f"{graph.shared_dir(spark)}/store")
+    none = spark.createDataFrame([], "repo string, sha string, parents array<string>, author string, time_secs long, subject string, body string")
+    heads, who = spark.createDataFrame([], "repo string, head string"), spark.createDataFrame([], "author string")
+    jobs.run_ingest(store, none, heads, who, 10, docs.where("doc_id % 3 <> 0").drop("doc_id"))
+    jobs.run_ingest(store, none, heads, who, 20, docs.where("doc_id % 3 <> 1").drop("doc_id"))
+    return store.read("nodes").where("startswith(sha, 'doc:')").select("sha", "repo", "status", "valid_from")

@@ -7,6 +7,7 @@ import hmac
 import json
 import re
 import tomllib
+import uuid
 from pathlib import Path
 
 import numpy as np
@@ -184,20 +185,33 @@ class Snapshots:
         """The current version; 0 if there is none."""
         return max(self._marked(name), default=0)
 
+    def _folder(self, name: str, version: int) -> str:
+        """Where a version's rows are: its marker says so."""
+        p, fs = self._at(f"{name}/committed-{version:08d}")
+        stream = fs.open(p)
+        try:
+            return bytes(stream.readAllBytes()).decode()
+        finally:
+            stream.close()
+
     def read(self, name: str, version: int | None = None) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{name}/v{version or self.version(name):08d}")
+        return self.spark.read.parquet(f"{self.path}/{name}/{self._folder(name, version or self.version(name))}")
 
     def commit(self, name: str, df: DataFrame, partition: list[str] | None = None) -> int:
-        """Write the next version whole, then its marker, which must be new; readers see the one or the other.
+        """Write the next version whole to a folder of a fresh name, then its marker, which names the folder and must be new.
 
-        What a crash before the marker has left is written over.  Of two writers at once the second one fails.
+        Readers see the one version or the other.  Of two writers at once the second one fails and touches nothing of the first.
         """
+        folder = f"rows-{uuid.uuid4().hex}"
+        (df.write.partitionBy(*partition) if partition else df.write).parquet(f"{self.path}/{name}/{folder}")
         nxt = self.version(name) + 1
-        writer = df.write.mode("overwrite")
-        (writer.partitionBy(*partition) if partition else writer).parquet(f"{self.path}/{name}/v{nxt:08d}")
-        _, fs = self._at(name)
-        if not fs.createNewFile(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}/committed-{nxt:08d}")):
-            raise OSError(f"version {nxt} of {name} was committed by another writer")
+        p, fs = self._at(f"{name}/committed-{nxt:08d}")
+        try:
+            out = fs.create(p, False)
+        except Exception as e:
+            raise OSError(f"version {nxt} of {name} was committed by another writer") from e
+        out.write(bytearray(folder.encode()))
+        out.close()
         return nxt
 
     def commit_all(self, tables: dict[str, DataFrame]) -> int:
@@ -220,6 +234,6 @@ class Snapshots:
         gone = self._marked(name)[:-keep] if keep else self._marked(name)
         _, fs = self._at(name)
         for v in gone:
-            for path in (f"committed-{v:08d}", f"v{v:08d}"):
+            for path in (self._folder(name, v), f"committed-{v:08d}")[::-1]:
                 fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}/{path}"), True)
         return gone

@@ -6,30 +6,77 @@ from pyspark.sql import functions as F
 from quillgraph.functions import ed25519
 from quillgraph.memory import MemoryGraph
 from quillgraph.operators import access, assertions, jobs, supersede
-from quillgraph.sources.files import Snapshots
+from quillgraph.sources.delta import Conflict
 
 COMMIT = "repo string, sha string, parents array<string>, author string, time_secs long, subject string, body string"
 
 
 def test_ingest_job(spark, tmp_path):
-    store = Snapshots(spark, f"file://{tmp_path}/store")
+    store = jobs.open_store(spark, f"file://{tmp_path}/store")
     trailer = "why\n\nAgentile-Supersedes: c1\nAgentile-References: R-1"
     rows = [("r", "c1", [], "me", 1, "one", ""), ("r", "c2", ["c1"], "me", 2, "two", trailer), ("r", "c3", ["c2"], "you", 3, "three", "x\n\nAgentile-Supersedes: c2")]
     commits = spark.createDataFrame(rows, COMMIT)
     who = spark.createDataFrame([("me",)], "author string")
     head = lambda x: spark.createDataFrame([("r", x)], "repo string, head string")
     assert jobs.run_ingest(store, commits.where("sha in ('c1', 'c2')"), head("c2"), who, 10) == {"commits": 2, "refused": 0}
-    status = {r["sha"]: r["status"] for r in store.current("nodes", jobs.NODES).collect()}
+    status = {r["sha"]: r["status"] for r in store.read("nodes").collect()}
     assert status == {"c1": "Superseded", "c2": "Active", "ref:R-1": "Active"}
     assert jobs.run_ingest(store, commits, head("c3"), who, 11)["commits"] == 1
     assert jobs.run_ingest(store, commits, head("c3"), who, 12)["commits"] == 0
-    edges = sorted((r["kind"], r["quarantined"]) for r in store.current("edges", jobs.EDGES).collect())
+    edges = sorted((r["kind"], r["quarantined"]) for r in store.read("edges").collect())
     assert edges == [("References", False), ("Supersedes", False), ("Supersedes", True), ("TemporalNext", False), ("TemporalNext", False)]
-    assert [tuple(r) for r in store.current("meta", jobs.META).collect()] == [("r", "watermark", "c3", 12)]
+    assert [tuple(r) for r in store.read("meta").collect()] == [("r", "watermark", "c3", 12)]
     # Rewritten history: the watermark is no ancestor of the new head, so all of it is due; nothing stored is lost.
     other = spark.createDataFrame([("r", "d1", [], "me", 4, "one", ""), ("r", "d2", ["d1"], "me", 5, "two", "")], COMMIT)
     assert jobs.run_ingest(store, other, head("d2"), who, 13)["commits"] == 2
-    assert store.current("nodes", jobs.NODES).count() == 6
+    assert store.read("nodes").count() == 6
+
+
+def test_ingest_of_documents(spark, tmp_path):
+    store = jobs.open_store(spark, f"file://{tmp_path}/store")
+    commits = spark.createDataFrame([("r", "c1", [], "me", 1, "one", "")], COMMIT)
+    who, head = spark.createDataFrame([("me",)], "author string"), spark.createDataFrame([("r", "c1")], "repo string, head string")
+    docs = lambda *rows: spark.createDataFrame([("r", p, "s", t) for p, t in rows], "repo string, path string, git_sha string, text string")
+    a = ("a.md", "# A\n```agentile\nref: c1\nref: R-9\nsupersedes: c1\n```\n")
+    run = lambda now, *rows: jobs.run_ingest(store, commits, head, who, now, docs(*rows), compact_after=1)
+    assert run(10, a, ("b.md", "# B\n")) == {"commits": 1, "refused": 0, "documents": 2, "gone": 0}
+    kinds = lambda: sorted((r["kind"], r["quarantined"]) for r in store.read("edges").collect())
+    assert kinds() == [("References", False), ("References", False), ("Supersedes", True)]
+    assert run(11, a, ("b.md", "# B\n")) == {"commits": 0, "refused": 0, "documents": 0, "gone": 0}
+    assert run(12, a, ("c.md", "# C\n")) == {"commits": 0, "refused": 0, "documents": 1, "gone": 1}
+    status = {r["sha"]: r["status"] for r in store.read("nodes").collect()}
+    assert status == {"c1": "Active", "ref:R-9": "Active", "doc:a.md": "Active", "doc:b.md": "Archived", "doc:c.md": "Active"}
+    assert len(kinds()) == 3 and not store.state()[1]["nodes"]["deltas"]  # three commits, so folded into a base
+
+
+def test_confirm_and_merge_through_the_guards(spark):
+    kinds = "id string, repo string, author string, plane string, status string, valid_from long, valid_to long, trust_tier string, confidence array<tinyint>"
+    row = lambda i, **more: tuple(({"id": i, "repo": "r", "author": i, "plane": "Derived", "status": "Active", "valid_from": 1, "valid_to": None, "trust_tier": "AgentAsserted", "confidence": [1]} | more).values())
+    links = "from_id string, to_id string, kind string, quarantined boolean, at long, trust_tier string"
+    edge = lambda a, z, kind="Supersedes", loose=True, at=2: (a, z, kind, loose, at, "AgentAsserted")
+    nodes = spark.createDataFrame([row(x) for x in "abc"] + [row("p", plane="Asserted")], kinds)
+    g = MemoryGraph(nodes, spark.createDataFrame([], links))
+    asked = spark.createDataFrame([edge("a", "b"), edge("b", "a"), edge("a", "a"), edge("p", "c"), edge("a", "c", "References")], links)
+    g = g.propose(asked, "me", 5)
+    fate = lambda who: {(r["from_id"], r["to_id"]): r["outcome"] for r in g.confirm(asked, 9, who).outcomes.collect()}
+    assert fate("you") == {("a", "b"): "confirmed", ("b", "a"): "cycle", ("a", "a"): "self", ("p", "c"): "plane", ("a", "c"): "confirmed"}
+    assert set(fate("me").values()) == {"second party", "confirmed"} and fate("b")[("a", "b")] == "confirmed" and fate(None)[("a", "b")] == "second party"
+    after = g.confirm(asked, 9, "you")
+    assert {r["id"]: (r["status"], r["valid_to"]) for r in after.nodes.collect()} == {"a": ("Active", None), "b": ("Superseded", 9), "c": ("Active", None), "p": ("Active", None)}
+    assert sorted((r["from_id"], r["to_id"]) for r in after.edges.where("not quarantined").collect()) == [("a", "b"), ("a", "c")]
+    again = after.confirm(asked.unionByName(spark.createDataFrame([edge("x", "y")], links)), 10, "you").outcomes
+    assert {(r["from_id"], r["to_id"]): r["outcome"] for r in again.collect()}[("x", "y")] == "not found"
+    # A replica's bundle: a new node, a changed one, a confirmed supersession, one that closes a cycle, one to nowhere.
+    there = spark.createDataFrame([row("d"), row("c", confidence=[2]), row("a")], kinds)
+    more = spark.createDataFrame([edge("d", "c", loose=False, at=7), edge("b", "a", loose=False), edge("d", "z", loose=False), edge("p", "c"), edge("d", "a", "References", False)], links)
+    with pytest.raises(PermissionError):
+        after.merge(there, more, spark.createDataFrame([("s", True)], "repo string, can_write boolean"))
+    merged = after.merge(there, more.where("to_id <> 'z'"), spark.createDataFrame([("r", True)], "repo string, can_write boolean"))
+    assert merged.counters.first().asDict() == {"nodes_added": 1, "nodes_merged": 1, "edges_added": 2, "edges_merged": 0, "superseded": 1, "rejected_supersessions": 1, "rejected_signatures": 0, "contradictions": 1}
+    assert {r["id"]: r["status"] for r in merged.nodes.collect()}["c"] == "Superseded"
+    assert after.merge(there, more).counters.first()["rejected_supersessions"] == 2
+    again = merged.merge(there, more.where("to_id <> 'z'")).counters.first().asDict()
+    assert {k: v for k, v in again.items() if v} == {"rejected_supersessions": 1}
 
 
 def test_branches(spark):

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillgraph.sources import files, git
+from quillgraph.sources import delta, files, git
 from quillgraph.streaming import streams
 
 
@@ -113,14 +113,90 @@ def test_snapshots(spark, tmp_path):
     for i in range(3):
         assert store.commit("t", spark.range(i + 1)) == i + 1
     assert store.read("t").count() == 3 and store.prune("t", 1) == [1, 2] and store.read("t").count() == 3
-    # A version without its marker, as a crash leaves it, does not count and is written over.
-    spark.range(9).write.parquet(f"file://{tmp_path}/s/t/v00000004")
+    # Rows without a marker, as a crash leaves them, do not count.
+    spark.range(9).write.parquet(f"file://{tmp_path}/s/t/rows-of-a-crash")
     assert store.version("t") == 3 and store.commit("t", spark.range(5)) == 4 and store.read("t").count() == 5
     store.commit_all({"a": spark.range(1), "b": spark.range(2)})
     store.commit("a", spark.range(7))  # not in a manifest yet
     assert store.current("a", "id long").count() == 1 and store.current("b", "id long").count() == 2 and store.current("c", "id long").count() == 0
 
 
+def test_snapshots_of_two_writers(spark, tmp_path, monkeypatch):
+    """Both find version 1, both write; the second to place its marker fails, and the first one's rows stay."""
+    one, two = (files.Snapshots(spark, f"file://{tmp_path}/s") for _ in range(2))
+    one.commit("t", spark.range(1))
+    monkeypatch.setattr(two, "version", lambda name: 1)
+    assert one.commit("t", spark.range(2)) == 2
+    with pytest.raises(OSError, match="another writer"):
+        two.commit("t", spark.range(9))
+    assert one.read("t").count() == 2
+
+
+def _store(spark, tmp_path):
+    return delta.Store(spark, f"file://{tmp_path}/store", {"t": ["id"], "u": ["a", "b"]})
+
+
+def test_delta_store(spark, tmp_path):
+    store = _store(spark, tmp_path)
+    rows = lambda *x: spark.createDataFrame(list(x), "id string, v long")
+    have = lambda n=None: sorted(map(tuple, store.read("t", number=n).collect()))
+    assert store.read("t", "id string, v long").count() == 0 and store.state() == (0, {})
+    assert store.commit({"t": rows(("a", 1), ("b", 2)), "u": spark.createDataFrame([(1, 2, "x")], "a int, b int, c string")}) == 1
+    before = {p.name for p in (tmp_path / "store" / "u").iterdir()}
+    assert store.commit({"t": rows(("b", 3), ("c", 4))}) == 2 and have() == [("a", 1), ("b", 3), ("c", 4)]
+    assert {p.name for p in (tmp_path / "store" / "u").iterdir()} == before  # a table without a change keeps its files
+    assert sum(r.count() for r in [spark.read.parquet(str(p)) for p in (tmp_path / "store" / "t").iterdir()]) == 4  # k rows wrote k rows
+    store.commit({}, {"t": rows(("a", 0), ("z", 0))})
+    assert have() == [("b", 3), ("c", 4)] and have(1) == [("a", 1), ("b", 2)]
+    store.commit({"t": rows(("a", 9))})
+    assert store.compact("t") and not store.compact("t") and have() == [("a", 9), ("b", 3), ("c", 4)] and store.read("u").count() == 1
+    gone = store.vacuum()
+    assert len(gone) == 4 and have() == [("a", 9), ("b", 3), ("c", 4)] and store.versions() == [5]
+    (tmp_path / "store" / "manifests" / "00000006").write_text("")  # a writer that is at it, or has died
+    assert have() == [("a", 9), ("b", 3), ("c", 4)]
+    with pytest.raises(delta.Conflict):
+        store.commit({"t": rows(("a", 10))})
+
+
+def test_delta_store_of_two_writers(spark, tmp_path, monkeypatch):
+    one, two = _store(spark, tmp_path), _store(spark, tmp_path)
+    rows = lambda *x: spark.createDataFrame(list(x), "id string, v long")
+    one.commit({"t": rows(("a", 1))})
+    monkeypatch.setattr(two, "versions", lambda: [1])  # as if it had looked before the other wrote
+    assert one.commit({"t": rows(("a", 2))}) == 2
+    with pytest.raises(delta.Conflict):
+        two.commit({"t": rows(("a", 99), ("b", 99))})
+    assert sorted(map(tuple, one.read("t").collect())) == [("a", 2)]
+    with pytest.raises(delta.Conflict, match="based on"):
+        one.commit({"t": rows(("a", 3))}, based_on=1)
+
+
+def _scanned(df):
+    """Rows that the file scans of a query have read, as Spark's own metrics count them."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    leaves = plan.collectLeaves()
+    return sum(leaves.apply(i).metrics().apply("numOutputRows").value() for i in range(leaves.size()))
+
+
+def test_point_reads_prune(spark, tmp_path):
+    import hashlib
+
+    store = _store(spark, tmp_path)
+    ids = sorted(hashlib.sha256(str(i).encode()).hexdigest() for i in range(4000))
+    store.commit({"t": spark.createDataFrame([(x, k) for k, x in enumerate(ids)], "id string, v long")})
+    assert store.compact("t", files=8)
+    table = store.read("t")
+    assert [tuple(r) for r in delta.by_key(table, "id", ids[77]).collect()] == [(ids[77], 77)]
+    assert _scanned(delta.by_key(table, "id", ids[77])) < 1000 and _scanned(delta.by_key(table, "id", "zz")) == 0
+    some = [x for x in ids if x.startswith("ab")]
+    assert sorted(r["id"] for r in delta.by_prefix(table, "id", "ab").collect()) == some and _scanned(delta.by_prefix(table, "id", "ab")) < 1500
+    assert delta.by_prefix(table, "id", "").count() == 4000
+    odd = spark.createDataFrame([("a\U0010ffff",), ("a\U0010ffffb",), ("b",), ("\ud7ff",), ("\ue000",)], "id string")
+    assert sorted(r["id"] for r in delta.by_prefix(odd, "id", "a\U0010ffff").collect()) == ["a\U0010ffff", "a\U0010ffffb"]
+    assert [r["id"] for r in delta.by_prefix(odd, "id", "\ud7ff").collect()] == ["\ud7ff"]
+
+
 def test_streams(spark, tmp_path):
     spark.createDataFrame([(1, "b"), (2, "a"), (3, "b")], "seq long, repo string").coalesce(1).write.parquet(str(tmp_path / "q"))
     seen = []
