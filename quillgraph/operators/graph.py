@@ -56,27 +56,6 @@ def reachable(edges: DataFrame, starts: DataFrame, most: int = 1_000_000) -> Dat
     return seen if seen is not None else frontier
 
 
-def follow(chain: DataFrame, starts: DataFrame) -> DataFrame:
-    """(id): starts and all that lies ahead of them on a chain (from_id, to_id) with one edge out of a node at most.
-
-    Jumps double in each round (a jump over a jump), so a history of n commits takes about log2(n) rounds of
-    two joins, not n hops; cycles end as soon as a round finds nothing new.
-    """
-    folder = shared_dir(chain.sparkSession)
-    jump = _keep(chain.select("from_id", "to_id"), folder, "jump-0")
-    found = _keep(starts.select("id").distinct(), folder, "found-0")
-    size, round_ = found.count(), 0
-    while True:
-        round_ += 1
-        ahead = found.join(jump, found["id"] == jump["from_id"]).select(F.col("to_id").alias("id"))
-        found = _keep(found.unionByName(ahead).distinct(), folder, f"found-{round_}")
-        if (now := found.count()) == size:
-            return found
-        size = now
-        over = jump.select(F.col("from_id").alias("to_id"), F.col("to_id").alias("next"))
-        jump = _keep(jump.join(over, "to_id").select("from_id", F.col("next").alias("to_id")), folder, f"jump-{round_}")
-
-
 def reachable_pairs(edges: DataFrame, starts: DataFrame) -> DataFrame:
     """(start, id): what each start (id) reaches, itself excluded; for starts that are few against the graph."""
     folder = shared_dir(edges.sparkSession)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.functions import ids
-from quillgraph.operators import corpus, graph, ingest, recall, supersede
+from quillgraph.operators import corpus, graph, ingest, lineage, recall, supersede
 from quillgraph.schema import lookup
 from quillgraph.sources.delta import Store
 
@@ -198,7 +198,7 @@ def document_changes(docs: DataFrame, nodes: DataFrame, now: int, keep=lambda df
 
 def open_store(spark, path: str) -> Store:
     """The tables of ingest jobs under a path."""
-    return Store(spark, path, {"nodes": ["id"], "edges": ["from_id", "to_id", "kind"], "meta": ["repo", "key"]})
+    return Store(spark, path, {"nodes": ["id"], "edges": ["from_id", "to_id", "kind"], "meta": ["repo", "key"], "labels": ["id"]})
 
 
 def run_ingest(store: Store, commits: DataFrame, heads: DataFrame, authorities: DataFrame, now: int, docs: DataFrame | None = None, compact_after: int = 16) -> dict[str, int]:
@@ -238,6 +238,9 @@ def run_ingest(store: Store, commits: DataFrame, heads: DataFrame, authorities:
     firm = edges.where("not quarantined").join(kept.select("from_id", "to_id", "kind"), ["from_id", "to_id", "kind"], "left_semi").select("from_id", "to_id", "kind")
     changes["edges"] = kept.where("not quarantined").unionByName(kept.where("quarantined").join(firm, ["from_id", "to_id", "kind"], "left_anti").select(*kept.columns)).select(*edges.columns)
     changes["meta"] = heads.select("repo", F.lit("watermark").alias("key"), F.col("head").alias("value"), F.lit(now).cast("long").alias("at"))
+    # Labels of the new commits, from those of their parents.
+    own = fresh.where("kind = 'commit'").select("id")
+    changes["labels"] = lineage.labels(links.join(own.withColumnRenamed("id", "from_id"), "from_id", "left_semi"), own, store.read("labels", lineage.LABELS))
     counts = {"commits": due.count(), "refused": refused.count()}
     if docs is not None:
         counts |= {"documents": fresh.where("startswith(sha, 'doc:')").count(), "gone": gone.count()}

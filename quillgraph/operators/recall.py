@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from quillgraph.functions import lattice, vectors
 from quillgraph.functions.text import cite, truncate
-from quillgraph.operators.graph import follow
+from quillgraph.operators import lineage
+from quillgraph.operators.graph import _keep, shared_dir
 from quillgraph.schema import edge_tag
 
 #: How analogy weighs its two scores, and how many times the budget its shortlist is.
@@ -192,21 +193,16 @@ def completeness(gaps: DataFrame) -> DataFrame:
     return gaps.agg((1 / (1 + F.count("*"))).alias("completeness"))
 
 
-def canonical(nodes: DataFrame, edges: DataFrame, heads: DataFrame) -> DataFrame:
+def canonical(nodes: DataFrame, edges: DataFrame, heads: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
     """(id): commits reachable from the heads (id) over the commit spine, heads included.
 
-    First parents are a chain and are followed by doubling jumps; each round of merges then adds the heads of
-    the side lines that it brings in, so there are as many rounds as merges are nested.
+    labelled: the spine's labels (see lineage), where they are stored; without them they are made first.
     """
     spine = edges.where("kind in ('TemporalNext', 'MergeParent')").select("from_id", "to_id", "kind").distinct()
-    first = spine.where("kind = 'TemporalNext'").groupBy("from_id").agg(F.min("to_id").alias("to_id"))
-    sides = spine.select("from_id", "to_id").distinct().join(first, ["from_id", "to_id"], "left_anti")
-    found = follow(first, heads)
-    while True:
-        more = sides.join(found.withColumnRenamed("id", "from_id"), "from_id", "left_semi").select(F.col("to_id").alias("id")).distinct().join(found, "id", "left_anti")
-        if more.isEmpty():
-            return found
-        found = follow(first, found.unionByName(more))
+    if labelled is None:
+        spine = _keep(spine, shared_dir(spine.sparkSession), "spine")
+        labelled = lineage.labels(spine, heads)
+    return lineage.canonical(labelled, lineage.crossings(spine, labelled), heads)
 
 
 def in_flight(nodes: DataFrame, edges: DataFrame, merged: DataFrame) -> DataFrame:
