@@ -21,16 +21,16 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillgraph.llm.common import U64, held, mix, pieces, table, unused
 
 ORDER = 5
-#: The sample that a model is fitted on: about so many documents of each language, of so many bytes at most and about so
-#: many bytes of each language, for the languages with most documents (ties by name).  It bounds what reaches the driver.
-SAMPLE_DOCS, SAMPLE_BYTES, LANGUAGE_BYTES, LANGUAGES = 300, 64 << 10, 4 << 20, 128
+#: The sample that a model is fitted on, which bounds what reaches the driver: so many documents of each language, of so many bytes
+#: at most and about so many bytes together.  With more than LANGUAGES languages each has a smaller share, but FEW documents at least.
+SAMPLE_DOCS, SAMPLE_BYTES, LANGUAGE_BYTES, LANGUAGES, FEW = 300, 64 << 10, 4 << 20, 128, 8
 BEGIN, END = 1, 2
 _WORDS = regex.compile(r"\p{L}+")
 
@@ -190,20 +190,32 @@ class Scorer:
         return names, np.where(none, 0.0, score), rejected
 
 
+def sample(docs: DataFrame) -> DataFrame:
+    """(lang, text) to fit on, of (doc_id, text, lang): of each language, the documents of the least hashes of (doc_id, text).
+
+    Up to SAMPLE_DOCS a language while there are at most LANGUAGES of them, else a like share, but always FEW; none over
+    SAMPLE_BYTES; beyond FEW only while they hold LANGUAGE_BYTES together.  Rows that repeat both doc_id and text count once.
+    """
+    learn = docs.where("lang is not null and crc32(doc_id) % 5 <> 0").where(F.octet_length("text") <= SAMPLE_BYTES)
+    learn = learn.select("lang", "text", F.xxhash64("doc_id", F.md5("text")).alias("key"))
+    # Ranked without the texts; a task sends on no more than SAMPLE_DOCS of a language.
+    rank = F.dense_rank().over(Window.partitionBy("lang").orderBy("key"))
+    ranked = learn.select("lang", "key", F.octet_length("text").alias("size")).withColumn("rank", rank).where(F.col("rank") <= SAMPLE_DOCS)
+    held_ = F.sum("size").over(Window.partitionBy("lang").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1))
+    some = ranked.groupBy("lang", "key", "rank").agg(F.max("size").alias("size")).withColumn("before", F.coalesce(held_, F.lit(0)))
+    rows = some.where((F.col("rank") <= FEW) | (F.col("before") < LANGUAGE_BYTES)).groupBy("lang").agg(F.array_sort(F.collect_list("key")).alias("keys")).collect()
+    most = SAMPLE_DOCS if len(rows) <= LANGUAGES else max(FEW, SAMPLE_DOCS * LANGUAGES // len(rows))
+    limits = docs.sparkSession.createDataFrame([(r["lang"], r["keys"][:most][-1]) for r in rows], "lang string, last long")
+    return learn.join(limits, "lang").where("key <= last").dropDuplicates(["lang", "key"]).orderBy("key", "lang").select("lang", "text")
+
+
 def fit(docs: DataFrame) -> KneserNey:
-    """A model from (doc_id, text, lang): documents whose crc32(doc_id as text) mod 5 is not 0.
+    """A model from (doc_id, text, lang): documents whose crc32(doc_id as text) mod 5 is not 0, sampled as in sample().
 
-    Sampled by a hash of doc_id to about SAMPLE_DOCS documents a language, none over SAMPLE_BYTES and about
-    LANGUAGE_BYTES in all, of at most LANGUAGES languages.  A fifth of the sample calibrates.
+    A fifth of the sample calibrates.
     """
     docs = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    learn = docs.where("lang is not null and crc32(doc_id) % 5 <> 0")
-    fit_size = F.coalesce(F.octet_length("text") <= SAMPLE_BYTES, F.lit(False))
-    sizes = learn.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.when(fit_size, F.octet_length("text").cast("long")).otherwise(0)).alias("bytes"))
-    counts = {x["lang"]: (x["n"], x["bytes"]) for x in sizes.orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
-    share = F.coalesce(*[F.when(F.col("lang") == k, F.lit(min(1.0, SAMPLE_DOCS / n, LANGUAGE_BYTES / max(size, 1)))) for k, (n, size) in counts.items()], F.lit(0.0))
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / (1 << 20)
-    rows = learn.where(place < share).where(F.col("text").isNotNull() & (F.octet_length("text") <= SAMPLE_BYTES)).orderBy("doc_id").collect()
+    rows = sample(docs).collect()
     words_of: dict[str, dict[str, int]] = {}
     checks = []
     for i, row in enumerate(rows):

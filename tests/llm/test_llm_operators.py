@@ -425,6 +425,23 @@ def test_kneser_ney_against_a_plain_model():
         assert np.allclose(cost, [[f(w) for f in plain] for w in tried], rtol=1e-4)
 
 
+def test_language_sample(spark, monkeypatch):
+    """No language is left out, repeated rows count once, rows of one id with other texts are rows of their own."""
+    monkeypatch.setattr(langid, "LANGUAGES", 2)
+    monkeypatch.setattr(langid, "SAMPLE_DOCS", 12)
+    monkeypatch.setattr(langid, "FEW", 3)
+    rows = [(f"{i}", f"word{i} of {k}", k) for k in "abcdef" for i in range(40)] + [("1", "same text", "g")] * 500 + [("1", f"text {i}", "h") for i in range(500)]
+    df = spark.createDataFrame(rows, "doc_id string, text string, lang string").repartition(3)
+    got = langid.sample(df).collect()
+    n = {k: sum(r["lang"] == k for r in got) for k in "abcdefgh"}
+    assert n == {**dict.fromkeys("abcdef", 3), "g": 1, "h": 3} and len({tuple(r) for r in got}) == len(got)
+    monkeypatch.setattr(langid, "LANGUAGES", 128)
+    monkeypatch.setattr(langid, "LANGUAGE_BYTES", 60)
+    n = [r["lang"] for r in langid.sample(df).collect()]
+    assert 3 <= n.count("a") < 12 and n.count("g") == 1 and sorted(set(n)) == list("abcdefgh")
+    assert langid.sample(df.where("false")).count() == 0 and langid.sample(df.withColumn("lang", F.lit(None).cast("string"))).count() == 0
+
+
 def test_language_columns_may_clash(spark):
     rows = [(i, ["the and er ing", "sch ein ung der"][i % 2] * 5, ["en", "de"][i % 2], "mine", "mine", "mine", True) for i in range(60)] + [(60, None, None, "mine", None, None, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, _text string, _lang string, _score string, _rejected boolean")
