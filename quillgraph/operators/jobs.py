@@ -251,6 +251,72 @@ def run_ingest(store: Store, commits: DataFrame, heads: DataFrame, authorities:
     return counts
 
 
+def chain_node_id(repo: Column, kind: str, key: Column, content: Column) -> Column:
+    return ids.sha2_id(ids.node_preimage(F.lit("Derived"), F.lit(kind), repo, F.lit("chain"), key, content))
+
+
+def chain_graph(blocks: DataFrame, watched: DataFrame, stored: DataFrame, contracts: DataFrame, chain_id: int, now: int) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of blocks (number, hash, parent_hash, at_ms, transactions array<struct<hash, from, to, value>>).
+
+    A checkpoint a block and an event a transaction that touches a watched address; from a checkpoint to the one before it where
+    the hashes chain, to its events (Emits), from an event to each contract (address, id) on either side of it (Touches), and over
+    a stored checkpoint (number, hash) of its height with another hash (Supersedes).
+    """
+    repo = F.lit(f"chain:{chain_id}")
+    block_key = lambda number, hash_: F.concat(repo, F.lit("/block/"), number.cast("string"), F.lit("@"), hash_)
+    state = F.lit(None).cast("long").alias("valid_to"), F.lit("DerivedDeterministic").alias("trust_tier"), F.lit("Active").alias("status")
+    found = ingest.block_walk(blocks, watched, stored)
+    # A checkpoint is named by its height and hash alone, so that the id of a stored one is known without reading it.
+    at = lambda number, hash_: chain_node_id(repo, "chain_checkpoint", block_key(number, hash_), F.lit(""))
+    b, h = F.col("number"), F.col("hash")
+    told = F.concat(F.lit("block "), b.cast("string"), F.lit(f" on chain {chain_id} hash "), h, F.lit(" parent "), F.coalesce("parent_hash", F.lit("")))
+    points = blocks.dropDuplicates(["number", "hash"]).select(at(b, h).alias("id"), repo.alias("repo"), F.lit("chain_checkpoint").alias("kind"), F.lit("Derived").alias("plane"), F.lit("chain").alias("author"), block_key(b, h).alias("sha"), F.encode(told, "UTF-8").alias("content"), F.col("at_ms").alias("valid_from"), *state)
+    tx = blocks.select("number", h.alias("block"), "at_ms", F.explode("transactions").alias("t")).join(found["events"].select("number", "block", F.col("tx").alias("txh")).distinct(), (F.col("t.hash") == F.col("txh")), "left_semi")
+    event_key = F.concat(repo, F.lit("/tx/"), F.col("t.hash"))
+    event = chain_node_id(repo, "chain_event", event_key, F.lit(""))
+    said = F.concat(F.lit("tx "), F.col("t.hash"), F.lit(": "), F.col("t.from"), F.lit(" -> "), F.coalesce("t.to", F.lit("create")), F.lit(" in block "), b.cast("string"), F.lit(f" on chain {chain_id}"))
+    events = tx.select(event.alias("id"), repo.alias("repo"), F.lit("chain_event").alias("kind"), F.lit("Derived").alias("plane"), F.lit("chain").alias("author"), event_key.alias("sha"), F.encode(said, "UTF-8").alias("content"), F.col("at_ms").alias("valid_from"), *state).dropDuplicates(["id"])
+    firm = F.lit(False).alias("quarantined"), F.lit(now).cast("long").alias("at")
+    spine = found["spine"].select(at(b, h).alias("from_id"), at(b - 1, F.col("before")).alias("to_id"), F.lit("TemporalNext").alias("kind"), *firm)
+    emits = tx.select(at(b, F.col("block")).alias("from_id"), event.alias("to_id"), F.lit("Emits").alias("kind"), *firm)
+    sides = tx.select(event.alias("from_id"), F.explode(F.array_distinct(F.array_compact(F.array(F.lower("t.from"), F.lower("t.to"))))).alias("address"))
+    touches = sides.join(contracts.select(F.lower("address").alias("address"), F.col("id").alias("to_id")), "address").select("from_id", "to_id", F.lit("Touches").alias("kind"), *firm)
+    over = found["orphans"].select(at(b, F.col("by")).alias("from_id"), at(b, F.col("orphan")).alias("to_id"), F.lit("Supersedes").alias("kind"), *firm)
+    return points.unionByName(events), spine.unionByName(emits).unionByName(touches).unionByName(over).dropDuplicates(["from_id", "to_id", "kind"])
+
+
+def walk_chain(store: Store, blocks: DataFrame, watched: DataFrame, contracts: DataFrame, chain_id: int, now: int, from_block: int | None = None) -> dict[str, int]:
+    """Lands a chain's blocks from a height on (by default where the last walk ended) with events, edges, re-orgs and the cursor, in one commit."""
+    number, _ = store.state()
+    nodes, edges, meta = store.read("nodes", NODES), store.read("edges", EDGES), store.read("meta", META)
+    repo = f"chain:{chain_id}"
+    if from_block is None:
+        mark = meta.where((F.col("repo") == repo) & (F.col("key") == "cursor")).first()
+        from_block = int(mark["value"]) if mark else 0
+    folder = graph.shared_dir(blocks.sparkSession)
+    keep = lambda df, step: graph._keep(df, folder, step)
+    due = keep(blocks.where(F.col("number") >= from_block), "due")
+    own = nodes.where((F.col("repo") == repo) & (F.col("kind") == "chain_checkpoint") & (F.col("status") == "Active"))
+    height = F.regexp_extract("sha", r"/block/(\d+)@", 1).cast("long")
+    held = own.where(height >= from_block - 1).select(height.alias("number"), F.regexp_extract("sha", "@(.*)$", 1).alias("hash"))
+    found, links = chain_graph(due, watched, keep(held, "held"), contracts, chain_id, now)
+    found, links = keep(found, "found"), keep(links, "links")
+    fresh = keep(found.join(nodes.select("id"), "id", "left_anti"), "fresh")
+    claims = links.where("kind = 'Supersedes'")
+    ends = claims.select(F.explode(F.array("from_id", "to_id")).alias("id")).distinct()
+    known = nodes.unionByName(fresh.select(*nodes.columns))
+    judged = keep(supersede.judge(keep(known.join(ends, "id", "left_semi"), "ends"), edges, claims), "judged")
+    hit = judged.where("reason is null").select(F.col("to_id").alias("id")).distinct()
+    turned = supersede.apply_supersessions(known.join(hit, "id", "left_semi"), judged).select(*nodes.columns)
+    kept = links.join(judged.where("reason is not null").select("from_id", "to_id", "kind"), ["from_id", "to_id", "kind"], "left_anti")
+    last = due.agg(F.max("number").alias("n")).first()["n"]
+    cursor = blocks.sparkSession.createDataFrame([] if last is None else [(repo, "cursor", str(last + 1), now)], META)
+    counts = {"blocks": due.count(), "events": fresh.where("kind = 'chain_event'").count(), "reorgs": turned.count(), "rejected": judged.where("reason is not null").count()}
+    store.commit({"nodes": fresh.join(hit, "id", "left_anti").select(*nodes.columns).unionByName(turned), "edges": kept.select(*edges.columns), "meta": cursor}, based_on=number)
+    graph.drop_folder(blocks.sparkSession, folder)
+    return counts
+
+
 def branch_graph(branches: DataFrame, commits: DataFrame, merged: DataFrame) -> tuple[DataFrame, DataFrame]:
     """A marker for each branch (repo, name, tip) and BranchContains edges (from_id, sha) to the commits that only it has.
 

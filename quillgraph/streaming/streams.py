@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from quillgraph.operators.access import refill
 from quillgraph.operators.ingest import block_walk, drain
@@ -84,6 +85,98 @@ def token_bucket(calls: DataFrame, burst: float, rate: float) -> DataFrame:
     return calls.groupBy("principal").applyInPandasWithState(each, f"principal {kinds['principal']}, call_id {kinds['call_id']}, allowed boolean", "level double, last double", "append", GroupStateTimeout.NoTimeout)
 
 
+class _Bucket(StatefulProcessor):
+    """A principal's bucket; its state goes once it is full again, since a new one is full too."""
+
+    def __init__(self, burst: float, rate: float):
+        self.burst, self.rate = burst, rate
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.held = handle, handle.getValueState("bucket", "level double, last double")
+
+    def handleInputRows(self, key, rows, timerValues):
+        level, last = tuple(self.held.get()) if self.held.exists() else (self.burst, None)
+        calls = pd.concat(list(rows), ignore_index=True).sort_values(["seconds", "call_id"])
+        allowed = []
+        for ts, cost in zip(calls["seconds"], calls["cost"], strict=True):
+            level, last = refill(level, ts if last is None else last, ts, self.burst, self.rate), ts
+            allowed.append(bool(level >= cost))
+            level -= cost if allowed[-1] else 0
+        self.held.update((float(level), float(last)))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(int((last + (self.burst - level) / self.rate) * 1000) + 1)
+        yield pd.DataFrame({"principal": [key[0]] * len(calls), "call_id": calls["call_id"].tolist(), "allowed": allowed}, dtype=object)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        self.held.clear()
+        yield pd.DataFrame({"principal": [], "call_id": [], "allowed": []}, dtype=object)
+
+    def close(self) -> None:
+        """Nothing is held."""
+
+
+def expiring_bucket(calls: DataFrame, burst: float, rate: float, late: str) -> DataFrame:
+    """token_bucket with event-time timers: the state of a principal goes as soon as its bucket would be full again by the
+    stream's watermark, which follows the calls' times by `late`.  What is let through is the same."""
+    kinds = dict(calls.dtypes)
+    timed = calls.select("principal", "call_id", F.col("ts").cast("double").alias("seconds"), F.col("cost").cast("double").alias("cost"), F.timestamp_seconds(F.col("ts").cast("double")).alias("at")).withWatermark("at", late)
+    return timed.groupBy("principal").transformWithStateInPandas(_Bucket(burst, rate), f"principal {kinds['principal']}, call_id {kinds['call_id']}, allowed boolean", "append", "EventTime")
+
+
+class _Walk(StatefulProcessor):
+    """A chain's last checkpoints by height; heights beyond finality go."""
+
+    def __init__(self, finality: int):
+        self.finality = finality
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.points = handle.getMapState("points", "number long", "hash string")
+        self.tip = handle.getValueState("tip", "number long")
+
+    def handleInputRows(self, key, rows, timerValues):
+        blocks = pd.concat(list(rows), ignore_index=True).sort_values(["number", "turn"])
+        out = []
+        tip = self.tip.get()[0] if self.tip.exists() else None
+        for number, hash_, parent in zip(blocks["number"].tolist(), blocks["hash"], blocks["parent_hash"], strict=True):
+            if tip is not None and number <= tip - self.finality:
+                out.append((key[0], "late", number, hash_, None))
+                continue
+            old = self.points.getValue((number,))[0] if self.points.containsKey((number,)) else None
+            if old == hash_:
+                continue
+            if old is not None:
+                out.append((key[0], "orphan", number, old, hash_))
+            before = self.points.getValue((number - 1,))[0] if self.points.containsKey((number - 1,)) else None
+            if before is not None and before == parent:
+                out.append((key[0], "spine", number, hash_, before))
+            self.points.updateValue((number,), (hash_,))
+            if tip is None or number > tip:
+                for gone in range(number - self.finality if tip is None else tip - self.finality, number - self.finality + 1):
+                    if self.points.containsKey((gone,)):
+                        self.points.removeKey((gone,))
+                tip = number
+        if tip is not None:
+            self.tip.update((tip,))
+        yield pd.DataFrame(out, columns=["chain", "what", "number", "hash", "other"], dtype=object)
+
+    def close(self) -> None:
+        """Nothing is held."""
+
+
+def walk_states(blocks: DataFrame, finality: int = 64) -> DataFrame:
+    """A stream of (chain, what, number, hash, other) over a stream of blocks (chain, number, hash, parent_hash): `spine` where a
+    block's parent is the checkpoint before it (other), `orphan` where another hash (other) comes at a checkpoint's height,
+    `late` where a block lies below what is final.
+
+    A chain's state are the checkpoints of its last `finality` heights; repeats tell nothing.  In a batch, blocks count by
+    height, of one height in the order of the column `turn` where there is one.
+    """
+    turned = blocks if "turn" in blocks.columns else blocks.withColumn("turn", F.lit(0))
+    rows = turned.select("chain", "number", "hash", "parent_hash", "turn")
+    return rows.groupBy("chain").transformWithStateInPandas(_Walk(finality), f"chain {dict(blocks.dtypes)['chain']}, what string, number long, hash string, other string", "append", "None")
+
+
 def windowed(events: DataFrame, width: str, late: str, slide: str | None = None) -> DataFrame:
     """Counts and sums of an event stream (ts, event_type, value) by event-time window; late rows up to `late`."""
     window = F.window("ts", width, slide) if slide else F.window("ts", width)
