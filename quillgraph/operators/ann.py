@@ -29,11 +29,11 @@ class CellIndex:
         self.column, self.probe, self.wide = column, probe, None
         unit = table.withColumn("_unit", vectors.normalise(F.col(column)))
         some = unit.orderBy(F.xxhash64("id")).limit(sample).select("_unit").toArrow()["_unit"]
-        grid = np.array(some.to_pylist(), np.float64)
+        grid = np.array(some.to_pylist(), np.float64).reshape(len(some), -1) if len(some) else np.zeros((0, 1))
         rng = np.random.default_rng(seed)
         cells = cells or min(MOST, max(FEWEST, math.isqrt(table.count())))
         self.centres = grid[rng.permutation(len(grid))[: min(cells, len(grid))]]
-        for _ in range(steps):
+        for _ in range(steps if len(grid) else 0):
             own = (grid @ self.centres.T).argmax(1)
             for k in range(len(self.centres)):
                 if (own == k).any():
@@ -44,7 +44,7 @@ class CellIndex:
         def assign(batches):
             for b in batches:
                 rows = np.array(b["_unit"].to_pylist(), np.float64).reshape(len(b), -1)
-                yield pa.record_batch([b["id"], b["_unit"], pa.array((rows @ centres.T).argmax(1).astype(np.int32) if len(b) else [], pa.int32())], ["id", "_unit", "cell"])
+                yield pa.record_batch([b["id"], b["_unit"], pa.array((rows @ centres.T).argmax(1).astype(np.int32) if len(b) and len(centres) else [None] * len(b), pa.int32())], ["id", "_unit", "cell"])
 
         kind = dict(table.dtypes)["id"]
         self.table = unit.select("id", "_unit").mapInArrow(assign, f"id {kind}, _unit array<double>, cell int")
@@ -68,12 +68,14 @@ class CellIndex:
             spark.createDataFrame(rows, "k int, centre array<double>, wide double, probe int").coalesce(1).write.parquet(f"{folder}/centres")
         own = cls.__new__(cls)
         rows = spark.read.parquet(f"{folder}/centres").orderBy("k").collect()
-        own.column, own.probe, own.centres, own.wide = column, rows[0]["probe"], np.array([r["centre"] for r in rows]), np.array([r["wide"] for r in rows])
-        own.table = spark.read.parquet(f"{folder}/vectors").select("id", "_unit", F.col("cell").cast("int").alias("cell"))
+        own.column, own.probe, own.centres, own.wide = column, rows[0]["probe"] if rows else 0, np.array([r["centre"] for r in rows]), np.array([r["wide"] for r in rows])
+        own.table = spark.read.schema(f"id {dict(table.dtypes)['id']}, _unit array<double>, cell int").parquet(f"{folder}/vectors").select("id", "_unit", "cell")
         return own
 
     def search(self, query: list[float], budget: int) -> DataFrame:
         """(id, score): the `budget` vectors of highest cosine, ties by id, among the probed cells and those not ruled out."""
+        if not len(self.centres):  # an index of nothing
+            return self.table.select("id", F.lit(0.0).alias("score")).limit(0)
         q = np.array(query, np.float64)
         q = q / (np.linalg.norm(q) or 1)
         near = self.centres @ q
@@ -102,6 +104,8 @@ class CellIndex:
         cosine is over cos(angle to the centre - the cell's widest angle).
         """
         centres, probe, spark = self.centres, self.probe, self.table.sparkSession
+        if not len(centres):
+            return queries.select(F.col("id").alias("query_id")).join(self.table.select("id"), F.lit(False)).select("query_id", "id", F.lit(0.0).alias("score"))
         folder = shared_dir(spark)
         kind = dict(self.table.dtypes)["id"]
         key = dict(queries.dtypes)["id"]

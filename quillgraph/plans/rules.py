@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.functions import ids, text
+from quillgraph import tablefunctions
+from quillgraph.functions import ids, text, tokens
 from quillgraph.memory import MemoryGraph
 from quillgraph.operators import access, assertions, corpus, graph, ingest, jobs, merge, recall, scene, supersede
 from quillgraph.plans.adapters import LINES_SQL, NODES_SQL, SPINE_SQL, hashed, instant, line_edges, millis, order_nodes, part_nodes, spine_edges, table
@@ -448,3 +449,58 @@ def ingest_documents(spark, d):
     jobs.run_ingest(store, none, heads, who, 10, docs.where("doc_id % 3 <> 0").drop("doc_id"))
     jobs.run_ingest(store, none, heads, who, 20, docs.where("doc_id % 3 <> 1").drop("doc_id"))
     return store.read("nodes").where("startswith(sha, 'doc:')").select("sha", "repo", "status", "valid_from")
+
+
+# Table functions, tokens, chains ---------------------------------------------------------------------------
+
+
+@query(N + f" SELECT id, title, valid_from FROM n WHERE repo = '{URGENT}' ORDER BY valid_from DESC, id LIMIT 15")
+def sql_recall(spark, d):
+    """recall as a table function of SQL."""
+    nodes = order_nodes(spark, d)
+    tablefunctions.register(spark, MemoryGraph(nodes, spine_edges(nodes)), "orders_")
+    return spark.sql(f"SELECT id, title, valid_from FROM orders_recall('{URGENT}', 15)")
+
+
+@query()
+def sql_chunks(spark, d):
+    """Chunks of all documents by the table function; the tests compare it with the function of the API."""
+    tablefunctions.register(spark)
+    table(spark, d, "documents").createOrReplaceTempView("documents_to_cut")
+    return spark.sql("SELECT * FROM chunks(TABLE(SELECT doc_id, source AS title, text FROM documents_to_cut), 800)")
+
+
+def _base64url(value):
+    return F.translate(F.regexp_replace(F.base64(value), r"[=\r\n]", ""), "+/", "-_")
+
+
+def _hmac(secret: bytes, message):
+    """HMAC-SHA-256 of built-in functions."""
+    pads = [F.lit(bytearray(x ^ pad for x in secret.ljust(64, b"\0"))) for pad in (0x36, 0x5C)]
+    return F.unhex(F.sha2(F.concat(pads[1], F.unhex(F.sha2(F.concat(pads[0], F.encode(message, "UTF-8")), 256))), 256))
+
+
+@query("SELECT c_custkey AS id, CASE WHEN c_custkey % 19 = 0 THEN 'malformed' WHEN c_custkey % 23 = 0 THEN 'key' WHEN c_custkey % 17 = 0 THEN 'algorithm' WHEN c_custkey % 13 = 0 THEN 'signature' WHEN c_custkey % 7 = 0 THEN 'issuer' WHEN c_custkey % 11 = 0 THEN 'audience' WHEN c_custkey % 5 = 0 THEN 'expired' ELSE 'ok' END AS verdict, CASE WHEN c_custkey % 19 * (c_custkey % 23) * (c_custkey % 17) * (c_custkey % 13) * (c_custkey % 7) * (c_custkey % 11) * (c_custkey % 5) <> 0 THEN 'customer#' || c_custkey END AS sub FROM customer")
+def token_verdicts(spark, d):
+    """A token a customer, with what may be wrong with one."""
+    k = F.col("c_custkey")
+    head = F.concat(F.lit('{"alg":"'), F.when(k % 17 == 0, "none").otherwise("HS256"), F.lit('","kid":"'), F.when(k % 23 == 0, "x").otherwise("h"), F.lit('"}'))
+    body = F.concat(F.lit('{"sub":"customer#'), k.cast("string"), F.lit('","iss":"'), F.when(k % 7 == 0, "you").otherwise("me"), F.lit('","aud":'), F.when(k % 11 == 0, '"them"').when(k % 2 == 0, '["x","us"]').otherwise('"us"'), F.lit(',"exp":'), F.when(k % 5 == 0, "900").otherwise("1000"), F.lit("}"))
+    rows = table(spark, d, "customer").select(k.alias("id"), k, F.concat(_base64url(F.encode(head, "UTF-8")), F.lit("."), _base64url(F.encode(body, "UTF-8"))).alias("m"))
+    signature = _base64url(F.when(k % 13 == 0, _hmac(b"other", F.col("m"))).otherwise(_hmac(b"secret", F.col("m"))))
+    made = rows.select("id", F.concat("m", F.when(k % 19 == 0, "").otherwise("."), signature).alias("token"))
+    return tokens.verify(made, {"h": {"alg": "HS256", "secret": b"secret"}}, "me", "us", 1000).select("id", "verdict", "sub")
+
+
+@query("WITH b AS (SELECT DISTINCT o_orderkey // 32 AS number FROM orders) SELECT 'Emits' AS kind, count(*) AS n FROM orders WHERE o_custkey % 50 = 0 UNION ALL SELECT 'Touches', count(*) FROM orders WHERE o_custkey % 100 = 0 UNION ALL SELECT 'TemporalNext', count(*) FROM b WHERE number - 1 IN (SELECT number FROM b) UNION ALL SELECT 'Supersedes', count(*) FROM b WHERE number % 10 = 0")
+def chain_edges(spark, d):
+    """Edges that a walk lands: orders as transactions, 32 keys a block, against stored checkpoints of which one in ten has another hash."""
+    tx = F.struct(F.concat(F.lit("t"), "o_orderkey").alias("hash"), F.concat(F.lit("C"), "o_custkey").alias("from"), F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("c"), "o_custkey")).alias("to"), F.lit("1").alias("value"))
+    blocks = table(spark, d, "orders").groupBy(F.floor(F.col("o_orderkey") / 32).alias("number")).agg(F.collect_list(tx).alias("transactions"))  # 32 a block at most
+    blocks = blocks.select("number", F.concat(F.lit("b"), "number").alias("hash"), F.concat(F.lit("b"), F.col("number") - 1).alias("parent_hash"), (F.col("number") * 1000).alias("at_ms"), "transactions")
+    address = F.concat(F.lit("c"), "c_custkey").alias("address")
+    watched = table(spark, d, "customer").where("c_custkey % 50 = 0").select(address)
+    contracts = table(spark, d, "customer").where("c_custkey % 100 = 0").select(address, hashed("contract:", "c_custkey").alias("id"))
+    stored = blocks.select("number", F.when(F.col("number") % 10 == 0, F.concat("hash", F.lit("-old"))).otherwise(F.col("hash")).alias("hash"))
+    _, links = jobs.chain_graph(blocks, watched, stored, contracts, 1, 5)
+    return links.groupBy("kind").agg(F.count("*").alias("n"))

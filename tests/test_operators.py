@@ -362,3 +362,13 @@ def test_memory_graph(spark):
     more = own.propose(edges(spark, ("a", "b", "Refutes"), ("b", "a", "TemporalNext")))
     assert more.edges.where("quarantined").count() == 1
     assert own.verify("a").first()["trustworthy"] and own.critique("r", 1).count() == 1
+
+
+def test_index_of_nothing(spark, tmp_path):
+    none = spark.createDataFrame([], "id string, data array<float>")
+    asked = spark.createDataFrame([("q", [1.0, 0.0])], "id string, data array<float>")
+    for index in (ann.CellIndex(none, "data"), ann.CellIndex.cached(none, "data", f"file://{tmp_path}", "w")):
+        assert index.search([1.0, 0.0], 3).count() == 0 and index.search([1.0, 0.0], 3).columns == ["id", "score"]
+        assert index.search_each(asked, 3).count() == 0 and index.search_each(asked, 3).columns == ["query_id", "id", "score"]
+    full = ann.CellIndex(asked, "data")
+    assert full.search_each(none, 3).count() == 0 and [r["id"] for r in full.search([1.0, 0.0], 3).collect()] == ["q"]
