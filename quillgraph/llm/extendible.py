@@ -18,9 +18,11 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import materialize, scratch_dir, table, unused
+from quillgraph.llm.common import materialize, remove, scratch_dir, table, unused
 
 BITS, STEP, MOST = 63, 8, 24
+#: Bytes of rows in a file that shards share.
+FILE_BYTES = 128 << 20
 
 
 def _word(text: Column, shift: int) -> Column:
@@ -32,10 +34,13 @@ def hash_bits(key: Column, tie: Column) -> Column:
     return F.shiftleft(_word(key, 1), 32).bitwiseOR(_word(tie, 0))
 
 
-def assign(rows: DataFrame, limit: int) -> DataFrame:
-    """rows (id, bits long, bytes long) with depth, prefix, page, shard, shard_rows, shard_bytes, oversize."""
+def assign(rows: DataFrame, limit: int, path: str | None = None) -> DataFrame:
+    """rows (id, bits long, bytes long) with depth, prefix, page, shard, shard_rows, shard_bytes, oversize.
+
+    path: where the steps are kept, for a caller that removes them after the result is used; under `rows` are the rows.
+    """
     spark = rows.sparkSession
-    path = scratch_dir(spark)
+    path = path or scratch_dir(spark)
     pending = materialize(rows.select("id", "bits", "bytes", F.spark_partition_id().alias("part")), f"{path}/rows")
     total = pending.agg(F.sum("bytes")).first()[0] or 0
     low, high = 0, min(MOST, max(1, math.ceil(math.log2(max(1.0, total / limit))) + 3))
@@ -74,17 +79,25 @@ def _pages(rows: DataFrame, limit: int) -> DataFrame:
     return paged.select("id", "bytes", F.lit(BITS).alias("depth"), F.col("bits").alias("prefix"), F.count("*").over(page).alias("shard_rows"), F.sum("bytes").over(page).alias("shard_bytes"), F.concat_ws(".", F.col("part").cast("string"), F.col("page").cast("string")).alias("page"))
 
 
-def write_shards(df: DataFrame, key: str, tie: str, limit: int, path: str, extra: int = 0) -> DataFrame:
-    """df's rows as Parquet under path, one folder for each shard, and what is read back: df's columns and `shard`.
+def write_shards(df: DataFrame, key: str, tie: str, limit: int, path: str, extra: int = 0, file_bytes: int = FILE_BYTES) -> DataFrame:
+    """df's rows as Parquet under path, and what is read back: df's columns and `shard`.
 
-    A row's size is that of its tie column's text and `extra` bytes.  A column of df named shard stays, and the
-    shard's name gets a _ before it.
+    Shards share files of about `file_bytes`, each whole in one, sorted by shard, so that a reader of one skips the row groups of
+    others; shard_files() tells which file has which.  A row's size is that of its tie column's text and `extra`
+    bytes.  A column of df named shard stays, and the shard's name gets a _ before it.
     """
-    name = unused("shard", df.columns)
+    spark, name, steps = df.sparkSession, unused("shard", df.columns), scratch_dir(df.sparkSession)
     rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("id"), hash_bits(F.col(f"`{key}`"), F.col(f"`{tie}`")).alias("bits"), (F.coalesce(F.octet_length(F.col(f"`{tie}`").cast("string")), F.lit(0)).cast("long") + extra).alias("bytes"))
-    placed = assign(rows, limit).select("id.*", F.col("shard").alias(name))
-    placed.repartition(name).write.partitionBy(name).parquet(path)
-    return df.sparkSession.read.schema(placed.schema).parquet(path)
+    placed = assign(rows, limit, steps).select("id.*", F.col("shard").alias(name))
+    total = spark.read.parquet(f"{steps}/rows").agg(F.sum("bytes")).first()[0] or 0
+    placed.repartition(max(1, math.ceil(total / file_bytes)), name).sortWithinPartitions(name).write.parquet(path)
+    remove(spark, steps)
+    return spark.read.schema(placed.schema).parquet(path)
+
+
+def shard_files(shards: DataFrame, name: str = "shard") -> DataFrame:
+    """(shard, file, rows) of what write_shards gave back: the manifest, from the shards' names alone."""
+    return shards.select(F.col(name).alias("shard"), F.input_file_name().alias("file")).groupBy("shard", "file").agg(F.count("*").alias("rows"))
 
 
 OP3_LIMIT = 1 << 20

@@ -185,7 +185,14 @@ def test_shards_on_disk(spark, tmp_path):
     for r in got:
         sizes.setdefault(r["_shard"], []).append(len((r["text"] or "").encode()) + 16)
     assert len(sizes) > 5 and all(sum(x) <= 400 or len(x) == 1 for x in sizes.values())
-    assert len([p for p in (tmp_path / "shards").iterdir() if p.is_dir()]) == len(sizes)
+    files = [p.name for p in (tmp_path / "shards").glob("*.parquet")]
+    assert len(files) == 1
+    few = extendible.write_shards(df, "doc_id", "text", 400, f"{tmp_path}/few", 16, 2000)
+    listed = extendible.shard_files(few, "_shard").collect()
+    total = sum(sum(x) for x in sizes.values())
+    assert {r["shard"]: r["rows"] for r in listed} == {k: len(x) for k, x in sizes.items()} and len(listed) == len(sizes)
+    assert 1 < len({r["file"] for r in listed}) <= -(-total // 2000)
+    assert sorted(map(repr, few.collect())) == sorted(map(repr, got))
 
 
 # n-gram Jaccard join -------------------------------------------------------------------------------------
