@@ -25,7 +25,12 @@ def shared_dir(spark) -> str:
         import tempfile
 
         base = f"file://{tempfile.gettempdir()}/quillgraph-graph"
-    return f"{base.rstrip('/')}/graph-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/graph-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+
+
+def clean(spark) -> None:
+    """Delete all scratch tables of this application, for the end of a job: results of loops that are not written elsewhere go too."""
+    drop_folder(spark, shared_dir(spark).rsplit("/", 1)[0])
 
 
 def drop_folder(spark, path: str) -> None:
@@ -53,6 +58,9 @@ def reachable(edges: DataFrame, starts: DataFrame, most: int = 1_000_000) -> Dat
             break
         parts.append(f"{folder}/hop-{hop}")
         seen = edges.sparkSession.read.schema(frontier.schema).parquet(*parts)
+    # Of the steps only the hops are the result.
+    for name in ("edges", "starts", f"hop-{len(parts)}") if parts else ("edges", "starts"):
+        drop_folder(edges.sparkSession, f"{folder}/{name}")
     return seen if seen is not None else frontier
 
 
@@ -68,6 +76,8 @@ def reachable_pairs(edges: DataFrame, starts: DataFrame) -> DataFrame:
             step = step.join(seen, ["start", "id"], "left_anti")
         frontier = _keep(step, folder, f"hop-{hop}")
         if frontier.isEmpty():
+            for name in ("edges", "starts", f"hop-{hop}") if parts else ("edges", "starts"):
+                drop_folder(edges.sparkSession, f"{folder}/{name}")
             return seen if seen is not None else frontier
         parts.append(f"{folder}/hop-{hop}")
         seen = edges.sparkSession.read.schema(frontier.schema).parquet(*parts)
