@@ -206,6 +206,8 @@ def sample(docs: DataFrame) -> DataFrame:
     rows = some.where((F.col("rank") <= FEW) | (F.col("before") < LANGUAGE_BYTES)).groupBy("lang").agg(F.array_sort(F.collect_list("key")).alias("keys")).collect()
     most = SAMPLE_DOCS if len(rows) <= LANGUAGES else max(FEW, SAMPLE_DOCS * LANGUAGES // len(rows))
     limits = docs.sparkSession.createDataFrame([(r["lang"], r["keys"][:most][-1]) for r in rows], "lang string, last long")
+    # A row of some bytes for each language; without it all texts of a language would meet in one task.
+    limits = F.broadcast(limits) if len(rows) <= 100_000 else limits
     return learn.join(limits, "lang").where("key <= last").dropDuplicates(["lang", "key"]).orderBy("key", "lang").select("lang", "text")
 
 
