@@ -132,3 +132,15 @@ def test_chunks(spark):
     assert chunk_text("A", "# A\nx", 100) == [("A", "# A\nx", 0, 5)]
     rows = chunks(spark.createDataFrame([(1, "T", doc), (2, "T", None), (3, "T", "")], "k long, title string, text string"), "k", 12).collect()
     assert {r["k"] for r in rows} == {1} and len(rows) == len(got)
+
+
+def test_many_blake3_hashes_at_once(spark):
+    import random
+
+    rng = random.Random(3)
+    sizes = [0, 1, 63, 64, 65, 1023, 1024, 1025, 2048, 2049, 3072, 4097, 5000, 8192, 9217, 40_000] + [rng.randrange(300) for _ in range(50)]
+    some = [rng.randbytes(n) for n in sizes]
+    assert ids.blake3_all(some) == [ids.blake3(x) for x in some] and ids.blake3_all([]) == []
+    df = spark.createDataFrame([(i, bytearray(x)) for i, x in enumerate(some)] + [(99, None)], "i int, p binary")
+    got = {r["i"]: r["h"] for r in df.select("i", ids.blake3_hex("p").alias("h")).collect()}
+    assert got == {**{i: ids.blake3(x).hex() for i, x in enumerate(some)}, 99: None}
