@@ -13,7 +13,7 @@ from quillgraph.operators import ann, assertions, graph, jobs, merge, recall, sc
 
 #: Budgets of the verbs, and the most that may be asked for.
 BUDGETS = {"recall": 15, "search": 10, "neighbors": 20, "as_of": 15, "critique": 15, "analogy": 5}
-MOST, MOST_ANALOGIES, MOST_NODES, MOST_EDGES = 500, 50, 10_000, 50_000
+MOST, MOST_ANALOGIES, MOST_NODES, MOST_EDGES, MOST_BYTES = 500, 50, 10_000, 50_000, 4 << 20
 
 
 class MemoryGraph:
@@ -128,9 +128,14 @@ class MemoryGraph:
         return self._with(*assertions.apply_diff(self.nodes, self.edges, judged, at_ms), jobs.meta_put(self.meta, records))
 
     def merge_diff(self, nodes: DataFrame, edges: DataFrame, grants: DataFrame, keys: DataFrame, writer: str, at_ms: int) -> MemoryGraph:
-        """assert_diff of at most MOST_NODES and MOST_EDGES, if the grants (repo, can_write) cover every repo that it touches."""
+        """assert_diff of some items, at most MOST_NODES, MOST_EDGES and MOST_BYTES as JSON, if the grants (repo, can_write) cover every repo that it touches."""
         if nodes.count() > MOST_NODES or edges.count() > MOST_EDGES:
             raise ValueError("a diff may hold 10,000 nodes and 50,000 edges")
+        held = [df.agg(F.sum(F.octet_length(F.to_json(F.struct(*df.columns)))).alias("n")).first()["n"] for df in (nodes, edges)]
+        if held == [None, None]:
+            raise ValueError("an empty diff")
+        if sum(n or 0 for n in held) > MOST_BYTES:
+            raise ValueError("a diff may hold 4 MiB")
         self._authorize(nodes, edges, grants)
         return self.assert_diff(nodes, edges, keys, writer, at_ms)
 

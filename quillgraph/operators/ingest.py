@@ -80,9 +80,13 @@ def branch_states(branches: DataFrame, live: DataFrame, merged: DataFrame) -> Da
     return now.select("id", "name", "tip", state.alias("state"))
 
 
-def embed_split(nodes: DataFrame, stored: DataFrame, model: str, dim: int) -> tuple[DataFrame, DataFrame]:
-    """Nodes whose stored vector may be reused (same id, model and size), and those to embed."""
-    fit = stored.where((F.col("model") == model) & (F.size("data") == dim)).select("id", "model", "data")
+def embed_split(nodes: DataFrame, stored: DataFrame, model: str, dim: int, weights: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Nodes whose stored vector may be reused (same id, model and size), and those to embed.
+
+    weights: the digest of the model's weights, where vectors come from elsewhere: only those with that digest are reused.
+    """
+    fit = stored.where((F.col("model") == model) & (F.size("data") == dim))
+    fit = (fit if weights is None else fit.where(F.col("weights") == weights)).select("id", "model", "data")
     return nodes.join(fit, "id"), nodes.join(fit.select("id"), "id", "left_anti")
 
 

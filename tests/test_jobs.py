@@ -157,6 +157,19 @@ def test_asserted_and_merged_diffs(spark):
         g.assert_diff(fresh.withColumn("signature", F.lit(None).cast("binary")), edges, keys, "me", 5)
 
 
+def test_limits_of_a_diff(spark, monkeypatch):
+    from quillgraph import memory
+
+    nodes = spark.createDataFrame([("a", "r")], "id string, repo string")
+    edges = spark.createDataFrame([], "from_id string, to_id string, kind string, quarantined boolean")
+    g = MemoryGraph(nodes, edges)
+    with pytest.raises(ValueError, match="empty"):
+        g.merge_diff(nodes.where("false"), edges, None, None, "me", 1)
+    monkeypatch.setattr(memory, "MOST_BYTES", 10)
+    with pytest.raises(ValueError, match="4 MiB"):
+        g.merge_diff(nodes, edges, None, None, "me", 1)
+
+
 def test_grounding(spark):
     hits = spark.createDataFrame([("1", "t", "a:x")], "id string, text string, citation string")
     assert jobs.grounded(hits.union(hits), hits).first()["prompt"] == "[a:x] t\n\n[a:x] t"

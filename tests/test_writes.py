@@ -99,3 +99,36 @@ def test_hashing_embedder(spark):
     assert got[1]["model"] == "hashing-v1-d16" and not any(got[2]["data"])
     cells = {r["bucket"]: r["weight"] for r in vectors.hash_embedding(df, "id", "text", 16).collect()}
     assert np.allclose([cells.get(i, 0.0) for i in range(16)], got[1]["data"], atol=1e-6)
+
+
+def test_embedding_for_a_write(spark):
+    from quillgraph.functions.embed import Embedder
+
+    def load():
+        def fn(texts):
+            if any("bad" in t for t in texts):
+                raise ValueError("no such word")
+            return [[float(len(t)), np.nan if t == "odd" else 1.0] for t in texts]
+
+        return fn
+
+    df = spark.createDataFrame([(1, "ab"), (2, "a bad one"), (3, "odd"), (4, None)], "id int, text string").coalesce(1)
+    got = {r["id"]: (r["embedding"] and list(r["embedding"]["data"]), r["warning"]) for r in Embedder("m", 2, load).for_write(df, "id", "text").collect()}
+    assert got == {1: ([2.0, 1.0], None), 2: (None, "ValueError: no such word"), 3: (None, "m gave a vector that is not finite"), 4: ([0.0, 1.0], None)}
+
+    def broken():
+        raise OSError("no weights")
+
+    assert {r["warning"] for r in Embedder("m", 2, broken).for_write(df, "id", "text").collect()} == {"OSError: no weights"}
+    assert all("3 dimensions" in r["warning"] for r in Embedder("m", 3, load).for_write(df.where("id = 1"), "id", "text").collect())
+    assert hashing(4).for_write(df, "id", "text").where("warning is not null or embedding is null").count() == 0
+
+
+def test_vectors_of_other_weights_are_not_reused(spark):
+    from quillgraph.operators import ingest
+
+    nodes = spark.createDataFrame([("a",), ("b",), ("c",)], "id string")
+    stored = spark.createDataFrame([("a", "m", [1.0], "w1"), ("b", "m", [1.0], "w0"), ("c", "m", [1.0, 2.0], "w1")], "id string, model string, data array<float>, weights string")
+    reused, rest = ingest.embed_split(nodes, stored, "m", 1, "w1")
+    assert [r["id"] for r in reused.collect()] == ["a"] and sorted(r["id"] for r in rest.collect()) == ["b", "c"]
+    assert ingest.embed_split(nodes, stored, "m", 1)[0].count() == 2
