@@ -332,6 +332,40 @@ def branch_graph(branches: DataFrame, commits: DataFrame, merged: DataFrame) ->
     return marks, marks.select(F.col("id").alias("from_id"), "tip").join(reach.withColumnsRenamed({"start": "tip", "id": "sha"}), "tip").select("from_id", "sha")
 
 
+def run_branches(store: Store, branches: DataFrame, commits: DataFrame, merged: DataFrame, now: int) -> dict[str, int]:
+    """Brings the branches (repo, name, tip) of a store up to date, in one commit: a marker, the commits that only it has, and edges
+    to them, for each branch whose tip is not the one of its watermark; then the watermarks.
+
+    merged: (sha) of the default branches' histories.  A branch without commits of its own gets a watermark alone.  Trailers of
+    commits in flight are not read; they are once the commits are merged.
+    """
+    number, _ = store.state()
+    nodes, edges, meta = store.read("nodes", NODES), store.read("edges", EDGES), store.read("meta", META)
+    folder = graph.shared_dir(branches.sparkSession)
+    keep = lambda df, step: graph._keep(df, folder, step)
+    key = F.concat(F.lit("branch:"), "name")
+    marks = meta.where("startswith(key, 'branch:')").select("repo", F.col("key"), F.col("value").alias("tip"))
+    due = keep(branches.withColumn("key", key).join(marks, ["repo", "key", "tip"], "left_anti").select("repo", "name", "tip", "key"), "due")
+    found, held = branch_graph(due.drop("key"), commits, merged)
+    held = keep(held, "held")
+    marked = found.join(held.select(F.col("from_id").alias("id")), "id", "left_semi")
+    state = F.lit(None).cast("long").alias("valid_to"), F.lit("DerivedDeterministic").alias("trust_tier"), "status"
+    marked = keep(marked.select("id", "repo", "kind", F.lit("Derived").alias("plane"), F.lit("branch").alias("author"), F.concat(F.lit("branch:"), "name", F.lit("@"), "tip").alias("sha"), "content", F.lit(now).cast("long").alias("valid_from"), *state), "markers")
+    own = keep(commits.join(held.select("sha").distinct(), "sha", "left_semi"), "own")
+    nobody = branches.sparkSession.createDataFrame([], "author string")
+    made, links = commit_graph(own, nobody, keep, nodes.where("kind = 'commit'").select("repo", "sha", "id"))
+    made = keep(made.where("kind = 'commit'"), "commits")
+    links = links.where(F.col("kind").isin(*lineage.SPINE))
+    known = made.select("repo", "sha", "id").unionByName(nodes.where("kind = 'commit'").select("repo", "sha", "id")).distinct()
+    contains = held.join(marked.select(F.col("id").alias("from_id"), "repo"), "from_id").join(known, ["repo", "sha"]).select("from_id", F.col("id").alias("to_id"), F.lit("BranchContains").alias("kind"), F.lit(False).alias("quarantined"), F.lit(now).cast("long").alias("at"))
+    fresh = made.select(*nodes.columns).unionByName(marked.select(*nodes.columns)).join(nodes.select("id"), "id", "left_anti").select(*nodes.columns)
+    counts = {"branches": marked.count(), "commits": own.count(), "unchanged": branches.count() - marked.count()}
+    put = due.select("repo", "key", F.col("tip").alias("value"), F.lit(now).cast("long").alias("at"))
+    store.commit({"nodes": fresh, "edges": links.unionByName(contains).select(*edges.columns), "meta": put}, based_on=number)
+    graph.drop_folder(branches.sparkSession, folder)
+    return counts
+
+
 def reap_branches(nodes: DataFrame, live: DataFrame, merged: DataFrame) -> DataFrame:
     """nodes with the markers of branches that are deleted, moved on or merged archived; nodes: (id, name, tip, status, ...)."""
     states = ingest.branch_states(nodes.where("status = 'Active'").select("id", "name", "tip"), live, merged)

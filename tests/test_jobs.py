@@ -86,6 +86,24 @@ def test_branches(spark):
     assert marks.count() == 2 and sorted(r["sha"] for r in held.collect()) == ["x", "y"]
 
 
+def test_branches_by_watermark(spark, tmp_path):
+    store = jobs.open_store(spark, f"file://{tmp_path}/store")
+    row = lambda sha, *parents, body="": ("r", sha, list(parents), "me", 1, sha, body)
+    commits = spark.createDataFrame([row("a"), row("b", "a"), row("x", "b", body="t\n\nAgentile-Supersedes: a"), row("y", "x"), row("z", "b")], COMMIT)
+    jobs.run_ingest(store, commits, spark.createDataFrame([("r", "b")], "repo string, head string"), spark.createDataFrame([("me",)], "author string"), 1)
+    merged = spark.createDataFrame([("a",), ("b",)], "sha string")
+    run = lambda now, *tips: jobs.run_branches(store, spark.createDataFrame([("r", *t) for t in tips], "repo string, name string, tip string"), commits, merged, now)
+    assert run(5, ("f", "x"), ("g", "b")) == {"branches": 1, "commits": 1, "unchanged": 1}
+    assert run(6, ("f", "x"), ("g", "b")) == {"branches": 0, "commits": 0, "unchanged": 2}
+    assert run(7, ("f", "y"), ("g", "b"), ("h", "z")) == {"branches": 2, "commits": 3, "unchanged": 1}
+    nodes = {r["id"]: r["sha"] for r in store.read("nodes").collect()}
+    assert sorted(nodes.values()) == ["a", "b", "branch:f@x", "branch:f@y", "branch:h@z", "x", "y", "z"]
+    got = sorted((r["kind"], nodes[r["from_id"]], nodes[r["to_id"]]) for r in store.read("edges").collect())
+    assert [e[1:] for e in got if e[0] == "BranchContains"] == [("branch:f@x", "x"), ("branch:f@y", "x"), ("branch:f@y", "y"), ("branch:h@z", "z")]
+    assert [e[1:] for e in got if e[0] == "TemporalNext"] == [("b", "a"), ("x", "b"), ("y", "x"), ("z", "b")] and not [e for e in got if e[0] == "Supersedes"]
+    assert {r["key"]: r["value"] for r in store.read("meta").collect()} == {"watermark": "b", "branch:f": "y", "branch:g": "b", "branch:h": "z"}
+
+
 def test_cycle_of_stored_and_new_supersessions(spark):
     nodes = spark.createDataFrame([(x, "Derived") for x in "abcde"], "id string, plane string")
     kinds = "from_id string, to_id string, kind string, quarantined boolean, at long"
