@@ -45,7 +45,7 @@ def shapes():
     # Two rings that share a node, lines between components, a line from a node back to it beside a larger component.
     yield ring(list("abc")) + ring(["a", "d", "e", "f"]) + [("f", "p"), ("p", "q"), ("q", "r")] + ring(list("rst")) + [("s", "1"), ("1", "2"), ("2", "r"), ("b", "3"), ("3", "4"), ("4", "b")]
     yield [(str(i), str(i + 1)) for i in range(30)] + [("30", "12"), ("20", "15")]
-    for n, m in ((12, 14), (30, 45)):
+    for n, m in ((12, 14),):
         yield [(str(rng.randrange(n)), str(rng.randrange(n))) for _ in range(m)]
 
 
@@ -68,7 +68,7 @@ def test_admitted_as_one_after_another(spark, small):
     rng = random.Random(small)
     names = [f"n{i}" for i in range(14)]
     stored = {(names[a], names[z]) for a, z in (sorted(rng.sample(range(14), 2)) for _ in range(9))}
-    asked = list({(rng.choice(names), rng.choice(names)) for _ in range(26 if small else 12)} - stored)
+    asked = list({(rng.choice(names), rng.choice(names)) for _ in range(26 if small > 6 else 12)} - stored)
     rng.shuffle(asked)
     asked += [next(iter(stored))]
     have, want = set(stored), set()
