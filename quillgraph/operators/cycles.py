@@ -83,7 +83,12 @@ def _in_one_task(edges: DataFrame) -> DataFrame:
         some = pd.DataFrame([(names[i], c) for i, c in enumerate(of) if sizes[c] > 1], columns=["id", "of"]).sort_values("id")
         yield pd.DataFrame({"id": some["id"].astype(object), "scc": some["of"].map(some.drop_duplicates("of").set_index("of")["id"]).astype(object)})
 
-    return edges.select("from_id", "to_id").repartition(1).mapInPandas(run, "id string, scc string")
+    return edges.select("from_id", "to_id").repartition(1).mapInPandas(run, "id {0}, scc {0}".format(_type(edges)))
+
+
+def _type(edges: DataFrame) -> str:
+    """The type of the ids: text, or longs where nodes are numbered."""
+    return edges.schema["from_id"].dataType.simpleString()
 
 
 class _Steps:
@@ -188,7 +193,7 @@ def strong_components(edges: DataFrame, small: int | None = None, steps: _Steps
         found.append(own)
         size = left.count()
     if not found:
-        return edges.sparkSession.createDataFrame([], "id string, scc string")
+        return edges.sparkSession.createDataFrame([], "id {0}, scc {0}".format(_type(edges)))
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
@@ -295,7 +300,7 @@ def closes_cycle(edges: DataFrame, proposals: DataFrame, small: int | None = Non
     inner = _keep(inner.select("scc", "from_id", "to_id", "asked"), folder, "inner")
     sizes = inner.groupBy("scc").agg(F.count("*").alias("n"))
     few = inner.join(sizes.where(F.col("n") <= small), "scc", "left_semi")
-    out = _bundled(few, inner.count(), small).applyInPandas(_closing, "from_id string, to_id string")
+    out = _bundled(few, inner.count(), small).applyInPandas(_closing, "from_id {0}, to_id {0}".format(_type(edges)))
     large = inner.join(sizes.where(F.col("n") > small), "scc", "left_semi")
     if not large.isEmpty():
         asked = large.where("asked").select("from_id", "to_id")
@@ -328,7 +333,7 @@ def admitted(stored: DataFrame, asked: DataFrame, comps: DataFrame | None = None
     some = sizes.where((F.col("asked") > 1) & (F.col("size") <= small)).select("scc")
     each = inner.withColumn("place", F.lit(None).cast("long")).unionByName(torn.select(*inner.columns, "place")).join(some, "scc", "left_semi")
     total = sizes.where((F.col("asked") > 1) & (F.col("size") <= small)).agg(F.sum("size")).first()[0] or 0
-    fine = fine.unionByName(_bundled(each, total, small).applyInPandas(_decide, "from_id string, to_id string"))
+    fine = fine.unionByName(_bundled(each, total, small).applyInPandas(_decide, "from_id {0}, to_id {0}".format(_type(asked))))
     large = sizes.where((F.col("asked") > 1) & (F.col("size") > small)).select("scc", "middle")
     if not large.isEmpty():
         halves = _keep(torn.join(large, "scc").select("from_id", "to_id", "place", (F.col("place") <= F.col("middle")).alias("first")), folder, "halves")

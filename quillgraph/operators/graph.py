@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 
 
 def _keep(df: DataFrame, spark_dir: str, step: str) -> DataFrame:
-    """Write to the shared folder and read back, so that a lost executor costs one hop at most."""
+    """Write to the shared folder and read back, so that a lost executor costs one hop at most.
+
+    zstd, as ids are hexadecimal digests, which take half the space only where symbols are coded by frequency.
+    """
     path = f"{spark_dir}/{step}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

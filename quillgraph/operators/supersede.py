@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillgraph.functions.ids import packed
 from quillgraph.operators.anchor import positions
 from quillgraph.operators.cycles import admitted, strong_components
-from quillgraph.operators.graph import _keep, shared_dir
+from quillgraph.operators.graph import _keep, drop_folder, shared_dir
 from quillgraph.schema import edge_tag
 
 SECOND_PARTY = ("Supersedes", "Refutes", "Contradicts")
@@ -19,30 +20,71 @@ def assertable() -> Column:
     return (F.col("plane") == "Asserted") & F.col("trust_tier").isin("AgentAsserted", "InferredAdvisory")
 
 
-def _judged(nodes: DataFrame, edges: DataFrame, proposals: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """proposals with `reason`, `cycle` for all that lie on one; and the components (id, scc) of stored and proposed edges together."""
-    ends = nodes.select(F.col("id"), F.col("plane"))
-    known = proposals.join(ends.withColumnsRenamed({"id": "from_id", "plane": "_from"}), "from_id", "left").join(ends.withColumnsRenamed({"id": "to_id", "plane": "_to"}), "to_id", "left")
-    own = F.col("plane") if "plane" in proposals.columns else F.col("_from")
-    first = (
-        F.when(F.col("kind") != "Supersedes", "kind")
-        .when(F.col("quarantined"), "quarantined")
-        .when(F.col("from_id") == F.col("to_id"), "self")
-        .when(F.col("_from").isNull() | F.col("_to").isNull(), "missing")
-        .when((own == "Asserted") & (F.col("_to") == "Derived"), "plane")
-    )
-    known = known.withColumn("reason", first).drop("_from", "_to")
-    fit = known.where("reason is null").select("from_id", "to_id")
-    # A proposal closes a cycle, alone or with others, if both of its ends lie in one component.
+def _judged(nodes: DataFrame, edges: DataFrame, proposals: DataFrame, order: tuple[str, ...] | None = None) -> DataFrame:
+    """proposals with `reason`: `cycle` for all that lie on one or, with an order, for those that close one when tried in it.
+
+    Only supersessions that may apply are looked up.  Each node has a number, so that the search for cycles shuffles pairs of
+    longs and not of ids; what it finds comes back by the proposal's row.
+    """
+    spark, folder = nodes.sparkSession, shared_dir(nodes.sparkSession)
+    early = F.when(F.col("kind") != "Supersedes", "kind").when(F.col("quarantined"), "quarantined").when(F.col("from_id") == F.col("to_id"), "self")
+    fit = _keep(proposals.where(early.isNull()).withColumn("_row", F.monotonically_increasing_id()), folder, "fit")
+    # Never null here, so that a filter for what may apply drops this side.
+    rest = proposals.where(early.isNotNull()).withColumn("reason", F.coalesce(early, F.lit("kind")))
     # Without proposals there is nothing to find, however much is stored.
-    comps = strong_components((spine(edges) if not fit.isEmpty() else fit).unionByName(fit))
-    both = known.join(comps.withColumnsRenamed({"id": "from_id", "scc": "_a"}), "from_id", "left").join(comps.withColumnsRenamed({"id": "to_id", "scc": "_z"}), "to_id", "left")
-    return both.withColumn("reason", F.when(F.col("reason").isNull() & (F.col("_a") == F.col("_z")), "cycle").otherwise(F.col("reason"))).drop("_a", "_z"), comps
+    if fit.isEmpty():
+        return rest
+    coded = _numbered(nodes, edges, fit, folder)
+    pairs = lambda df: df.select("from_id", "to_id")
+    stored, asked = pairs(coded.where("_row is null")), coded.where("_row is not null and reason is null")
+    # A proposal closes a cycle, alone or with others, if both of its ends lie in one component.
+    comps = strong_components(stored.unionByName(pairs(asked)))
+    loops = asked.join(comps.withColumnsRenamed({"id": "from_id", "scc": "_a"}), "from_id").join(comps.withColumnsRenamed({"id": "to_id", "scc": "_z"}), "to_id").where("_a = _z")
+    loops = _keep(loops.select("_row", "from_id", "to_id"), folder, "loops")
+    if order is not None and not loops.isEmpty():
+        ends = loops.select("_row", F.col("from_id").alias("_from"), F.col("to_id").alias("_to"))
+        tried = fit.select("_row", *dict.fromkeys((*order, "from_id", "to_id"))).join(ends, "_row")
+        tried = tried.groupBy("_from", "_to").agg(*[F.min(c).alias(c) for c in dict.fromkeys((*order, "from_id", "to_id"))])
+        places = positions(tried, [*dict.fromkeys((*order, "from_id", "to_id"))], "place").select(F.col("_from").alias("from_id"), F.col("_to").alias("to_id"), "place")
+        loops = loops.join(admitted(stored, places, comps), ["from_id", "to_id"], "left_anti")
+    barred = coded.where("_row is not null and reason is not null").select("_row", "reason").unionByName(loops.select("_row", F.lit("cycle").alias("reason")))
+    barred = _keep(barred, folder, "barred")
+    for name in ("coded", "loops"):
+        drop_folder(spark, f"{folder}/{name}")
+    return fit.join(barred, "_row", "left").select(*proposals.columns, "reason").unionByName(rest)
+
+
+def _numbered(nodes: DataFrame, edges: DataFrame, fit: DataFrame, folder: str) -> DataFrame:
+    """(_row, from_id, to_id, reason): the proposals and, without _row, the confirmed supersessions by the numbers of their ends;
+    reason: of proposals, `missing` and `plane`."""
+    numbers = _keep(nodes.select(packed(F.col("id")).alias("id"), "plane", F.monotonically_increasing_id().alias("n")), folder, "numbers")
+    none = F.lit(None).cast("string")
+    own = F.col("plane") if "plane" in fit.columns else none
+    both = fit.select("from_id", "to_id", "_row", own.alias("own")).unionByName(_firm(edges).select("from_id", "to_id", F.lit(None).cast("long").alias("_row"), none.alias("own")))
+    both = both.select(packed(F.col("from_id")).alias("from"), packed(F.col("to_id")).alias("to"), "_row", "own")
+    for end in ("from", "to"):
+        both = both.join(numbers.select(F.col("id").alias(end), F.col("plane").alias(f"_{end}"), F.col("n").alias(f"{end}_id")), end, "left")
+        both = both.withColumn(end, F.when(F.col(f"{end}_id").isNull(), F.col(end)))
+    asserted = (F.col("own") if "plane" in fit.columns else F.col("_from")) == "Asserted"
+    reason = F.when(F.col("_from").isNull() | F.col("_to").isNull(), "missing").when(asserted & (F.col("_to") == "Derived"), "plane")
+    coded = _keep(both.select("_row", "from_id", "to_id", "from", "to", F.when(F.col("_row").isNotNull(), reason).alias("reason")), folder, "coded")
+    drop_folder(nodes.sparkSession, f"{folder}/numbers")
+    # Stored supersessions may lead through ids that are no nodes: these get numbers below zero.
+    gaps = coded.where("_row is null").select(F.explode(F.array("from", "to")).alias("id")).where("id is not null").distinct()
+    gaps = _keep(gaps.select("id", (-1 - F.monotonically_increasing_id()).alias("n")), folder, "gaps")
+    if not gaps.isEmpty():
+        for end in ("from", "to"):
+            coded = coded.join(gaps.select(F.col("id").alias(end), F.col("n").alias("_n")), end, "left").withColumn(f"{end}_id", F.coalesce(f"{end}_id", "_n")).drop("_n")
+    return coded.select("_row", "from_id", "to_id", "reason")
+
+
+def _firm(edges: DataFrame) -> DataFrame:
+    return edges.where("kind = 'Supersedes' and not quarantined")
 
 
 def spine(edges: DataFrame) -> DataFrame:
     """(from_id, to_id) of the confirmed supersessions."""
-    return edges.where("kind = 'Supersedes' and not quarantined").select("from_id", "to_id").distinct()
+    return _firm(edges).select("from_id", "to_id").distinct()
 
 
 def reject_reasons(nodes: DataFrame, edges: DataFrame, proposals: DataFrame) -> DataFrame:
@@ -51,7 +93,7 @@ def reject_reasons(nodes: DataFrame, edges: DataFrame, proposals: DataFrame) ->
     An asserted supersession must not retire a derived node: by the proposal's own plane where it has that column, else by
     that of the node it comes from.
     """
-    return _judged(nodes, edges, proposals)[0]
+    return _judged(nodes, edges, proposals)
 
 
 def judge(nodes: DataFrame, edges: DataFrame, proposals: DataFrame, order: tuple[str, ...] = ("at", "from_id", "to_id")) -> DataFrame:
@@ -59,15 +101,7 @@ def judge(nodes: DataFrame, edges: DataFrame, proposals: DataFrame, order: tuple
 
     The components are found once; each is decided on its own, so unrelated cycles do not wait for one another.
     """
-    judged, comps = _judged(nodes, edges, proposals)
-    folder = shared_dir(nodes.sparkSession)
-    judged = _keep(judged, folder, "judged")
-    loops = judged.where("reason = 'cycle'").groupBy("from_id", "to_id").agg(F.count("*").alias("_n"), *[F.min(c).alias(c) for c in order if c not in ("from_id", "to_id")])
-    if loops.isEmpty():
-        return judged
-    fine = admitted(spine(edges), positions(loops, [*dict.fromkeys((*order, "from_id", "to_id"))], "place"), comps)
-    out = judged.join(fine.select("from_id", "to_id").distinct().withColumn("_fine", F.lit(True)), ["from_id", "to_id"], "left")
-    return out.withColumn("reason", F.when((F.col("reason") == "cycle") & F.col("_fine"), F.lit(None)).otherwise(F.col("reason"))).drop("_fine")
+    return _judged(nodes, edges, proposals, order)
 
 
 def apply_supersessions(nodes: DataFrame, judged: DataFrame, order: tuple[str, ...] = ("at", "from_id")) -> DataFrame:

@@ -61,11 +61,12 @@ n AS (
 
 def spine_edges(nodes: DataFrame) -> DataFrame:
     """From each order to the customer's order before it: the spine, and on some a claim about it."""
-    before = F.lag("id").over(Window.partitionBy("o_custkey").orderBy("valid_from", "o_orderkey"))
-    linked = nodes.select("id", "o_orderkey", "valid_from", before.alias("to_id")).where("to_id is not null")
+    # Keys are shuffled and made ids afterwards: a digest takes eight times the space of a key and does not compress.
+    before = F.lag("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("valid_from", "o_orderkey"))
+    linked = nodes.select("o_orderkey", "valid_from", before.alias("before")).where("before is not null")
     key = F.col("o_orderkey")
     kinds = F.array_compact(F.array(F.lit("TemporalNext"), F.when(key % 7 == 0, "Supersedes"), F.when(key % 11 == 0, "Refutes"), F.when(key % 13 == 0, "Contradicts")))
-    each = linked.select(F.col("id").alias("from_id"), "to_id", F.explode(kinds).alias("kind"), key, F.col("valid_from").alias("at"))
+    each = linked.select(hashed("order:", "o_orderkey").alias("from_id"), hashed("order:", "before").alias("to_id"), F.explode(kinds).alias("kind"), key, F.col("valid_from").alias("at"))
     return each.select("from_id", "to_id", "kind", ((F.col("kind") != "TemporalNext") & (key % 3 == 0)).alias("quarantined"), "at")
 
 
@@ -80,8 +81,10 @@ e AS (
 def line_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From orders to parts: kind by return flag, a proposal for large open lines."""
     kind = F.when(F.col("l_returnflag") == "A", "Touches").when(F.col("l_returnflag") == "N", "DependsOn").otherwise("References")
-    rows = table(spark, sf_dir, "lineitem").select(hashed("order:", "l_orderkey").alias("from_id"), hashed("part:", "l_partkey").alias("to_id"), kind.alias("kind"), ((F.col("l_linestatus") == "O") & (F.col("l_quantity") > 45)).alias("quarantined"))
-    return rows.groupBy("from_id", "to_id", "kind").agg(F.bool_and("quarantined").alias("quarantined"))
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", kind.alias("kind"), ((F.col("l_linestatus") == "O") & (F.col("l_quantity") > 45)).alias("quarantined"))
+    # Grouped by the keys and made ids afterwards, see spine_edges.
+    rows = rows.groupBy("l_orderkey", "l_partkey", "kind").agg(F.bool_and("quarantined").alias("quarantined"))
+    return rows.select(hashed("order:", "l_orderkey").alias("from_id"), hashed("part:", "l_partkey").alias("to_id"), "kind", "quarantined")
 
 
 LINES_SQL = """
