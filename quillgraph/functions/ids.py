@@ -26,6 +26,12 @@ def packed(node_id: Column) -> Column:
     return F.when(node_id.rlike("^[0-9a-f]{64}$"), F.unhex(node_id)).otherwise(F.concat(F.encode(node_id, "UTF-8"), F.lit(bytearray(33))))
 
 
+def unpacked(value: Column) -> Column:
+    """The id that packed() made bytes of."""
+    text = F.decode(F.substring(value, F.lit(1), F.octet_length(value) - 33), "UTF-8")
+    return F.when(F.octet_length(value) == 32, F.lower(F.hex(value))).otherwise(text)
+
+
 def field(tag: int, value: Column) -> Column:
     """tag, length as eight bytes, bytes."""
     return F.concat(F.unhex(F.lit(f"{tag:02x}")), little_endian(F.octet_length(value), 8), value)

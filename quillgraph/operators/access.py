@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgraph.functions import ed25519
-from quillgraph.functions.ids import field, little_endian
+from quillgraph.functions.ids import field, little_endian, packed, unpacked
 
 ZERO_HASH = "0" * 64
 
@@ -334,6 +334,10 @@ def shred(keyring: DataFrame, tenant: str) -> DataFrame:
 
 def edge_owner(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """edges with `tenant`: that of the source, else of the target, else null."""
+    # All edges are shuffled for either end: as bytes their ids take half of that.
+    columns = edges.columns
+    edges = edges.withColumns({c: packed(F.col(c)) for c in ("from_id", "to_id")})
     for end in ("from", "to"):
-        edges = edges.join(nodes.select(F.col("id").alias(f"{end}_id"), F.col("repo").alias(f"_{end}")), f"{end}_id", "left")
-    return edges.withColumn("tenant", F.coalesce("_from", "_to")).drop("_from", "_to")
+        edges = edges.join(nodes.select(packed(F.col("id")).alias(f"{end}_id"), F.col("repo").alias(f"_{end}")), f"{end}_id", "left")
+    ids = {c: unpacked(F.col(c)) for c in ("from_id", "to_id")}
+    return edges.withColumns({**ids, "tenant": F.coalesce("_from", "_to")}).select(*[c for c in columns if c != "tenant"], "tenant")

@@ -144,3 +144,11 @@ def test_many_blake3_hashes_at_once(spark):
     df = spark.createDataFrame([(i, bytearray(x)) for i, x in enumerate(some)] + [(99, None)], "i int, p binary")
     got = {r["i"]: r["h"] for r in df.select("i", ids.blake3_hex("p").alias("h")).collect()}
     assert got == {**{i: ids.blake3(x).hex() for i, x in enumerate(some)}, 99: None}
+
+
+def test_packed_ids_tell_all_texts_apart(spark):
+    texts = ["ab" * 32, "AB" * 32, "ab" * 31, "", "branch:7", "é", "g" * 64, "0" * 64, "\0" * 32]
+    rows = spark.createDataFrame([(x,) for x in texts] + [(None,)], "id string").withColumn("b", ids.packed(F.col("id")))
+    rows = rows.withColumn("back", ids.unpacked(F.col("b"))).collect()
+    assert all(r["id"] == r["back"] for r in rows)
+    assert len({bytes(r["b"]) for r in rows if r["b"] is not None}) == len(texts) and len(rows[0]["b"]) == 32
