@@ -23,7 +23,7 @@ def labels(spine: DataFrame, ids: DataFrame | None = None, known: DataFrame | No
     Positions come from doubling jumps, so a line of n new commits takes log2(n) rounds; known labels never change.
     """
     spark, folder = spine.sparkSession, shared_dir(spine.sparkSession)
-    known = spark.createDataFrame([], LABELS) if known is None else known
+    known = spark.createDataFrame([], LABELS.replace("string", spine.schema["from_id"].dataType.simpleString())) if known is None else known
     spine = spine.where(F.col("kind").isin(*SPINE)).select("from_id", "to_id", "kind")
     every = spine.select(F.explode(F.array("from_id", "to_id")).alias("id"))
     every = (every if ids is None else every.unionByName(ids.select("id"))).distinct()

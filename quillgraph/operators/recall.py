@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.functions import lattice, vectors
+from quillgraph.functions.ids import packed, unpacked
 from quillgraph.functions.text import cite, truncate
 from quillgraph.operators import lineage
 from quillgraph.operators.graph import _keep, shared_dir
@@ -198,19 +199,30 @@ def canonical(nodes: DataFrame, edges: DataFrame, heads: DataFrame, labelled: Da
 
     labelled: the spine's labels (see lineage), where they are stored; without them they are made first.
     """
-    spine = edges.where("kind in ('TemporalNext', 'MergeParent')").select("from_id", "to_id", "kind").distinct()
-    if labelled is None:
-        spine = _keep(spine, shared_dir(spine.sparkSession), "spine")
-        labelled = lineage.labels(spine, heads)
-    return lineage.canonical(labelled, lineage.crossings(spine, labelled), heads)
+    spine = edges.where("kind in ('TemporalNext', 'MergeParent')").select("from_id", "to_id", "kind")
+    if labelled is not None:
+        return lineage.canonical(labelled, lineage.crossings(spine.distinct(), labelled), heads)
+    # Labels that nobody keeps are made of numbers in place of ids, as each of their rounds shuffles them.
+    folder = shared_dir(spine.sparkSession)
+    links = spine.select(packed(F.col("from_id")).alias("from_id"), packed(F.col("to_id")).alias("to_id"), "kind")
+    tips = heads.select(packed(F.col("id")).alias("id"))
+    numbers = links.select(F.explode(F.array("from_id", "to_id")).alias("id")).unionByName(tips).distinct()
+    numbers = _keep(numbers.select("id", F.monotonically_increasing_id().alias("n")), folder, "numbers")
+    for end in ("from_id", "to_id"):
+        links = links.join(numbers.withColumnRenamed("id", end), end).drop(end).withColumnRenamed("n", end)
+    links = _keep(links, folder, "spine")
+    tips = _keep(tips.join(numbers, "id").select(F.col("n").alias("id")), folder, "heads")
+    labelled = lineage.labels(links, tips)
+    found = lineage.canonical(labelled, lineage.crossings(links, labelled), tips)
+    return numbers.join(found.withColumnRenamed("id", "n"), "n", "left_semi").select(unpacked(F.col("id")).alias("id"))
 
 
 def in_flight(nodes: DataFrame, edges: DataFrame, merged: DataFrame) -> DataFrame:
     """(id, branch): commits that a branch holds and the canonical history does not; active branches name them first."""
     branches = nodes.where("kind = 'branch'").select(F.col("id").alias("from_id"), F.when(F.col("status") == "Active", 0).otherwise(1).alias("rank"), F.regexp_replace(F.decode("content", "UTF-8"), "@[^@]*$", "").alias("branch"))
-    held = edges.where("kind = 'BranchContains'").join(branches, "from_id").select(F.col("to_id").alias("id"), "rank", "from_id", "branch")
-    held = held.join(merged.select("id"), "id", "left_anti")
-    return held.groupBy("id").agg(F.min_by("branch", F.struct("rank", "from_id")).alias("branch"))
+    held = edges.where("kind = 'BranchContains'").select("from_id", packed(F.col("to_id")).alias("id")).join(branches, "from_id").select("id", "rank", "from_id", "branch")
+    held = held.join(merged.select(packed(F.col("id")).alias("id")), "id", "left_anti")
+    return held.groupBy("id").agg(F.min_by("branch", F.struct("rank", "from_id")).alias("branch")).withColumn("id", unpacked(F.col("id")))
 
 
 def passages(nodes: DataFrame, most: int = 2000) -> DataFrame:

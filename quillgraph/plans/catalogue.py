@@ -458,7 +458,8 @@ def khop(spark, d):
 def _heads(nodes: DataFrame) -> DataFrame:
     """The watermark of each customer: the newest order but one in ten is not merged yet."""
     order = Window.partitionBy("o_custkey").orderBy(F.desc("valid_from"), F.desc("o_orderkey"))
-    return nodes.withColumn("place", F.row_number().over(order)).where("place = 1 + (o_custkey % 3)").select("id")
+    placed = nodes.select("o_custkey", "o_orderkey", F.row_number().over(order).alias("place")).where("place = 1 + (o_custkey % 3)")
+    return placed.select(hashed("order:", "o_orderkey").alias("id"))
 
 
 _MERGED = ", o AS (SELECT id, o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY valid_from DESC, o_orderkey DESC) AS place FROM n), c AS (SELECT id FROM o WHERE place >= 1 + (o_custkey % 3))"

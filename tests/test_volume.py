@@ -38,6 +38,9 @@ def moved(spark, name):
 MOST = {
     "supersede_rejects": 600,
     "supersede_apply": 700,
+    "edge_owners": 1000,
+    "canonical_only": 1200,
+    "in_flight": 1250,
 }
 
 
