@@ -114,10 +114,14 @@ def merge_bundle(nodes: DataFrame, edges: DataFrame, remote_nodes: DataFrame, re
     judged_edges = keep(remote_edges.withColumn("_bad", F.coalesce(asserted(remote_edges) & bad, F.lit(False))), "edges-in")
     refused = judged_nodes.select("_bad").unionByName(judged_edges.select("_bad")).where("_bad").count()
     fresh, links = judged_nodes.where("not _bad").select(*node_columns), judged_edges.where("not _bad").select(*edge_columns)
+    # From here on ends are bytes but for the guards: every join of edges shuffles them.
+    edges, links = supersede.ends_packed(edges), supersede.ends_packed(links)
 
     own = nodes.join(fresh.select("id"), "id", "left_semi")
     sorted_nodes = keep(_classified(own, fresh, merge_nodes(own.unionByName(fresh)).select(*node_columns), ["id"]), "nodes-sorted")
+    # Stored, as the guards and what is counted read it too.
     joined = nodes.join(fresh.select("id"), "id", "left_anti").unionByName(sorted_nodes.select(*node_columns))
+    joined = keep(joined, "nodes-joined")
 
     at = ["from_id", "to_id", "kind"]
     firm = (F.col("kind") == "Supersedes") & ~F.col("quarantined")
@@ -129,9 +133,10 @@ def merge_bundle(nodes: DataFrame, edges: DataFrame, remote_nodes: DataFrame, re
     linked = edges.join(plain.select(*at), at, "left_anti").unionByName(sorted_edges.select(*edge_columns))
 
     asked = claims.dropDuplicates(at).withColumn("at", supersede.clock(claims)) if "at" not in edge_columns else claims.dropDuplicates(at)
+    asked = supersede.ends_unpacked(asked)
     order = ("from_id", "to_id")
-    judged = keep(supersede.judge(joined, linked, asked, order), "judged")
-    fine = judged.where("reason is null")
+    judged = keep(supersede.judge(joined, supersede.ends_unpacked(linked), asked, order), "judged")
+    fine = supersede.ends_packed(judged.where("reason is null"))
     after = keep(supersede.apply_supersessions(joined, judged, order).select(*node_columns), "nodes-out")
     known = fine.join(edges.select(*at), at, "left_semi").count()
     outcome = linked.join(fine.select(*at), at, "left_anti").unionByName(fine.select(*edge_columns))
@@ -141,7 +146,7 @@ def merge_bundle(nodes: DataFrame, edges: DataFrame, remote_nodes: DataFrame, re
     rest = {"superseded": turned, "rejected_supersessions": judged.count() - done, "rejected_signatures": refused}
     one = F.lit(1).alias("_one")
     counters = n.select("*", one).join(e.select("*", one), "_one").drop("_one").withColumns({k: F.lit(v).cast("long") for k, v in rest.items()})
-    return after, keep(outcome.select(*edge_columns), "edges-out"), counters.select(*COUNTERS)
+    return after, keep(supersede.ends_unpacked(outcome).select(*edge_columns), "edges-out"), counters.select(*COUNTERS)
 
 
 def dedup(nodes: DataFrame, order: list[str]) -> DataFrame:

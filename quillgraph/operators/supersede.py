@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.functions.ids import packed
+from quillgraph.functions.ids import packed, unpacked
 from quillgraph.operators.anchor import positions
 from quillgraph.operators.cycles import admitted, strong_components
 from quillgraph.operators.graph import _keep, drop_folder, shared_dir
@@ -134,10 +134,21 @@ def confirm(edges: DataFrame, keys: DataFrame, at: int) -> DataFrame:
 
 def upsert_edges(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     """stored with incoming by key; an incoming proposal never replaces a confirmed edge."""
-    keys = ["from_id", "to_id", "kind"]
+    keys, columns = ["from_id", "to_id", "kind"], stored.columns
+    # Ids as bytes: what is stored is shuffled whole.
+    stored, incoming = ends_packed(stored), ends_packed(incoming)
     firm = stored.where("not quarantined").select(*keys)
     allowed = incoming.where("not quarantined").unionByName(incoming.where("quarantined").join(firm, keys, "left_anti"))
-    return stored.join(allowed.select(*keys), keys, "left_anti").unionByName(allowed)
+    return ends_unpacked(stored.join(allowed.select(*keys), keys, "left_anti").unionByName(allowed)).select(*columns)
+
+
+def ends_packed(edges: DataFrame) -> DataFrame:
+    """edges with their ends as bytes, see ids.packed."""
+    return edges.withColumns({c: packed(F.col(c)) for c in ("from_id", "to_id")})
+
+
+def ends_unpacked(edges: DataFrame) -> DataFrame:
+    return edges.withColumns({c: unpacked(F.col(c)) for c in ("from_id", "to_id")})
 
 
 def upsert_nodes(stored: DataFrame, incoming: DataFrame) -> DataFrame:
@@ -159,7 +170,7 @@ def confirm_outcomes(nodes: DataFrame, edges: DataFrame, keys: DataFrame, at: in
     columns = ["from_id", "to_id", "kind"]
     asserter = F.col("asserter") if "asserter" in edges.columns else F.col("provenance.asserter") if "provenance" in edges.columns else F.lit(None).cast("string")
     stored = edges.select(*columns, "quarantined", asserter.alias("_signer"), *(["plane"] if "plane" in edges.columns else []))
-    asked = keys.select(*columns).distinct().join(stored, columns, "left")
+    asked = ends_unpacked(ends_packed(keys.select(*columns)).distinct().join(ends_packed(stored), columns, "left"))
     state = F.when(F.col("quarantined").isNull(), "not found").when(~F.col("quarantined"), "already confirmed")
     if meta is not None:
         asked = asked.join(nodes.select(F.col("id").alias("to_id"), F.col("author").alias("_author")), "to_id", "left")

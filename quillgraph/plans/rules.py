@@ -349,13 +349,14 @@ def scene_graph(spark, d):
 
 def _contested(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Proposals beside the spine's own: some back along it, some of a node over itself, and one against each confirmed supersession."""
-    keyed = edges.join(nodes.select(F.col("id").alias("from_id"), "o_orderkey"), "from_id")
+    some = nodes.where("o_orderkey % 42 = 0 or o_orderkey % 50 = 0").select(F.col("id").alias("from_id"), "o_orderkey")
+    keyed = edges.join(some, "from_id")
     over = F.lit("Supersedes").alias("kind")
     back = lambda rows: rows.select(F.col("to_id").alias("from_id"), F.col("from_id").alias("to_id"), over)
     line = keyed.where("kind = 'TemporalNext'")
     own = line.where("o_orderkey % 50 = 0").select("from_id", F.col("from_id").alias("to_id"), over)
     made = back(line.where("o_orderkey % 42 = 0")).unionByName(own).unionByName(back(edges.where("kind = 'Supersedes' and not quarantined"))).distinct()
-    return made.join(edges.select("from_id", "to_id", "kind"), ["from_id", "to_id", "kind"], "left_anti").withColumns({"quarantined": F.lit(True), "at": F.lit(1).cast("long")})
+    return made.join(edges.where("kind = 'Supersedes'").select("from_id", "to_id", "kind"), ["from_id", "to_id", "kind"], "left_anti").withColumns({"quarantined": F.lit(True), "at": F.lit(1).cast("long")})
 
 
 _FACADE_SQL = (
@@ -388,8 +389,11 @@ def confirm_facade(spark, d):
     nodes = order_nodes(spark, d)
     edges = spine_edges(nodes)
     g = MemoryGraph(nodes, edges)
-    asked = _contested(nodes, edges).unionByName(edges.where("quarantined"))
+    # Stored, as each is read several times.
+    folder = graph.shared_dir(spark)
+    asked = graph._keep(_contested(nodes, edges).unionByName(edges.where("quarantined")), folder, "asked")
     mine = asked.join(nodes.where("o_orderkey % 2 = 1").select(F.col("id").alias("to_id")), "to_id", "left_semi").select(*asked.columns)
+    mine = graph._keep(mine, folder, "mine")
     g = g.propose(mine, "me", 5).propose(asked.join(mine.select("from_id", "to_id", "kind"), ["from_id", "to_id", "kind"], "left_anti").select(*asked.columns), "you", 5)
     keys = asked.select("from_id", "to_id", "kind")
     after = g.confirm(keys, 123, "me")
@@ -434,7 +438,10 @@ def merge_counters(spark, d):
     there = nodes.where("o_orderkey % 3 <> 1 and o_orderkey % 10 <> 5").withColumns({"status": F.when(_key() % 4 == 0, "Archived").otherwise(F.col("status")), "confidence": F.reverse("confidence")})
     links = edges.where("substring(to_id, 1, 1) < 'a'").withColumn("quarantined", F.col("quarantined") & (F.substring("from_id", 2, 1) < "8"))
     columns = [c for c in nodes.columns if c not in ("o_orderkey", "o_custkey")]
-    g = MemoryGraph(nodes.where("o_orderkey % 5 <> 1").select(*columns), edges.where("substring(from_id, 1, 1) < 'a'"))
+    # A graph is a stored table: a merge reads its own several times.
+    kept = lambda df, step: graph._keep(df, folder, step)
+    folder = graph.shared_dir(spark)
+    g = MemoryGraph(kept(nodes.where("o_orderkey % 5 <> 1").select(*columns), "nodes"), kept(edges.where("substring(from_id, 1, 1) < 'a'"), "edges"))
     return g.merge(there.select(*columns), links).counters
 
 
