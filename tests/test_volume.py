@@ -39,6 +39,7 @@ MOST = {
     "supersede_rejects": 600,
     "supersede_apply": 700,
     "edge_owners": 1000,
+    "edge_signature": 600,
     "canonical_only": 1200,
     "in_flight": 1250,
 }
