@@ -28,7 +28,8 @@ def _judged(nodes: DataFrame, edges: DataFrame, proposals: DataFrame, order: tup
     """
     spark, folder = nodes.sparkSession, shared_dir(nodes.sparkSession)
     early = F.when(F.col("kind") != "Supersedes", "kind").when(F.col("quarantined"), "quarantined").when(F.col("from_id") == F.col("to_id"), "self")
-    fit = _keep(proposals.where(early.isNull()).withColumn("_row", F.monotonically_increasing_id()), folder, "fit")
+    # Ids as bytes, as all that fits is shuffled by its row.
+    fit = _keep(ends_packed(proposals.where(early.isNull())).withColumn("_row", F.monotonically_increasing_id()), folder, "fit")
     # Never null here, so that a filter for what may apply drops this side.
     rest = proposals.where(early.isNotNull()).withColumn("reason", F.coalesce(early, F.lit("kind")))
     # Without proposals there is nothing to find, however much is stored.
@@ -43,7 +44,8 @@ def _judged(nodes: DataFrame, edges: DataFrame, proposals: DataFrame, order: tup
     loops = _keep(loops.select("_row", "from_id", "to_id"), folder, "loops")
     if order is not None and not loops.isEmpty():
         ends = loops.select("_row", F.col("from_id").alias("_from"), F.col("to_id").alias("_to"))
-        tried = fit.select("_row", *dict.fromkeys((*order, "from_id", "to_id"))).join(ends, "_row")
+        # Unpacked before they are put in order: bytes sort like digests, but not like other texts.
+        tried = ends_unpacked(fit.select("_row", *dict.fromkeys((*order, "from_id", "to_id"))).join(ends, "_row"))
         tried = tried.groupBy("_from", "_to").agg(*[F.min(c).alias(c) for c in dict.fromkeys((*order, "from_id", "to_id"))])
         places = positions(tried, [*dict.fromkeys((*order, "from_id", "to_id"))], "place").select(F.col("_from").alias("from_id"), F.col("_to").alias("to_id"), "place")
         loops = loops.join(admitted(stored, places, comps), ["from_id", "to_id"], "left_anti")
@@ -51,17 +53,17 @@ def _judged(nodes: DataFrame, edges: DataFrame, proposals: DataFrame, order: tup
     barred = _keep(barred, folder, "barred")
     for name in ("coded", "loops"):
         drop_folder(spark, f"{folder}/{name}")
-    return fit.join(barred, "_row", "left").select(*proposals.columns, "reason").unionByName(rest)
+    return ends_unpacked(fit.join(barred, "_row", "left")).select(*proposals.columns, "reason").unionByName(rest)
 
 
 def _numbered(nodes: DataFrame, edges: DataFrame, fit: DataFrame, folder: str) -> DataFrame:
-    """(_row, from_id, to_id, reason): the proposals and, without _row, the confirmed supersessions by the numbers of their ends;
-    reason: of proposals, `missing` and `plane`."""
+    """(_row, from_id, to_id, reason): the proposals (fit, with ids as bytes) and, without _row, the confirmed supersessions by the
+    numbers of their ends; reason: of proposals, `missing` and `plane`."""
     numbers = _keep(nodes.select(packed(F.col("id")).alias("id"), "plane", F.monotonically_increasing_id().alias("n")), folder, "numbers")
     none = F.lit(None).cast("string")
     own = F.col("plane") if "plane" in fit.columns else none
-    both = fit.select("from_id", "to_id", "_row", own.alias("own")).unionByName(_firm(edges).select("from_id", "to_id", F.lit(None).cast("long").alias("_row"), none.alias("own")))
-    both = both.select(packed(F.col("from_id")).alias("from"), packed(F.col("to_id")).alias("to"), "_row", "own")
+    both = fit.select("from_id", "to_id", "_row", own.alias("own")).unionByName(ends_packed(_firm(edges)).select("from_id", "to_id", F.lit(None).cast("long").alias("_row"), none.alias("own")))
+    both = both.withColumnsRenamed({"from_id": "from", "to_id": "to"})
     for end in ("from", "to"):
         both = both.join(numbers.select(F.col("id").alias(end), F.col("plane").alias(f"_{end}"), F.col("n").alias(f"{end}_id")), end, "left")
         both = both.withColumn(end, F.when(F.col(f"{end}_id").isNull(), F.col(end)))

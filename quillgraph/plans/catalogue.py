@@ -563,7 +563,8 @@ def supersede_stored(spark, d):
     """Proposals against stored supersessions: along the spine, and back over each newer stored edge, which closes a cycle."""
     nodes, edges = _spine(spark, d)
     stored = edges.where("kind = 'Supersedes' and not quarantined")
-    ahead = edges.where("kind = 'TemporalNext'").join(stored.select("from_id", "to_id"), ["from_id", "to_id"], "left_anti")
+    pairs = supersede.ends_packed(stored.select("from_id", "to_id"))
+    ahead = supersede.ends_unpacked(supersede.ends_packed(edges.where("kind = 'TemporalNext'")).join(pairs, ["from_id", "to_id"], "left_anti"))
     back = stored.where(F.col("at") >= _SINCE).select(F.col("to_id").alias("from_id"), F.col("from_id").alias("to_id"), "at")
     asked = ahead.select("from_id", "to_id", "at").unionByName(back).select("from_id", "to_id", F.lit("Supersedes").alias("kind"), F.lit(False).alias("quarantined"), "at")
     return supersede.judge(nodes, stored, asked).select("from_id", "to_id", "reason")

@@ -38,6 +38,7 @@ def moved(spark, name):
 MOST = {
     "supersede_rejects": 600,
     "supersede_apply": 700,
+    "supersede_stored": 690,
     "edge_owners": 1000,
     "edge_signature": 600,
     "canonical_only": 1200,
