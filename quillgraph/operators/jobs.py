@@ -158,11 +158,14 @@ def pending_commits(commits: DataFrame, heads: DataFrame, marks: DataFrame) -> D
     one, all of the repo's commits are due.  All repos are walked at once.
     """
     spine = ingest.spine(commits).select(F.col("child").alias("from_id"), F.col("parent").alias("to_id"), "kind")
-    tips = heads.select(F.col("head").alias("id"))
-    all_of_it = recall.canonical(commits, spine, tips)
-    held = marks.select("repo", F.col("head").alias("id")).join(all_of_it, "id", "left_semi").join(heads.select("repo"), "repo", "left_semi")
-    done = recall.canonical(commits, spine, held.select("id"))
-    return all_of_it.join(done, "id", "left_anti").select(F.col("id").alias("sha"))
+    # The history is labelled once for both walks.
+    tips = heads.select("repo", F.col("head").alias("id"), F.lit(True).alias("tip"))
+    numbers, marked, labelled, side = recall.numbered(spine, tips.unionByName(marks.select("repo", F.col("head").alias("id"), F.lit(False).alias("tip"))))
+    all_of_it = lineage.canonical(labelled, side, marked.where("tip"))
+    held = marked.where("not tip").join(all_of_it, "id", "left_semi").join(marked.where("tip").select("repo"), "repo", "left_semi")
+    done = lineage.canonical(labelled, side, held)
+    due = all_of_it.join(done, "id", "left_anti").withColumnRenamed("id", "n")
+    return numbers.join(due, "n", "left_semi").select(ids.unpacked(F.col("id")).alias("sha"))
 
 
 def due_commits(commits: DataFrame, heads: DataFrame, held: DataFrame) -> DataFrame:

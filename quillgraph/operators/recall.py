@@ -202,19 +202,27 @@ def canonical(nodes: DataFrame, edges: DataFrame, heads: DataFrame, labelled: Da
     spine = edges.where("kind in ('TemporalNext', 'MergeParent')").select("from_id", "to_id", "kind")
     if labelled is not None:
         return lineage.canonical(labelled, lineage.crossings(spine.distinct(), labelled), heads)
-    # Labels that nobody keeps are made of numbers in place of ids, as each of their rounds shuffles them.
+    numbers, tips, labelled, side = numbered(spine, heads.select("id"))
+    found = lineage.canonical(labelled, side, tips)
+    return numbers.join(found.withColumnRenamed("id", "n"), "n", "left_semi").select(unpacked(F.col("id")).alias("id"))
+
+
+def numbered(spine: DataFrame, marked: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(id, n) of the commits in spine and in marked (id, ...), with ids as bytes; and by number marked, the labels and the crossings.
+
+    Labels that nobody keeps are made of numbers in place of ids, as each of their rounds shuffles them.
+    """
     folder = shared_dir(spine.sparkSession)
     links = spine.select(packed(F.col("from_id")).alias("from_id"), packed(F.col("to_id")).alias("to_id"), "kind")
-    tips = heads.select(packed(F.col("id")).alias("id"))
-    numbers = links.select(F.explode(F.array("from_id", "to_id")).alias("id")).unionByName(tips).distinct()
+    marked = marked.withColumn("id", packed(F.col("id")))
+    numbers = links.select(F.explode(F.array("from_id", "to_id")).alias("id")).unionByName(marked.select("id")).distinct()
     numbers = _keep(numbers.select("id", F.monotonically_increasing_id().alias("n")), folder, "numbers")
     for end in ("from_id", "to_id"):
         links = links.join(numbers.withColumnRenamed("id", end), end).drop(end).withColumnRenamed("n", end)
     links = _keep(links, folder, "spine")
-    tips = _keep(tips.join(numbers, "id").select(F.col("n").alias("id")), folder, "heads")
-    labelled = lineage.labels(links, tips)
-    found = lineage.canonical(labelled, lineage.crossings(links, labelled), tips)
-    return numbers.join(found.withColumnRenamed("id", "n"), "n", "left_semi").select(unpacked(F.col("id")).alias("id"))
+    marked = _keep(marked.join(numbers, "id").drop("id").withColumnRenamed("n", "id"), folder, "heads")
+    labelled = lineage.labels(links, marked.select("id"))
+    return numbers, marked, labelled, lineage.crossings(links, labelled)
 
 
 def in_flight(nodes: DataFrame, edges: DataFrame, merged: DataFrame) -> DataFrame:

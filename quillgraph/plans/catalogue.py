@@ -862,7 +862,8 @@ def _commits(spark, d) -> DataFrame:
 @query(N + _LINE + ", c AS (SELECT o_custkey, count(*) AS k FROM o GROUP BY 1) SELECT 'o' || o_orderkey AS sha FROM o JOIN c USING (o_custkey) WHERE o_custkey % 5 = 0 OR k <= o_custkey % 4 OR back <= o_custkey % 4")
 def ingest_incremental(spark, d):
     """Each repo's watermark lies some commits back; one in five names a commit that its history no longer has."""
-    commits = _commits(spark, d)
+    # Stored, as a history is: it is read several times.
+    commits = graph._keep(_commits(spark, d), graph.shared_dir(spark), "commits")
     lost = F.col("o_custkey") % 5 == 0
     marks = commits.where("back = 1 + o_custkey % 4").select("repo", F.when(lost, F.concat(F.lit("gone-"), "sha")).otherwise(F.col("sha")).alias("head"))
     return jobs.pending_commits(commits, commits.where("back = 1").select("repo", F.col("sha").alias("head")), marks)

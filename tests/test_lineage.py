@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from quillgraph.operators import lineage
+from quillgraph.operators import jobs, lineage
 
 EDGE = "from_id string, to_id string, kind string"
 
@@ -58,3 +58,18 @@ def test_labels_grow(spark):
     pairs = [(a, h) for a in behind for h in ("c059", "c030")]
     got = lineage.are_ancestors(known, side, spark.createDataFrame(pairs, "ancestor string, head string")).collect()
     assert {(r["ancestor"], r["head"]) for r in got if r["holds"]} == {(a, h) for a, h in pairs if a in behind[h]}
+
+
+def test_pending_commits_label_a_history_once(spark, monkeypatch):
+    edges, behind = history(4, 60)
+    parents = {x: [] for x in behind}
+    for a, z, _ in edges:
+        parents[a].append(z)
+    heads, marks = {"r": "c059", "s": "c040"}, {"r": "c045", "s": "gone", "t": "c003"}
+    made, labels = [], lineage.labels
+    monkeypatch.setattr(lineage, "labels", lambda *a: made.append(1) or labels(*a))
+    text = "repo string, head string"
+    got = jobs.pending_commits(spark.createDataFrame(list(parents.items()), "sha string, parents array<string>"), spark.createDataFrame(list(heads.items()), text), spark.createDataFrame(list(marks.items()), text))
+    every = behind["c059"] | behind["c040"]
+    done = behind["c045"] if "c045" in every else set()
+    assert sorted(r["sha"] for r in got.collect()) == sorted(every - done) and len(made) == 1
