@@ -89,8 +89,9 @@ def neighbors(nodes: DataFrame, edges: DataFrame, node_id: str, budget: int, rea
 def edge_signatures(edges: DataFrame) -> DataFrame:
     """(id, direction, kind, n): counts of edges that are not quarantined."""
     firm = edges.where("not quarantined")
-    both = firm.select(F.col("from_id").alias("id"), F.lit(0).alias("direction"), "kind").unionAll(firm.select(F.col("to_id").alias("id"), F.lit(1).alias("direction"), "kind"))
-    return both.groupBy("id", "direction", "kind").agg(F.count("*").alias("n"))
+    # Ids as bytes, as counts hardly shrink what is shuffled.
+    both = firm.select(packed(F.col("from_id")).alias("id"), F.lit(0).alias("direction"), "kind").unionAll(firm.select(packed(F.col("to_id")).alias("id"), F.lit(1).alias("direction"), "kind"))
+    return both.groupBy("id", "direction", "kind").agg(F.count("*").alias("n")).withColumn("id", unpacked(F.col("id")))
 
 
 def signature_overlap(signatures: DataFrame, anchor: DataFrame) -> DataFrame:
@@ -98,9 +99,9 @@ def signature_overlap(signatures: DataFrame, anchor: DataFrame) -> DataFrame:
     own = anchor.select("direction", "kind", F.col("n").alias("m"))
     total = own.agg(F.sum("m")).first()[0] or 0
     shared = signatures.join(F.broadcast(own), ["direction", "kind"], "left")  # an anchor has 34 rows at most
-    sums = shared.groupBy("id").agg(F.sum("n").alias("n"), F.sum(F.least("n", F.coalesce("m", F.lit(0)))).alias("same"))
+    sums = shared.groupBy(packed(F.col("id")).alias("id")).agg(F.sum("n").alias("n"), F.sum(F.least("n", F.coalesce("m", F.lit(0)))).alias("same"))
     union = F.col("n") + total - F.col("same")
-    return sums.select("id", F.when(union > 0, F.col("same") / union).otherwise(0.0).alias("structural"))
+    return sums.select(unpacked(F.col("id")).alias("id"), F.when(union > 0, F.col("same") / union).otherwise(0.0).alias("structural"))
 
 
 def analogies(nodes: DataFrame, edges: DataFrame, anchor_id: str, repos: DataFrame, budget: int) -> DataFrame:

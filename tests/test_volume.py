@@ -43,6 +43,7 @@ MOST = {
     "edge_signature": 600,
     "canonical_only": 1200,
     "in_flight": 1250,
+    "signature_overlap": 340,
 }
 
 
