@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillgraph.functions.ids import packed, unpacked
+
 
 def _keep(df: DataFrame, spark_dir: str, step: str) -> DataFrame:
     """Write to the shared folder and read back, so that a lost executor costs one hop at most.
@@ -124,21 +126,23 @@ def neighbourhood(edges: DataFrame, starts: DataFrame, hops: int) -> DataFrame:
 
 
 def degrees(edges: DataFrame) -> DataFrame:
-    ends = edges.select(F.explode(F.array("from_id", "to_id")).alias("id"))
-    return ends.groupBy("id").agg(F.count("*").alias("degree"))
+    # Ids as bytes here and below, see ids.packed.
+    ends = edges.select(F.explode(F.array(packed(F.col("from_id")), packed(F.col("to_id")))).alias("id"))
+    return ends.groupBy("id").agg(F.count("*").alias("degree")).withColumn("id", unpacked(F.col("id")))
 
 
 def contradicted(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id): ends of contradicting or refuting edges, proposals too."""
-    ends = edges.where("kind in ('Contradicts', 'Refutes')").select(F.explode(F.array("from_id", "to_id")).alias("id"))
-    return nodes.select("id").join(ends, "id", "left_semi")
+    ends = edges.where("kind in ('Contradicts', 'Refutes')").select(F.explode(F.array(packed(F.col("from_id")), packed(F.col("to_id")))).alias("id"))
+    return nodes.select(packed(F.col("id")).alias("id")).join(ends, "id", "left_semi").withColumn("id", unpacked(F.col("id")))
 
 
 def inside(edges: DataFrame, ids: DataFrame) -> DataFrame:
     """Edges with both ends among the ids."""
+    edges = edges.withColumns({end: packed(F.col(end)) for end in ("from_id", "to_id")})
     for end in ("from_id", "to_id"):
-        edges = edges.join(ids.select(F.col("id").alias(end)), end, "left_semi")
-    return edges
+        edges = edges.join(ids.select(packed(F.col("id")).alias(end)), end, "left_semi")
+    return edges.withColumns({end: unpacked(F.col(end)) for end in ("from_id", "to_id")})
 
 
 def fnv1a(text: Column) -> Column:
