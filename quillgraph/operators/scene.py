@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillgraph.functions.ids import packed, unpacked
 from quillgraph.functions.text import truncate
 from quillgraph.operators.anchor import positions
 from quillgraph.operators.graph import contradicted, degrees, inside
@@ -83,7 +84,8 @@ def scene(nodes: DataFrame, edges: DataFrame, column: str, dim: int) -> tuple[Da
     embedded = nodes.where(F.size(column) == dim)
     place = project(embedded, column, dim) if len(embedded.take(3)) == 3 else ring(nodes)
     torn = contradicted(nodes, edges).withColumn("contradicted", F.lit(True))
-    out = nodes.join(place, "id", "left").join(degrees(kept), "id", "left").join(torn, "id", "left")
+    coded = lambda df: df.withColumn("id", packed(F.col("id")))
+    out = coded(nodes).join(coded(place), "id", "left").join(coded(degrees(kept)), "id", "left").join(coded(torn), "id", "left").withColumn("id", unpacked(F.col("id")))
     title = truncate(F.decode("content", "UTF-8"), 140)
     return out.select("id", "repo", "status", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in "xyz"], F.coalesce("degree", F.lit(0)).alias("degree"), F.coalesce("contradicted", F.lit(False)).alias("contradicted"), title.alias("title")), kept
 

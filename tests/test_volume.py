@@ -44,6 +44,7 @@ MOST = {
     "canonical_only": 1200,
     "in_flight": 1250,
     "signature_overlap": 340,
+    "scene_graph": 650,
     "neighbors_readable": 190,
     "neighbors_out_in": 195,
     "degree": 113,
