@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.functions import ed25519
+from quillgraph.functions.ids import packed
 from quillgraph.operators.merge import merge_nodes
-from quillgraph.operators.supersede import SECOND_PARTY, apply_supersessions, assertable, clock, judge, upsert_edges, upsert_nodes
+from quillgraph.operators.supersede import SECOND_PARTY, apply_supersessions, assertable, clock, ends_packed, ends_unpacked, judge, upsert_edges, upsert_nodes
 from quillgraph.schema import edge_tag
 
 
@@ -57,12 +58,12 @@ def judge_diff(stored: DataFrame, stored_edges: DataFrame, nodes: DataFrame, edg
         .when(fresh & (F.col("author") != writer) & ~first, "not as first inserted")
         .when((F.col("valid_from") > now) | (F.col("observed_at") > now), "time"),
     ).drop("owner")
-    owners = stored.select("id", "author").unionByName(nodes.select("id", "author")).dropDuplicates(["id"])
+    owners = stored.select("id", "author").unionByName(nodes.select("id", "author")).withColumn("id", packed(F.col("id"))).dropDuplicates(["id"])
     target = owners.select(F.col("id").alias("to_id"), F.col("author").alias("target_author"))
     source = owners.select(F.col("id").alias("from_id"), F.lit(True).alias("known_source"))
-    held = stored_edges.select("from_id", "to_id", "kind", F.col("quarantined").alias("was_proposal"))
-    links = edges.join(target, "to_id", "left").join(source, "from_id", "left").join(held, ["from_id", "to_id", "kind"], "left")
-    links = links.withColumn(
+    held = ends_packed(stored_edges.select("from_id", "to_id", "kind", F.col("quarantined").alias("was_proposal")))
+    links = ends_packed(edges).join(target, "to_id", "left").join(source, "from_id", "left").join(held, ["from_id", "to_id", "kind"], "left")
+    links = ends_unpacked(links).withColumn(
         "reason",
         F.when(~F.col("ok"), "signature")
         .when(F.col("target_author").isNull() | F.col("known_source").isNull(), "endpoint")

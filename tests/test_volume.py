@@ -48,6 +48,7 @@ MOST = {
     "neighbors_readable": 190,
     "neighbors_out_in": 195,
     "degree": 113,
+    "diff_edge_reasons": 440,
 }
 
 
