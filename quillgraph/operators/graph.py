@@ -21,6 +21,24 @@ def _keep(df: DataFrame, spark_dir: str, step: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of files up to which a stored table may be broadcast, as the planner sees fit.
+FEW = 4 << 20
+
+
+def stored_bytes(spark, path: str) -> int:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
+
+
+def unsent(df: DataFrame, size: int) -> DataFrame:
+    """df, which rests on files of so many bytes: beyond a few its joins are merged and not broadcast.
+
+    The planner goes by the size of files, and ids in zstd take a fraction of what they are in memory and on their way through
+    the driver.
+    """
+    return df.hint("merge") if size > FEW else df
+
+
 def shared_dir(spark) -> str:
     """A new folder under spark.checkpoint.dir; unset, a local one on one machine (as in tests) and an error on a cluster."""
     base = spark.conf.get("spark.checkpoint.dir", None)

@@ -173,7 +173,7 @@ def due_commits(commits: DataFrame, heads: DataFrame, held: DataFrame) -> DataFr
 
     What is stored has all of its history stored, so the walk ends there and its cost follows the push.
     """
-    fresh = commits.join(held.select("repo", "sha"), ["repo", "sha"], "left_anti")
+    fresh = commits.join(held.select("repo", "sha").hint("merge"), ["repo", "sha"], "left_anti")
     spine = ingest.spine(fresh).select(F.col("child").alias("from_id"), F.col("parent").alias("to_id"), "kind")
     return fresh.join(recall.canonical(fresh, spine, heads.select(F.col("head").alias("id"))).select(F.col("id").alias("sha")), "sha", "left_semi")
 
@@ -188,9 +188,10 @@ def document_changes(docs: DataFrame, nodes: DataFrame, now: int, keep=lambda df
     state = F.lit(None).cast("long").alias("valid_to"), F.lit("DerivedDeterministic").alias("trust_tier")
     own = keep(found.select("id", "repo", "kind", F.lit("Derived").alias("plane"), "author", F.concat(F.lit("doc:"), "path").alias("sha"), "content", F.coalesce("created_ms", F.lit(now)).cast("long").alias("valid_from"), *state, "status").dropDuplicates(["id"]), "documents")
     held = nodes.where("startswith(sha, 'doc:')").join(docs.select("repo").distinct(), "repo", "left_semi")
-    fresh = own.join(held.select("id"), "id", "left_anti")
+    # What is stored, and what is new of a push, may be large whatever the planner takes it for: merged, not broadcast.
+    fresh = own.join(held.select("id").hint("merge"), "id", "left_anti")
     gone = held.where("status <> 'Archived'").join(own.select("id"), "id", "left_anti").withColumn("status", F.lit("Archived"))
-    said = keep(said.join(fresh.select(F.col("id").alias("from_id"), "repo", F.col("valid_from").alias("at")), "from_id"), "directives")
+    said = keep(said.join(fresh.select(F.col("id").alias("from_id"), "repo", F.col("valid_from").alias("at")).hint("merge"), "from_id"), "directives")
     named = nodes.select("repo", F.regexp_replace("sha", "^ref:", "").alias("target"), F.col("id").alias("to_id")).join(said.select("repo", "target").distinct(), ["repo", "target"], "left_semi").groupBy("repo", "target").agg(F.min("to_id").alias("to_id"))
     led = said.join(named, ["repo", "target"], "left")
     stub = ids.sha2_id(F.encode(F.concat(F.lit("ref:"), "repo", F.lit("|"), "target"), "UTF-8"))
@@ -213,8 +214,12 @@ def run_ingest(store: Store, commits: DataFrame, heads: DataFrame, authorities:
     """
     number, _ = store.state()
     nodes, edges, meta = store.read("nodes", NODES), store.read("edges", EDGES), store.read("meta", META)
-    folder = graph.shared_dir(commits.sparkSession)
-    keep = lambda df, step: graph._keep(df, folder, step)  # noqa: E731  each is read by several of the steps after it
+    spark, folder = commits.sparkSession, graph.shared_dir(commits.sparkSession)
+
+    def keep(df, step):
+        """Each is read by several of the steps after it."""
+        return graph.unsent(graph._keep(df, folder, step), graph.stored_bytes(spark, f"{folder}/{step}"))
+
     due = keep(due_commits(commits, heads, nodes.where("kind = 'commit'")), "due")
     found, links = commit_graph(due, authorities, keep, nodes.where("kind = 'commit'").select("repo", "sha", "id"))
     gone = None
@@ -222,7 +227,7 @@ def run_ingest(store: Store, commits: DataFrame, heads: DataFrame, authorities:
         named = nodes.unionByName(keep(found, "commits"))
         more, directives, gone = document_changes(docs, named, now, keep)
         found, links, gone = found.unionByName(more.select(*found.columns)), links.unionByName(directives), keep(gone, "gone")
-    fresh = keep(found.dropDuplicates(["id"]).join(nodes.select("id"), "id", "left_anti"), "fresh")
+    fresh = keep(found.dropDuplicates(["id"]).join(nodes.select("id").hint("merge"), "id", "left_anti"), "fresh")
     links = keep(links, "links")
     claims = links.where("kind = 'Supersedes'")
     known = nodes.unionByName(fresh)
@@ -250,7 +255,7 @@ def run_ingest(store: Store, commits: DataFrame, heads: DataFrame, authorities:
     store.commit(changes, based_on=number)
     for name in changes:
         store.compact(name, compact_after)
-    graph.drop_folder(commits.sparkSession, folder)
+    graph.drop_folder(spark, folder)
     return counts
 
 

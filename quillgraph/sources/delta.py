@@ -13,6 +13,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillgraph.operators import graph
+
 
 class Conflict(RuntimeError):
     """Another writer has committed since the state that a commit is based on."""
@@ -74,6 +76,7 @@ class Store:
             return self.spark.createDataFrame([], schema)
         kinds = own["schema"]
         base = self.spark.read.schema(kinds).parquet(f"{self.path}/{table}/{own['base']}") if own["base"] else self.spark.createDataFrame([], kinds)
+        columns = base.columns
         if not own["deltas"]:
             return base
         keys = self.keys[table]
@@ -84,9 +87,13 @@ class Store:
         if len(own["deltas"]) > 1:
             rest = [c for c in deltas.columns if c not in keys]
             deltas = deltas.groupBy(*keys).agg(F.max_by(F.struct(*rest), "_turn").alias("_last")).select(*keys, "_last.*")
-        # AQE broadcasts the changed keys while they are few.
-        kept = base.join(deltas.select(*keys), keys, "left_anti")
-        return kept.select(*base.columns).unionByName(deltas.where("not _gone").select(*base.columns))
+        now = deltas.where("not _gone").select(*columns)
+        if not own["base"]:
+            return now
+        # The changed keys are broadcast only while they are few.
+        size = sum(graph.stored_bytes(self.spark, f"{self.path}/{table}/{name}") for name in own["deltas"])
+        kept = base.join(graph.unsent(deltas.select(*keys), size), keys, "left_anti")
+        return kept.select(*columns).unionByName(now)
 
     # Writes --------------------------------------------------------------------------------------------
 

@@ -1,11 +1,16 @@
 """What queries shuffle and write, a row of their tables: with joins that are not broadcast, as on large tables."""
 
+import contextlib
+import io
+import re
 import time
 from pathlib import Path
 
 import pytest
 
+from quillgraph.operators import graph, jobs
 from quillgraph.plans import catalogue, rules  # noqa: F401
+from quillgraph.sources import delta
 
 DATA = Path("/root/testdata/sf0.01")
 BROADCAST = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
@@ -56,3 +61,43 @@ MOST = {
 @pytest.mark.parametrize("name", MOST)
 def test_bytes_an_order(spark, name):
     assert moved(spark, name) < MOST[name] * 15_000
+
+
+def joined_by_broadcast(df):
+    """The first keys of a plan's joins that send one side through the driver."""
+    out = io.StringIO()
+    with contextlib.redirect_stdout(out):
+        df.explain()
+    return set(re.findall(r"BroadcastHashJoin \[(\w+)#", out.getvalue()))
+
+
+def test_ids_of_documents_are_not_broadcast(spark, tmp_path):
+    docs = spark.createDataFrame([("r", f"docs/{k}.md", "s", f"# Title {k}") for k in range(50)], "repo string, path string, git_sha string, text string")
+    steps = {}
+
+    def keep(df, step):
+        steps[step] = df
+        return graph.unsent(graph._keep(df, f"file://{tmp_path}", step), graph.FEW + 1)
+
+    none = spark.createDataFrame([], jobs.NODES)
+    stored, _, _ = jobs.document_changes(docs.where("path < 'docs/40'"), none, 1, lambda df, step: df)
+    stored = graph._keep(stored.select(*none.columns), f"file://{tmp_path}", "stored")
+    fresh, _, gone = jobs.document_changes(docs.where("path > 'docs/20'"), stored, 2, keep)
+    assert fresh.count() == docs.where("path >= 'docs/40'").count() and gone.count() == docs.where("path <= 'docs/20'").count()
+    # Repos are few; ids are not.
+    assert joined_by_broadcast(gone) <= {"repo"} and joined_by_broadcast(steps["directives"]) <= {"repo"}
+    assert "id" not in joined_by_broadcast(fresh)
+
+
+def test_changes_of_a_store_are_not_broadcast_beyond_a_few(spark, tmp_path, monkeypatch):
+    store = delta.Store(spark, f"file://{tmp_path}/store", {"t": ["id"]})
+    rows = lambda *x: spark.createDataFrame([*x], "id string, v long")
+    store.commit({"t": rows(("a", 1), ("b", 1))})
+    # Without a base there is nothing to drop from it.
+    assert not joined_by_broadcast(store.read("t"))
+    store.compact("t")
+    store.commit({"t": rows(("b", 2), ("c", 2))}, {"t": rows(("a", 0)).select("id")})
+    assert joined_by_broadcast(store.read("t")) == {"id"}
+    monkeypatch.setattr(graph, "FEW", 0)
+    assert not joined_by_broadcast(store.read("t"))
+    assert sorted(map(tuple, store.read("t").collect())) == [("b", 2), ("c", 2)]
