@@ -127,27 +127,32 @@ class CellIndex:
                         least = np.array([-np.inf if x is None else x for x in b["least"].to_pylist()])
                         bound = np.cos(np.maximum(np.arccos(np.clip(near, -1, 1)) - wide, 0)) + 1e-9
                         first = ~first & ((bound >= least[:, None]) | ~rows.any(1)[:, None])
+                    else:
+                        least = np.full(len(rows), -np.inf)
                     for cell in range(len(centres)):
                         mine = np.flatnonzero(first[:, cell])
                         for at in range(0, len(mine), QUERIES):
                             some = mine[at : at + QUERIES]
-                            yield pa.record_batch([pa.array([cell], pa.int32()), pa.array([b["query_id"].take(pa.array(some)).to_pylist()], pa.list_(b["query_id"].type)), pa.array([rows[some].tobytes()], pa.binary())], ["cell", "asks", "grid"])
+                            yield pa.record_batch([pa.array([cell], pa.int32()), pa.array([b["query_id"].take(pa.array(some)).to_pylist()], pa.list_(b["query_id"].type)), pa.array([rows[some].tobytes()], pa.binary()), pa.array([least[some].tobytes()], pa.binary())], ["cell", "asks", "grid", "leasts"])
 
             return run
 
         def score(batches):
             for b in batches:
-                for asks, grid, ids, members in zip(b["asks"].to_pylist(), b["grid"], b["ids"].to_pylist(), b["members"], strict=True):
+                for asks, grid, leasts, ids, members in zip(b["asks"].to_pylist(), b["grid"], b["leasts"], b["ids"].to_pylist(), b["members"], strict=True):
                     x = np.frombuffer(grid.as_buffer(), np.float64).reshape(len(asks), -1)
                     y = np.frombuffer(members.as_buffer(), np.float64).reshape(len(ids), -1)
-                    scores = np.round(x @ y.T, 12)  # so that equal vectors tie wherever they stand
+                    scores = x @ y.T
                     names, most = np.array(ids), min(budget, len(ids))
                     out = [[], [], []]
-                    for ask, row in zip(asks, scores, strict=True):
-                        top = np.flatnonzero(row >= np.partition(row, len(row) - most)[len(row) - most])
+                    # What is below a query's least score so far is none of its nearest; most blocks hold nothing else.
+                    floor = np.frombuffer(leasts.as_buffer(), np.float64)
+                    for k in np.flatnonzero(np.fmax.reduce(scores, 1) >= floor - 1e-11).tolist():
+                        ask, row = asks[k], np.round(scores[k], 12)  # so that equal vectors tie wherever they stand
+                        top = np.flatnonzero(row >= max(floor[k], np.partition(row, len(row) - most)[len(row) - most]))
                         top = top[np.lexsort((names[top], -row[top]))][:most]
                         out[0] += [ask] * len(top)
-                        out[1] += [ids[k] for k in top]
+                        out[1] += [ids[t] for t in top]
                         out[2] += row[top].tolist()
                     yield pa.record_batch([pa.array(out[0], b["asks"].type.value_type), pa.array(out[1], b["ids"].type.value_type), pa.array(out[2], pa.float64())], ["query_id", "id", "score"])
 
@@ -156,8 +161,9 @@ class CellIndex:
             return found.withColumn("_place", place).where(F.col("_place") <= budget).drop("_place")
 
         def visit(some, later):
-            blocks = some.mapInArrow(spread(later), f"cell int, asks array<{key}>, grid binary")
-            pairs = blocks.join(self._packed(kind), "cell").select("asks", "grid", "ids", "members")
+            blocks = some.mapInArrow(spread(later), f"cell int, asks array<{key}>, grid binary, leasts binary")
+            # A merge holds the right side's rows of a cell: its queries, which are fewer than its members where it is large.
+            pairs = self._packed(kind).join(blocks.hint("merge"), "cell").select("asks", "grid", "leasts", "ids", "members")
             return pairs.mapInArrow(score, f"query_id {key}, id {kind}, score double")
 
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))  # a pair of blocks is over 1 MB

@@ -309,6 +309,35 @@ def test_index_of_many_queries_is_exact(spark):
         assert [r["id"] for r in found] == want
 
 
+def test_later_cells_yield_only_what_may_be_nearest(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    grid = rng.normal(size=(2000, 16))
+    df = spark.createDataFrame([(k, row) for k, row in enumerate(grid.tolist())], "id long, data array<double>")
+    index = ann.CellIndex(df, "data")
+    found = index.search_each(df.where("id % 5 = 0"), 10).collect()
+    unit = grid / np.linalg.norm(grid, axis=1)[:, None]
+    got = {}
+    for r in found:
+        got.setdefault(r["query_id"], set()).add(r["id"])
+    assert got == {q: set(np.argsort(-(unit @ unit[q]))[:10].tolist()) for q in range(0, 2000, 5)}
+    # Rows out of the scoring of the last run: all blocks with ten each would be over 100,000.
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    store = spark._jsparkSession.sharedState().statusStore()
+    runs = store.executionsList()
+    last = runs.apply(runs.size() - 1).executionId()
+    values, nodes, most = store.executionMetrics(last), store.planGraph(last).allNodes().iterator(), 0
+    while nodes.hasNext():
+        node = nodes.next()
+        metrics = node.metrics().iterator() if node.name() == "MapInArrow" else None
+        while metrics is not None and metrics.hasNext():
+            m = metrics.next()
+            if m.name() == "number of output rows" and values.contains(m.accumulatorId()):
+                most = max(most, int(values.apply(m.accumulatorId()).replace(",", "")))
+    assert 0 < most < 40_000
+
+
 def test_hash_embedding_of_all_documents(spark):
     import hashlib
     import math
