@@ -14,6 +14,8 @@ from quillgraph.operators.graph import _keep, drop_folder, shared_dir
 
 #: Vectors and queries in a block of a cell: a pair of blocks is scored as one matrix product.
 BLOCK, QUERIES = 2048, 256
+#: Candidates that a task holds before it drops those that are none of a query's best.
+HELD = 1 << 17
 #: Cells of an index: about the root of the number of vectors, within these bounds.
 FEWEST, MOST = 16, 512
 
@@ -137,24 +139,46 @@ class CellIndex:
 
             return run
 
+        def nearest(held):
+            """Of candidates (queries, ids, scores) each query's `budget` best."""
+            asks, names, scores = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.lexsort((names, -scores, asks))
+            asks = asks[order]
+            first = np.r_[True, asks[1:] != asks[:-1]]
+            place = np.arange(len(asks)) - np.maximum.accumulate(np.where(first, np.arange(len(asks)), 0))
+            kept = order[place < budget]
+            return asks[place < budget], names[kept], scores[kept]
+
         def score(batches):
+            # Candidates of a task's blocks meet before they are yielded, up to HELD of them.
+            held, n, types = [], 0, None
+
+            def rows(best):
+                return pa.record_batch([pa.array(x.tolist(), kind) for x, kind in zip(best, types, strict=True)], ["query_id", "id", "score"])
+
             for b in batches:
+                types = b["asks"].type.value_type, b["ids"].type.value_type, pa.float64()
                 for asks, grid, leasts, ids, members in zip(b["asks"].to_pylist(), b["grid"], b["leasts"], b["ids"].to_pylist(), b["members"], strict=True):
                     x = np.frombuffer(grid.as_buffer(), np.float64).reshape(len(asks), -1)
                     y = np.frombuffer(members.as_buffer(), np.float64).reshape(len(ids), -1)
                     scores = x @ y.T
-                    names, most = np.array(ids), min(budget, len(ids))
-                    out = [[], [], []]
+                    asks, names, most = np.array(asks), np.array(ids), min(budget, len(ids))
                     # What is below a query's least score so far is none of its nearest; most blocks hold nothing else.
                     floor = np.frombuffer(leasts.as_buffer(), np.float64)
                     for k in np.flatnonzero(np.fmax.reduce(scores, 1) >= floor - 1e-11).tolist():
-                        ask, row = asks[k], np.round(scores[k], 12)  # so that equal vectors tie wherever they stand
+                        row = np.round(scores[k], 12)  # so that equal vectors tie wherever they stand
                         top = np.flatnonzero(row >= max(floor[k], np.partition(row, len(row) - most)[len(row) - most]))
                         top = top[np.lexsort((names[top], -row[top]))][:most]
-                        out[0] += [ask] * len(top)
-                        out[1] += [ids[t] for t in top]
-                        out[2] += row[top].tolist()
-                    yield pa.record_batch([pa.array(out[0], b["asks"].type.value_type), pa.array(out[1], b["ids"].type.value_type), pa.array(out[2], pa.float64())], ["query_id", "id", "score"])
+                        held.append((np.repeat(asks[k : k + 1], len(top)), names[top], row[top]))
+                        n += len(top)
+                    if n > HELD:
+                        held = [nearest(held)]
+                        n = len(held[0][0])
+                        if n > HELD // 2:
+                            yield rows(held[0])
+                            held, n = [], 0
+            if n:
+                yield rows(nearest(held))
 
         def best(found):
             place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
